@@ -1,0 +1,4 @@
+"""Registered queries of the core operators."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
