@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm import sharding
+from tidewire.llm import quality, sharding
 from tidewire.llm.common import read_table
 
 
@@ -12,5 +12,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"), n_shards=24)
 
 
-QUERIES = {"op1_sharding": op1_sharding}
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op8_quality_rules": op8_quality_rules}
 ORACLES: dict[str, str] = {}
