@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewire.llm import quality, sharding
+from tidewire.llm import line_dedup, quality, sharding, substring
 from tidewire.llm.common import read_table
 
 
@@ -17,5 +18,45 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op8_quality_rules": op8_quality_rules}
-ORACLES: dict[str, str] = {}
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return line_dedup.drop_repeated_lines(docs).select("doc_id", "n_removed_lines", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
+
+
+LINE_DEDUP_SQL = """
+WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, unnest(range(0, len(ls))) AS pos, unnest(ls) AS line FROM split),
+w AS (SELECT doc_id, pos, line AS a, lead(line, 1) OVER d AS b, lead(line, 2) OVER d AS c FROM l WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+r AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, pos) AS nth FROM w WHERE c IS NOT NULL),
+gone AS (SELECT DISTINCT doc_id, pos + k AS pos FROM r, (VALUES (0), (1), (2)) v(k) WHERE nth > 1),
+kept AS (SELECT l.doc_id, count(g.pos) AS n, coalesce(string_agg(CASE WHEN g.pos IS NULL THEN line END, chr(10) ORDER BY l.pos), '') AS text
+         FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(k.n, 0) AS n_removed_lines, sha256(k.text) AS text_sha256 FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.removal_digest(read_table(spark, sf_dir, "documents"))
+
+
+SUBSTRING_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, unnest(range(0, greatest(0, len(ws) - 12))) AS pos, ws FROM w WHERE len(ws) >= 13),
+keyed AS (SELECT doc_id, pos, array_to_string(ws[pos + 1:pos + 13], ' ') AS key FROM win),
+again AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY key) AS low FROM keyed) WHERE low < doc_id),
+gone AS (SELECT DISTINCT doc_id, pos + k AS pos FROM again, range(0, 13) r(k)),
+each AS (SELECT doc_id, unnest(range(0, len(ws))) AS pos, unnest(ws) AS word FROM w),
+kept AS (SELECT e.doc_id, count(*) AS n, count(g.pos) AS gone, string_agg(CASE WHEN g.pos IS NULL THEN word END, ' ' ORDER BY e.pos) AS text
+         FROM each e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.pos = g.pos GROUP BY e.doc_id)
+SELECT d.doc_id, coalesce(k.n, 0) AS n_words, coalesce(k.gone, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
+
+QUERIES = {
+    "op1_sharding": op1_sharding,
+    "op3_line_dedup": op3_line_dedup,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_substring_dedup": op9_substring_dedup,
+}
+ORACLES: dict[str, str] = {"op3_line_dedup": LINE_DEDUP_SQL, "op9_substring_dedup": SUBSTRING_SQL}
