@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import line_dedup, quality, sharding, substring
+from tidewire.llm import bpe, line_dedup, packing, quality, sharding, substring
 from tidewire.llm.common import read_table
 
 
@@ -13,6 +13,21 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"), n_shards=24)
 
 
+def vocabulary() -> str:
+    """Path of the vocabulary file that the contracts of encoding and packing name."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_digest(read_table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
@@ -56,6 +71,8 @@ FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_line_dedup": op3_line_dedup,
+    "op5_bpe": op5_bpe,
+    "op6_packing": op6_packing,
     "op8_quality_rules": op8_quality_rules,
     "op9_substring_dedup": op9_substring_dedup,
 }
