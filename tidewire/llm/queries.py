@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import bpe, line_dedup, packing, quality, sharding, substring
+from tidewire.llm import bpe, line_dedup, packing, quality, sharding, substring, topk
 from tidewire.llm.common import read_table
 
 
@@ -13,6 +13,20 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"), n_shards=24)
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+TOPK_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS c FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, x.vec_id, CAST(list_inner_product(q.c, x.c) AS BIGINT) AS score
+      FROM v q JOIN v x ON q.vec_id % 20 = 0 AND x.vec_id <> q.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def vocabulary() -> str:
     """Path of the vocabulary file that the contracts of encoding and packing name."""
     import public_tokenizers
@@ -71,9 +85,10 @@ FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_line_dedup": op3_line_dedup,
+    "op4_topk": op4_topk,
     "op5_bpe": op5_bpe,
     "op6_packing": op6_packing,
     "op8_quality_rules": op8_quality_rules,
     "op9_substring_dedup": op9_substring_dedup,
 }
-ORACLES: dict[str, str] = {"op3_line_dedup": LINE_DEDUP_SQL, "op9_substring_dedup": SUBSTRING_SQL}
+ORACLES: dict[str, str] = {"op3_line_dedup": LINE_DEDUP_SQL, "op4_topk": TOPK_SQL, "op9_substring_dedup": SUBSTRING_SQL}
