@@ -2,7 +2,7 @@
 
 The index is a list of immutable runs. A run holds, by hash bucket, the sorted hashes of the windows seen so far. A new
 batch of documents is scanned once; its windows are merge-joined, bucket by bucket, with all runs and with each other,
-verified by a second hash, and the hashes that are new become a run of their own; once there are ``fanout`` runs they
+verified by a second hash of 16 bits, and the hashes that are new become a run of their own; once there are ``fanout`` runs they
 are compacted into one. Batches enter in the order of doc_id, so whatever a run holds comes from a smaller doc_id.
 
 Most windows of a corpus occur once. A first pass therefore marks the minimizers (the smallest of the nine 5-word
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import compress
 
 import numpy as np
@@ -106,7 +107,7 @@ def _candidates(bitmap: Broadcast, bits: int, n_buckets: int):
                 row = part.row_of_word[starts]
                 ids = np.stack([doc[part.first : part.last], key[part.first : part.last]], 1)
                 full = W.grams(h, WINDOW)[starts]
-                check = (W.grams(h, WINDOW, salt=9)[starts] >> np.uint64(32)).astype(np.uint32)
+                check = (W.grams(h, WINDOW, salt=9)[starts] >> np.uint64(48)).astype(np.uint16)
                 pos = starts - part.row_start[row]
                 owner = ids[row, 0]
                 order = np.lexsort((owner, check, full))
@@ -156,7 +157,7 @@ def _merge_join(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -
     runs = [r for r in rows if r["kind"] == RUN]
     new = [r for r in rows if r["kind"] == CANDIDATES]
     known = [r for r in rows if r["kind"] == KNOWN]
-    h, c, pos = _column(new, "hashes", np.uint64), _column(new, "checks", np.uint32), _column(new, "positions", np.uint32)
+    h, c, pos = _column(new, "hashes", np.uint64), _column(new, "checks", np.uint16), _column(new, "positions", np.uint32)
     who = _owners(new)
     order = np.lexsort((who[:, 0], c, h))
     h, c, pos, who = h[order], c[order], pos[order], who[order]
@@ -164,7 +165,7 @@ def _merge_join(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -
     first = np.maximum.accumulate(np.where(starts, np.arange(len(h)), 0)) if len(h) else np.zeros(0, np.int64)
     old = np.zeros(int(starts.sum()), bool)
     for r in runs:
-        old |= _equal_in(np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["checks"], np.uint32), h[starts], c[starts])
+        old |= _equal_in(np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["checks"], np.uint16), h[starts], c[starts])
     group = np.cumsum(starts) - 1
     again = old[group] | (who[:, 0] > who[first, 0]) if len(h) else np.zeros(0, bool)
     out = [(RUN, key[0].as_py(), None, None, h[starts][~old].tobytes(), c[starts][~old].tobytes(), None)]
@@ -180,7 +181,7 @@ def _merge_join(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -
 
 def _compact(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     runs = [r for b in batches for r in b.to_pylist()]
-    h, c = _column(runs, "hashes", np.uint64), _column(runs, "checks", np.uint32)
+    h, c = _column(runs, "hashes", np.uint64), _column(runs, "checks", np.uint16)
     order = np.lexsort((c, h))
     out = [(RUN, key[0].as_py(), None, None, h[order].tobytes(), c[order].tobytes(), None)]
     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), _OUT_ARROW)], schema=_OUT_ARROW)
@@ -193,23 +194,25 @@ class FingerprintIndex:
         self.n_buckets, self.bitmap, self.bits, self.fanout = n_buckets, bitmap, bits, fanout
         self.runs: list[DataFrame] = []
 
-    def add(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, text_key, positions): starts of the windows of ``docs`` seen in an earlier document."""
+    def add(self, docs: DataFrame, last: bool = False) -> DataFrame:
+        """(doc_id, text_key, positions): starts of the windows of ``docs`` seen in an earlier document.
+
+        After the ``last`` batch nothing is looked up any more, so its run is not kept.
+        """
+        if len(self.runs) >= self.fanout:
+            self.runs = [cut(reduce(DataFrame.unionByName, self.runs).groupBy("bucket").applyInArrow(_compact, _OUT))]
         rows = docs.mapInArrow(_candidates(self.bitmap, self.bits, self.n_buckets), _SCHEMA)
+        none = F.lit(None).cast("binary")
         for run in self.runs:
-            none = F.lit(None).cast("binary")
             rows = rows.unionByName(run.select("bucket", "kind", none.alias("ids"), none.alias("counts"), "hashes", "checks", none.alias("positions")))
-        found = cut(rows.groupBy("bucket").applyInArrow(_merge_join, _OUT))
-        self.runs.append(found.where(F.col("kind") == RUN))
-        if len(self.runs) >= self.fanout:
-            every = self.runs[0]
-            for run in self.runs[1:]:
-                every = every.unionByName(run)
-            self.runs = [cut(every.groupBy("bucket").applyInArrow(_compact, _OUT))]
+        found = rows.groupBy("bucket").applyInArrow(_merge_join, _OUT)
+        found = cut(found.where(F.col("kind") == KNOWN) if last else found)
+        if not last:
+            self.runs.append(found.where(F.col("kind") == RUN))
         return found.where(F.col("kind") == KNOWN).select("doc_id", "text_key", "positions")
 
 
-def repeated_windows(docs: DataFrame, n_batches: int = 3) -> DataFrame:
+def repeated_windows(docs: DataFrame, n_batches: int = 2) -> DataFrame:
     """(doc_id, text_key, positions array<binary>) of the documents that repeat windows of smaller doc_ids."""
     known = docs.where("doc_id is not null and text is not null")
     stat = known.agg(F.sum(F.octet_length("text")).alias("bytes"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
@@ -220,13 +223,11 @@ def repeated_windows(docs: DataFrame, n_batches: int = 3) -> DataFrame:
     keyed = known.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     low, high = (stat.low or 0), (stat.high or 0)
     bounds = [low + (high + 1 - low) * i // n_batches for i in range(n_batches + 1)]
-    parts = [index.add(keyed.where((F.col("doc_id") >= a) & (F.col("doc_id") < b))) for a, b in zip(bounds, bounds[1:]) if a < b]
+    ranges = [(a, b) for a, b in zip(bounds, bounds[1:]) if a < b]
+    parts = [index.add(keyed.where((F.col("doc_id") >= a) & (F.col("doc_id") < b)), last=(a, b) == ranges[-1]) for a, b in ranges]
     if not parts:
         parts = [docs.sparkSession.createDataFrame([], "doc_id long, text_key long, positions binary")]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return every.groupBy("doc_id", "text_key").agg(F.collect_list("positions").alias("positions"))
+    return reduce(DataFrame.unionByName, parts).groupBy("doc_id", "text_key").agg(F.collect_list("positions").alias("positions"))
 
 
 def keep_words(text: bytes, positions: list[bytes] | None) -> tuple[int, int, bytes]:
@@ -248,7 +249,7 @@ def _with_positions(docs: DataFrame, n_batches: int) -> DataFrame:
     return docs.join(found, (F.col("doc_id") == F.col("_found_id")) & (F.xxhash64("text") == F.col("_found_key")), "left").drop("_found_id", "_found_key")
 
 
-def removal_digest(docs: DataFrame, n_batches: int = 3) -> DataFrame:
+def removal_digest(docs: DataFrame, n_batches: int = 2) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row of ``docs(doc_id, text)``."""
 
     def run(batches):
@@ -262,7 +263,7 @@ def removal_digest(docs: DataFrame, n_batches: int = 3) -> DataFrame:
     return _with_positions(docs.select("doc_id", "text"), n_batches).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def drop_repeated(docs: DataFrame, n_batches: int = 3) -> DataFrame:
+def drop_repeated(docs: DataFrame, n_batches: int = 2) -> DataFrame:
     """The rows and columns of ``docs``; a text that loses words becomes its kept words joined by one space."""
     at = docs.columns.index("text")
 
