@@ -1,4 +1,4 @@
-"""Helpers shared by the corpus operators: cutting lineage, connected components, sharing bitmaps."""
+"""Helpers shared by the corpus operators: cutting lineage, connected components, sharing maps."""
 
 from __future__ import annotations
 
@@ -65,62 +65,78 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
 
 
-# --- sharing bitmaps -------------------------------------------------------------------------------
-BLOCK_BITS = 20  # slots of one block; a block's bitmap has 128 KiB
+# --- sharing maps ------------------------------------------------------------------------------------
+# In how many documents a hash may occur, by slot (the hash's top bits). A map has a fixed number of slots and tells at
+# least the true level: two hashes in one slot only raise it.
+BLOCK_BITS = 20
+_SUB = 1 << (BLOCK_BITS - 16)  # a block's slots are written as 16 runs of 16-bit numbers
 
 
-def bitmap_bits(n_items: int, most: int = 28) -> int:
+def map_bits(n_items: int, most: int = 28) -> int:
     """Slots as a power of two: eight an item, at least one block, at most 2**most (a fixed bound)."""
     return int(min(most, max(BLOCK_BITS, np.ceil(np.log2(max(1, n_items) * 8)))))
 
 
-def pack_slots(slots: np.ndarray) -> list[tuple[int, bytes]]:
-    """(block, payload) rows for slots that hold each (document, slot) once; bit 31 marks two or more documents."""
+def _sixteens(low: np.ndarray) -> bytes:
+    runs = np.bincount(low >> np.uint32(16), minlength=_SUB).astype(np.uint32)
+    return runs.tobytes() + (low & np.uint32(0xFFFF)).astype(np.uint16).tobytes()
+
+
+def pack_slots(slots: np.ndarray) -> list[tuple[int, bytes, bytes, int]]:
+    """(block, slots, slots of several documents, most documents of one) rows; each (document, slot) comes in once."""
     if not len(slots):
         return []
     s, n = np.unique(slots, return_counts=True)
     block = (s >> np.uint64(BLOCK_BITS)).astype(np.int64)
-    low = (s & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.uint32) | ((n > 1).astype(np.uint32) << np.uint32(31))
+    low = (s & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.uint32)
     at = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-    end = np.r_[at[1:], len(block)]
-    return [(int(block[i]), low[i:j].tobytes()) for i, j in zip(at, end)]
-
+    out = []
+    for i, j in zip(at, np.r_[at[1:], len(block)]):
+        several = n[i:j] > 1
+        many = _sixteens(low[i:j][several]) + np.minimum(n[i:j][several], 65535).astype(np.uint16).tobytes() if several.any() else None
+        out.append((int(block[i]), _sixteens(low[i:j][~several]), many))
+    return out
 
-SLOT_SCHEMA = "block long, payload binary"
-SLOT_ARROW = pa.schema([("block", pa.int64()), ("payload", pa.binary())])
 
+SLOT_SCHEMA = "block long, once binary, several binary"
+SLOT_ARROW = pa.schema([("block", pa.int64()), ("once", pa.binary()), ("several", pa.binary())])
 
-def slot_batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], schema=SLOT_ARROW)
 
+def slot_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), SLOT_ARROW)], schema=SLOT_ARROW)
 
-def _block_bitmap(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen = np.zeros(1 << BLOCK_BITS, np.uint8)
-    for b in batches:
-        for payload in b.column("payload"):
-            v = np.frombuffer(payload.as_buffer(), np.uint32)
-            low = v & np.uint32((1 << BLOCK_BITS) - 1)
-            seen[low] = np.minimum(2, seen[low] + 1 + (v >> np.uint32(31)).astype(np.uint8))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([key[0].as_py()], pa.int64()), pa.array([np.packbits(seen > 1).tobytes()], pa.binary())], schema=SLOT_ARROW
-    )
 
+def _slots_in(payload: bytes) -> tuple[np.ndarray, bytes]:
+    runs = np.frombuffer(payload, np.uint32, _SUB)
+    n = int(runs.sum())
+    low = np.frombuffer(payload, np.uint16, n, 4 * _SUB).astype(np.uint32)
+    return low | (np.repeat(np.arange(_SUB, dtype=np.uint32), runs) << np.uint32(16)), payload[4 * _SUB + 2 * n :]
 
-def shared_bitmap(slots: DataFrame, bits: int) -> Broadcast:
-    """Broadcast of a bitmap of 2**bits slots, set where two documents or more fell in the slot.
 
-    Its size is fixed by ``bits`` (2**28 bits: 32 MiB), whatever the size of the corpus. It is a filter without
-    false negatives: what occurs in two documents always has its bit set.
-    """
-    spark = slots.sparkSession
-    rows = slots.groupBy("block").applyInArrow(_block_bitmap, SLOT_SCHEMA).collect()
-    whole = np.zeros(1 << max(0, bits - 3), np.uint8)
-    step = 1 << (BLOCK_BITS - 3)
+def _count_block(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents by slot of one block, as two bits a slot: under 2, under 16, under 256, more."""
+    count = np.zeros(1 << BLOCK_BITS, np.uint32)
+    for b in batches:
+        for once, several in zip(b.column("once").to_pylist(), b.column("several").to_pylist()):
+            count[_slots_in(once)[0]] += 1
+            if several:
+                low, rest = _slots_in(several)
+                count[low] += np.frombuffer(rest, np.uint16)
+    level = np.searchsorted([2, 16, 256], count, "right").astype(np.uint8).reshape(-1, 4)
+    packed = level[:, 0] | level[:, 1] << 2 | level[:, 2] << 4 | level[:, 3] << 6
+    yield slot_batch([(key[0].as_py(), packed.tobytes(), None)])
+
+
+def sharing_map(slots: DataFrame, bits: int) -> Broadcast:
+    """Broadcast of the levels (0 to 3) of 2**bits slots: at most 64 MiB for 2**28, whatever the size of the corpus."""
+    rows = slots.groupBy("block").applyInArrow(_count_block, SLOT_SCHEMA).toLocalIterator()
+    whole = np.zeros(1 << (bits - 2), np.uint8)
+    step = 1 << (BLOCK_BITS - 2)
     for r in rows:
-        whole[r.block * step : (r.block + 1) * step] = np.frombuffer(r.payload, np.uint8)
-    return spark.sparkContext.broadcast(whole)
+        whole[r.block * step : (r.block + 1) * step] = np.frombuffer(r.once, np.uint8)
+    return slots.sparkSession.sparkContext.broadcast(whole)
 
 
-def test_bits(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:
+def levels(shared: np.ndarray, slots: np.ndarray) -> np.ndarray:
     s = slots.astype(np.int64)
-    return (bitmap[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1 > 0
+    return (shared[s >> 2] >> ((s & 3) << 1).astype(np.uint8)) & 3

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import bpe, line_dedup, packing, quality, sharding, substring, topk
+from tidewire.llm import bpe, html_extract, line_dedup, ngram_join, packing, quality, sharding, substring, topk, url_filter
 from tidewire.llm.common import read_table
 
 
@@ -42,11 +42,79 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def captures_and_entries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The pages as dated captures, and a dated block list over their hosts (the tables hold neither dates nor a list).
+
+    A capture of page_id p is of day (p * 37) mod 366 of 2024. A host is listed, taken off and listed again, and its
+    section /de is listed, on days that a hash of its name gives; example.org as a whole is listed for the last weeks.
+    """
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("page_id") * 37, F.lit(366)).cast("int"))
+    captures = read_table(spark, sf_dir, "pages").select("page_id", "url", day.alias("fetched"))
+    hosts = captures.select(url_filter.host_of(F.col("url")).alias("host")).where("host is not null").distinct()
+    hosts = hosts.withColumn("h", F.conv(F.substring(F.md5("host"), 1, 6), 16, 10).cast("long"))
+
+    def dated(when: str, key: str, action: str, at: str) -> DataFrame:
+        return hosts.where(when).select(F.expr(key).alias("key"), F.lit(action).alias("action"), F.expr(f"date_add(date'2024-01-01', cast({at} as int))").alias("at"))
+
+    entries = (
+        dated("h % 3 = 0", "host", "add", "h % 200")
+        .unionByName(dated("h % 3 = 0", "host", "remove", "h % 200 + 30 + h % 90"))
+        .unionByName(dated("h % 6 = 0", "host", "add", "300 + h % 50"))
+        .unionByName(dated("h % 5 = 1", "concat(host, '/de')", "add", "h % 366"))
+        .unionByName(spark.createDataFrame([("example.org", "add", 340)], "key string, action string, d int").selectExpr("key", "action", "date_add(date'2024-01-01', d) as at"))
+    )
+    return captures, entries
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_captures(*captures_and_entries(spark, sf_dir)).withColumn("fetched", F.col("fetched").cast("string"))
+
+
+URL_SQL = r"""
+WITH c AS (SELECT page_id, url, CAST(DATE '2024-01-01' + CAST((page_id * 37) % 366 AS INTEGER) AS DATE) AS fetched,
+                  nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '\.$', ''), '') AS host,
+                  regexp_extract(url, '^[^:]+://[^/?#]*/([^/?#]+)', 1) AS seg FROM pages),
+h AS (SELECT host, CAST(('0x' || substr(md5(host), 1, 6)) AS BIGINT) AS h FROM (SELECT DISTINCT host FROM c WHERE host IS NOT NULL)),
+e AS (SELECT host AS key, 'add' AS action, h % 200 AS d FROM h WHERE h % 3 = 0 UNION ALL SELECT host, 'remove', h % 200 + 30 + h % 90 FROM h WHERE h % 3 = 0
+      UNION ALL SELECT host, 'add', 300 + h % 50 FROM h WHERE h % 6 = 0 UNION ALL SELECT host || '/de', 'add', h % 366 FROM h WHERE h % 5 = 1
+      UNION ALL SELECT 'example.org', 'add', 340),
+l AS (SELECT key, d, max(action) AS action FROM e GROUP BY key, d),
+i AS (SELECT key, action, d AS since, lead(d) OVER (PARTITION BY key ORDER BY d) AS until FROM l),
+m AS (SELECT c.page_id, c.url, c.fetched, i.key FROM c JOIN i ON (i.key = c.host OR i.key = c.host || '/' || c.seg OR (c.host LIKE '%.' || i.key AND i.key LIKE '%.%'))
+      AND i.action = 'add' AND date_diff('day', DATE '2024-01-01', c.fetched) >= i.since AND (i.until IS NULL OR date_diff('day', DATE '2024-01-01', c.fetched) < i.until)),
+b AS (SELECT page_id, url, max(key) AS key FROM (SELECT *, length(key) = max(length(key)) OVER (PARTITION BY page_id, url) AS longest FROM m) WHERE longest GROUP BY ALL)
+SELECT c.page_id, c.url, CAST(c.fetched AS VARCHAR) AS fetched, b.key AS matched_key, b.key IS NULL AS kept FROM c LEFT JOIN b ON b.page_id = c.page_id AND b.url = c.url
+"""
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.train(pages))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_components(read_table(spark, sf_dir, "documents"))
+
+
+NGRAM_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                       '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i + 1:i + 5], ' ') AS g
+      FROM (SELECT doc_id, ws, unnest(range(0, greatest(1, len(ws) - 4))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT a, b FROM o JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * o >= 80 * (na.n + nb.n - o)),
+r AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen),
+c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM documents d JOIN c ON c.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return line_dedup.drop_repeated_lines(docs).select("doc_id", "n_removed_lines", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
@@ -84,11 +152,14 @@ FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_ngram_join": op2_ngram_join,
     "op3_line_dedup": op3_line_dedup,
     "op4_topk": op4_topk,
     "op5_bpe": op5_bpe,
     "op6_packing": op6_packing,
+    "op7_url_filter": op7_url_filter,
     "op8_quality_rules": op8_quality_rules,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_html_extraction": op10_html_extraction,
 }
-ORACLES: dict[str, str] = {"op3_line_dedup": LINE_DEDUP_SQL, "op4_topk": TOPK_SQL, "op9_substring_dedup": SUBSTRING_SQL}
+ORACLES: dict[str, str] = {"op2_ngram_join": NGRAM_SQL, "op3_line_dedup": LINE_DEDUP_SQL, "op4_topk": TOPK_SQL, "op7_url_filter": URL_SQL, "op9_substring_dedup": SUBSTRING_SQL}

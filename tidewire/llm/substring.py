@@ -6,8 +6,8 @@ verified by a second hash of 16 bits, and the hashes that are new become a run o
 are compacted into one. Batches enter in the order of doc_id, so whatever a run holds comes from a smaller doc_id.
 
 Most windows of a corpus occur once. A first pass therefore marks the minimizers (the smallest of the nine 5-word
-hashes in a window) that two documents share in a bitmap of fixed size; equal windows have equal minimizers, so a
-window whose minimizer is not marked cannot be repeated and is neither sent nor stored. The bitmap has no false
+hashes in a window) that two documents share in a map of fixed size; equal windows have equal minimizers, so a
+window whose minimizer is not marked cannot be repeated and is neither sent nor stored. The map has no false
 negatives; where it fills up it only filters less.
 
 Defined cases: a word is a run of bytes other than 0x20 and 0x09-0x0D; a null text has no words; a text of under 13
@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm import words as W
-from tidewire.llm.common import SLOT_SCHEMA, bitmap_bits, cut, pack_slots, shared_bitmap, slot_batch, test_bits
+from tidewire.llm.common import SLOT_SCHEMA, cut, levels, map_bits, pack_slots, sharing_map, slot_batch
 
 WINDOW = 13
 SEED = 5  # words of a minimizer
-BUCKET_BYTES = 64 << 20  # text behind one bucket of the index: some ten million windows at most
+BUCKET_BYTES = 40 << 20  # text behind one bucket of the index: some seven million windows at most
 
 _SCHEMA = "bucket long, kind int, ids binary, counts binary, hashes binary, checks binary, positions binary"
 _ARROW = pa.schema([("bucket", pa.int64()), ("kind", pa.int32())] + [(n, pa.binary()) for n in ("ids", "counts", "hashes", "checks", "positions")])
@@ -90,7 +90,7 @@ def _pack(part: dict[str, np.ndarray], bucket: np.ndarray, kind: int, ids: np.nd
     return out
 
 
-def _candidates(bitmap: Broadcast, bits: int, n_buckets: int):
+def _candidates(shared: Broadcast, bits: int, n_buckets: int):
     """Windows of each batch that may be repeated. Within a slice only the smallest doc_id's occurrence is sent to be
     compared; the others are known to be repeated at once, so a window that is everywhere costs a row a slice."""
 
@@ -103,7 +103,7 @@ def _candidates(bitmap: Broadcast, bits: int, n_buckets: int):
                 if not len(starts):
                     continue
                 h = part.hashes()
-                starts = starts[test_bits(bitmap.value, _minimizers(h)[starts] >> np.uint64(64 - bits))]
+                starts = starts[levels(shared.value, _minimizers(h)[starts] >> np.uint64(64 - bits)) > 0]
                 row = part.row_of_word[starts]
                 ids = np.stack([doc[part.first : part.last], key[part.first : part.last]], 1)
                 full = W.grams(h, WINDOW)[starts]
@@ -190,8 +190,8 @@ def _compact(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> I
 class FingerprintIndex:
     """Sorted runs of window hashes; ``add`` joins a batch with them and returns its repeated windows."""
 
-    def __init__(self, n_buckets: int, bitmap: Broadcast, bits: int, fanout: int = 3):
-        self.n_buckets, self.bitmap, self.bits, self.fanout = n_buckets, bitmap, bits, fanout
+    def __init__(self, n_buckets: int, shared: Broadcast, bits: int, fanout: int = 3):
+        self.n_buckets, self.shared, self.bits, self.fanout = n_buckets, shared, bits, fanout
         self.runs: list[DataFrame] = []
 
     def add(self, docs: DataFrame, last: bool = False) -> DataFrame:
@@ -201,7 +201,7 @@ class FingerprintIndex:
         """
         if len(self.runs) >= self.fanout:
             self.runs = [cut(reduce(DataFrame.unionByName, self.runs).groupBy("bucket").applyInArrow(_compact, _OUT))]
-        rows = docs.mapInArrow(_candidates(self.bitmap, self.bits, self.n_buckets), _SCHEMA)
+        rows = docs.mapInArrow(_candidates(self.shared, self.bits, self.n_buckets), _SCHEMA)
         none = F.lit(None).cast("binary")
         for run in self.runs:
             rows = rows.unionByName(run.select("bucket", "kind", none.alias("ids"), none.alias("counts"), "hashes", "checks", none.alias("positions")))
@@ -217,9 +217,9 @@ def repeated_windows(docs: DataFrame, n_batches: int = 2) -> DataFrame:
     known = docs.where("doc_id is not null and text is not null")
     stat = known.agg(F.sum(F.octet_length("text")).alias("bytes"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
     size = stat.bytes or 0
-    bits = bitmap_bits(size // 30)
-    bitmap = shared_bitmap(known.select("text").mapInArrow(_slots_of(bits), SLOT_SCHEMA), bits)
-    index = FingerprintIndex(max(4, -(-size // BUCKET_BYTES)), bitmap, bits)
+    bits = map_bits(size // 30)
+    shared = sharing_map(known.select("text").mapInArrow(_slots_of(bits), SLOT_SCHEMA), bits)
+    index = FingerprintIndex(max(4, -(-size // BUCKET_BYTES)), shared, bits)
     keyed = known.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     low, high = (stat.low or 0), (stat.high or 0)
     bounds = [low + (high + 1 - low) * i // n_batches for i in range(n_batches + 1)]
@@ -265,13 +265,14 @@ def removal_digest(docs: DataFrame, n_batches: int = 2) -> DataFrame:
 
 def drop_repeated(docs: DataFrame, n_batches: int = 2) -> DataFrame:
     """The rows and columns of ``docs``; a text that loses words becomes its kept words joined by one space."""
-    at = docs.columns.index("text")
+    names = docs.columns
+    at = names.index("text")
 
     def run(batches):
         for b in batches:
             found, text = b.column(b.num_columns - 1).to_pylist(), b.column(at).to_pylist()
             new = [t if not p else keep_words(t.encode(), p)[2].decode() for t, p in zip(text, found)]
             arrays = [pa.array(new, pa.string()) if i == at else b.column(i) for i in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(arrays, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return _with_positions(docs, n_batches).mapInArrow(run, docs.schema)

@@ -83,7 +83,7 @@ def grams(h: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     return mix(g)
 
 
-def slices(column: pa.Array, most_bytes: int = 4 << 20) -> Iterator[Words]:
+def slices(column: pa.Array, most_bytes: int = 2 << 20) -> Iterator[Words]:
     """Cut a string column into slices of about most_bytes (a longer text is a slice of its own)."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
