@@ -1,0 +1,56 @@
+"""Membership tests in a serialized Spark Bloom filter (version 1 or 2 of its format), for long values."""
+
+from __future__ import annotations
+
+import struct
+
+import numpy as np
+import pandas as pd
+
+_C1, _C2 = np.uint32(0xCC9E2D51), np.uint32(0x1B873593)
+
+
+def _rot(x: np.ndarray, r: int) -> np.ndarray:
+    return (x << np.uint32(r)) | (x >> np.uint32(32 - r))
+
+
+def _murmur_long(values: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Spark's 32-bit Murmur3 of long values."""
+    v = values.astype(np.int64).view(np.uint64)
+    h = seed.astype(np.uint32)
+    for part in ((v & np.uint64(0xFFFFFFFF)).astype(np.uint32), (v >> np.uint64(32)).astype(np.uint32)):
+        k = _rot(part * _C1, 15) * _C2
+        h = _rot(h ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(8)
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return h ^ (h >> np.uint32(16))
+
+
+def long_members(raw: bytes, values: pd.Series) -> pd.Series:
+    """Whether each value may be in the filter; a null never is."""
+    version, hashes = struct.unpack(">ii", raw[:8])
+    at, seed = 8, 0
+    if version == 2:
+        (seed,) = struct.unpack(">i", raw[8:12])
+        at = 12
+    (words,) = struct.unpack(">i", raw[at : at + 4])
+    bits = np.frombuffer(raw, ">u8", words, at + 4).astype(np.uint64)
+    known = values.notna().to_numpy()
+    v = values.fillna(0).to_numpy().astype(np.int64)
+    h1 = _murmur_long(v, np.full(len(v), seed & 0xFFFFFFFF, np.uint32))
+    h2 = _murmur_long(v, h1)
+    out = known.copy()
+    size = words * 64
+    a, b = h1.view(np.int32).astype(np.int64), h2.view(np.int32).astype(np.int64)
+    wide = a * np.int64(2**31 - 1) if version == 2 else None
+    for i in range(1, hashes + 1):
+        if version == 2:
+            wide = wide + b
+            c = np.where(wide < 0, ~wide, wide)
+        else:
+            c = (a + i * b).astype(np.int32).astype(np.int64)
+            c = np.where(c < 0, ~c, c)
+        p = c % size
+        out &= (bits[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) > 0
+    return pd.Series(out)

@@ -1,4 +1,709 @@
-"""Registered queries of the core operators."""
+"""Registered queries of the core operators, each beside the SQL that DuckDB runs on the same tables."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidewire.functions import binary, text, wire
+from tidewire.operators import counters, lookup, matchers, ordered
+from tidewire.plans.rules import RuleSet, parse_source, source_text_of_rows
+from tidewire.plans.template import FUNCTIONS, Template
+from tidewire.streaming import flows
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__.removeprefix("q_")] = f
+        if sql:
+            ORACLES[f.__name__.removeprefix("q_")] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; its times, written without a zone, are read as times of the session's zone."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.withColumns({c: F.col(c).cast("timestamp") for c, kind in df.dtypes if kind == "timestamp_ntz"})
+
+
+# --- records: the parts of each page's URL ---------------------------------------------------------------
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, uri (path), query, extension (the last two null where absent), url without scheme."""
+    url = F.col("url")
+    part = lambda pattern: F.regexp_extract(url, pattern, 1)
+    path = part(r"^[a-z]+://[^/?#]+([^?#]*)")
+    ext = F.regexp_extract(path, r"\.([a-z0-9]+)$", 1)
+    q = part(r"\?([^#]*)")
+    return table(spark, sf_dir, "pages").select(
+        "page_id", "url", part("^[a-z]+://([^/?#]+)").alias("host"), path.alias("uri"), F.when(q != "", q).alias("query"), F.when(ext != "", ext).alias("extension"),
+        part("^[a-z]+://(.*)$").alias("location"),
+    )
+
+
+def fields(names: tuple[str, ...] = ("host", "uri", "query", "extension", "location")) -> dict[str, Column]:
+    return {n: F.col(n) for n in names}
+
+
+R = r"""WITH r AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS uri,
+nullif(regexp_extract(url, '\?([^#]*)', 1), '') AS query, nullif(regexp_extract(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '\.([a-z0-9]+)$', 1), '') AS extension,
+regexp_extract(url, '^[a-z]+://(.*)$', 1) AS location FROM pages) """
+
+RULES_1 = """
+# pages of the example hosts
+$hosts
+  ^www.
+  .org$
+$paths
+  ^/en/*
+  ^/de/*
+@( host wumanber $hosts ) and uri wumanber $paths
+extension exists
+"""
+SQL_1 = "((starts_with(host, 'www.') OR ends_with(host, '.org')) AND (starts_with(uri, '/en/') OR starts_with(uri, '/de/'))) OR extension IS NOT NULL"
+RULES_2 = """
+$utm
+  utm_source=feed
+  page=2&ref=x
+@not query equals $utm or extension exists and uri wumanber $top
+$top
+  /fr/
+"""
+SQL_2 = "((NOT coalesce(query IN ('utm_source=feed', 'page=2&ref=x'), false)) OR extension IS NOT NULL) AND contains(uri, '/fr/')"
+RULES_3 = """
+host equals
+  m.ththth.example.net
+uri regex
+  ^/[a-z]{2}/[0-9]*5$
+"""
+SQL_3 = "host = 'm.ththth.example.net' AND regexp_matches(uri, '^/[a-z]{2}/[0-9]*5$')"
+
+
+def rule_set() -> RuleSet:
+    rules = RuleSet()
+    rules.add("string:" + RULES_1, "OR", "first")
+    rules.add("string:" + RULES_2, "OR", "second")
+    rules.add("string:" + RULES_3, "AND", "third")
+    rules.compile()
+    return rules
+
+
+@query(R + f"SELECT page_id, host, uri FROM r WHERE ({SQL_1}) OR ({SQL_2}) OR ({SQL_3})")
+def rule_match(spark, sf):
+    return requests(spark, sf).where(rule_set().matches(fields())).select("page_id", "host", "uri")
+
+
+@query(R + f"SELECT page_id, list_filter([CASE WHEN {SQL_1} THEN 1 END, CASE WHEN {SQL_2} THEN 2 END, CASE WHEN {SQL_3} THEN 3 END], lambda x: x IS NOT NULL)::VARCHAR AS sources FROM r")
+def rule_sources(spark, sf):
+    ids = rule_set().matched_ids(fields())
+    return requests(spark, sf).select("page_id", F.concat(F.lit("["), F.array_join(ids.cast("array<string>"), ", "), F.lit("]")).alias("sources"))
+
+
+@query(R + f"SELECT page_id, CAST(({SQL_1})::INT + ({SQL_2})::INT + ({SQL_3})::INT AS INT) AS n_sources FROM r")
+def rule_count(spark, sf):
+    return requests(spark, sf).select("page_id", F.size(rule_set().matched_ids(fields())).alias("n_sources"))
+
+
+@query(R + "SELECT page_id, query FROM r WHERE NOT coalesce(query = 'utm_source=feed', false)")
+def rule_not_null(spark, sf):
+    rules = RuleSet()
+    rules.add("string:$u\n  utm_source=feed\n@not query equals $u")
+    rules.compile()
+    return requests(spark, sf).where(rules.matches(fields())).select("page_id", "query")
+
+
+@query("SELECT * FROM (VALUES (0, 1, 'host', 'wumanber'), (1, 1, 'uri', 'wumanber'), (2, 1, 'extension', 'exists'), (3, 2, 'query', 'equals'), (4, 2, 'extension', 'exists'), (5, 2, 'uri', 'wumanber'), (6, 3, 'host', 'equals'), (7, 3, 'uri', 'regex')) v(expr_id, source_id, field, matcher)")
+def rule_expr_ids(spark, sf):
+    return spark.createDataFrame([(n, i, x.field, x.matcher) for n, i, x in rule_set().leaves()], "expr_id int, source_id int, field string, matcher string")
+
+
+@query(R + """SELECT page_id, CASE WHEN starts_with(host, 'www.') THEN '^www.' WHEN ends_with(host, '.org') THEN '.org$' END AS host_item,
+CASE WHEN starts_with(uri, '/en/') THEN '^/en/*' WHEN starts_with(uri, '/de/') THEN '^/de/*' END AS uri_item FROM r""")
+def rule_items(spark, sf):
+    items = rule_set().matched_items(fields())
+    return requests(spark, sf).select("page_id", items[0].alias("host_item"), items[1].alias("uri_item"))
+
+
+@query(R + "SELECT page_id, contains(uri, '/en/') AS before, contains(uri, '/fr/') AS after FROM r")
+def rule_reload(spark, sf):
+    rules = RuleSet()
+    one = rules.add("string:uri wumanber\n  /en/")
+    rules.check()
+    before = rules.matches(fields())
+    rules.add("string:uri wumanber\n  /fr/", source_id=one)
+    rules.check()
+    return requests(spark, sf).select("page_id", before.alias("before"), rules.matches(fields()).alias("after"))
+
+
+@query(R + "SELECT page_id, contains(host, 'thth') OR extension = 'html' AND extension IS NOT NULL AS matched FROM r")
+def rules_table(spark, sf):
+    rows = spark.createDataFrame([("wumanber", "host", ["thth"]), ("equals", "extension", ["html"])], "match_type string, field string, items array<string>")
+    rules = RuleSet()
+    rules.add("string:" + source_text_of_rows(rows))
+    rules.compile()
+    return requests(spark, sf).select("page_id", rules.matches(fields()).alias("matched"))
+
+
+@query(R + "SELECT page_id, source_id FROM r JOIN (VALUES (1, 'www'), (2, 'example.org'), (3, 'thther')) v(source_id, needle) ON contains(host, needle)")
+def rule_theta_join(spark, sf):
+    rules = RuleSet()
+    for needle in ("www", "example.org", "thther"):
+        rules.add(f"string:host wumanber\n  {needle}")
+    rules.compile()
+    return requests(spark, sf).select("page_id", F.explode(rules.matched_ids(fields())).alias("source_id"))
+
+
+def _one(matcher: str, field: str, values: list[str]):
+    return lambda spark, sf: requests(spark, sf).where(matchers.MATCHERS[matcher].predicate(F.col(field), values)).select("page_id", field)
+
+
+for _name, _matcher, _field, _values, _sql in [
+    ("match_equals", "equals", "query", ["utm_source=feed", "nothing"], "query IN ('utm_source=feed', 'nothing')"),
+    ("match_exists", "exists", "extension", [], "extension IS NOT NULL"),
+    ("match_wumanber_contains", "wumanber", "host", ["thth", "*sh.ex*"], "contains(host, 'thth') OR contains(host, 'sh.ex')"),
+    ("match_wumanber_prefix", "wumanber", "uri", ["^/en/1", "^/de/2*"], "starts_with(uri, '/en/1') OR starts_with(uri, '/de/2')"),
+    ("match_wumanber_suffix", "wumanber", "uri", ["55$", "*.html$"], "ends_with(uri, '55') OR ends_with(uri, '.html')"),
+    ("match_wumanber_full", "wumanber", "query", ["^utm_source=feed$"], "query = 'utm_source=feed'"),
+    ("match_wumanber_infix", "wumanber", "host", ["^www.*.net$"], "regexp_matches(host, '^www\\.[^/]+\\.net$')"),
+    ("match_wumanber_short", "wumanber", "uri", ["a", "^/", "/en/7"], "contains(uri, '/en/7')"),
+    ("match_regex", "regex", "uri", ["^/[[:alpha:]]+/[0-9]{2}$"], "regexp_matches(uri, '^/[a-zA-Z]+/[0-9]{2}$')"),
+    ("match_urlmatch", "urlmatch", "location", ["www.thther.example.org/*/*", "m.ththth.example.net/en/2*"],
+     "(regexp_matches(location, '^www\\.thther\\.example\\.org/[^/?#]*/[^/?#]*([?#].*)?$') OR regexp_matches(location, '^m\\.ththth\\.example\\.net/en/2[^/?#]*([?#].*)?$'))"),
+]:
+    QUERIES[_name] = _one(_matcher, _field, _values)
+    ORACLES[_name] = R + f"SELECT page_id, {_field} FROM r WHERE {_sql}"
+
+
+@query(R + """SELECT page_id, CASE WHEN regexp_matches(location, '^m\\.ththth\\.example\\.net/[^/?#]*/[^/?#]*([?#].*)?$') THEN 'm.ththth.example.net/*/*'
+WHEN regexp_matches(location, '^m\\.ththth\\.example\\.net/en/[^/?#]*([?#].*)?$') THEN 'm.ththth.example.net/en/*' END AS pattern FROM r""".replace("\\\\", "\\"))
+def urlmatch_first(spark, sf):
+    patterns = ["m.ththth.example.net/*/*", "m.ththth.example.net/en/*"]
+    return requests(spark, sf).select("page_id", matchers.MATCHERS["urlmatch"].item(F.col("location"), patterns).alias("pattern"))
+
+
+@query(R + "SELECT page_id, '[' || array_to_string(string_split(regexp_replace(location, '[?#].*$', ''), '/'), ', ') || ']' AS segments FROM r")
+def url_segments(spark, sf):
+    return requests(spark, sf).select("page_id", F.concat(F.lit("["), F.array_join(matchers.url_segments(F.col("location")), ", "), F.lit("]")).alias("segments"))
+
+
+@query("SELECT p_partkey, p_type FROM part WHERE p_type LIKE '%E_O%' ")
+def wildcard_match(spark, sf):
+    return table(spark, sf, "part").where(matchers.wildcard(F.col("p_type"), "*E?O*")).select("p_partkey", "p_type")
+
+
+@query(R + "SELECT page_id, host, uri FROM r")
+def project_fields(spark, sf):
+    return requests(spark, sf).select("page_id", "host", "uri")
+
+
+@query(R + "SELECT page_id, 2 + (query IS NOT NULL)::INT + (extension IS NOT NULL)::INT AS n_fields, query AS query_value FROM r")
+def fields_to_map(spark, sf):
+    names = ("host", "uri", "query", "extension")
+    m = F.map_filter(F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))]), lambda k, v: v.isNotNull())
+    return requests(spark, sf).select("page_id", F.size(m).alias("n_fields"), m["query"].alias("query_value"))
+
+
+@query("SELECT c_custkey, 'tel 86139' || lpad(c_custkey::VARCHAR, 8, '0') AS note, 6 AS at FROM customer UNION ALL SELECT -c_custkey, 'no 139' || c_custkey, -1 FROM customer")
+def contains_mobile(spark, sf):
+    c = table(spark, sf, "customer")
+    yes = c.select("c_custkey", F.concat(F.lit("tel 86139"), F.lpad(F.col("c_custkey").cast("string"), 8, "0")).alias("note"))
+    no = c.select((-F.col("c_custkey")).alias("c_custkey"), F.concat(F.lit("no 139"), F.col("c_custkey").cast("string")).alias("note"))
+    return yes.unionByName(no).withColumn("at", text.mobile_at(F.col("note")))
+
+
+@query("SELECT c_custkey, contains(lower('x' || md5('pre' || c_name || 'post') || ',' || md5('other')), md5('pre' || c_name || 'post')) AS bound FROM customer")
+def md5_bind(spark, sf):
+    digest = F.md5(F.concat(F.lit("pre"), F.col("c_name"), F.lit("post")))
+    return table(spark, sf, "customer").select("c_custkey", F.lower(F.concat(F.lit("x"), digest, F.lit(","), F.md5(F.lit("other")))).contains(digest).alias("bound"))
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'view' THEN 'http_request' WHEN 'click' THEN 'http_response' WHEN 'signup' THEN 'smtp_request' WHEN 'purchase' THEN 'smtp_response' ELSE 'unknown' END AS protocol FROM events""")
+def guess_protocol(spark, sf):
+    first = F.create_map(*[F.lit(x) for x in ("view", "GET / HTTP/1.1", "click", "HTTP/1.1 200 OK", "signup", "EHLO me", "purchase", "250 OK")])[F.col("event_type")]
+    return table(spark, sf, "events").select("event_id", wire.guess_protocol(first).alias("protocol"))
+
+
+# --- joins -------------------------------------------------------------------------------------------------
+@query("SELECT l_orderkey, l_linenumber, p_brand FROM lineitem LEFT JOIN part ON l_partkey = p_partkey")
+def lookup_join(spark, sf):
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    return lookup.dictionary_lookup(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), parts, "l_partkey").select("l_orderkey", "l_linenumber", "p_brand")
+
+
+_RICH = "SELECT c_custkey FROM customer WHERE c_acctbal > 5000"
+
+
+@query(f"SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN ({_RICH})")
+def whitelist_semi(spark, sf):
+    rich = table(spark, sf, "customer").where("c_acctbal > 5000")
+    return lookup.list_match(table(spark, sf, "orders"), "o_custkey", rich, "c_custkey").select("o_orderkey", "o_custkey")
+
+
+@query(f"SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN ({_RICH})")
+def blacklist_anti(spark, sf):
+    rich = table(spark, sf, "customer").where("c_acctbal > 5000")
+    return lookup.list_match(table(spark, sf, "orders"), "o_custkey", rich, "c_custkey", keep=False).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT p_partkey, p_type FROM part WHERE p_type IN (SELECT p_type FROM part WHERE p_size > 45)")
+def rule_list_join(spark, sf):
+    p = table(spark, sf, "part")
+    return lookup.list_match(p, "p_type", p.where("p_size > 45").select(F.col("p_type").alias("v")), "v").select("p_partkey", "p_type")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 2000)")
+def bloom_semi(spark, sf):
+    poor = table(spark, sf, "supplier").where("s_acctbal < 2000")
+    return ordered.bloom_semi(table(spark, sf, "lineitem"), "l_suppkey", poor, "s_suppkey", 100_000).select("l_orderkey", "l_linenumber")
+
+
+_IPS = r"SELECT doc_id, regexp_extract(text, '([0-9]{1,3}(\.[0-9]{1,3}){3})', 1) AS ip FROM documents"
+_NUM = "CAST(string_split(ip, '.')[1] AS BIGINT) * 16777216 + CAST(string_split(ip, '.')[2] AS BIGINT) * 65536 + CAST(string_split(ip, '.')[3] AS BIGINT) * 256 + CAST(string_split(ip, '.')[4] AS BIGINT)"
+_RANGES = "SELECT n_nationkey::BIGINT * 10 * 16777216 AS start_ip, n_nationkey::BIGINT * 10 * 16777216 + 8 * 16777216 - 1 AS end_ip, n_name FROM nation"
+
+
+def addresses(spark, sf):
+    ip = F.regexp_extract("text", r"([0-9]{1,3}(\.[0-9]{1,3}){3})", 1)
+    return table(spark, sf, "documents").select("doc_id", ip.alias("ip")).where("ip <> ''").withColumn("ip_number", text.ip_number(F.col("ip")))
+
+
+def nation_ranges(spark, sf):
+    start = F.col("n_nationkey").cast("long") * 10 * 16777216
+    return table(spark, sf, "nation").select(start.alias("start_ip"), (start + 8 * 16777216 - 1).alias("end_ip"), "n_name")
+
+
+_A = f"WITH a AS (SELECT doc_id, ip, CASE WHEN greatest(CAST(string_split(ip, '.')[1] AS INT), CAST(string_split(ip, '.')[2] AS INT), CAST(string_split(ip, '.')[3] AS INT), CAST(string_split(ip, '.')[4] AS INT)) <= 255 THEN {_NUM} END AS ip_number FROM ({_IPS}) WHERE ip <> ''), g AS ({_RANGES}) "
+
+
+@query(_A + "SELECT doc_id, ip, ip_number FROM a")
+def ip_aton(spark, sf):
+    return addresses(spark, sf)
+
+
+@query(_A + "SELECT doc_id, n_name FROM a JOIN g ON ip_number BETWEEN start_ip AND end_ip")
+def ip_range_join(spark, sf):
+    return lookup.range_lookup(addresses(spark, sf), "ip_number", nation_ranges(spark, sf)).select("doc_id", "n_name")
+
+
+@query(_A + "SELECT doc_id, n_name FROM a LEFT JOIN g ON ip_number BETWEEN start_ip AND end_ip")
+def ip_range_left(spark, sf):
+    return lookup.range_lookup(addresses(spark, sf), "ip_number", nation_ranges(spark, sf), "left").select("doc_id", "n_name")
+
+
+@query("SELECT o_orderkey, concat_ws('.', (o_orderkey * 7919 >> 24) & 255, (o_orderkey * 7919 >> 16) & 255, (o_orderkey * 7919 >> 8) & 255, o_orderkey * 7919 & 255) AS ip FROM orders")
+def ip_ntoa(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", text.ip_text(F.col("o_orderkey") * 7919).alias("ip"))
+
+
+_ASOF = "SELECT event_id, {f}(CASE WHEN event_type = '{t}' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN {a} AND {b}) AS {n} FROM events"
+
+
+@query(_ASOF.format(f="last_value", t="signup", a="UNBOUNDED PRECEDING", b="1 PRECEDING", n="prev_value"))
+def asof_prev(spark, sf):
+    e = table(spark, sf, "events")
+    return lookup.neighbours(e, "user_id", ["ts", "event_id"], F.when(F.col("event_type") == "signup", F.col("event_id"))).select("event_id", "prev_value")
+
+
+@query(_ASOF.format(f="first_value", t="purchase", a="1 FOLLOWING", b="UNBOUNDED FOLLOWING", n="next_value"))
+def asof_next(spark, sf):
+    e = table(spark, sf, "events")
+    return lookup.neighbours(e, "user_id", ["ts", "event_id"], F.when(F.col("event_type") == "purchase", F.col("event_id"))).select("event_id", "next_value")
+
+
+# --- counters ------------------------------------------------------------------------------------------------
+def increments(spark, sf):
+    return table(spark, sf, "events").select(
+        "event_id", "ts", F.concat(F.lit("g"), (F.col("user_id") % 4).cast("string")).alias("grp"), F.col("event_type").alias("name"), F.round(F.col("value") * 100).cast("long").alias("value"), "user_id"
+    )
+
+
+_I = "WITH i AS (SELECT event_id, ts, 'g' || (user_id % 4) AS grp, event_type AS name, CAST(round(value * 100) AS BIGINT) AS value, user_id FROM events), "
+_SNAP = _I + """p AS (SELECT grp, name, time_bucket(INTERVAL 1 day, ts) + INTERVAL 1 day AS end_ts, CAST(sum(value) AS BIGINT) AS delta FROM i GROUP BY ALL),
+s AS (SELECT grp, name, end_ts, CAST(sum(delta) OVER (PARTITION BY grp, name ORDER BY end_ts) AS BIGINT) AS snapshot FROM p),
+t AS (SELECT *, coalesce(lag(snapshot) OVER w, 0) AS last, lag(end_ts) OVER w AS last_ts, min(end_ts) OVER (PARTITION BY grp, name) AS first_ts FROM s WINDOW w AS (PARTITION BY grp, name ORDER BY end_ts)) """
+
+
+@query(_I + "x AS (SELECT 1) SELECT grp, name, count(*) AS n, CAST(sum(value) AS BIGINT) AS total FROM i GROUP BY grp, name")
+def counter_sum(spark, sf):
+    return counters.totals(increments(spark, sf))
+
+
+@query(_I + "x AS (SELECT *, row_number() OVER (PARTITION BY grp, name ORDER BY ts DESC, event_id DESC) AS nth FROM i) SELECT grp, name, value AS stored FROM x WHERE nth = 1")
+def counter_store(spark, sf):
+    return counters.stored(increments(spark, sf), "event_id")
+
+
+@query(_SNAP + "SELECT grp, name, epoch_ms(end_ts) AS at_ms, snapshot, last FROM t")
+def counter_snapshot(spark, sf):
+    return counters.snapshots(increments(spark, sf), "1 day").select("grp", "name", F.unix_millis("at").alias("at_ms"), "snapshot", "last")
+
+
+@query(_SNAP + """SELECT grp, name, epoch_ms(end_ts) AS at_ms, snapshot, CAST(floor(snapshot / greatest(1, epoch(end_ts) - epoch(first_ts))) AS BIGINT) AS avg_rate,
+CAST(floor((snapshot - last) / greatest(1, epoch(end_ts) - epoch(coalesce(last_ts, first_ts)))) AS BIGINT) AS rate FROM t WHERE snapshot <> 0""")
+def counter_rate(spark, sf):
+    return counters.rates(counters.snapshots(increments(spark, sf), "1 day")).select("grp", "name", F.unix_millis("at").alias("at_ms"), "snapshot", "avg_rate", "rate")
+
+
+@query(_I + """x AS (SELECT *, sum((event_id % 100 = 0)::INT) OVER (PARTITION BY grp, name ORDER BY ts, event_id) AS segment FROM i)
+SELECT event_id, CAST(sum(value) OVER (PARTITION BY grp, name, segment ORDER BY ts, event_id) AS BIGINT) AS since_reset FROM x""")
+def counter_reset(spark, sf):
+    rows = increments(spark, sf).withColumn("reset", F.col("event_id") % 100 == 0)
+    return counters.with_resets(rows, "reset", "event_id").select("event_id", "since_reset")
+
+
+@query(_I + "c AS (SELECT grp, name, CAST(sum(value) AS BIGINT) AS total FROM i GROUP BY grp, name) SELECT grp, string_agg(name || '=' || total, ',' ORDER BY name) AS counters FROM c GROUP BY grp")
+def counter_map(spark, sf):
+    m = counters.totals(increments(spark, sf)).groupBy("grp").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "total")))).alias("m"))
+    return m.select("grp", F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("counters"))
+
+
+@query(_I + """d AS (SELECT user_id % 7 AS client, name, time_bucket(INTERVAL 1 day, ts) AS day, CAST(sum(value) AS BIGINT) AS total FROM i GROUP BY ALL)
+SELECT client, name, epoch_ms(day) AS at_ms, total - coalesce(lag(total) OVER (PARTITION BY client, name ORDER BY day), 0) AS delta FROM d""")
+def counter_client_delta(spark, sf):
+    polls = increments(spark, sf).groupBy((F.col("user_id") % 7).alias("client"), "name", F.window("ts", "1 day")["start"].alias("at")).agg(F.sum("value").alias("total"))
+    return counters.client_deltas(polls).select("client", "name", F.unix_millis("at").alias("at_ms"), "delta")
+
+
+@query("SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
+def distinct_exact(spark, sf):
+    return table(spark, sf, "events").groupBy("event_type").agg(F.countDistinct("user_id").alias("users"))
+
+
+@query()
+def distinct_users(spark, sf):
+    return table(spark, sf, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("users"))
+
+
+@query("SELECT event_type AS output, CAST(count(*) FILTER (event_id % 9 <> 0) AS BIGINT) AS ok, CAST(count(*) FILTER (event_id % 9 = 0) AS BIGINT) AS error, CAST(sum(CASE WHEN event_id % 9 <> 0 THEN strlen(props) ELSE 0 END) AS BIGINT) AS bytes_ok, CAST(sum(CASE WHEN event_id % 9 = 0 THEN strlen(props) ELSE 0 END) AS BIGINT) AS bytes_error FROM events WHERE props <> '' GROUP BY event_type")
+def pub_counters(spark, sf):
+    return flows.publish_counters(table(spark, sf, "events"), F.col("event_type"), F.col("props"), F.col("event_id") % 9 == 0)
+
+
+# --- ordered structures ----------------------------------------------------------------------------------------
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 25")
+def topk_min(spark, sf):
+    return ordered.smallest(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"], 25)
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 1")
+def heap_peek(spark, sf):
+    return table(spark, sf, "orders").agg(F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("o_orderkey"))
+
+
+@query("SELECT o_orderkey, epoch_ms(o_orderdate) AS due_ms FROM orders WHERE o_orderdate <= TIMESTAMP '1993-01-31'")
+def heap_due(spark, sf):
+    return table(spark, sf, "orders").where("o_orderdate <= timestamp'1993-01-31'").orderBy("o_orderdate", "o_orderkey").select("o_orderkey", F.unix_millis("o_orderdate").alias("due_ms"))
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+def ordered_set_upsert(spark, sf):
+    return ordered.latest_by_key(table(spark, sf, "events"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+
+
+@query("SELECT l_returnflag, min(l_orderkey * 10 + l_linenumber) AS head, max(l_orderkey * 10 + l_linenumber) AS tail, count(*) AS n FROM lineitem GROUP BY l_returnflag")
+def ordered_head_tail(spark, sf):
+    key = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.min(key).alias("head"), F.max(key).alias("tail"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_partkey DESC) AS parts FROM lineitem GROUP BY l_orderkey")
+def list_sort(spark, sf):
+    parts = F.sort_array(F.collect_list("l_partkey"), asc=False)
+    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_join(parts.cast("array<string>"), ",").alias("parts"))
+
+
+@query("SELECT n_nationkey AS k, n_name AS v FROM nation UNION ALL SELECT r_regionkey, r_name FROM region")
+def list_concat(spark, sf):
+    a = table(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("v"))
+    return a.unionAll(table(spark, sf, "region").select("r_regionkey", "r_name"))
+
+
+@query("SELECT coalesce(r_regionkey, n_nationkey) AS k, coalesce(r_name, n_name) AS v FROM nation FULL JOIN region ON r_regionkey = n_nationkey")
+def map_merge(spark, sf):
+    both = table(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("v"), F.lit(0).alias("p")).unionAll(
+        table(spark, sf, "region").select("r_regionkey", "r_name", F.lit(1))
+    )
+    return both.groupBy("k").agg(F.max_by("v", "p").alias("v"))
+
+
+@query("SELECT DISTINCT p_brand, p_size FROM part")
+def distinct_values(spark, sf):
+    return table(spark, sf, "part").select("p_brand", "p_size").distinct()
+
+
+@query("SELECT user_id, epoch_us(ts) AS ts_us, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n = 1")
+def dedup_first_seen(spark, sf):
+    return ordered.first_seen(table(spark, sf, "events").select("user_id", "ts", "event_id"), "user_id", ["ts", "event_id"]).select("user_id", F.unix_micros("ts").alias("ts_us"), "event_id")
+
+
+# --- scalar functions --------------------------------------------------------------------------------------------
+def _scalar(name: str, source: str, key: str, column: Callable[[], Column], sql: str) -> None:
+    """A query ``key, out`` of one column over a table."""
+    QUERIES[name] = lambda spark, sf: table(spark, sf, source).select(key, column().alias("out"))
+    ORACLES[name] = f"SELECT {key}, {sql} AS out FROM {source}"
+
+
+_scalar("str_tok", "part", "p_partkey", lambda: F.array_join(text.tokens(F.col("p_type"), " -"), "|"), "array_to_string(list_filter(regexp_split_to_array(p_type, '[ -]'), lambda x: x <> ''), '|')")
+_scalar("str_trim", "customer", "c_custkey", lambda: text.trim(F.concat(F.lit(" \t"), F.col("c_name"), F.lit("\n "))), "c_name")
+_scalar("str_lower", "part", "p_partkey", lambda: F.lower("p_type"), "lower(p_type)")
+_scalar("char_set_pos", "part", "p_partkey", lambda: text.first_of_set(F.col("p_type"), "AE ") * 1000 + text.last_of_set(F.col("p_type"), "AE "),
+        "CAST((CASE WHEN regexp_matches(p_type, '[AE ]') THEN length(regexp_extract(p_type, '^[^AE ]*')) ELSE length(p_type) END) * 1000 + CASE WHEN regexp_matches(p_type, '[AE ]') THEN length(p_type) - length(regexp_extract(p_type, '[^AE ]*$')) - 1 ELSE -1 END AS INT)")
+_scalar("translate_chars", "part", "p_partkey", lambda: text.replace_set(F.col("p_type"), "AEIOU", "_"), "translate(p_type, 'AEIOU', '_____')")
+_scalar("cast_suffix", "part", "p_partkey", lambda: text.cast_suffix(F.concat(F.col("p_size").cast("string"), F.element_at(F.array(*map(F.lit, ("k", "K", "h", ""))), (F.col("p_partkey") % 4 + 1).cast("int")))),
+        "p_size::BIGINT * CASE p_partkey % 4 WHEN 0 THEN 1000 WHEN 1 THEN 1024 WHEN 2 THEN 3600 ELSE 1 END")
+_scalar("hex_encode", "customer", "c_custkey", lambda: F.lower(F.hex(F.encode("c_name", "UTF-8"))), "lower(hex(c_name))")
+_scalar("hex_decode", "customer", "c_custkey", lambda: F.decode(F.unhex(F.hex(F.encode("c_name", "UTF-8"))), "UTF-8"), "c_name")
+_scalar("base64_encode", "customer", "c_custkey", lambda: F.base64(F.encode("c_name", "UTF-8")), "to_base64(encode(c_name))")
+_scalar("base64_decode", "customer", "c_custkey", lambda: F.decode(F.unbase64(F.base64(F.encode("c_name", "UTF-8"))), "UTF-8"), "c_name")
+_scalar("sha1_hex", "customer", "c_custkey", lambda: F.sha1("c_name"), "sha1(c_name)")
+_scalar("md5_hex", "customer", "c_custkey", lambda: F.md5("c_name"), "md5(c_name)")
+_scalar("format_time", "orders", "o_orderkey", lambda: text.format_time(F.unix_millis("o_orderdate"), "%Y/%m/%d %H:%M"), "strftime(o_orderdate, '%Y/%m/%d %H:%M')")
+_scalar("http_method", "events", "event_id", lambda: F.regexp_extract(F.concat(F.upper("event_type"), F.lit(" / HTTP/1."), (F.col("event_id") % 2).cast("string")), r"^([A-Z]+) \S+ (HTTP/1\.[01])$", 2), "'HTTP/1.' || (event_id % 2)")
+ORACLES["buf_read_be"] = "SELECT o_orderkey, CAST(o_orderkey * 2 + (o_orderkey & 255) * 256 + ((o_orderkey >> 8) & 255) AS BIGINT) AS out FROM orders WHERE o_orderkey < 65536"
+QUERIES["buf_read_be"] = lambda spark, sf: table(spark, sf, "orders").where("o_orderkey < 65536").select(
+    "o_orderkey",
+    (text.unsigned_be(F.unhex(F.lpad(F.hex("o_orderkey"), 16, "0")), 4, 4) * 2 + text.unsigned_le(F.unhex(F.lpad(F.hex("o_orderkey"), 4, "0")), 0, 2)).alias("out"),
+)
+
+
+@query("SELECT event_id, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS diff_us FROM events")
+def time_diff(spark, sf):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return table(spark, sf, "events").select("event_id", (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w))).alias("diff_us"))
+
+
+@query("SELECT event_id, 'v' || event_id AS a, '1' AS b, event_type AS c FROM events")
+def kv_parse(spark, sf):
+    m = text.option_map(F.concat(F.lit("a=v"), F.col("event_id").cast("string"), F.lit(", b&c="), F.col("event_type")))
+    return table(spark, sf, "events").select("event_id", m["a"].alias("a"), m["b"].alias("b"), m["c"].alias("c"))
+
+
+@query(r"SELECT page_id, regexp_extract(url, '^([a-z]+):', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, nullif(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '') AS path, nullif(regexp_extract(url, '\?([^#]*)', 1), '') AS query, nullif(regexp_extract(url, '#(.*)$', 1), '') AS fragment FROM pages")
+def uri_parts(spark, sf):
+    u = text.uri_struct(F.col("url"))
+    return table(spark, sf, "pages").select("page_id", *[u[c].alias(c) for c in ("scheme", "host", "path", "query", "fragment")])
+
+
+@query(R + "SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+', 0) || '/x/y' AS resolved FROM r")
+def uri_resolve(spark, sf):
+    return table(spark, sf, "pages").select("page_id", binary.uri_resolve_col(F.col("url"), F.lit("/a/../x/./y")).alias("resolved"))
+
+
+@query()
+def hash_murmur(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", binary.murmur3_32_col("c_name").alias("m3"), binary.murmur2_64_col("c_name").alias("m2"))
+
+
+@query()
+def hash_crc_mix(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", binary.crc_mix_col("c_name").alias("mixed"))
+
+
+@query("SELECT c_custkey, c_name AS plain FROM customer")
+def xor_cipher(spark, sf):
+    once = binary.xor_col(F.encode("c_name", "UTF-8"), F.lit("key"))
+    return table(spark, sf, "customer").select("c_custkey", F.decode(binary.xor_col(once, F.lit("key")), "UTF-8").alias("plain"))
+
+
+@query("SELECT l_orderkey, CAST(count(*) AS INT) AS n, coalesce(CAST(list_position(list(l_linenumber ORDER BY l_linenumber), 2) AS INT), 0) - 1 AS at, CAST(max(l_linenumber) AS INT) AS last FROM lineitem GROUP BY l_orderkey HAVING max(l_linenumber) > 1")
+def array_ops(spark, sf):
+    a = F.array_sort(F.collect_list("l_linenumber"))
+    rows = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(a.alias("a")).where("element_at(a, -1) > 1")
+    return rows.select("l_orderkey", F.size("a").alias("n"), (F.array_position("a", 2) - 1).cast("int").alias("at"), F.element_at("a", -1).cast("int").alias("last"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, 2 AS n FROM events")
+def map_ops(spark, sf):
+    m = F.map_concat(F.from_json("props", "map<string,long>"), F.create_map(F.lit("extra"), F.col("event_id")))
+    return table(spark, sf, "events").select("event_id", m["k"].alias("k"), F.size(m).alias("n"))
+
+
+@query("SELECT o_orderkey, 'order ' || o_orderkey || ' by ' || o_custkey || ': ' || md5('k' || o_orderstatus) || to_base64(encode(o_orderpriority)) AS line FROM orders")
+def template_render(spark, sf):
+    t = Template({"Order": F.col("o_orderkey"), "Cust": F.col("o_custkey"), "Status": F.col("o_orderstatus"), "Prio": F.col("o_orderpriority")}, FUNCTIONS)
+    return table(spark, sf, "orders").select("o_orderkey", t.column("order ${Order} by ${Cust}: ${MD5(){k${Status}}}${Base64(){${Prio}}}").alias("line"))
+
+
+@query("SELECT o_orderkey, o_orderkey || ',' || o_custkey || ',' || o_orderstatus AS payload FROM orders")
+def codec_format(spark, sf):
+    return flows.encoded(table(spark, sf, "orders"), "csv", ["o_orderkey", "o_custkey", "o_orderstatus"]).select("o_orderkey", "payload")
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d_%H') AS period, CAST(floor((row_number() OVER (PARTITION BY date_trunc('hour', ts) ORDER BY ts, event_id) - 1) / 10) AS BIGINT) AS batch FROM events")
+def rolling_partition(spark, sf):
+    w = Window.partitionBy(F.date_trunc("hour", "ts")).orderBy("ts", "event_id")
+    return table(spark, sf, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd_HH").alias("period"), F.floor((F.row_number().over(w) - 1) / 10).alias("batch"))
+
+
+@query("SELECT event_id, (row_number() OVER (ORDER BY ts, event_id) - 1) % 4 AS split FROM events")
+def round_robin_split(spark, sf):
+    return ordered.numbered(table(spark, sf, "events").select("event_id", "ts"), ["ts", "event_id"], 4, "split").select("event_id", "split")
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def repartition_hash(spark, sf):
+    return table(spark, sf, "events").repartition(8, "event_type").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_I + "x AS (SELECT 1) SELECT epoch_ms(time_bucket(INTERVAL 2 second, ts)) AS start_ms, grp, name, count(*) AS n FROM i GROUP BY ALL")
+def tumbling_counts(spark, sf):
+    return increments(spark, sf).groupBy(F.unix_millis(F.window("ts", "2 seconds")["start"]).alias("start_ms"), "grp", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT epoch_ms(date_trunc('hour', ts)) AS start_ms, count(*) AS n FROM events GROUP BY ALL")
+def tumbling_hour(spark, sf):
+    return table(spark, sf, "events").groupBy(F.unix_millis(F.window("ts", "1 hour")["start"]).alias("start_ms")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_id, upper(event_type) AS event_type FROM events WHERE user_id % 2 = 0")
+def pipeline_modules(spark, sf):
+    modules = [("even", lambda d: d.where("user_id % 2 = 0")), ("upper", lambda d: d.withColumn("event_type", F.upper("event_type"))), ("none", lambda d: d.where("false"))]
+    return flows.apply_modules(table(spark, sf, "events"), modules, {"none": False}).select("event_id", "event_type")
+
+
+@query("SELECT conv_id, turn, text AS message FROM conversations WHERE text IS NOT NULL")
+def reassemble(spark, sf):
+    third = F.ceil(F.length("text") / 3).cast("int")
+    pieces = F.array(*[F.struct(F.lit(i).alias("seq"), F.substring(F.col("text"), F.lit(i) * third + 1, third).alias("chunk")) for i in range(3)])
+    chunks = table(spark, sf, "conversations").where("text is not null").select("conv_id", "turn", F.explode(pieces).alias("c")).select("conv_id", "turn", "c.*")
+    return flows.reassemble(chunks, ["conv_id", "turn"], "seq", "chunk").select("conv_id", "turn", "message")
+
+
+# --- decoders: messages made of columns, decoded, and held against the columns ------------------------------------
+def _bytes(*parts) -> Column:
+    return F.encode(F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]), "UTF-8")
+
+
+def _hex4(n: Column) -> Column:
+    return F.lpad(F.hex(n), 8, "0")
+
+
+@query(R + "SELECT page_id, 'OK' AS status, 'GET' AS method, CASE WHEN uri = '' THEN '/' ELSE uri END AS uri, host FROM r")
+def http_request_fields(spark, sf):
+    r = requests(spark, sf)
+    uri = F.when(F.col("uri") == "", "/").otherwise(F.col("uri"))
+    h = r.select("page_id", wire.http_col(_bytes("GET ", uri, " HTTP/1.1\r\nHost: ", F.col("host"), "\r\nX-Other: 1\r\n\r\n")).alias("h"))
+    return h.select("page_id", "h.status", "h.method", "h.uri", F.col("h.headers")["host"].alias("host"))
+
+
+@query("SELECT event_id, 'OK' AS status, props AS body FROM events")
+def http_body(spark, sf):
+    h = table(spark, sf, "events").select("event_id", wire.http_col(_bytes("POST / HTTP/1.1\r\nContent-Length: ", F.octet_length("props"), "\r\n\r\n", F.col("props"), "rest")).alias("h"))
+    return h.select("event_id", "h.status", F.decode("h.body", "UTF-8").alias("body"))
+
+
+@query("SELECT event_id, 'OK' AS status, event_type || props AS body FROM events")
+def http_chunked(spark, sf):
+    size = lambda c: F.lower(F.hex(F.octet_length(c)))
+    message = _bytes("POST / HTTP/1.1\r\nTransfer-Encoding: chunked\r\n\r\n", size("event_type"), "\r\n", F.col("event_type"), "\r\n", size("props"), ";x=1\r\n", F.col("props"), "\r\n0\r\n\r\n")
+    h = table(spark, sf, "events").select("event_id", wire.http_col(message).alias("h"))
+    return h.select("event_id", "h.status", F.decode("h.body", "UTF-8").alias("body"))
+
+
+@query("SELECT event_id, props AS body FROM events")
+def http_gunzip(spark, sf):
+    packed = binary.gzip_col(F.encode("props", "UTF-8"))
+    return table(spark, sf, "events").select("event_id", F.decode(binary.inflate_col(packed, F.lit("gzip, identity")), "UTF-8").alias("body"))
+
+
+@query(R + "SELECT page_id, host, CASE WHEN uri = '' THEN '/' ELSE uri END AS uri FROM r")
+def http_absolute_uri(spark, sf):
+    r = requests(spark, sf).select("page_id", wire.http_col(_bytes("GET http://", F.col("host"), F.col("uri"), " HTTP/1.0\r\n\r\n")).alias("h"))
+    return r.select("page_id", F.col("h.headers")["host"].alias("host"), "h.uri")
+
+
+@query("SELECT c_custkey, 'OK' AS status, c_name || '@x.org' AS sender, 'a@y.org,' || c_custkey || '@y.org' AS recipients, c_mktsegment AS subject FROM customer")
+def smtp_fields(spark, sf):
+    message = _bytes("EHLO me\r\nMAIL FROM:<", F.col("c_name"), "@x.org>\r\nRCPT TO:<a@y.org>\r\nRCPT TO:<", F.col("c_custkey"), "@y.org>\r\nDATA\r\nSubject: ", F.col("c_mktsegment"), "\r\n\r\nbody\r\n.\r\nQUIT\r\n")
+    m = table(spark, sf, "customer").select("c_custkey", wire.smtp_col(message).alias("m"))
+    return m.select("c_custkey", "m.status", "m.sender", F.array_join("m.recipients", ",").alias("recipients"), "m.subject")
+
+
+@query("SELECT o_orderkey, 1 AS type, lower(hex(o_orderstatus)) AS value FROM orders UNION ALL SELECT o_orderkey, 2, lower(hex(o_orderpriority)) FROM orders")
+def tlv_decode(spark, sf):
+    def entry(kind: int, c: str) -> Column:
+        n = F.octet_length(c)
+        return F.concat(F.lit(f"{kind:02x}00"), F.lpad(F.hex(n), 2, "0"), F.lit("00"), F.hex(F.encode(c, "UTF-8")))
+
+    data = F.unhex(F.concat(entry(1, "o_orderstatus"), entry(2, "o_orderpriority")))
+    rows = table(spark, sf, "orders").select("o_orderkey", F.explode(wire.tlv_col(data)).alias("t"))
+    return rows.select("o_orderkey", "t.type", F.lower(F.hex("t.value")).alias("value"))
+
+
+@query("SELECT o_orderkey, 1 AS code, 1 AS type, CAST(NULL AS BIGINT) AS vendor, o_orderstatus AS value FROM orders UNION ALL SELECT o_orderkey, 1, 26, 9, o_orderpriority FROM orders")
+def radius_attrs(spark, sf):
+    byte = lambda n: F.lpad(F.hex(n), 2, "0")
+    a, b = F.octet_length("o_orderstatus"), F.octet_length("o_orderpriority")
+    one = F.concat(F.lit("01"), byte(a + 2), F.hex(F.encode("o_orderstatus", "UTF-8")))
+    two = F.concat(F.lit("1A"), byte(b + 8), F.lit("00000009"), F.lit("05"), byte(b + 2), F.hex(F.encode("o_orderpriority", "UTF-8")))
+    data = F.unhex(F.concat(F.lit("0107"), F.lpad(F.hex(a + b + 30), 4, "0"), F.lit("00" * 16), one, two))
+    rows = table(spark, sf, "orders").select("o_orderkey", F.explode(wire.radius_col(data)).alias("r"))
+    return rows.select("o_orderkey", "r.code", "r.type", "r.vendor", F.decode("r.value", "UTF-8").alias("value"))
+
+
+def frames(spark, sf):
+    """Ethernet, IPv4, TCP frames with addresses and ports from orders."""
+    ip = F.concat(F.lit("45000028000000004006" + "0000"), _hex4(F.col("o_orderkey")), _hex4(F.col("o_custkey")))
+    tcp = F.concat(F.lpad(F.hex(F.col("o_orderkey") % 65536), 4, "0"), F.lit("0050" + "00" * 8 + "5000" + "00" * 6))
+    return table(spark, sf, "orders").select("o_orderkey", "o_custkey", ip.alias("ip"), tcp.alias("tcp"), F.unhex(F.concat(F.lit("00" * 12 + "0800"), ip, tcp)).alias("data"))
+
+
+@query("SELECT o_orderkey, 2048 AS next_pt, 14 AS header_len FROM orders")
+def uncap_eth(spark, sf):
+    return frames(spark, sf).select("o_orderkey", wire.ethernet(F.col("data")).alias("e")).select("o_orderkey", F.col("e.next_pt").cast("int").alias("next_pt"), "e.header_len")
+
+
+@query("SELECT o_orderkey, 2048 AS next_pt, o_orderkey % 4096 AS vlan_id FROM orders")
+def uncap_vlan(spark, sf):
+    tagged = F.unhex(F.concat(F.lit("00" * 12 + "8100"), F.lpad(F.hex(F.col("o_orderkey") % 4096), 4, "0"), F.lit("0800"), F.col("ip"), F.col("tcp")))
+    return frames(spark, sf).select("o_orderkey", wire.vlan(tagged).alias("v")).select("o_orderkey", F.col("v.next_pt").cast("int").alias("next_pt"), "v.vlan_id")
+
+
+@query("SELECT o_orderkey, 6 AS next_pt, 40 AS total_len, o_orderkey AS src, o_custkey AS dst FROM orders")
+def uncap_ip(spark, sf):
+    p = frames(spark, sf).select("o_orderkey", wire.ipv4(F.col("data")).alias("p"))
+    return p.select("o_orderkey", F.col("p.next_pt").cast("int").alias("next_pt"), F.col("p.total_len").cast("int").alias("total_len"), "p.src", "p.dst")
+
+
+@query("SELECT o_orderkey, o_orderkey % 65536 AS src_port, 80::BIGINT AS dst_port FROM orders")
+def uncap_l4(spark, sf):
+    return frames(spark, sf).select("o_orderkey", wire.ports(F.col("data")).alias("p")).select("o_orderkey", "p.*")
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'eth/ipv4/tcp' WHEN 1 THEN 'eth/vlan/ipv4/tcp' WHEN 2 THEN 'eth/ipv4/gre/ipv4/tcp' ELSE 'eth/ipv4/udp/gtp/ipv4/tcp' END AS layers FROM orders")
+def uncap_chain(spark, sf):
+    mac, inner = F.lit("00" * 12), F.concat(F.col("ip"), F.col("tcp"))
+    outer = lambda protocol: F.lit(f"450000640000000040{protocol}0000" + "0A000001" * 2)
+    data = (
+        F.when(F.col("o_orderkey") % 4 == 0, F.concat(mac, F.lit("0800"), inner))
+        .when(F.col("o_orderkey") % 4 == 1, F.concat(mac, F.lit("810000070800"), inner))
+        .when(F.col("o_orderkey") % 4 == 2, F.concat(mac, F.lit("0800"), outer("2F"), F.lit("20000800" + "00000001"), inner))
+        .otherwise(F.concat(mac, F.lit("0800"), outer("11"), F.lit("0868086800400000" + "30FF003000000001"), inner))
+    )
+    return frames(spark, sf).select("o_orderkey", F.array_join(wire.chain_col(F.unhex(data)), "/").alias("layers"))
+
+
+@query("SELECT event_type AS device, count(*) AS received, CAST(sum(user_id) AS BIGINT) AS bytes FROM events GROUP BY event_type")
+def pcap_stats(spark, sf):
+    return table(spark, sf, "events").groupBy(F.col("event_type").alias("device")).agg(F.count(F.lit(1)).alias("received"), F.sum("user_id").alias("bytes"))
+
+
+@query(R + "SELECT page_id, 'parsed' AS state FROM r WHERE contains(uri, '/es/')")
+def rules_file(spark, sf):
+    """A rule source read from a file of the driver (written here for the purpose)."""
+    import os
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as folder:
+        with open(os.path.join(folder, "a.rules"), "w", encoding="utf-8") as f:
+            f.write("# a list\nuri wumanber\n  /es/\n")
+        rules = RuleSet(folder)
+        rules.add("file:a.rules")
+        rules.compile()
+    return requests(spark, sf).where(rules.matches(fields())).select("page_id", F.lit("parsed").alias("state"))
