@@ -11,7 +11,8 @@ window keeps the k best of those. Sums are of integers and exact.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part, as rows without an id; vectors
 are compared with those of their own length; repeated rows (id and vector) count once; a query is not compared with
-rows of its own id; with fewer candidates than k all are returned; ties go to the smaller id.
+rows of its own id; with fewer candidates than k all are returned; ties go to the smaller id; a sum
+beyond 64 bits is shown as the largest or smallest long (and ranked by its true value within a block).
 """
 
 from __future__ import annotations
@@ -89,7 +90,7 @@ def search_block(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndar
         best = sorted(at.tolist(), key=lambda j: (-s[j], x_ids[j]))[:k] if kind is object else at[np.lexsort((x_ids[at], -s[at]))[:k]]
         out_q.append(np.full(len(best), q_ids[i]))
         out_x.append(x_ids[best])
-        out_s.append(np.array([int(v) for v in s[best]], object if kind is object else np.int64))
+        out_s.append(np.array([max(-(2**63), min(2**63 - 1, int(v))) for v in s[best]], np.int64))
     cat = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
     return cat(out_q), cat(out_x), cat(out_s)
 
