@@ -58,6 +58,11 @@ def test_hashes_and_ciphers():
     # published test values of MurmurHash3 x86_32
     assert binary.murmur3_32(b"") == 0 and binary.murmur3_32(b"", 1) == 0x514E28B7
     assert binary.murmur3_32(b"Hello, world!", 0x9747B28C) == 0x24884CBA
+    assert binary.murmur3_x64_128(b"") == (0, 0)
+    assert "%016x%016x" % binary.murmur3_x64_128(b"The quick brown fox jumps over the lazy dog") == "e34bbc7bbc071b6c7a433ca9c49a9347"
+    cipher = binary.ZipCipher(b"secret").encrypt(b"rules and more rules")
+    assert binary.ZipCipher(b"secret").decrypt(cipher) == b"rules and more rules" != cipher
+    assert binary.random_sequence(1, 10000)[-1] == 1043618065  # the published check of the minimal standard
     assert binary.normal_uri("HTTP://Www.B.com/abc/../bcde/def") == "http://www.b.com/bcde/def"
 
 

@@ -75,3 +75,15 @@ def test_files(spark, tmp_path):
     rules.compile()
     rows = spark.createDataFrame([("x.com",), ("z.com",), ("y.com",)], "host string")
     assert sorted(r.host for r in rows.where(rules.matches({"host": F.col("host")})).collect()) == ["x.com", "y.com"]
+
+
+def test_encrypted_file(tmp_path):
+    from tidewire.functions.binary import ZipCipher
+
+    (tmp_path / "c.rules").write_bytes(b"VimCrypt~01!" + ZipCipher(b"pw").encrypt(b"host equals\n  x.com\n"))
+    rules = RuleSet(str(tmp_path))
+    rules.add("cfile:pw@c.rules")
+    assert rules.compile() == 1 and not rules.check()
+    rules.add("cfile:wrong@c.rules")
+    with pytest.raises((RuleError, UnicodeDecodeError)):
+        rules.compile()

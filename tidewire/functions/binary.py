@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ipaddress
 import posixpath
 import zlib
 from urllib.parse import urljoin, urlsplit, urlunsplit
@@ -45,13 +46,101 @@ def murmur2_64(data: bytes, seed: int = 0) -> int:
     return h ^ (h >> 47)
 
 
+# Fixed values of the integer mix: constant, how it joins, shift (left > 0), how the shifted value joins.
+MIX = ((0x7ED55D16, "+", 12, "+"), (0xC761C23C, "^", -19, "^"), (0x165667B1, "+", 5, "+"), (0xD3A2646C, "+", 9, "^"), (0xFD7046C5, "+", 3, "+"), (0xB55A4F09, "^", -16, "^"))
+
+
 def crc_mix(data: bytes, seed: int = 0) -> int:
-    """CRC-32 without the initial and final inversion, then an integer mix of shifts and sums."""
-    crc = zlib.crc32(data, seed ^ M32) ^ M32
-    for shift, left, add in ((12, True, 0x7ED55D16), (19, False, 0xC761C23C), (5, True, 0x165667B1), (9, True, 0xD3A2646C), (3, True, 0xFD7046C5), (16, False, 0xB55A4F09)):
-        other = (crc << shift if left else crc >> shift) & M32
-        crc = (crc + add + other) & M32 if add in (0x7ED55D16, 0x165667B1, 0xFD7046C5) else ((crc + add) ^ other) & M32 if add == 0xD3A2646C else (crc ^ add ^ other) & M32
-    return crc
+    """CRC-32 without the initial and final inversion, then a mix of sums, exclusive ors and shifts."""
+    x = zlib.crc32(data, seed ^ M32) ^ M32
+    for constant, join, shift, join_shifted in MIX:
+        moved = (x << shift if shift > 0 else x >> -shift) & M32
+        x = (x + constant) & M32 if join == "+" else x ^ constant
+        x = (x + moved) & M32 if join_shifted == "+" else x ^ moved
+    return x
+
+
+def murmur3_x64_128(data: bytes, seed: int = 0) -> tuple[int, int]:
+    """MurmurHash3 x64_128 as two unsigned 64-bit halves."""
+    c1, c2 = 0x87C37B91114253D5, 0x4CF5AD432745937F
+    rot = lambda x, r: ((x << r) | (x >> (64 - r))) & M64
+    one = lambda k: rot(k * c1 & M64, 31) * c2 & M64
+    two = lambda k: rot(k * c2 & M64, 33) * c1 & M64
+    h1 = h2 = seed
+    n = len(data) & ~15
+    cells = np.frombuffer(data[:n], "<u8").tolist()
+    for k1, k2 in zip(cells[::2], cells[1::2]):
+        h1 = (((rot(h1 ^ one(k1), 27) + h2) & M64) * 5 + 0x52DCE729) & M64
+        h2 = (((rot(h2 ^ two(k2), 31) + h1) & M64) * 5 + 0x38495AB5) & M64
+    tail = data[n:]
+    if len(tail) > 8:
+        h2 ^= two(int.from_bytes(tail[8:], "little"))
+    if tail:
+        h1 ^= one(int.from_bytes(tail[:8], "little"))
+    h1, h2 = h1 ^ len(data), h2 ^ len(data)
+    h1 = (h1 + h2) & M64
+    h2 = (h2 + h1) & M64
+
+    def last(h: int) -> int:
+        h = (h ^ (h >> 33)) * 0xFF51AFD7ED558CCD & M64
+        h = (h ^ (h >> 33)) * 0xC4CEB9FE1A85EC53 & M64
+        return h ^ (h >> 33)
+
+    h1, h2 = last(h1), last(h2)
+    h1 = (h1 + h2) & M64
+    return h1, (h2 + h1) & M64
+
+
+def random_sequence(seed: int, n: int) -> list[int]:
+    """The minimal standard generator: x -> 16807 * x mod 2**31 - 1."""
+    out, x = [], seed
+    for _ in range(n):
+        x = x * 16807 % (2**31 - 1)
+        out.append(x)
+    return out
+
+
+class ZipCipher:
+    """The traditional stream cipher of zip archives; it keeps its state from call to call."""
+
+    def __init__(self, password: bytes):
+        self.keys = [0x12345678, 0x23456789, 0x34567890]
+        for b in password:
+            self._advance(b)
+
+    def _advance(self, byte: int) -> None:
+        k = self.keys
+        k[0] = _crc_step(k[0], byte)
+        k[1] = ((k[1] + (k[0] & 0xFF)) * 134775813 + 1) & M32
+        k[2] = _crc_step(k[2], k[1] >> 24)
+
+    def _mask(self) -> int:
+        t = (self.keys[2] | 2) & 0xFFFF
+        return (t * (t ^ 1) >> 8) & 0xFF
+
+    def encrypt(self, data: bytes) -> bytes:
+        out = bytearray()
+        for b in data:
+            out.append(b ^ self._mask())
+            self._advance(b)
+        return bytes(out)
+
+    def decrypt(self, data: bytes) -> bytes:
+        out = bytearray()
+        for b in data:
+            out.append(b ^ self._mask())
+            self._advance(out[-1])
+        return bytes(out)
+
+
+def _crc_step(crc: int, byte: int) -> int:
+    return zlib.crc32(bytes([byte]), crc ^ M32) ^ M32
+
+
+@pandas_udf(T.StringType())
+def ip6_text_col(data: pd.Series) -> pd.Series:
+    """Sixteen bytes as IPv6 text, the longest run of zero groups as ::."""
+    return data.map(lambda d: None if d is None or len(d) != 16 else str(ipaddress.IPv6Address(bytes(d))))
 
 
 def xor_bytes(data: bytes, key: bytes, start: int = 0) -> bytes:

@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.functions.binary import ZipCipher
 from tidewire.operators.matchers import MATCHERS
 
 
@@ -181,6 +182,17 @@ def _load_file(path: str, base: str) -> str:
         return f.read()
 
 
+def _load_encrypted(rest: str, base: str) -> str:
+    """``cfile:password@path``: a file of the magic ``VimCrypt~01!`` and zip-cipher text."""
+    password, _, path = rest.partition("@")
+    with open(os.path.join(base, path), "rb") as f:
+        data = f.read()
+    if not data.startswith(b"VimCrypt~01!"):
+        raise RuleError(f"{path} is not an encrypted source")
+    return ZipCipher(password.encode()).decrypt(data[12:]).decode("utf-8")
+
+
+register_loader("cfile", _load_encrypted)
 register_loader("string", lambda text, base: text)
 register_loader("file", _load_file)
 
@@ -227,7 +239,8 @@ class RuleSet:
 
     def _stamp(self, source: Source) -> object:
         scheme, _, rest = source.uri.partition(":")
-        return os.stat(os.path.join(self.base, rest)).st_mtime_ns if scheme == "file" else rest
+        path = {"file": rest, "cfile": rest.partition("@")[2]}.get(scheme)
+        return os.stat(os.path.join(self.base, path)).st_mtime_ns if path is not None else rest
 
     def compile(self) -> int:
         """Load all sources and put them to use; one bad source leaves the live rules as they were."""
