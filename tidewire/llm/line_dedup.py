@@ -7,7 +7,7 @@ occurrences cover are removed, overlapping occurrences being merged.
 Defined cases: a text of under three lines (null, empty) has no windows and is left as it is; a null text stays null;
 rows with a null doc_id take no part and are kept unchanged; rows that repeat doc_id and text are one document, of
 which every row is treated alike; rows that share a doc_id but not the text are told apart by a hash of the text; all
-other columns, whatever their names, are passed on.
+other columns are passed on (one named n_removed_lines is replaced).
 """
 
 from __future__ import annotations
@@ -56,5 +56,5 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
         F.array_join(F.transform(F.array_sort(left), lambda i: lines[i]), "\n")
     )
     return joined.withColumn("text", text).withColumn("n_removed_lines", F.coalesce(F.size("_gone"), F.lit(0)).cast("long")).select(
-        *docs.columns, "n_removed_lines"
+        *[c for c in docs.columns if c != "n_removed_lines"], "n_removed_lines"
     )
