@@ -5,8 +5,8 @@ with a Jaccard similarity of at least 0.8 share one of the first n - ceil(0.8 n)
 a set of which more than n - ceil(0.8 n) shingles occur nowhere else has no partner at all; most documents end there.
 
 Only connectivity is asked for, so pairs are not all tested. Documents that share a prefix shingle are first tested
-against one leader (in salted groups, then the leaders among themselves); then every pair that shares a prefix shingle,
-is of fitting length and not yet connected is tested. No link between different components is lost.
+against one hub, the one with the least in front of that shingle; then every pair that shares a prefix shingle, is of
+fitting length and not yet connected is tested. No link between different components is lost.
 
 Tests run over candidates grouped by one probe set: the candidate sets are laid out as a prefix tree (in sorted order,
 with the length of the prefix that neighbours share), traversed depth first; overlaps counted along a shared path are
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm import words as W
@@ -135,54 +135,6 @@ def _postings(extra: tuple[str, ...] = ()):
     return run
 
 
-_STAR = "lead boolean, a long, b long, c long"
-
-
-def _stars(n_keys: int):
-    """Of rows sorted by key (n_keys columns), n and doc_id: (leader, doc_id) pairs, and the leaders' own rows.
-
-    A leader is the first of its key; a row too long for its leader leads from there on.
-    """
-    names = ["token", "salt"][:n_keys]
-
-    def run(batches):
-        held: dict[str, np.ndarray] | None = None  # the current key's last leader
-        for b in batches:
-            cols = {c: np.asarray(b.column(c)) for c in [*names, "n", "doc_id"]}
-            if not b.num_rows:
-                continue
-            carried = 0
-            if held is not None and all(held[c][0] == cols[c][0] for c in names):
-                cols = {c: np.concatenate([held[c], v]) for c, v in cols.items()}
-                carried = 1
-            rows = np.arange(len(cols["n"]))
-            same = np.ones(len(rows) - 1, bool)
-            for c in names:
-                same &= cols[c][1:] == cols[c][:-1]
-            group = np.r_[0, np.cumsum(~same)]
-            leader = np.full(len(rows), -1)
-            rest = rows
-            while len(rest):
-                g = group[rest]
-                first = np.r_[True, g[1:] != g[:-1]]
-                lead = rest[first][np.cumsum(first) - 1]
-                fits = 100 * cols["n"][lead] >= PERCENT * cols["n"][rest]
-                leader[rest[fits]] = lead[fits]
-                rest = rest[~fits]
-            own = leader == rows
-            own[:carried] = False
-            pair = (leader != rows) & (cols["doc_id"][leader] != cols["doc_id"])
-            at = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.r_[np.zeros(pair.sum(), bool), np.ones(len(at), bool)]), pa.array(np.r_[cols["doc_id"][leader[pair]], cols["token"][at]], pa.int64()),
-                 pa.array(np.r_[cols["doc_id"][pair], cols["doc_id"][at]], pa.int64()), pa.array(np.r_[np.zeros(pair.sum(), np.int64), cols["n"][at]], pa.int64())],
-                names=["lead", "a", "b", "c"],
-            )
-            held = {c: v[leader[-1] : leader[-1] + 1] for c, v in cols.items()}
-
-    return run
-
-
 def probe(x: np.ndarray, others: list[np.ndarray]) -> list[bool]:
     """Which of the ordered sets reach the similarity with x: one traversal of their prefix tree."""
     out = [False] * len(others)
@@ -235,6 +187,29 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long")
 
 
+def _hot() -> Column:
+    """Shingles of the highest level: those of 256 documents or more are all among them."""
+    return F.shiftrightunsigned("token", 62) == 3
+
+
+def _salted(posted: DataFrame, salts: int) -> DataFrame:
+    return posted.withColumn("salt", F.when(_hot(), F.pmod(F.xxhash64("doc_id"), F.lit(salts))).otherwise(0).cast("int"))
+
+
+def _for_salts(table: DataFrame, salts: int) -> DataFrame:
+    """A row for each salt of a hot shingle, so that its documents are dealt to many tasks."""
+    return table.withColumn("salt", F.explode(F.when(_hot(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+
+
+def _fits(nx: Column, ny: Column) -> Column:
+    return (F.lit(100) * nx >= F.lit(PERCENT) * ny) & (F.lit(100) * ny >= F.lit(PERCENT) * nx)
+
+
+def _reaches(nx: Column, px: Column, ny: Column, py: Column) -> Column:
+    """At the first shingle that a pair shares, all its overlap lies from there on; a link passes there at the latest."""
+    return F.lit(100 + PERCENT) * F.least(nx - px, ny - py) >= F.lit(PERCENT) * (nx + ny)
+
+
 def similar_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs(doc_id, text)``."""
     texts = docs.select("doc_id", "text")
@@ -244,13 +219,13 @@ def similar_components(docs: DataFrame) -> DataFrame:
     every = cut(texts.mapInArrow(_sets(shared, bits), "doc_id long, n long, alone long, tokens binary"))
     sets = every.where("tokens is not null and doc_id is not null")
     salts = max(16, int(np.sqrt(max(1, stat.n)) / 8))
-    posted = sets.mapInArrow(_postings(), _POSTING).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    inner = posted.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt", "n", "doc_id").mapInArrow(_stars(2), _STAR)
-    inner = cut(inner)
-    leads = inner.where("lead").select(F.col("a").alias("token"), F.col("b").alias("doc_id"), F.col("c").alias("n"))
-    outer = leads.repartition(parts, "token").sortWithinPartitions("token", "n", "doc_id").mapInArrow(_stars(1), _STAR)
-    tested = cut(inner.where("not lead").select("a", "b").unionByName(outer.where("not lead").select("a", "b")).distinct())
+    # First each document against the hub of each of its prefix shingles: the document with the least in front of it.
+    posted = sets.mapInArrow(_postings(), _POSTING)
+    hubs = posted.groupBy("token").agg(F.min(F.struct("pos", "doc_id", "n")).alias("hub"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("token", "hub")
+    tested = _salted(posted, salts).join(_for_salts(hubs, salts), ["token", "salt"]).where(
+        (F.col("hub.doc_id") != F.col("doc_id")) & _fits(F.col("hub.n"), F.col("n")) & _reaches(F.col("hub.n"), F.col("hub.pos"), F.col("n"), F.col("pos"))
+    )
+    tested = cut(tested.select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct())
     stars = connected_components(_linked(tested, sets))
     # Pairs that are left: they share a prefix shingle, fit in length, and are not connected yet.
     known = sets.join(stars.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
@@ -258,13 +233,14 @@ def similar_components(docs: DataFrame) -> DataFrame:
     )
     posted = known.mapInArrow(_postings(("component",)), _POSTING + ", component long")
     open_tokens = posted.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    posted = cut(posted.join(open_tokens, "token"))
+    posted = cut(_salted(posted, salts).join(_for_salts(open_tokens, salts), ["token", "salt"]).drop("salt"))
     a, b = posted.alias("a"), posted.alias("b")
-    fits = (F.col("a.n") <= F.col("b.n")) & (F.lit(100) * F.col("a.n") >= F.lit(PERCENT) * F.col("b.n"))
-    once = (F.col("a.n") < F.col("b.n")) | (F.col("a.doc_id") < F.col("b.doc_id"))
-    reach = F.least("a.pos", "b.pos") + F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
-    enough = F.lit(100 + PERCENT) * reach >= F.lit(PERCENT) * (F.col("a.n") + F.col("b.n"))
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.component") != F.col("b.component")) & fits & once & enough)
+    once = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.doc_id") < F.col("b.doc_id")))
+    pairs = a.join(
+        b,
+        (F.col("a.token") == F.col("b.token")) & (F.col("a.component") != F.col("b.component")) & once
+        & _fits(F.col("a.n"), F.col("b.n")) & _reaches(F.col("a.n"), F.col("a.pos"), F.col("b.n"), F.col("b.pos")),
+    )
     pairs = pairs.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct()
     pairs = pairs.join(tested, ["a", "b"], "left_anti")
     rest = _linked(pairs, sets)
