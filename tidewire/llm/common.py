@@ -129,7 +129,8 @@ def _count_block(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch])
 
 def sharing_map(slots: DataFrame, bits: int) -> Broadcast:
     """Broadcast of the levels (0 to 3) of 2**bits slots: at most 64 MiB for 2**28, whatever the size of the corpus."""
-    rows = slots.groupBy("block").applyInArrow(_count_block, SLOT_SCHEMA).toLocalIterator()
+    blocks = cut(slots.groupBy("block").applyInArrow(_count_block, SLOT_SCHEMA))
+    rows = blocks.select("block", "once").coalesce(4).toLocalIterator()  # a quarter of the map at a time
     whole = np.zeros(1 << (bits - 2), np.uint8)
     step = 1 << (BLOCK_BITS - 2)
     for r in rows:
