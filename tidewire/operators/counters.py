@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -36,11 +36,25 @@ def rates(snaps: DataFrame) -> DataFrame:
     ).drop("total")
 
 
-def with_resets(increments: DataFrame, reset: str, tie: str) -> DataFrame:
-    """Running total of each counter since its last reset (rows where ``reset`` is true start anew)."""
-    w = Window.partitionBy("grp", "name").orderBy("ts", tie)
-    segment = increments.withColumn("segment", F.sum(F.col(reset).cast("long")).over(w))
-    return segment.withColumn("since_reset", F.sum("value").over(Window.partitionBy("grp", "name", "segment").orderBy("ts", tie)))
+def with_resets(increments: DataFrame, reset: str, tie: str, bucket: Column) -> DataFrame:
+    """Running total of each counter since its last reset (rows where ``reset`` is true start anew).
+
+    There are few counters and many rows, so windows run within a counter's ``bucket`` (which must not fall as ts rises);
+    what the buckets before leave behind is carried over by a table of one row a counter and bucket.
+    """
+    keys = ["grp", "name"]
+    rows = increments.withColumn("_b", bucket)
+    w = Window.partitionBy(*keys, "_b").orderBy("ts", tie)
+    rows = rows.withColumn("_seg", F.sum(F.col(reset).cast("long")).over(w))
+    part = rows.groupBy(*keys, "_b", "_seg").agg(F.sum("value").alias("_sum"))
+    left = part.groupBy(*keys, "_b").agg(F.max("_seg").alias("_resets"), F.max_by("_sum", "_seg").alias("_tail"))
+    over = Window.partitionBy(*keys).orderBy("_b")
+    left = left.withColumn("_run", F.sum((F.col("_resets") > 0).cast("long")).over(over))
+    left = left.withColumn("_total", F.sum("_tail").over(Window.partitionBy(*keys, "_run").orderBy("_b")))
+    carried = left.select(*keys, "_b", F.coalesce(F.lag("_total").over(over), F.lit(0)).alias("_before"))
+    within = F.sum("value").over(Window.partitionBy(*keys, "_b", "_seg").orderBy("ts", tie))
+    joined = rows.join(carried, [*keys, "_b"])
+    return joined.withColumn("since_reset", within + F.when(F.col("_seg") == 0, F.col("_before")).otherwise(0)).drop("_b", "_seg", "_before")
 
 
 def client_deltas(polls: DataFrame) -> DataFrame:

@@ -50,9 +50,27 @@ def range_lookup(records: DataFrame, ip: str, ranges: DataFrame, how: str = "inn
     return records.join(hits, F.col(ip) == F.col("_ip"), how).drop("_ip")
 
 
-def neighbours(df: DataFrame, partition: str, order: list[str], value: Column) -> DataFrame:
-    """prev_value and next_value: the nearest non-null value strictly before and after each row."""
-    w = Window.partitionBy(partition).orderBy(*order)
-    return df.withColumn("prev_value", F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn(
-        "next_value", F.first(value, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+def neighbours(df: DataFrame, key: str, order: list[str], value: Column, bucket: Column) -> DataFrame:
+    """prev_value and next_value: the nearest non-null value strictly before and after each row of its key.
+
+    ``bucket`` (say, the day) must not fall as ``order`` rises. Windows run within a key's bucket; what lies in other
+    buckets is carried over by a table of one row a key and bucket, so a key with very many rows is not one task.
+    """
+    rows = df.withColumn("_v", value).withColumn("_b", bucket)
+    place = F.struct(*order)
+    ends = rows.groupBy(key, "_b").agg(
+        F.max_by("_v", F.when(F.col("_v").isNotNull(), place)).alias("_last"), F.min_by("_v", F.when(F.col("_v").isNotNull(), place)).alias("_first")
+    )
+    over = Window.partitionBy(key).orderBy("_b")
+    carried = ends.select(
+        key, "_b",
+        F.last("_last", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.first("_first", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+    )
+    w = Window.partitionBy(key, "_b").orderBy(*order)
+    return (
+        rows.join(carried, [key, "_b"], "left")
+        .withColumn("prev_value", F.coalesce(F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "_before"))
+        .withColumn("next_value", F.coalesce(F.first("_v", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)), "_after"))
+        .drop("_v", "_b", "_before", "_after")
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewire.operators.lineage import cut
+
 
 def smallest(df: DataFrame, keys: list[str], k: int) -> DataFrame:
     """The k smallest rows (a top-k by heap in every task, not a sort of the table)."""
@@ -48,7 +50,7 @@ def bloom_semi(df: DataFrame, key: str, members: DataFrame, member: str, expecte
 
 def numbered(df: DataFrame, order: list[str], n: int, out: str) -> DataFrame:
     """Round-robin split 0..n-1 in an order, without one task for all rows: ranks within range partitions plus offsets."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    ranged = cut(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))  # read twice: the parts must stay
     counts = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
     offsets = counts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))

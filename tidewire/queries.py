@@ -307,13 +307,13 @@ _ASOF = "SELECT event_id, {f}(CASE WHEN event_type = '{t}' THEN event_id END IGN
 @query(_ASOF.format(f="last_value", t="signup", a="UNBOUNDED PRECEDING", b="1 PRECEDING", n="prev_value"))
 def asof_prev(spark, sf):
     e = table(spark, sf, "events")
-    return lookup.neighbours(e, "user_id", ["ts", "event_id"], F.when(F.col("event_type") == "signup", F.col("event_id"))).select("event_id", "prev_value")
+    return lookup.neighbours(e, "user_id", ["ts", "event_id"], F.when(F.col("event_type") == "signup", F.col("event_id")), F.date_trunc("day", "ts")).select("event_id", "prev_value")
 
 
 @query(_ASOF.format(f="first_value", t="purchase", a="1 FOLLOWING", b="UNBOUNDED FOLLOWING", n="next_value"))
 def asof_next(spark, sf):
     e = table(spark, sf, "events")
-    return lookup.neighbours(e, "user_id", ["ts", "event_id"], F.when(F.col("event_type") == "purchase", F.col("event_id"))).select("event_id", "next_value")
+    return lookup.neighbours(e, "user_id", ["ts", "event_id"], F.when(F.col("event_type") == "purchase", F.col("event_id")), F.date_trunc("day", "ts")).select("event_id", "next_value")
 
 
 # --- counters ------------------------------------------------------------------------------------------------
@@ -354,7 +354,7 @@ def counter_rate(spark, sf):
 SELECT event_id, CAST(sum(value) OVER (PARTITION BY grp, name, segment ORDER BY ts, event_id) AS BIGINT) AS since_reset FROM x""")
 def counter_reset(spark, sf):
     rows = increments(spark, sf).withColumn("reset", F.col("event_id") % 100 == 0)
-    return counters.with_resets(rows, "reset", "event_id").select("event_id", "since_reset")
+    return counters.with_resets(rows, "reset", "event_id", F.date_trunc("day", "ts")).select("event_id", "since_reset")
 
 
 @query(_I + "c AS (SELECT grp, name, CAST(sum(value) AS BIGINT) AS total FROM i GROUP BY grp, name) SELECT grp, string_agg(name || '=' || total, ',' ORDER BY name) AS counters FROM c GROUP BY grp")
