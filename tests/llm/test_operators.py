@@ -224,6 +224,7 @@ def test_bpe_equals_library(library):
     pool = [chr(rng.choice([rng.randrange(32, 127), rng.randrange(32, 0x250), rng.randrange(0x300, 0x2100), rng.randrange(0x2100, 0xD7FF), rng.randrange(0x10000, 0x1FFFF)])) for _ in range(3000)]
     cases = [t for _, t in corpus()] + ["I'VE don't", "a<|endoftext|>b<|x", "ΣΑΣ İ ß", "x\u0085y\x1cz", "a" * 5000, "ab" * 3000 + "!" * 99, "\x00\x7f", "ﬁ Å"]
     cases += ["".join(rng.choices(pool, k=rng.randrange(1, 50))) for _ in range(500)]
+    cases += ["".join(rng.choices([chr(i) for i in range(256)], k=rng.randrange(1, 50))) for _ in range(500)]
     tok = bpe.Tokenizer(VOCABULARY)
     for text in cases:
         ids = library.encode(text or "", add_special_tokens=False).ids
