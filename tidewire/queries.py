@@ -11,6 +11,7 @@ from tidewire.functions import binary, text, wire
 from tidewire.operators import counters, lookup, matchers, ordered
 from tidewire.plans.rules import RuleSet, parse_source, source_text_of_rows
 from tidewire.plans.template import FUNCTIONS, Template
+from tidewire.sources.files import split_captures
 from tidewire.streaming import flows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -464,7 +465,6 @@ _scalar("base64_decode", "customer", "c_custkey", lambda: F.decode(F.unbase64(F.
 _scalar("sha1_hex", "customer", "c_custkey", lambda: F.sha1("c_name"), "sha1(c_name)")
 _scalar("md5_hex", "customer", "c_custkey", lambda: F.md5("c_name"), "md5(c_name)")
 _scalar("format_time", "orders", "o_orderkey", lambda: text.format_time(F.unix_millis("o_orderdate"), "%Y/%m/%d %H:%M"), "strftime(o_orderdate, '%Y/%m/%d %H:%M')")
-_scalar("http_method", "events", "event_id", lambda: F.regexp_extract(F.concat(F.upper("event_type"), F.lit(" / HTTP/1."), (F.col("event_id") % 2).cast("string")), r"^([A-Z]+) \S+ (HTTP/1\.[01])$", 2), "'HTTP/1.' || (event_id % 2)")
 ORACLES["buf_read_be"] = "SELECT o_orderkey, CAST(o_orderkey * 2 + (o_orderkey & 255) * 256 + ((o_orderkey >> 8) & 255) AS BIGINT) AS out FROM orders WHERE o_orderkey < 65536"
 QUERIES["buf_read_be"] = lambda spark, sf: table(spark, sf, "orders").where("o_orderkey < 65536").select(
     "o_orderkey",
@@ -592,6 +592,27 @@ def http_request_fields(spark, sf):
     return h.select("page_id", "h.status", "h.method", "h.uri", F.col("h.headers")["host"].alias("host"))
 
 
+@query("""SELECT event_id, CASE event_type WHEN 'view' THEN 'GET' WHEN 'click' THEN 'POST' WHEN 'signup' THEN 'PUT' WHEN 'purchase' THEN 'DELETE' END AS method,
+CASE WHEN event_type IN ('view', 'click', 'signup', 'purchase') THEN 'HTTP/1.' || (event_id % 2) END AS version FROM events""")
+def http_method(spark, sf):
+    """Methods and versions; an unknown method is no request."""
+    method = F.create_map(*[F.lit(x) for x in ("view", "GET", "click", "POST", "signup", "PUT", "purchase", "DELETE", "error", "FETCH")])[F.col("event_type")]
+    h = table(spark, sf, "events").select("event_id", wire.http_col(_bytes(method, " / HTTP/1.", F.col("event_id") % 2, "\r\n\r\n")).alias("h"))
+    return h.select("event_id", "h.method", "h.version")
+
+
+@query("SELECT user_id, event_id FROM events")
+def pcap_scan(spark, sf):
+    """Events written as the records of a capture file a user, and read back."""
+    little = lambda n: F.concat(*[F.substring(_hex4(n), i, 2) for i in (7, 5, 3, 1)])
+    seconds = F.unix_seconds("ts")
+    record = F.concat(little(seconds), little(F.lit(0)), F.lit("0800000008000000"), _hex4(F.col("user_id")), _hex4(F.col("event_id")))
+    head = "D4C3B2A1020004000000000000000000FFFF000001000000"
+    files = table(spark, sf, "events").groupBy("user_id").agg(F.unhex(F.concat(F.lit(head), F.array_join(F.collect_list(record), ""))).alias("content"))
+    p = split_captures(files)
+    return p.select(text.unsigned_be(F.col("data"), 0, 4).alias("user_id"), text.unsigned_be(F.col("data"), 4, 4).alias("event_id"))
+
+
 @query("SELECT event_id, 'OK' AS status, props AS body FROM events")
 def http_body(spark, sf):
     h = table(spark, sf, "events").select("event_id", wire.http_col(_bytes("POST / HTTP/1.1\r\nContent-Length: ", F.octet_length("props"), "\r\n\r\n", F.col("props"), "rest")).alias("h"))

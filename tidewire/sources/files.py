@@ -40,6 +40,11 @@ def read_properties(path: str, seen: tuple[str, ...] = ()) -> dict[str, str]:
 
 def read_pcap(spark: SparkSession, path: str) -> DataFrame:
     """ts, caplen, len, data of all records of the capture files under a path."""
+    return split_captures(spark.read.format("binaryFile").load(path).select("content"))
+
+
+def split_captures(files: DataFrame) -> DataFrame:
+    """The records of whole capture files in a column ``content``."""
 
     def run(batches):
         for b in batches:
@@ -52,8 +57,7 @@ def read_pcap(spark: SparkSession, path: str) -> DataFrame:
                          pa.array([r[3] for r in part], pa.int64()), pa.array([r[4] for r in part], pa.binary())], names=["us", "caplen", "len", "data"]
                     )
 
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(run, "us long, caplen long, len long, data binary").select(F.timestamp_micros("us").alias("ts"), "caplen", "len", "data")
+    return files.select("content").mapInArrow(run, "us long, caplen long, len long, data binary").select(F.timestamp_micros("us").alias("ts"), "caplen", "len", "data")
 
 
 def capture_stats(packets: DataFrame) -> DataFrame:
