@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -44,7 +45,14 @@ def _unassigned() -> str:
     return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
+def _latin_class(category: str) -> str:
+    """The Latin-1 characters of a category, for a character class."""
+    return "".join(c for c in map(chr, range(256)) if unicodedata.category(c).startswith(category))
+
+
 def _latin(text: str) -> bool:
+    if text.isascii():
+        return True
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:
@@ -53,9 +61,9 @@ def _latin(text: str) -> bool:
 
 
 class Tokenizer:
-    """Encoder for one vocabulary file of word-end BPE."""
+    """Encoder for one vocabulary file of word-end BPE; ``names`` keeps the words' token strings too, for decoding."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, names: bool = True):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -81,9 +89,13 @@ class Tokenizer:
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         # \s of the vocabulary's library is Unicode white space only
         self.words = regex.compile(split.replace(r"\s", r"\p{White_Space}"))
+        for name, own in ((r"\p{L}", _latin_class("L")), (r"\p{N}", _latin_class("N")), (r"\s", "\t-\r \x85\xa0")):
+            split = split.replace(name, own)
+        self.latin_words = re.compile(split)  # the same words for texts of Latin-1, by the faster library
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.marks = {t[:2] for t in self.special}
-        self.cache: dict[str, tuple[bytes, str, int]] = {}
+        self.ids: dict[str, bytes] = {}  # word -> ids as little-endian uint32
+        self.names: dict[str, str] | None = {} if names else None  # word -> tokens joined by a space
         self.path, self.library = path, None
         self.unknown = regex.compile(f"[{_unassigned()}]")
 
@@ -101,10 +113,11 @@ class Tokenizer:
         return self._words(text)
 
     def _words(self, text: str) -> list[str]:
-        if not text.isascii():
-            if not _latin(text) and self.unknown.search(text):
-                return self._library_words(text)
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final sigma: single characters
+        if _latin(text):  # NFC as it stands
+            return self.latin_words.findall(text.lower())
+        if self.unknown.search(text):
+            return self._library_words(text)
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final sigma: single characters
         return self.words.findall(text.lower())
 
     def _library_words(self, text: str) -> list[str]:
@@ -210,14 +223,13 @@ class Tokenizer:
 
     def _learn(self, words: list[str]) -> None:
         """Put words into the cache."""
-        if len(self.cache) + len(words) > CACHE_WORDS:
-            self.cache.clear()
         tokens = self.tokens
         classes: dict[int, list[tuple[str, bytes]]] = {}
         for w in words:
             if w in self.special:
-                i = self.special[w]
-                self.cache[w] = (np.array([i], "<u4").tobytes(), self.tokens[i], 1)
+                self.ids[w] = np.array([self.special[w]], "<u4").tobytes()
+                if self.names is not None:
+                    self.names[w] = w
             else:
                 b = w.encode()
                 classes.setdefault(max(2, 1 << (len(b) - 1).bit_length()), []).append((w, b))
@@ -226,15 +238,16 @@ class Tokenizer:
             for i in range(0, len(own), step):
                 part = own[i : i + step]
                 ids, n = self._merge_class([b for _, b in part], leaves)
-                raw, names = ids.astype("<u4").tobytes(), [tokens[k] for k in ids.tolist()]
-                stop = np.cumsum(n).tolist()
+                raw, names = ids.astype("<u4").tobytes(), [tokens[k] for k in ids.tolist()] if self.names is not None else None
                 start = 0
-                for (w, _), end in zip(part, stop):
-                    self.cache[w] = (raw[4 * start : 4 * end], " ".join(names[start:end]), end - start)
+                for (w, _), end in zip(part, np.cumsum(n).tolist()):
+                    self.ids[w] = raw[4 * start : 4 * end]
+                    if names:
+                        self.names[w] = " ".join(names[start:end])
                     start = end
 
-    def encode_words(self, texts: list[str | None]) -> Iterator[list[tuple[bytes, str, int]]]:
-        """For each text, its words as (ids as little-endian uint32, their tokens joined by a space, how many)."""
+    def encode_texts(self, texts: list[str | None]) -> Iterator[tuple[bytes, str | None]]:
+        """For each text its ids as little-endian uint32, and (with names) what they decode to."""
         i = 0
         while i < len(texts):  # a few megabytes at a time, so that new words are learnt together
             split, size = [], 0
@@ -243,27 +256,29 @@ class Tokenizer:
                 size += len(texts[i] or "")
                 i += 1
             words = set(chain.from_iterable(split))
-            missing = [w for w in words if w not in self.cache]
-            if len(self.cache) + len(missing) > CACHE_WORDS:
-                self.cache.clear()
-                missing = list(words)
+            missing = words.difference(self.ids)
+            if len(self.ids) + len(missing) > CACHE_WORDS:
+                self.ids.clear()
+                if self.names is not None:
+                    self.names.clear()
+                missing = words
             if missing:
-                self._learn(missing)
-            get = self.cache.__getitem__
+                self._learn(list(missing))
+            ids, name = self.ids.__getitem__, self.names.__getitem__ if self.names is not None else None
             for s in split:
-                yield list(map(get, s))
+                yield b"".join(map(ids, s)), " ".join(map(name, s)) if name else None
 
     def encode(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(b"".join([w[0] for w in next(self.encode_words([text]))]), "<u4")
+        return np.frombuffer(next(self.encode_texts([text]))[0], "<u4")
 
     def decode(self, ids: np.ndarray) -> str:
         return " ".join([self.tokens[i] for i in ids])
 
 
 @lru_cache(maxsize=4)
-def tokenizer(path: str) -> Tokenizer:
+def tokenizer(path: str, names: bool = True) -> Tokenizer:
     """One tokenizer a worker and path."""
-    return Tokenizer(path)
+    return Tokenizer(path, names)
 
 
 def encode_digest(docs: DataFrame, path: str) -> DataFrame:
@@ -273,10 +288,10 @@ def encode_digest(docs: DataFrame, path: str) -> DataFrame:
         tok = tokenizer(path)
         for b in batches:
             n, ids, decoded = [], [], []
-            for words in tok.encode_words(b.column("text").to_pylist()):
-                n.append(sum([w[2] for w in words]))
-                ids.append(hashlib.sha256(b"".join([w[0] for w in words])).hexdigest())
-                decoded.append(hashlib.sha256(" ".join([w[1] for w in words]).encode()).hexdigest())
+            for raw, back in tok.encode_texts(b.column("text").to_pylist()):
+                n.append(len(raw) // 4)
+                ids.append(hashlib.sha256(raw).hexdigest())
+                decoded.append(hashlib.sha256(back.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
@@ -293,9 +308,9 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         tok = tokenizer(path)
         for b in batches:
             ids, decoded = [], []
-            for words in tok.encode_words(b.column("text").to_pylist()):
-                ids.append(np.frombuffer(b"".join([w[0] for w in words]), "<u4").astype(np.int32))
-                decoded.append(" ".join([w[1] for w in words]))
+            for raw, back in tok.encode_texts(b.column("text").to_pylist()):
+                ids.append(np.frombuffer(raw, "<u4").astype(np.int32))
+                decoded.append(back)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

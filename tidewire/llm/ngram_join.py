@@ -217,6 +217,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
     bits = map_bits((stat.bytes or 0) // 6)
     shared = sharing_map(texts.where("doc_id is not null").select("text").mapInArrow(_slots_of(bits), SLOT_SCHEMA), bits)
     every = cut(texts.mapInArrow(_sets(shared, bits), "doc_id long, n long, alone long, tokens binary"))
+    shared.destroy()  # all that used it is written
     sets = every.where("tokens is not null and doc_id is not null")
     salts = max(16, int(np.sqrt(max(1, stat.n)) / 8))
     # First each document against the hub of each of its prefix shingles: the document with the least in front of it.

@@ -71,11 +71,11 @@ def pack(docs: DataFrame, path: str) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
-        tok, end = tokenizer(path), np.array([END_ID], "<u4").tobytes()
+        tok, end = tokenizer(path, names=False), np.array([END_ID], "<u4").tobytes()
         ids, texts, tokens = [], [], 0
         for b in batches:
-            for doc_id, words in zip(b.column("doc_id").to_pylist(), tok.encode_words(b.column("text").to_pylist())):
-                raw = b"".join([w[0] for w in words]) + end
+            for doc_id, (raw, _) in zip(b.column("doc_id").to_pylist(), tok.encode_texts(b.column("text").to_pylist())):
+                raw += end
                 ids.append(doc_id)
                 texts.append(raw)
                 tokens += len(raw) // 4

@@ -168,33 +168,47 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], class_weight: dict[int, float], epochs: int = 60) -> Model:
-    """Logistic regression by full-batch Adagrad, then Platt scaling on the rows left out (every fifth)."""
+def fit(rows: list[tuple[int, bytes, bytes]], class_weight: dict[int, float], epochs: int = 60) -> Model:
+    """Logistic regression by full-batch Adagrad, then Platt scaling on the rows left out (every fifth).
+
+    ``rows`` are (quality, slots as int32, shares as float32); they are used up, and read in blocks, to spare memory.
+    """
     held = np.arange(len(rows)) % 5 == 4
     if len({r[0] for i, r in enumerate(rows) if not held[i]}) < 2 or len({r[0] for i, r in enumerate(rows) if held[i]}) < 2:
         held[:] = False
-    y = np.array([r[0] for r in rows], float)
+    order = np.argsort(held, kind="stable")  # training rows first
+    n_train = int((~held).sum())
+    y = np.array([rows[i][0] for i in order], float)
     sample = np.array([class_weight[int(v)] for v in y])
-    of = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-    slot = np.concatenate([r[1] for r in rows])
-    value = np.concatenate([r[2] for r in rows]).astype(float)
-    train = ~held[of]
-    t_of, t_slot, t_value = of[train], slot[train], value[train]
+    bounds = np.r_[0, np.cumsum([len(rows[i][1]) // 4 for i in order])]
+    slot = np.frombuffer(b"".join([rows[i][1] for i in order]), np.int32)
+    value = np.frombuffer(b"".join([rows[i][2] for i in order]), np.float32)
+    rows.clear()
+    blocks = [(i, min(i + 128, n_train)) for i in range(0, n_train, 128)]
+
+    def scores(i: int, j: int) -> np.ndarray:
+        lo, hi = bounds[i], bounds[j]
+        if lo == hi:
+            return np.full(j - i, bias)
+        total = np.r_[0, np.cumsum(w[slot[lo:hi]] * value[lo:hi])]
+        return total[bounds[i + 1 : j + 1] - lo] - total[bounds[i:j] - lo] + bias
+
     w, bias = np.zeros(2 << BITS), 0.0
     g2, b2 = np.full(2 << BITS, 1e-10), 1e-10
-    share = np.where(held, 0, sample)
-    share = share / max(share.sum(), 1e-9)
+    share = sample[:n_train] / max(sample[:n_train].sum(), 1e-9)
     for _ in range(epochs):
-        z = np.bincount(t_of, w[t_slot] * t_value, len(rows)) + bias
-        err = share * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y)
-        grad = np.bincount(t_slot, err[t_of] * t_value, 2 << BITS) + 1e-9 * w
+        grad, push = 1e-9 * w, 0.0
+        for i, j in blocks:
+            lo, hi = bounds[i], bounds[j]
+            err = share[i:j] * (1 / (1 + np.exp(-np.clip(scores(i, j), -50, 50))) - y[i:j])
+            grad += np.bincount(slot[lo:hi], np.repeat(err, np.diff(bounds[i : j + 1])) * value[lo:hi], 2 << BITS)
+            push += err.sum()
         g2 += grad * grad
-        b2 += err.sum() ** 2
+        b2 += push**2
         w -= 1.0 * grad / np.sqrt(g2)
-        bias -= 0.3 * err.sum() / np.sqrt(b2)
-    z = np.bincount(of, w[slot] * value, len(rows)) + bias
-    use = held if held.any() else ~held
-    return Model(w.astype(np.float32), bias, *platt(z[use], y[use], sample[use]))
+        bias -= 0.3 * push / np.sqrt(b2)
+    i, j = (n_train, len(y)) if n_train < len(y) else (0, n_train)
+    return Model(w.astype(np.float32), bias, *platt(scores(i, j), y[i:j], sample[i:j]))
 
 
 def platt(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -224,13 +238,13 @@ def train(docs: DataFrame, labels: DataFrame, sample_per_class: int = 1000) -> M
     few = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * sample_per_class rows
     rows = docs.select("doc_id", "text").join(few, "doc_id").select("doc_id", "quality", "text")
     rows = rows.mapInArrow(_sparse, "quality int, slots binary, values binary").limit(4 * sample_per_class).collect()
-    rows = sorted(((r.quality, bytes(r.slots), bytes(r["values"])) for r in rows))
-    if len({r[0] for r in rows}) < 2:
-        return None
+    rows = sorted((r.quality, bytes(r.slots), bytes(r["values"])) for r in rows)
     got = {q: sum(r[0] == q for r in rows) for q in (0, 1)}
+    if not all(got.values()):
+        return None
     scale = {q: counts[q] / got[q] for q in (0, 1)}
     mean = sum(scale[r[0]] for r in rows) / len(rows)
-    return fit([(q, np.frombuffer(s, np.int32), np.frombuffer(v, np.float32)) for q, s, v in rows], {q: s / mean for q, s in scale.items()})
+    return fit(rows, {q: s / mean for q, s in scale.items()})
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")

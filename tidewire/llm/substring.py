@@ -34,7 +34,7 @@ from tidewire.llm.common import SLOT_SCHEMA, cut, levels, map_bits, pack_slots,
 
 WINDOW = 13
 SEED = 5  # words of a minimizer
-BUCKET_BYTES = 40 << 20  # text behind one bucket of the index: some seven million windows at most
+BUCKET_BYTES = 24 << 20  # text behind one bucket of the index: some four million windows at most
 
 _SCHEMA = "bucket long, kind int, ids binary, counts binary, hashes binary, checks binary, positions binary"
 _ARROW = pa.schema([("bucket", pa.int64()), ("kind", pa.int32())] + [(n, pa.binary()) for n in ("ids", "counts", "hashes", "checks", "positions")])
@@ -225,6 +225,7 @@ def repeated_windows(docs: DataFrame, n_batches: int = 2) -> DataFrame:
     bounds = [low + (high + 1 - low) * i // n_batches for i in range(n_batches + 1)]
     ranges = [(a, b) for a, b in zip(bounds, bounds[1:]) if a < b]
     parts = [index.add(keyed.where((F.col("doc_id") >= a) & (F.col("doc_id") < b)), last=(a, b) == ranges[-1]) for a, b in ranges]
+    shared.destroy()  # all that used it is written
     if not parts:
         parts = [docs.sparkSession.createDataFrame([], "doc_id long, text_key long, positions binary")]
     return reduce(DataFrame.unionByName, parts).groupBy("doc_id", "text_key").agg(F.collect_list("positions").alias("positions"))
