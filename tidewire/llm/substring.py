@@ -38,8 +38,8 @@ BUCKET_BYTES = 24 << 20  # text behind one bucket of the index: some four millio
 
 _SCHEMA = "bucket long, kind int, ids binary, counts binary, hashes binary, checks binary, positions binary"
 _ARROW = pa.schema([("bucket", pa.int64()), ("kind", pa.int32())] + [(n, pa.binary()) for n in ("ids", "counts", "hashes", "checks", "positions")])
-_OUT = "kind int, bucket long, doc_id long, text_key long, hashes binary, checks binary, positions binary"
-_OUT_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("hashes", pa.binary()), ("checks", pa.binary()), ("positions", pa.binary())])
+_FOUND = "doc_id long, text_key long, positions binary"
+_FOUND_ARROW = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("positions", pa.binary())])
 CANDIDATES, KNOWN, RUN = 0, 1, 2
 
 
@@ -73,6 +73,19 @@ def _slots_of(bits: int):
     return run
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """32-bit numbers, their lowest bytes first, then the next ones: the upper ones are mostly zero and compress well."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def _pack(part: dict[str, np.ndarray], bucket: np.ndarray, kind: int, ids: np.ndarray) -> list[tuple]:
     """One row for each bucket: which documents (ids: doc_id and text key), how many windows of each, and these."""
     order = np.lexsort((part["row"], bucket))
@@ -85,7 +98,7 @@ def _pack(part: dict[str, np.ndarray], bucket: np.ndarray, kind: int, ids: np.nd
         o = order[i:j]
         out.append(
             (int(bucket[i]), kind, ids[own].tobytes(), n.astype(np.uint32).tobytes(), part["hash"][o].tobytes() if kind == CANDIDATES else None,
-             part["check"][o].tobytes() if kind == CANDIDATES else None, part["pos"][o].astype(np.uint32).tobytes())
+             part["check"][o].tobytes() if kind == CANDIDATES else None, _planes(part["pos"][o]))
         )
     return out
 
@@ -121,7 +134,7 @@ def _candidates(shared: Broadcast, bits: int, n_buckets: int):
                 later = {k: v[known] for k, v in got.items()}
                 rows += _pack(later, later["row"] % n_buckets, KNOWN, ids)
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
+                    yield _batch(rows)
 
     return run
 
@@ -135,6 +148,11 @@ def _owners(rows: list[dict]) -> np.ndarray:
     return np.repeat(_column(rows, "ids", np.int64).reshape(-1, 2), _column(rows, "counts", np.uint32), axis=0)
 
 
+def _positions(rows: list[dict]) -> np.ndarray:
+    own = [_from_planes(r["positions"]) for r in rows]
+    return np.concatenate(own) if own else np.zeros(0, np.uint32)
+
+
 def _equal_in(run_h: np.ndarray, run_c: np.ndarray, h: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Which (h, c) occur in a run sorted by (h, c)."""
     if not len(run_h):
@@ -151,40 +169,70 @@ def _equal_in(run_h: np.ndarray, run_c: np.ndarray, h: np.ndarray, c: np.ndarray
     return found
 
 
-def _merge_join(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One bucket: the batch's windows against every run and against each other; what repeats, and the new run."""
-    rows = [r for b in batches for r in b.to_pylist()]
-    runs = [r for r in rows if r["kind"] == RUN]
-    new = [r for r in rows if r["kind"] == CANDIDATES]
-    known = [r for r in rows if r["kind"] == KNOWN]
-    h, c, pos = _column(new, "hashes", np.uint64), _column(new, "checks", np.uint16), _column(new, "positions", np.uint32)
-    who = _owners(new)
-    order = np.lexsort((who[:, 0], c, h))
-    h, c, pos, who = h[order], c[order], pos[order], who[order]
-    starts = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])] if len(h) else np.zeros(0, bool)
-    first = np.maximum.accumulate(np.where(starts, np.arange(len(h)), 0)) if len(h) else np.zeros(0, np.int64)
-    old = np.zeros(int(starts.sum()), bool)
-    for r in runs:
-        old |= _equal_in(np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["checks"], np.uint16), h[starts], c[starts])
-    group = np.cumsum(starts) - 1
-    again = old[group] | (who[:, 0] > who[first, 0]) if len(h) else np.zeros(0, bool)
-    out = [(RUN, key[0].as_py(), None, None, h[starts][~old].tobytes(), c[starts][~old].tobytes(), None)]
-    who = np.concatenate([who[again], _owners(known)])
-    pos = np.concatenate([pos[again], _column(known, "positions", np.uint32)])
-    order = np.lexsort((who[:, 1], who[:, 0]))
-    who, pos = who[order], pos[order]
-    at = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]).any(axis=1)]) if len(who) else np.zeros(0, np.int64)
-    for i, j in zip(at, np.r_[at[1:], len(who)]):
-        out.append((KNOWN, None, int(who[i, 0]), int(who[i, 1]), None, None, pos[i:j].tobytes()))
-    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), _OUT_ARROW)], schema=_OUT_ARROW)
+def _blocks(who: np.ndarray, pos: np.ndarray, n_blocks: int) -> list[tuple]:
+    """Window starts of documents as rows of whole blocks of documents, so that their number does not grow with the
+    documents of a bucket; each start once."""
+    if not len(who):
+        return []
+    block = (W.mix((who[:, 0] ^ who[:, 1]).view(np.uint64)) >> np.uint64(33)).astype(np.int64) % n_blocks
+    order = np.lexsort((pos, who[:, 1], who[:, 0], block))
+    who, pos, block = who[order], pos[order], block[order]
+    other = np.r_[True, (who[1:] != who[:-1]).any(axis=1)]
+    once = other | np.r_[True, pos[1:] != pos[:-1]]
+    who, pos, block, other = who[once], pos[once], block[once], other[once]
+    doc_at = np.flatnonzero(other)
+    doc_n = np.diff(np.r_[doc_at, len(who)]).astype(np.uint32)
+    at = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+    ends = np.r_[at[1:], len(who)]
+    out = []
+    for i, j, a, b in zip(at.tolist(), ends.tolist(), np.searchsorted(doc_at, at).tolist(), np.searchsorted(doc_at, ends).tolist()):
+        out.append((int(block[i]), KNOWN, np.ascontiguousarray(who[doc_at[a:b]]).tobytes(), doc_n[a:b].tobytes(), None, None, _planes(pos[i:j])))
+    return out
+
+
+def _merge_join(n_blocks: int):
+    def join(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One bucket: the batch's windows against every run and against each other; what repeats, and the new run."""
+        rows = [r for b in batches for r in b.to_pylist()]
+        runs = [r for r in rows if r["kind"] == RUN]
+        new = [r for r in rows if r["kind"] == CANDIDATES]
+        known = [r for r in rows if r["kind"] == KNOWN]
+        del rows
+        h, c, pos = _column(new, "hashes", np.uint64), _column(new, "checks", np.uint16), _positions(new)
+        who = _owners(new)
+        new.clear()
+        order = np.lexsort((who[:, 0], c, h))
+        h, c, pos, who = h[order], c[order], pos[order], who[order]
+        starts = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])] if len(h) else np.zeros(0, bool)
+        first = np.maximum.accumulate(np.where(starts, np.arange(len(h)), 0)) if len(h) else np.zeros(0, np.int64)
+        old = np.zeros(int(starts.sum()), bool)
+        for r in runs:
+            old |= _equal_in(np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["checks"], np.uint16), h[starts], c[starts])
+        group = np.cumsum(starts) - 1
+        again = old[group] | (who[:, 0] > who[first, 0]) if len(h) else np.zeros(0, bool)
+        yield _batch([(key[0].as_py(), RUN, None, None, h[starts][~old].tobytes(), c[starts][~old].tobytes(), None)])
+        found = _blocks(np.concatenate([who[again], _owners(known)]), np.concatenate([pos[again], _positions(known)]), n_blocks)
+        if found:
+            yield _batch(found)
+
+    return join
 
 
 def _compact(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     runs = [r for b in batches for r in b.to_pylist()]
     h, c = _column(runs, "hashes", np.uint64), _column(runs, "checks", np.uint16)
     order = np.lexsort((c, h))
-    out = [(RUN, key[0].as_py(), None, None, h[order].tobytes(), c[order].tobytes(), None)]
-    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), _OUT_ARROW)], schema=_OUT_ARROW)
+    yield _batch([(key[0].as_py(), RUN, None, None, h[order].tobytes(), c[order].tobytes(), None)])
+
+
+def _by_document(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One block of documents: a row for each, with the starts of its repeated windows."""
+    rows = [r for b in batches for r in b.to_pylist()]
+    for block in _blocks(_owners(rows), _positions(rows), 1):
+        ids, ends = np.frombuffer(block[2], np.int64).reshape(-1, 2), np.cumsum(np.frombuffer(block[3], np.uint32).astype(np.int64)).tolist()
+        pos = _from_planes(block[6])
+        own = [pos[i:j].tobytes() for i, j in zip([0, *ends], ends)]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array(own, pa.binary())], schema=_FOUND_ARROW)
 
 
 class FingerprintIndex:
@@ -195,25 +243,24 @@ class FingerprintIndex:
         self.runs: list[DataFrame] = []
 
     def add(self, docs: DataFrame, last: bool = False) -> DataFrame:
-        """(doc_id, text_key, positions): starts of the windows of ``docs`` seen in an earlier document.
+        """Starts of the windows of ``docs`` seen in an earlier document, packed by blocks of documents.
 
         After the ``last`` batch nothing is looked up any more, so its run is not kept.
         """
         if len(self.runs) >= self.fanout:
-            self.runs = [cut(reduce(DataFrame.unionByName, self.runs).groupBy("bucket").applyInArrow(_compact, _OUT))]
+            self.runs = [cut(reduce(DataFrame.unionByName, self.runs).groupBy("bucket").applyInArrow(_compact, _SCHEMA))]
         rows = docs.mapInArrow(_candidates(self.shared, self.bits, self.n_buckets), _SCHEMA)
-        none = F.lit(None).cast("binary")
         for run in self.runs:
-            rows = rows.unionByName(run.select("bucket", "kind", none.alias("ids"), none.alias("counts"), "hashes", "checks", none.alias("positions")))
-        found = rows.groupBy("bucket").applyInArrow(_merge_join, _OUT)
+            rows = rows.unionByName(run)
+        found = rows.groupBy("bucket").applyInArrow(_merge_join(self.n_buckets), _SCHEMA)
         found = cut(found.where(F.col("kind") == KNOWN) if last else found)
         if not last:
             self.runs.append(found.where(F.col("kind") == RUN))
-        return found.where(F.col("kind") == KNOWN).select("doc_id", "text_key", "positions")
+        return found.where(F.col("kind") == KNOWN).select("bucket", "ids", "counts", "positions")
 
 
 def repeated_windows(docs: DataFrame, n_batches: int = 2) -> DataFrame:
-    """(doc_id, text_key, positions array<binary>) of the documents that repeat windows of smaller doc_ids."""
+    """(doc_id, text_key, positions: uint32 starts) of the documents that repeat windows of smaller doc_ids."""
     known = docs.where("doc_id is not null and text is not null")
     stat = known.agg(F.sum(F.octet_length("text")).alias("bytes"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
     size = stat.bytes or 0
@@ -227,20 +274,19 @@ def repeated_windows(docs: DataFrame, n_batches: int = 2) -> DataFrame:
     parts = [index.add(keyed.where((F.col("doc_id") >= a) & (F.col("doc_id") < b)), last=(a, b) == ranges[-1]) for a, b in ranges]
     shared.destroy()  # all that used it is written
     if not parts:
-        parts = [docs.sparkSession.createDataFrame([], "doc_id long, text_key long, positions binary")]
-    return reduce(DataFrame.unionByName, parts).groupBy("doc_id", "text_key").agg(F.collect_list("positions").alias("positions"))
+        return docs.sparkSession.createDataFrame([], _FOUND)
+    return reduce(DataFrame.unionByName, parts).groupBy("bucket").applyInArrow(_by_document, _FOUND)
 
 
-def keep_words(text: bytes, positions: list[bytes] | None) -> tuple[int, int, bytes]:
+def keep_words(text: bytes, positions: bytes | None) -> tuple[int, int, bytes]:
     """(words, words removed, kept words joined by a space)."""
     words = text.split()
     if not positions:
         return len(words), 0, b" ".join(words)
     cover = np.zeros(len(words) + 1, np.int32)
-    for p in positions:
-        at = np.frombuffer(p, np.uint32).astype(np.int64)
-        np.add.at(cover, at, 1)
-        np.add.at(cover, at + WINDOW, -1)
+    at = np.frombuffer(positions, np.uint32).astype(np.int64)  # each start once
+    cover[at] += 1
+    cover[at + WINDOW] -= 1
     left = np.cumsum(cover[:-1]) == 0
     return len(words), len(words) - int(left.sum()), b" ".join(compress(words, left.tolist()))
 
