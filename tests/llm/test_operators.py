@@ -364,6 +364,24 @@ def test_substrings_texts_and_repeats(spark):
     assert sorted(((r.doc_id or 0, r.text) for r in out.collect()), key=str) == sorted([(1, a), (1, a), (0, a), (2, "x y"), (3, b), (3, b + " c"), (4, None)], key=str)
 
 
+def test_substrings_repeated_later_rows(spark):
+    a = " ".join(f"a{i}" for i in range(20))
+    out = substring.drop_repeated(docs_of(spark, [(1, a), (2, a), (2, a), (2, a + " z"), (3, f"{a} y")]), n_batches=3)
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == [(1, a), (2, ""), (2, ""), (2, "z"), (3, "y")]
+
+
+def test_substring_blocks():
+    rng = np.random.default_rng(4)
+    who = np.stack([rng.integers(-5, 40, 3000), rng.integers(0, 2, 3000)], 1)
+    pos = rng.integers(0, 1 << 18, 3000).astype(np.uint32)
+    for n in (1, 7):
+        rows = [dict(zip(substring._ARROW.names, r)) for r in substring._blocks(who, pos, n)]
+        assert len(rows) == len({r["bucket"] for r in rows}) <= n
+        got = list(zip(map(tuple, substring._owners(rows).tolist()), substring._positions(rows).tolist()))
+        assert len(got) == len(set(got)) and set(got) == set(zip(map(tuple, who.tolist()), pos.tolist()))
+    assert substring._blocks(who[:0], pos[:0], 3) == [] and len(substring._positions([])) == 0
+
+
 # --- 10 HTML ---
 def test_html_on_held_out_layouts():
     rng = random.Random(9)
