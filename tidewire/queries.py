@@ -472,6 +472,15 @@ QUERIES["buf_read_be"] = lambda spark, sf: table(spark, sf, "orders").where("o_o
 )
 
 
+@query("SELECT o_orderkey, CAST((o_orderkey & 4294967295) * 2 + (o_orderkey & 255) * 256 + ((o_orderkey >> 8) & 255) AS BIGINT) AS out FROM orders")
+def buf_read_all(spark, sf):
+    """The reads of buf_read_be for every order: the little-endian part takes the low 16 bits of any key."""
+    key = F.col("o_orderkey")
+    low = F.unhex(F.lpad(F.hex(key.bitwiseAND(65535)), 4, "0"))
+    out = text.unsigned_be(F.unhex(F.lpad(F.hex(key), 16, "0")), 4, 4) * 2 + text.unsigned_le(low, 0, 2)
+    return table(spark, sf, "orders").select("o_orderkey", out.alias("out"))
+
+
 @query("SELECT event_id, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS diff_us FROM events")
 def time_diff(spark, sf):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
