@@ -211,6 +211,19 @@ def test_topk(spark, size, scale):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("dim,high", [(40, 2**18), (40, 2**25)])
+def test_topk_block_prunes(dim, high):
+    """Two lists decide, so queries are pruned before all lists are read: sums below and above 2**53."""
+    rng = np.random.default_rng(dim)
+    x = rng.integers(-3, 4, (900, dim))
+    x[:, :2] = rng.integers(-high, high, (900, 2))
+    q, ids = x[:7].copy(), np.arange(900)
+    found = list(zip(*(v.tolist() for v in topk.search_block(q, ids[:7], x, ids, 5))))
+    for i in range(7):
+        brute = sorted((-sum(a * b for a, b in zip(q[i].tolist(), x[j].tolist())), j) for j in range(900) if j != i)[:5]
+        assert [(c, s) for a, c, s in found if a == i] == [(j, -s) for s, j in brute]
+
+
 # --- 5 encoding, 6 packing ---
 @pytest.fixture(scope="module")
 def library():

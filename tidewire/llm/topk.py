@@ -1,8 +1,8 @@
-"""Exact top-k search by no-random-access aggregation of sorted lists.
+"""Exact top-k search by bounded aggregation of lists, one list a component.
 
-A score is a sum over the components of a vector; each component is a list of all candidates in sorted order. A query
-reads the lists one after another, in the order of how much they can still matter, and keeps for every candidate the
-sum read so far; what the unread lists can add lies between the sums of their two ends. Once the k-th best lower bound
+A score is a sum over the components of a vector; each component is a list of all candidates. Lists are not sorted and
+not read by depth: a query reads them whole, in the order of how much they can still matter, and keeps for every
+candidate the sum read so far; what the unread lists can add lies between the sums of their two ends. Once the k-th best lower bound
 is above a candidate's upper bound, that candidate is out; when few candidates are left, their scores are resolved.
 
 Candidates are dealt in blocks of rows, queries in blocks too, and each pair of blocks is one small task unit, so that
@@ -59,7 +59,7 @@ def search_block(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndar
     high = np.maximum(qf * top, qf * bottom)[:, lists] if dim else qf
     low = np.minimum(qf * top, qf * bottom)[:, lists] if dim else qf
     seen = np.zeros((len(q), n), kind)
-    own = x_ids[None, :] == q_ids[:, None]
+    out = x_ids[None, :] == q_ids[:, None]  # candidates out of the race: own rows, later also pruned ones
     out_q, out_x, out_s = [], [], []
     alive = np.ones(len(q), bool)
     for at in range(0, dim, LISTS_A_STEP):
@@ -71,19 +71,22 @@ def search_block(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndar
         if done < dim and n > 4 * k and kind is not object:
             # bounds are the same for all candidates of a query: sum of what the unread lists can add
             more, less = high[:, done:].sum(axis=1), low[:, done:].sum(axis=1)
-            for i in np.flatnonzero(alive & (more - less < 4 * np.abs(seen).max(axis=1))):
-                s = np.where(own[i], -np.inf, seen[i])
-                kth = np.partition(s, n - k)[n - k] + less[i]
-                inside = np.flatnonzero(s + more[i] >= kth)
+            for i in np.flatnonzero(alive & (more - less < 4.0 * np.abs(seen).max(axis=1))):
+                others = np.flatnonzero(~out[i])
+                if len(others) <= k:
+                    continue
+                s = seen[i, others]
+                kth = np.partition(s, len(s) - k)[len(s) - k] + less[i]
+                inside = others[s + more[i] >= kth]
                 if len(inside) <= max(4 * k, n // 16):
                     rest = lists[done:]
-                    seen[i] = -np.inf
-                    seen[i, inside] = s[inside] + xf[np.ix_(inside, rest)] @ qf[i, rest]  # resolved
+                    seen[i, inside] += xf[np.ix_(inside, rest)] @ qf[i, rest]  # resolved
+                    out[i] = True
+                    out[i, inside] = False
                     alive[i] = False
     for i in range(len(q)):
         s = seen[i]
-        ok = ~own[i] if kind is object else ~own[i] & (s > -np.inf if kind is np.float64 else True)
-        at = np.flatnonzero(ok)
+        at = np.flatnonzero(~out[i])
         if len(at) > k and kind is not object:
             kth = np.partition(s[at], len(at) - k)[len(at) - k]
             at = at[s[at] >= kth]
