@@ -113,6 +113,14 @@ def test_files(spark, tmp_path):
     assert files.capture_stats(packets).first().bytes == 21
 
 
+def test_captures_of_a_hot_key_are_cut(spark):
+    record = F.concat(F.lit("00" * 8 + "0400000004000000"), F.lpad(F.hex("id"), 8, "0"))
+    made = files.captures(spark.range(0, 1000, 1, 3).select(F.lit(7).alias("user"), record.alias("record")), "user", 4)
+    sizes = [(len(r.content) - 24) // 20 for r in made.collect()]
+    assert max(sizes) == 16 and sum(sizes) == 1000
+    assert sorted(int.from_bytes(r.data, "big") for r in files.split_captures(made).collect()) == list(range(1000))
+
+
 def test_bloom(spark):
     sketch = spark.range(0, 2000, 2)._jdf.stat().bloomFilter("id", 1000, 0.01)
     out = spark._jvm.java.io.ByteArrayOutputStream()

@@ -11,7 +11,7 @@ from tidewire.functions import binary, text, wire
 from tidewire.operators import counters, lookup, matchers, ordered
 from tidewire.plans.rules import RuleSet, parse_source, source_text_of_rows
 from tidewire.plans.template import FUNCTIONS, Template
-from tidewire.sources.files import split_captures
+from tidewire.sources.files import captures, split_captures
 from tidewire.streaming import flows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -612,13 +612,11 @@ def http_method(spark, sf):
 
 @query("SELECT user_id, event_id FROM events")
 def pcap_scan(spark, sf):
-    """Events written as the records of a capture file a user, and read back."""
+    """Events written as the records of capture files by user, and read back."""
     little = lambda n: F.concat(*[F.substring(_hex4(n), i, 2) for i in (7, 5, 3, 1)])
     seconds = F.unix_seconds("ts")
     record = F.concat(little(seconds), little(F.lit(0)), F.lit("0800000008000000"), _hex4(F.col("user_id")), _hex4(F.col("event_id")))
-    head = "D4C3B2A1020004000000000000000000FFFF000001000000"
-    files = table(spark, sf, "events").groupBy("user_id").agg(F.unhex(F.concat(F.lit(head), F.array_join(F.collect_list(record), ""))).alias("content"))
-    p = split_captures(files)
+    p = split_captures(captures(table(spark, sf, "events").select("user_id", record.alias("record")), "user_id"))
     return p.select(text.unsigned_be(F.col("data"), 0, 4).alias("user_id"), text.unsigned_be(F.col("data"), 4, 4).alias("event_id"))
 
 

@@ -43,6 +43,17 @@ def read_pcap(spark: SparkSession, path: str) -> DataFrame:
     return split_captures(spark.read.format("binaryFile").load(path).select("content"))
 
 
+def captures(records: DataFrame, key: str, slice_bits: int = 16) -> DataFrame:
+    """Capture files (key, content) of the hex column ``record``: several a key, each of at most 2**slice_bits records.
+
+    A file takes its records from one run of 2**slice_bits rows of a partition, so a hot key is dealt to many tasks.
+    """
+    head = "D4C3B2A1020004000000000000000000FFFF000001000000"
+    sliced = records.withColumn("_slice", F.shiftright(F.monotonically_increasing_id(), slice_bits))
+    content = F.unhex(F.concat(F.lit(head), F.array_join(F.collect_list("record"), "")))
+    return sliced.groupBy(key, "_slice").agg(content.alias("content")).drop("_slice")
+
+
 def split_captures(files: DataFrame) -> DataFrame:
     """The records of whole capture files in a column ``content``."""
 
