@@ -527,6 +527,18 @@ def array_ops(spark, sf):
     return rows.select("l_orderkey", F.size("a").alias("n"), (F.array_position("a", 2) - 1).cast("int").alias("at"), F.element_at("a", -1).cast("int").alias("last"))
 
 
+_LISTS = "WITH l AS (SELECT l_orderkey, list(l_linenumber ORDER BY l_linenumber) AS a FROM lineitem GROUP BY l_orderkey) "
+
+
+@query(_LISTS + "SELECT l_orderkey, array_to_string(list_prepend(0, a), ',') AS inserted, array_to_string(list_concat([9], a[2:]), ',') AS put, array_to_string(list_filter(a, lambda x: x <> 2), ',') AS removed FROM l")
+def array_edit(spark, sf):
+    """Insert, set and remove in the list of every order."""
+    rows = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_linenumber")).alias("a"))
+    put = F.transform("a", lambda x, i: F.when(i == 0, 9).otherwise(x))
+    edits = {"inserted": F.array_insert("a", 1, F.lit(0)), "put": put, "removed": F.array_remove("a", 2)}
+    return rows.select("l_orderkey", *[F.array_join(c.cast("array<string>"), ",").alias(n) for n, c in edits.items()])
+
+
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, 2 AS n FROM events")
 def map_ops(spark, sf):
     m = F.map_concat(F.from_json("props", "map<string,long>"), F.create_map(F.lit("extra"), F.col("event_id")))
