@@ -73,6 +73,28 @@ def test_word_slices():
     assert len(set(seen.values())) == len(seen)
 
 
+def balanced(doublings=11):
+    """Two words of 2**doublings letters that collide under sums of powers modulo 2**64."""
+    flip, word = str.maketrans("ab", "ba"), "a"
+    for _ in range(doublings):
+        word += word.translate(flip)
+    return word, word.translate(flip)
+
+
+def test_word_hashes_of_balanced_and_long_words(spark):
+    a, b = balanced()
+    for seed in (0, 1):
+        spans = [w for n in (1, 7, 8, 9, 16, 255, 256, 257, 5000) for w in ("x" * n, "x" * (n - 1) + "y", "y" + "x" * (n - 1))] + [a, b]
+        part = next(words.slices(pa.array([" ".join(spans)])))
+        assert len(set(part.hashes(seed=seed).tolist())) == len(set(spans))
+    tail = " ".join(f"w{i}" for i in range(12))
+    got = {r.doc_id: r.n_removed for r in substring.removal_digest(docs_of(spark, [(1, f"{a} {tail}"), (2, f"{b} {tail}")])).collect()}
+    assert got == {1: 0, 2: 0}
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_components(docs_of(spark, [(1, f"{a} x y z q"), (2, f"{b} x y z q")])).collect()}
+    assert got == {1: 1, 2: 2}
+    assert quality.score(docs_of(spark, [(1, f"{a}\n{b}")]), None).first().n_dup_lines == 0
+
+
 # --- 1 sharding ---
 def test_sharding(spark, docs, empty):
     rows = sharding.shard_documents(docs).collect()

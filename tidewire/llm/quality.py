@@ -104,13 +104,9 @@ def base_counts(part: W.Words) -> dict[str, np.ndarray]:
     order = np.lexsort((start, row))
     start, row = start[order], row[order]
     end = end_at[np.lexsort((end_at, np.r_[np.searchsorted(at, cut, "right") - 1, np.arange(rows)]))]
-    power, inverse = W._power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(W._BYTE[data] * power[: len(data)], out=sums[1:])
     has = np.searchsorted(part.start, end) > np.searchsorted(part.start, start)
     start, end, row = start[has], end[has], row[has]
-    key = W.mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
-    key = W.mix(key + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    key = W.mix(W.span_hashes(data, start, end) + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     first = np.unique(key, return_index=True)[1]
     out["n_dup_lines"] = np.bincount(row, minlength=rows) - np.bincount(row[first], minlength=rows)
     # words in repeated 5-word windows

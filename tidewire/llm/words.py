@@ -1,11 +1,13 @@
 """Words, word hashes and word n-grams of many texts at once, over the bytes of an Arrow string column.
 
 A word is a maximal run of bytes other than 0x20 and 0x09-0x0D, as in ``[^\\x20\\x09-\\x0D]+``; a null text has
-none. Hashes have 64 bits and depend on nothing but the words.
+none. Hashes have 64 bits and depend on nothing but the bytes and a seed. A span is hashed eight bytes at a time, each
+block mixed before the next one comes in, so that no pattern of bytes cancels out; spans of over LONG bytes by BLAKE2.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,13 +16,11 @@ import pyarrow as pa
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-_rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_BYTE_LOWER = _BYTE.copy()
-_BYTE_LOWER[65:91] = _BYTE[97:123]
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = []
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Spans of more bytes are hashed one by one.
+LONG = 256
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)  # the first k bytes of a little-endian block
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,14 +30,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        _powers.clear()
-        for base in (_BASE, _BASE_INVERSE):
-            p = np.full(max(n, 1 << 16), base, np.uint64)
-            p[0] = 1
-            _powers.append(np.multiply.accumulate(p))
-    return _powers[0], _powers[1]
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash of data[start[i]:end[i]] for every i; hashes of different seeds are independent of each other."""
+    size = end - start
+    h = mix(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed * 0xA0761D64 + 1))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    block_at = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    live, at = np.flatnonzero(size <= LONG), 0
+    while len(live):
+        left = size[live] - at
+        block = block_at[start[live] + at] & _MASK[np.minimum(left, 8)]
+        h[live] = mix((h[live] ^ block) * np.uint64(0xE7037ED1A0B428DB))
+        live, at = live[left > 8], at + 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        digest = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little"))
+        h[i] = int.from_bytes(digest.digest(), "little")
+    return h
 
 
 @dataclass
@@ -60,14 +68,8 @@ class Words:
     def row_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(self.last - self.first), self.counts)
 
-    def hashes(self, lower: bool = False) -> np.ndarray:
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        power, inverse = _power_tables(len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((_BYTE_LOWER if lower else _BYTE)[self.data] * power[: len(self.data)], out=total[1:])
-        h = (total[self.end] - total[self.start]) * inverse[self.start]
-        return mix(h + (self.end - self.start).astype(np.uint64))
+    def hashes(self, lower: bool = False, seed: int = 0) -> np.ndarray:
+        return span_hashes(_LOWER[self.data] if lower else self.data, self.start, self.end, seed)
 
 
 def grams(h: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
