@@ -408,13 +408,44 @@ def test_substrings_repeated_later_rows(spark):
 def test_substring_blocks():
     rng = np.random.default_rng(4)
     who = np.stack([rng.integers(-5, 40, 3000), rng.integers(0, 2, 3000)], 1)
-    pos = rng.integers(0, 1 << 18, 3000).astype(np.uint32)
+    pos = rng.integers(0, 1 << 18, 3000)
     for n in (1, 7):
-        rows = [dict(zip(substring._ARROW.names, r)) for r in substring._blocks(who, pos, n)]
+        rows = [dict(zip(substring._ARROW.names, r)) for r in substring._by_block(who, pos, n)]
         assert len(rows) == len({r["bucket"] for r in rows}) <= n
-        got = list(zip(map(tuple, substring._owners(rows).tolist()), substring._positions(rows).tolist()))
+        got_who, got_pos = substring._windows(rows)
+        got = list(zip(map(tuple, got_who.tolist()), got_pos.tolist()))
         assert len(got) == len(set(got)) and set(got) == set(zip(map(tuple, who.tolist()), pos.tolist()))
-    assert substring._blocks(who[:0], pos[:0], 3) == [] and len(substring._positions([])) == 0
+    assert substring._by_block(who[:0], pos[:0], 3) == [] and len(substring._windows([])[1]) == 0
+
+
+def test_substring_matches_need_hash_and_check():
+    h, c = np.array([5, 5, 9], np.uint64), np.array([1, 3, 2], np.uint16)
+    assert substring._in_run(h, c, np.array([5, 5, 9, 4], np.uint64), np.array([3, 2, 2, 1], np.uint16)).tolist() == [True, False, True, False]
+
+
+def test_substring_index_stays_in_its_folder(spark, tmp_path):
+    """Five calls, each with an index opened anew, give what one call over all documents gives; compaction runs between."""
+    rows = [r for r in corpus() if r[1]]
+    folder, parts = f"file://{tmp_path}/index", []
+    docs = docs_of(spark, rows).selectExpr("doc_id", "xxhash64(text) as text_key", "text")
+    bounds = [-1, 100, 200, 300, 400, 10**6]
+    runs = []
+    for a, b in zip(bounds, bounds[1:]):
+        index = substring.FingerprintIndex(spark, folder, n_buckets=3, fanout=2)
+        parts.append(index.add(docs.where(f"doc_id > {a} and doc_id <= {b}")).groupBy("bucket").applyInArrow(substring._by_document, substring._FOUND).collect())
+        runs.append(index.runs())
+    assert runs == [[(0, 0)], [(0, 0), (1, 1)], [(0, 1), (2, 2)], [(0, 2), (3, 3)], [(0, 3), (4, 4)]]
+    found = {r.doc_id: bytes(r.stretches) for part in parts for r in part}
+    for i, t in rows:
+        n, gone, kept = substring.keep_words(t.encode(), found.get(i))
+        assert (n, gone, hashlib.sha256(kept).hexdigest()) == brute_substrings(rows)[i]
+
+
+def test_substrings_of_repetitive_and_long_texts(spark):
+    rows = [(1, "x " * 500), (2, "y " * 40 + "x " * 30 + "y " * 40), (3, "y " * 300), (4, " ".join(f"q{i % 29}" for i in range(4000))), (5, " ".join(f"q{i % 29}" for i in range(7, 3000)) + " end")]
+    rows += [(6, "z" * 300_000 + " " + " ".join(f"q{i}" for i in range(29)))]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.removal_digest(docs_of(spark, rows), 2).collect()}
+    assert got == brute_substrings(rows)
 
 
 # --- 10 HTML ---

@@ -1,46 +1,54 @@
 """Substring deduplication over 13-word windows with a log-structured fingerprint index.
 
-The index is a list of immutable runs. A run holds, by hash bucket, the sorted hashes of the windows seen so far. A new
-batch of documents is scanned once; its windows are merge-joined, bucket by bucket, with all runs and with each other,
-verified by a second hash of 16 bits, and the hashes that are new become a run of their own; once there are ``fanout`` runs they
-are compacted into one. Batches enter in the order of doc_id, so whatever a run holds comes from a smaller doc_id.
-
-Most windows of a corpus occur once. A first pass therefore marks the minimizers (the smallest of the nine 5-word
-hashes in a window) that two documents share in a map of fixed size; equal windows have equal minimizers, so a
-window whose minimizer is not marked cannot be repeated and is neither sent nor stored. The map has no false
-negatives; where it fills up it only filters less.
+The index is a folder of immutable runs, each a Parquet table. A run holds, by hash bucket, the sorted fingerprints of the
+windows that a batch of documents brought in; a window's fingerprint is a hash of 64 bits and a check of 16 bits made from
+other word hashes. A new batch is scanned once; its windows are merge-joined, bucket by bucket, with all runs and with each
+other, and a match must agree in hash and check. What is new becomes a run of its own; once there are ``fanout`` runs they
+are compacted into one. Every window is stored, whatever later batches may hold, so an index that stays in its folder can
+be opened again and fed with more documents. Batches enter in the order of doc_id: what a run holds is from a smaller one.
+
+The bucket of a window comes from the smallest of its nine 5-word hashes, which neighbouring windows mostly share: so
+stretches of neighbours travel together and name their document once. Of windows that a slice of documents holds more than
+once only the first is sent; those of larger doc_ids are repeated for certain, and those of the same text follow the first
+one's fate. So a window that is everywhere costs a row a slice.
 
 Defined cases: a word is a run of bytes other than 0x20 and 0x09-0x0D; a null text has no words; a text of under 13
-words has no windows and keeps all its words; windows repeated within one document remove nothing; repeated rows with
-one doc_id and text are one document and are treated alike, rows with one doc_id but different texts never remove each
-other's words; rows with a null doc_id neither remove nor lose words; other columns are passed on.
+words has no windows and keeps all its words; texts and words of any length are read whole; windows repeated within one
+document remove nothing; repeated rows with one doc_id and text are one document and are treated alike, rows with one
+doc_id but different texts never remove each other's words; rows with a null doc_id neither remove nor lose words; an
+empty table gives no rows; other columns are passed on.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm import words as W
-from tidewire.llm.common import SLOT_SCHEMA, cut, levels, map_bits, pack_slots, sharing_map, slot_batch
+from tidewire.llm.common import cut
+from tidewire.operators.lineage import ensure_checkpoint_dir, folders_in, remove_folder, shuffles_dropped
 
 WINDOW = 13
 SEED = 5  # words of a minimizer
-BUCKET_BYTES = 24 << 20  # text behind one bucket of the index: some four million windows at most
+BUCKET_BYTES = 12 << 20  # text behind one bucket of the index: some two million windows
+SLICE_BYTES = 8 << 20
 
-_SCHEMA = "bucket long, kind int, ids binary, counts binary, hashes binary, checks binary, positions binary"
-_ARROW = pa.schema([("bucket", pa.int64()), ("kind", pa.int32())] + [(n, pa.binary()) for n in ("ids", "counts", "hashes", "checks", "positions")])
-_FOUND = "doc_id long, text_key long, positions binary"
-_FOUND_ARROW = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("positions", pa.binary())])
-CANDIDATES, KNOWN, RUN = 0, 1, 2
+#: Rows of windows: ``ids``/``keys``/``starts``/``counts`` tell of each stretch its document, first window and length.
+_SCHEMA = "bucket long, ids binary, keys binary, starts binary, counts binary, hashes binary, checks binary, firsts binary, kind int"
+_BLOBS = ("ids", "keys", "starts", "counts", "hashes", "checks", "firsts")
+_ARROW = pa.schema([("bucket", pa.int64()), *((n, pa.binary()) for n in _BLOBS), ("kind", pa.int32())])
+_FOUND = "doc_id long, text_key long, stretches binary"
+_FOUND_ARROW = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("stretches", pa.binary())])
+#: Windows to look up; windows known to be repeated; windows that follow an earlier one of their text; sorted fingerprints.
+CANDIDATES, KNOWN, FOLLOW, RUN = 0, 1, 2, 3
 
 
 def _minimizers(h: np.ndarray) -> np.ndarray:
@@ -55,88 +63,57 @@ def _minimizers(h: np.ndarray) -> np.ndarray:
     return np.minimum(eight[:n], g[8 : 8 + n])
 
 
-def _slots_of(bits: int):
-    def run(batches):
-        for b in batches:
-            rows = []
-            for part in W.slices(b.column("text")):
-                starts = W.gram_starts(part, WINDOW)
-                if not len(starts):
-                    continue
-                slot = _minimizers(part.hashes())[starts] >> np.uint64(64 - bits)
-                key = (part.row_of_word[starts].astype(np.uint64) << np.uint64(bits)) | slot
-                key = key[np.r_[True, key[1:] != key[:-1]]]
-                rows += pack_slots(np.unique(key) & np.uint64((1 << bits) - 1))
-            if rows:
-                yield slot_batch(rows)
+# --- rows of windows -----------------------------------------------------------------------------------
+def _planes(x: np.ndarray, width: int = 4) -> bytes:
+    """Unsigned numbers, their lowest bytes first, then the next ones: the upper ones are mostly zero and compress well."""
+    return np.ascontiguousarray(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes()
 
-    return run
+
+def _from_planes(raw: bytes, width: int = 4) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel()
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """32-bit numbers, their lowest bytes first, then the next ones: the upper ones are mostly zero and compress well."""
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-
+def _edges(*columns: np.ndarray) -> np.ndarray:
+    """Where a new group of equal neighbours begins."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)
 
-def _from_planes(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
-
-def _pack(part: dict[str, np.ndarray], bucket: np.ndarray, kind: int, ids: np.ndarray) -> list[tuple]:
-    """One row for each bucket: which documents (ids: doc_id and text key), how many windows of each, and these."""
-    order = np.lexsort((part["row"], bucket))
-    bucket, row = bucket[order], part["row"][order]
-    at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else []
+def _pack(kind: int, bucket: np.ndarray, who: np.ndarray, pos: np.ndarray, hashes=None, checks=None, firsts=None) -> list[tuple]:
+    """One row for each bucket from windows in the order of bucket, document and position."""
+    if not len(bucket):
+        return []
+    step = np.arange(len(pos)) if firsts is not None else pos - np.arange(len(pos))  # followers are told one by one
+    at = _edges(bucket, who[:, 0], who[:, 1], step)
+    count = np.diff(np.r_[at, len(pos)])
+    doc, key, start = who[at, 0], who[at, 1], pos[at]
+    row = _edges(bucket[at])
     out = []
-    for i, j in zip(at, np.r_[at[1:], len(bucket)] if len(bucket) else []):
-        i, j = int(i), int(j)
-        own, n = np.unique(row[i:j], return_counts=True)
-        o = order[i:j]
-        out.append(
-            (int(bucket[i]), kind, ids[own].tobytes(), n.astype(np.uint32).tobytes(), part["hash"][o].tobytes() if kind == CANDIDATES else None,
-             part["check"][o].tobytes() if kind == CANDIDATES else None, _planes(part["pos"][o]))
-        )
+    for i, j in zip(row.tolist(), [*row[1:].tolist(), len(at)]):
+        a, b = int(at[i]), int(at[j]) if j < len(at) else len(pos)
+        low = doc[i:j].min()
+        ids = low.tobytes() + _planes((doc[i:j] - low).view(np.uint64), 8)
+        more = [c[a:b].tobytes() if c is not None else None for c in (hashes, checks)]
+        out.append((int(bucket[a]), ids, key[i:j].tobytes(), _planes(start[i:j]), _planes(count[i:j]), *more, _planes(firsts[a:b]) if firsts is not None else None, kind))
     return out
 
 
-def _candidates(shared: Broadcast, bits: int, n_buckets: int):
-    """Windows of each batch that may be repeated. Within a slice only the smallest doc_id's occurrence is sent to be
-    compared; the others are known to be repeated at once, so a window that is everywhere costs a row a slice."""
-
-    def run(batches):
-        for b in batches:
-            doc = np.asarray(b.column("doc_id"))
-            key = np.asarray(b.column("text_key"))
-            for part in W.slices(b.column("text")):
-                starts = W.gram_starts(part, WINDOW)
-                if not len(starts):
-                    continue
-                h = part.hashes()
-                starts = starts[levels(shared.value, _minimizers(h)[starts] >> np.uint64(64 - bits)) > 0]
-                row = part.row_of_word[starts]
-                ids = np.stack([doc[part.first : part.last], key[part.first : part.last]], 1)
-                full = W.grams(h, WINDOW)[starts]
-                check = (W.grams(h, WINDOW, salt=9)[starts] >> np.uint64(48)).astype(np.uint16)
-                pos = starts - part.row_start[row]
-                owner = ids[row, 0]
-                order = np.lexsort((owner, check, full))
-                same = np.r_[False, (full[order][1:] == full[order][:-1]) & (check[order][1:] == check[order][:-1])]
-                first = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-                known = np.zeros(len(order), bool)
-                known[order] = same & (owner[order] > owner[order][first])
-                got = {"row": row, "hash": full, "check": check, "pos": pos}
-                sent = {k: v[~known] for k, v in got.items()}
-                rows = _pack(sent, (sent["hash"] >> np.uint64(33)).astype(np.int64) % n_buckets, CANDIDATES, ids)
-                later = {k: v[known] for k, v in got.items()}
-                rows += _pack(later, later["row"] % n_buckets, KNOWN, ids)
-                if rows:
-                    yield _batch(rows)
-
-    return run
+def _windows(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """(document: doc_id and text key, position) of every window of the rows."""
+    if not rows:
+        return np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
+    doc = np.concatenate([np.frombuffer(r["ids"], np.int64, 1) + _from_planes(r["ids"][8:], 8).view(np.int64) for r in rows])
+    key = np.concatenate([np.frombuffer(r["keys"], np.int64) for r in rows])
+    start = np.concatenate([_from_planes(r["starts"]) for r in rows]).astype(np.int64)
+    count = np.concatenate([_from_planes(r["counts"]) for r in rows]).astype(np.int64)
+    inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return np.repeat(np.stack([doc, key], 1), count, axis=0), np.repeat(start, count) + inside
 
 
 def _column(rows: list[dict], name: str, kind) -> np.ndarray:
@@ -144,21 +121,31 @@ def _column(rows: list[dict], name: str, kind) -> np.ndarray:
     return np.concatenate(own) if own else np.zeros(0, kind)
 
 
-def _owners(rows: list[dict]) -> np.ndarray:
-    return np.repeat(_column(rows, "ids", np.int64).reshape(-1, 2), _column(rows, "counts", np.uint32), axis=0)
+def _by_block(who: np.ndarray, pos: np.ndarray, n_blocks: int, kind: int = KNOWN, firsts: np.ndarray | None = None) -> list[tuple]:
+    """Windows as rows of whole blocks of documents, each once, so that rows do not grow with the documents of a bucket."""
+    block = (W.mix((who[:, 0] ^ who[:, 1]).view(np.uint64)) >> np.uint64(33)).astype(np.int64) % n_blocks
+    order = np.lexsort((pos, who[:, 1], who[:, 0], block))
+    who, pos, block = who[order], pos[order], block[order]
+    once = _edges(who[:, 0], who[:, 1], pos)
+    return _pack(kind, block[once], who[once], pos[once], firsts=firsts[order][once] if firsts is not None else None)
 
 
-def _positions(rows: list[dict]) -> np.ndarray:
-    own = [_from_planes(r["positions"]) for r in rows]
-    return np.concatenate(own) if own else np.zeros(0, np.uint32)
+# --- runs ----------------------------------------------------------------------------------------------
+def _run_row(bucket: int, h: np.ndarray, c: np.ndarray) -> tuple:
+    """A sorted run: the steps between neighbouring hashes, whose upper bytes are zero, and the checks."""
+    return (bucket, None, None, None, None, _planes(np.diff(h, prepend=np.uint64(0)), 8), c.tobytes(), None, RUN)
 
 
-def _equal_in(run_h: np.ndarray, run_c: np.ndarray, h: np.ndarray, c: np.ndarray) -> np.ndarray:
+def _run_arrays(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(_from_planes(row["hashes"], 8), dtype=np.uint64), np.frombuffer(row["checks"], np.uint16)
+
+
+def _in_run(run_h: np.ndarray, run_c: np.ndarray, h: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Which (h, c) occur in a run sorted by (h, c)."""
+    found = np.zeros(len(h), bool)
     if not len(run_h):
-        return np.zeros(len(h), bool)
+        return found
     at = np.searchsorted(run_h, h)
-    found = np.zeros(len(h), bool)
     live = np.arange(len(h))
     while len(live):  # equal hashes with unequal checks stand side by side
         i = at[live]
@@ -169,134 +156,212 @@ def _equal_in(run_h: np.ndarray, run_c: np.ndarray, h: np.ndarray, c: np.ndarray
     return found
 
 
-def _blocks(who: np.ndarray, pos: np.ndarray, n_blocks: int) -> list[tuple]:
-    """Window starts of documents as rows of whole blocks of documents, so that their number does not grow with the
-    documents of a bucket; each start once."""
-    if not len(who):
-        return []
-    block = (W.mix((who[:, 0] ^ who[:, 1]).view(np.uint64)) >> np.uint64(33)).astype(np.int64) % n_blocks
-    order = np.lexsort((pos, who[:, 1], who[:, 0], block))
-    who, pos, block = who[order], pos[order], block[order]
-    other = np.r_[True, (who[1:] != who[:-1]).any(axis=1)]
-    once = other | np.r_[True, pos[1:] != pos[:-1]]
-    who, pos, block, other = who[once], pos[once], block[once], other[once]
-    doc_at = np.flatnonzero(other)
-    doc_n = np.diff(np.r_[doc_at, len(who)]).astype(np.uint32)
-    at = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-    ends = np.r_[at[1:], len(who)]
-    out = []
-    for i, j, a, b in zip(at.tolist(), ends.tolist(), np.searchsorted(doc_at, at).tolist(), np.searchsorted(doc_at, ends).tolist()):
-        out.append((int(block[i]), KNOWN, np.ascontiguousarray(who[doc_at[a:b]]).tobytes(), doc_n[a:b].tobytes(), None, None, _planes(pos[i:j])))
-    return out
+def _order(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Order by (h, c): by h alone unless equal hashes differ in their checks."""
+    order = np.argsort(h, kind="stable")
+    a, b = h[order], c[order]
+    return np.lexsort((c, h)) if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any() else order
+
+
+def _candidates(n_buckets: int):
+    """Rows of the windows of a batch: to be looked up, known to be repeated, or following another one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = np.stack([np.asarray(b.column("doc_id")), np.asarray(b.column("text_key"))], 1)
+            for part in W.slices(b.column("text"), SLICE_BYTES):
+                starts = W.gram_starts(part, WINDOW)
+                if not len(starts):
+                    continue
+                h = part.hashes()
+                bucket = (_minimizers(h)[starts] >> np.uint64(20)).astype(np.int64) % n_buckets
+                full = W.grams(h, WINDOW)[starts]
+                check = (W.grams(part.hashes(seed=1), WINDOW, salt=9)[starts] >> np.uint64(48)).astype(np.uint16)
+                row = part.row_of_word[starts]
+                who, pos = ids[part.first : part.last][row], starts - part.row_start[row]
+                # groups of equal windows, in the order of the slice; the first is that of the smallest doc_id
+                order = _order(full, check)
+                at = _edges(full[order], check[order])
+                size = np.diff(np.r_[at, len(order)])
+                sent = np.ones(len(order), bool)
+                rows: list[tuple] = []
+                if (size > 1).any():
+                    several = order[np.repeat(size > 1, size)]
+                    group = np.repeat(np.arange(int((size > 1).sum())), size[size > 1])
+                    several = several[np.lexsort((pos[several], who[several, 1], who[several, 0], group))]
+                    first = several[_edges(group)][group]
+                    later = who[several, 0] > who[first, 0]
+                    same = (several != first) & (who[several] == who[first]).all(axis=1)
+                    sent[several[later | same]] = False
+                    rows += _by_block(who[several[later]], pos[several[later]], n_buckets)
+                    rows += _by_block(who[several[same]], pos[several[same]], n_buckets, FOLLOW, pos[first[same]])
+                kept = np.flatnonzero(sent)
+                kept = kept[np.argsort(bucket[kept], kind="stable")]
+                rows += _pack(CANDIDATES, bucket[kept], who[kept], pos[kept], full[kept], check[kept])
+                if rows:
+                    yield _batch(rows)
+
+    return run
 
 
 def _merge_join(n_blocks: int):
     def join(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One bucket: the batch's windows against every run and against each other; what repeats, and the new run."""
-        rows = [r for b in batches for r in b.to_pylist()]
-        runs = [r for r in rows if r["kind"] == RUN]
-        new = [r for r in rows if r["kind"] == CANDIDATES]
-        known = [r for r in rows if r["kind"] == KNOWN]
-        del rows
-        h, c, pos = _column(new, "hashes", np.uint64), _column(new, "checks", np.uint16), _positions(new)
-        who = _owners(new)
+        new, runs = [], []
+        for b in batches:
+            for r in b.to_pylist():
+                if r["kind"] in (KNOWN, FOLLOW):  # decided in the scan: on to the documents
+                    yield _batch([tuple(r[n] for n in _ARROW.names)])
+                else:
+                    (runs if r["kind"] == RUN else new).append(r)
+        h, c = _column(new, "hashes", np.uint64), _column(new, "checks", np.uint16)
+        who, pos = _windows(new)
         new.clear()
-        order = np.lexsort((who[:, 0], c, h))
-        h, c, pos, who = h[order], c[order], pos[order], who[order]
-        starts = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])] if len(h) else np.zeros(0, bool)
-        first = np.maximum.accumulate(np.where(starts, np.arange(len(h)), 0)) if len(h) else np.zeros(0, np.int64)
-        old = np.zeros(int(starts.sum()), bool)
-        for r in runs:
-            old |= _equal_in(np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["checks"], np.uint16), h[starts], c[starts])
-        group = np.cumsum(starts) - 1
-        again = old[group] | (who[:, 0] > who[first, 0]) if len(h) else np.zeros(0, bool)
-        yield _batch([(key[0].as_py(), RUN, None, None, h[starts][~old].tobytes(), c[starts][~old].tobytes(), None)])
-        found = _blocks(np.concatenate([who[again], _owners(known)]), np.concatenate([pos[again], _positions(known)]), n_blocks)
-        if found:
-            yield _batch(found)
+        order = _order(h, c)
+        h, c, who, pos = h[order], c[order], who[order], pos[order]
+        at = _edges(h, c)
+        size = np.diff(np.r_[at, len(h)])
+        old = np.zeros(len(at), bool)
+        while runs:
+            old |= _in_run(*_run_arrays(runs.pop()), h[at], c[at])
+        if len(at):
+            again = np.repeat(old, size) | (who[:, 0] > np.repeat(np.minimum.reduceat(who[:, 0], at), size))
+            found = _by_block(who[again], pos[again], n_blocks)
+            if found:
+                yield _batch(found)
+        yield _batch([_run_row(key[0].as_py(), h[at[~old]], c[at[~old]])])
 
     return join
 
 
 def _compact(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    runs = [r for b in batches for r in b.to_pylist()]
-    h, c = _column(runs, "hashes", np.uint64), _column(runs, "checks", np.uint16)
-    order = np.lexsort((c, h))
-    yield _batch([(key[0].as_py(), RUN, None, None, h[order].tobytes(), c[order].tobytes(), None)])
+    runs = [_run_arrays(r) for b in batches for r in b.to_pylist()]
+    h, c = np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs])
+    order = _order(h, c)
+    yield _batch([_run_row(key[0].as_py(), h[order], c[order])])
 
 
 def _by_document(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One block of documents: a row for each, with the starts of its repeated windows."""
+    """One block of documents: a row for each, with (start, count) of its stretches of repeated windows."""
     rows = [r for b in batches for r in b.to_pylist()]
-    for block in _blocks(_owners(rows), _positions(rows), 1):
-        ids, ends = np.frombuffer(block[2], np.int64).reshape(-1, 2), np.cumsum(np.frombuffer(block[3], np.uint32).astype(np.int64)).tolist()
-        pos = _from_planes(block[6])
-        own = [pos[i:j].tobytes() for i, j in zip([0, *ends], ends)]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array(own, pa.binary())], schema=_FOUND_ARROW)
+    who, pos = _windows([r for r in rows if r["kind"] == KNOWN])
+    follow = [r for r in rows if r["kind"] == FOLLOW]
+    if follow and len(pos):
+        f_who, f_pos = _windows(follow)
+        firsts = np.concatenate([_from_planes(r["firsts"]) for r in follow]).astype(np.int64)
+        # what follows a repeated window is repeated: look (document, first) up among the repeated ones
+        order = np.lexsort((np.r_[np.zeros(len(pos), np.int8), np.ones(len(firsts), np.int8)], np.r_[pos, firsts], np.r_[who[:, 1], f_who[:, 1]], np.r_[who[:, 0], f_who[:, 0]]))
+        all_who, all_pos = np.concatenate([who, f_who])[order], np.r_[pos, firsts][order]
+        at = _edges(all_who[:, 0], all_who[:, 1], all_pos)
+        hit = np.repeat(order[at] < len(pos), np.diff(np.r_[at, len(order)]))
+        also = order[hit & (order >= len(pos))] - len(pos)
+        who, pos = np.concatenate([who, f_who[also]]), np.r_[pos, f_pos[also]]
+    if not len(pos):
+        return
+    packed = _by_block(who, pos, 1)[0]
+    r = dict(zip(_ARROW.names, packed))
+    doc = np.frombuffer(r["ids"], np.int64, 1) + _from_planes(r["ids"][8:], 8).view(np.int64)
+    own = np.frombuffer(r["keys"], np.int64)
+    pairs = np.stack([_from_planes(r["starts"]), _from_planes(r["counts"])], 1)
+    at = _edges(doc, own)
+    parts = [pairs[i:j].tobytes() for i, j in zip(at.tolist(), [*at[1:].tolist(), len(doc)])]
+    yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(own[at]), pa.array(parts, pa.binary())], schema=_FOUND_ARROW)
 
 
 class FingerprintIndex:
-    """Sorted runs of window hashes; ``add`` joins a batch with them and returns its repeated windows."""
-
-    def __init__(self, n_buckets: int, shared: Broadcast, bits: int, fanout: int = 3):
-        self.n_buckets, self.shared, self.bits, self.fanout = n_buckets, shared, bits, fanout
-        self.runs: list[DataFrame] = []
-
-    def add(self, docs: DataFrame, last: bool = False) -> DataFrame:
-        """Starts of the windows of ``docs`` seen in an earlier document, packed by blocks of documents.
-
-        After the ``last`` batch nothing is looked up any more, so its run is not kept.
-        """
-        if len(self.runs) >= self.fanout:
-            self.runs = [cut(reduce(DataFrame.unionByName, self.runs).groupBy("bucket").applyInArrow(_compact, _SCHEMA))]
-        rows = docs.mapInArrow(_candidates(self.shared, self.bits, self.n_buckets), _SCHEMA)
-        for run in self.runs:
-            rows = rows.unionByName(run)
-        found = rows.groupBy("bucket").applyInArrow(_merge_join(self.n_buckets), _SCHEMA)
-        found = cut(found.where(F.col("kind") == KNOWN) if last else found)
-        if not last:
-            self.runs.append(found.where(F.col("kind") == RUN))
-        return found.where(F.col("kind") == KNOWN).select("bucket", "ids", "counts", "positions")
-
-
-def repeated_windows(docs: DataFrame, n_batches: int = 2) -> DataFrame:
-    """(doc_id, text_key, positions: uint32 starts) of the documents that repeat windows of smaller doc_ids."""
-    known = docs.where("doc_id is not null and text is not null")
+    """Sorted runs of window fingerprints in ``folder``; ``add`` joins a batch with them and returns its repeated windows.
+
+    A folder that holds runs is gone on with (its number of buckets stays). A run named ``run-a-b`` covers batches a to b
+    and replaces every run inside that span, so an index whose compaction was broken off reads right.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, n_buckets: int = 64, fanout: int = 3):
+        self.spark, self.folder, self.fanout = spark, folder, fanout
+        known = [n for n in folders_in(spark, folder) if n.startswith("buckets-")]
+        self.n_buckets = int(known[0].split("-")[1]) if known else n_buckets
+        self.at = f"{folder}/buckets-{self.n_buckets}"
+
+    def runs(self) -> list[tuple[int, int]]:
+        """(first batch, last batch) of every live run, oldest first."""
+        spans = []
+        for n in folders_in(self.spark, self.at):
+            if n.startswith("run-") and "_SUCCESS" in (inside := folders_in(self.spark, f"{self.at}/{n}")) and f"kind={RUN}" in inside:
+                spans.append(tuple(map(int, n.split("-")[1:])))
+        return sorted(s for s in spans if not any(t != s and t[0] <= s[0] and s[1] <= t[1] for t in spans))
+
+    def _folder(self, span: tuple[int, int]) -> str:
+        return f"{self.at}/run-{span[0]:06d}-{span[1]:06d}"
+
+    def _write(self, rows: DataFrame, span: tuple[int, int]) -> None:
+        with shuffles_dropped(self.spark):
+            rows.write.mode("overwrite").partitionBy("kind").option("compression", "zstd").parquet(self._folder(span))
+
+    def _read(self, span: tuple[int, int], kind: int) -> DataFrame:
+        return self.spark.read.schema(_SCHEMA).parquet(self._folder(span)).where(F.col("kind") == kind)
+
+    def compact(self) -> None:
+        """Merge all runs into one."""
+        spans = self.runs()
+        if len(spans) > 1:
+            runs = reduce(DataFrame.unionByName, [self._read(s, RUN) for s in spans])
+            self._write(runs.groupBy("bucket").applyInArrow(_compact, _SCHEMA), (spans[0][0], spans[-1][1]))
+            for s in spans:
+                remove_folder(self.spark, f"{self._folder(s)}/kind={RUN}")
+
+    def add(self, docs: DataFrame) -> DataFrame:
+        """Windows of ``docs(doc_id, text_key, text)`` seen in an earlier document, packed by blocks of documents."""
+        if len(self.runs()) >= self.fanout:
+            self.compact()
+        spans = self.runs()
+        last = max((s[1] for s in spans), default=-1) + 1
+        rows = docs.mapInArrow(_candidates(self.n_buckets), _SCHEMA)
+        for s in spans:
+            rows = rows.unionByName(self._read(s, RUN))
+        self._write(rows.groupBy("bucket").applyInArrow(_merge_join(self.n_buckets), _SCHEMA), (last, last))
+        return self._read((last, last), KNOWN).unionByName(self._read((last, last), FOLLOW))
+
+    def remove(self) -> None:
+        remove_folder(self.spark, self.folder)
+
+
+def repeated_windows(docs: DataFrame, n_batches: int = 4, fanout: int = 2) -> DataFrame:
+    """(doc_id, text_key, stretches) of the documents that repeat windows of smaller doc_ids: uint32 (start, count) pairs."""
+    spark = docs.sparkSession
+    known = docs.where("doc_id is not null and text is not null").select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text"
+    )
     stat = known.agg(F.sum(F.octet_length("text")).alias("bytes"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
-    size = stat.bytes or 0
-    bits = map_bits(size // 30)
-    shared = sharing_map(known.select("text").mapInArrow(_slots_of(bits), SLOT_SCHEMA), bits)
-    index = FingerprintIndex(max(4, -(-size // BUCKET_BYTES)), shared, bits)
-    keyed = known.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    low, high = (stat.low or 0), (stat.high or 0)
-    bounds = [low + (high + 1 - low) * i // n_batches for i in range(n_batches + 1)]
+    if stat.low is None:
+        return spark.createDataFrame([], _FOUND)
+    folder = f"{ensure_checkpoint_dir(spark)}/substring-index-{uuid.uuid4().hex}"
+    index = FingerprintIndex(spark, folder, max(32, -(-stat.bytes // BUCKET_BYTES)), fanout)
+    bounds = [stat.low + (stat.high + 1 - stat.low) * i // n_batches for i in range(n_batches + 1)]
     ranges = [(a, b) for a, b in zip(bounds, bounds[1:]) if a < b]
-    parts = [index.add(keyed.where((F.col("doc_id") >= a) & (F.col("doc_id") < b)), last=(a, b) == ranges[-1]) for a, b in ranges]
-    shared.destroy()  # all that used it is written
-    if not parts:
-        return docs.sparkSession.createDataFrame([], _FOUND)
-    return reduce(DataFrame.unionByName, parts).groupBy("bucket").applyInArrow(_by_document, _FOUND)
+    parts = [index.add(known.where((F.col("doc_id") >= a) & (F.col("doc_id") < b))) for a, b in ranges]
+    found = cut(reduce(DataFrame.unionByName, parts).groupBy("bucket").applyInArrow(_by_document, _FOUND))
+    index.remove()
+    return found
 
 
-def keep_words(text: bytes, positions: bytes | None) -> tuple[int, int, bytes]:
+def keep_words(text: bytes, stretches: bytes | None) -> tuple[int, int, bytes]:
     """(words, words removed, kept words joined by a space)."""
     words = text.split()
-    if not positions:
+    if not stretches:
         return len(words), 0, b" ".join(words)
     cover = np.zeros(len(words) + 1, np.int32)
-    at = np.frombuffer(positions, np.uint32).astype(np.int64)  # each start once
-    cover[at] += 1
-    cover[at + WINDOW] -= 1
+    start, count = np.frombuffer(stretches, np.uint32).astype(np.int64).reshape(-1, 2).T  # no two stretches touch
+    np.add.at(cover, start, 1)
+    np.add.at(cover, start + count - 1 + WINDOW, -1)
     left = np.cumsum(cover[:-1]) == 0
     return len(words), len(words) - int(left.sum()), b" ".join(compress(words, left.tolist()))
 
 
-def _with_positions(docs: DataFrame, n_batches: int) -> DataFrame:
-    found = repeated_windows(docs, n_batches).withColumnsRenamed({"doc_id": "_found_id", "text_key": "_found_key", "positions": "_found"})
+def _with_stretches(docs: DataFrame, n_batches: int) -> DataFrame:
+    found = repeated_windows(docs, n_batches).withColumnsRenamed({"doc_id": "_found_id", "text_key": "_found_key", "stretches": "_found"})
     return docs.join(found, (F.col("doc_id") == F.col("_found_id")) & (F.xxhash64("text") == F.col("_found_key")), "left").drop("_found_id", "_found_key")
 
 
-def removal_digest(docs: DataFrame, n_batches: int = 2) -> DataFrame:
+def removal_digest(docs: DataFrame, n_batches: int = 4) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row of ``docs(doc_id, text)``."""
 
     def run(batches):
@@ -307,10 +372,10 @@ def removal_digest(docs: DataFrame, n_batches: int = 2) -> DataFrame:
                  pa.array([hashlib.sha256(g[2]).hexdigest() for g in got], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"]
             )
 
-    return _with_positions(docs.select("doc_id", "text"), n_batches).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _with_stretches(docs.select("doc_id", "text"), n_batches).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def drop_repeated(docs: DataFrame, n_batches: int = 2) -> DataFrame:
+def drop_repeated(docs: DataFrame, n_batches: int = 4) -> DataFrame:
     """The rows and columns of ``docs``; a text that loses words becomes its kept words joined by one space."""
     names = docs.columns
     at = names.index("text")
@@ -322,4 +387,4 @@ def drop_repeated(docs: DataFrame, n_batches: int = 2) -> DataFrame:
             arrays = [pa.array(new, pa.string()) if i == at else b.column(i) for i in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return _with_positions(docs, n_batches).mapInArrow(run, docs.schema)
+    return _with_stretches(docs, n_batches).mapInArrow(run, docs.schema)
