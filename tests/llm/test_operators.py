@@ -166,18 +166,44 @@ def test_similarity_join_of_many_near_copies(spark):
     assert {(r.doc_id, r.component_id) for r in with_null} == {(None, None), (1, 1)}
 
 
-def test_prefix_tree_probe():
+def test_prefix_tree_walk():
+    """Sets that come in order, as paths of their tree, against one of them; shingles of one set alone only count in n."""
     rng = np.random.default_rng(4)
     x = np.sort(rng.choice(5000, 300, replace=False).astype(np.uint64))
     others = []
     for share in np.linspace(0.5, 1, 40):
         keep = rng.random(300) < share
         others.append(np.unique(np.r_[x[keep], rng.choice(9000, rng.integers(1, 60)).astype(np.uint64)]))
-    want = []
-    for y in others:
-        both = len(np.intersect1d(x, y))
-        want.append(100 * both >= 80 * (len(x) + len(y) - both))
-    assert ngram_join.probe(x, others) == want and any(want) and not all(want)
+    others.sort(key=lambda y: y.astype(">u8").tobytes())
+    for extra in (0, 9):
+        want = []
+        for y in others:
+            both = len(np.intersect1d(x, y))
+            want.append(100 * both >= 80 * (len(x) + extra + len(y) - both))
+        walk = ngram_join.Walk(x, len(x) + extra)
+        assert [walk.reaches(y, len(y)) for y in others] == want and any(want) and not all(want)
+
+
+def test_similarity_join_of_texts_made_of_common_passages(spark):
+    """Prefixes of very common shingles, pairs below and above the bound, cut into chunks of few documents."""
+    rng = random.Random(5)
+    passages = [" ".join(f"p{k}x{i}" for i in range(12)) for k in range(14)]
+    parts = [rng.sample(range(14), rng.choice([6, 9, 11, 12])) for _ in range(120)]
+    rows = [(i, " ".join(passages[k] for k in (sorted(p) if i % 3 else p))) for i, p in enumerate(parts)] + [(500, passages[0]), (501, passages[0] + " end")]
+    before = ngram_join.HUB_CHUNK, ngram_join.PAIR_CHUNK
+    ngram_join.HUB_CHUNK, ngram_join.PAIR_CHUNK = 3, 3
+    try:
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_components(docs_of(spark, rows)).collect()}
+    finally:
+        ngram_join.HUB_CHUNK, ngram_join.PAIR_CHUNK = before
+    want = brute_components(rows)
+    assert got == want and 20 < len({c for _, c in want.values()}) < 115
+
+
+def test_similarity_join_of_texts_under_one_id(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similar_components(docs_of(spark, [(5, a), (5, b), (7, a), (6, b + " x"), (9, "z " * 9), (5, a)])).collect()}
+    assert got == {(5, 26, 5), (7, 26, 5), (6, 27, 5), (9, 1, 9)}
 
 
 def test_components(spark):

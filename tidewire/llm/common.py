@@ -1,12 +1,8 @@
-"""Helpers shared by the corpus operators: tables, connected components, sharing maps."""
+"""Helpers shared by the corpus operators: tables, connected components, packed rows."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,79 +42,29 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
 
 
-# --- sharing maps ------------------------------------------------------------------------------------
-# In how many documents a hash may occur, by slot (the hash's top bits). A map has a fixed number of slots and tells at
-# least the true level: two hashes in one slot only raise it.
-BLOCK_BITS = 20
-_SUB = 1 << (BLOCK_BITS - 16)  # a block's slots are written as 16 runs of 16-bit numbers
-
-
-def map_bits(n_items: int, most: int = 28) -> int:
-    """Slots as a power of two: eight an item, at least one block, at most 2**most (a fixed bound)."""
-    return int(min(most, max(BLOCK_BITS, np.ceil(np.log2(max(1, n_items) * 8)))))
-
-
-def _sixteens(low: np.ndarray) -> bytes:
-    runs = np.bincount(low >> np.uint32(16), minlength=_SUB).astype(np.uint32)
-    return runs.tobytes() + (low & np.uint32(0xFFFF)).astype(np.uint16).tobytes()
-
-
-def pack_slots(slots: np.ndarray) -> list[tuple[int, bytes, bytes, int]]:
-    """(block, slots, slots of several documents, most documents of one) rows; each (document, slot) comes in once."""
-    if not len(slots):
-        return []
-    s, n = np.unique(slots, return_counts=True)
-    block = (s >> np.uint64(BLOCK_BITS)).astype(np.int64)
-    low = (s & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.uint32)
-    at = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-    out = []
-    for i, j in zip(at, np.r_[at[1:], len(block)]):
-        several = n[i:j] > 1
-        many = _sixteens(low[i:j][several]) + np.minimum(n[i:j][several], 65535).astype(np.uint16).tobytes() if several.any() else None
-        out.append((int(block[i]), _sixteens(low[i:j][~several]), many))
-    return out
-
-
-SLOT_SCHEMA = "block long, once binary, several binary"
-SLOT_ARROW = pa.schema([("block", pa.int64()), ("once", pa.binary()), ("several", pa.binary())])
-
-
-def slot_batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), SLOT_ARROW)], schema=SLOT_ARROW)
+# --- packed rows ---------------------------------------------------------------------------------------
+def planes(x: np.ndarray, width: int = 4) -> bytes:
+    """Unsigned numbers, their lowest bytes first, then the next ones: the upper ones are mostly zero and compress well."""
+    return np.ascontiguousarray(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes()
 
 
-def _slots_in(payload: bytes) -> tuple[np.ndarray, bytes]:
-    runs = np.frombuffer(payload, np.uint32, _SUB)
-    n = int(runs.sum())
-    low = np.frombuffer(payload, np.uint16, n, 4 * _SUB).astype(np.uint32)
-    return low | (np.repeat(np.arange(_SUB, dtype=np.uint32), runs) << np.uint32(16)), payload[4 * _SUB + 2 * n :]
+def from_planes(raw: bytes, width: int = 4) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel()
 
 
-def _count_block(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents by slot of one block, as two bits a slot: under 2, under 16, under 256, more."""
-    count = np.zeros(1 << BLOCK_BITS, np.uint32)
-    for b in batches:
-        for once, several in zip(b.column("once").to_pylist(), b.column("several").to_pylist()):
-            count[_slots_in(once)[0]] += 1
-            if several:
-                low, rest = _slots_in(several)
-                count[low] += np.frombuffer(rest, np.uint16)
-    level = np.searchsorted([2, 16, 256], count, "right").astype(np.uint8).reshape(-1, 4)
-    packed = level[:, 0] | level[:, 1] << 2 | level[:, 2] << 4 | level[:, 3] << 6
-    yield slot_batch([(key[0].as_py(), packed.tobytes(), None)])
+def pack_ids(ids: np.ndarray) -> bytes:
+    """64-bit numbers as planes of what they are above the smallest, which stands in front."""
+    low = ids.min()
+    return low.tobytes() + planes((ids - low).view(np.uint64), 8)
 
 
-def sharing_map(slots: DataFrame, bits: int) -> Broadcast:
-    """Broadcast of the levels (0 to 3) of 2**bits slots: at most 64 MiB for 2**28, whatever the size of the corpus."""
-    blocks = cut(slots.groupBy("block").applyInArrow(_count_block, SLOT_SCHEMA))
-    rows = blocks.select("block", "once").coalesce(4).toLocalIterator()  # a quarter of the map at a time
-    whole = np.zeros(1 << (bits - 2), np.uint8)
-    step = 1 << (BLOCK_BITS - 2)
-    for r in rows:
-        whole[r.block * step : (r.block + 1) * step] = np.frombuffer(r.once, np.uint8)
-    return slots.sparkSession.sparkContext.broadcast(whole)
+def unpack_ids(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.int64, 1) + from_planes(raw[8:], 8).view(np.int64)
 
 
-def levels(shared: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    s = slots.astype(np.int64)
-    return (shared[s >> 2] >> ((s & 3) << 1).astype(np.uint8)) & 3
+def edges(*columns: np.ndarray) -> np.ndarray:
+    """Where a new group of equal neighbours begins."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)

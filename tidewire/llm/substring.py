@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm import words as W
-from tidewire.llm.common import cut
+from tidewire.llm.common import cut, edges, from_planes, pack_ids, planes, unpack_ids
 from tidewire.operators.lineage import ensure_checkpoint_dir, folders_in, remove_folder, shuffles_dropped
 
 WINDOW = 13
@@ -64,43 +64,24 @@ def _minimizers(h: np.ndarray) -> np.ndarray:
 
 
 # --- rows of windows -----------------------------------------------------------------------------------
-def _planes(x: np.ndarray, width: int = 4) -> bytes:
-    """Unsigned numbers, their lowest bytes first, then the next ones: the upper ones are mostly zero and compress well."""
-    return np.ascontiguousarray(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes()
-
-
-def _from_planes(raw: bytes, width: int = 4) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel()
-
-
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
 
 
-def _edges(*columns: np.ndarray) -> np.ndarray:
-    """Where a new group of equal neighbours begins."""
-    new = np.ones(len(columns[0]), bool)
-    if len(new):
-        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
-    return np.flatnonzero(new)
-
-
 def _pack(kind: int, bucket: np.ndarray, who: np.ndarray, pos: np.ndarray, hashes=None, checks=None, firsts=None) -> list[tuple]:
     """One row for each bucket from windows in the order of bucket, document and position."""
     if not len(bucket):
         return []
     step = np.arange(len(pos)) if firsts is not None else pos - np.arange(len(pos))  # followers are told one by one
-    at = _edges(bucket, who[:, 0], who[:, 1], step)
+    at = edges(bucket, who[:, 0], who[:, 1], step)
     count = np.diff(np.r_[at, len(pos)])
     doc, key, start = who[at, 0], who[at, 1], pos[at]
-    row = _edges(bucket[at])
+    row = edges(bucket[at])
     out = []
     for i, j in zip(row.tolist(), [*row[1:].tolist(), len(at)]):
         a, b = int(at[i]), int(at[j]) if j < len(at) else len(pos)
-        low = doc[i:j].min()
-        ids = low.tobytes() + _planes((doc[i:j] - low).view(np.uint64), 8)
         more = [c[a:b].tobytes() if c is not None else None for c in (hashes, checks)]
-        out.append((int(bucket[a]), ids, key[i:j].tobytes(), _planes(start[i:j]), _planes(count[i:j]), *more, _planes(firsts[a:b]) if firsts is not None else None, kind))
+        out.append((int(bucket[a]), pack_ids(doc[i:j]), key[i:j].tobytes(), planes(start[i:j]), planes(count[i:j]), *more, planes(firsts[a:b]) if firsts is not None else None, kind))
     return out
 
 
@@ -108,10 +89,10 @@ def _windows(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     """(document: doc_id and text key, position) of every window of the rows."""
     if not rows:
         return np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
-    doc = np.concatenate([np.frombuffer(r["ids"], np.int64, 1) + _from_planes(r["ids"][8:], 8).view(np.int64) for r in rows])
+    doc = np.concatenate([unpack_ids(r["ids"]) for r in rows])
     key = np.concatenate([np.frombuffer(r["keys"], np.int64) for r in rows])
-    start = np.concatenate([_from_planes(r["starts"]) for r in rows]).astype(np.int64)
-    count = np.concatenate([_from_planes(r["counts"]) for r in rows]).astype(np.int64)
+    start = np.concatenate([from_planes(r["starts"]) for r in rows]).astype(np.int64)
+    count = np.concatenate([from_planes(r["counts"]) for r in rows]).astype(np.int64)
     inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     return np.repeat(np.stack([doc, key], 1), count, axis=0), np.repeat(start, count) + inside
 
@@ -126,18 +107,18 @@ def _by_block(who: np.ndarray, pos: np.ndarray, n_blocks: int, kind: int = KNOWN
     block = (W.mix((who[:, 0] ^ who[:, 1]).view(np.uint64)) >> np.uint64(33)).astype(np.int64) % n_blocks
     order = np.lexsort((pos, who[:, 1], who[:, 0], block))
     who, pos, block = who[order], pos[order], block[order]
-    once = _edges(who[:, 0], who[:, 1], pos)
+    once = edges(who[:, 0], who[:, 1], pos)
     return _pack(kind, block[once], who[once], pos[once], firsts=firsts[order][once] if firsts is not None else None)
 
 
 # --- runs ----------------------------------------------------------------------------------------------
 def _run_row(bucket: int, h: np.ndarray, c: np.ndarray) -> tuple:
     """A sorted run: the steps between neighbouring hashes, whose upper bytes are zero, and the checks."""
-    return (bucket, None, None, None, None, _planes(np.diff(h, prepend=np.uint64(0)), 8), c.tobytes(), None, RUN)
+    return (bucket, None, None, None, None, planes(np.diff(h, prepend=np.uint64(0)), 8), c.tobytes(), None, RUN)
 
 
 def _run_arrays(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    return np.cumsum(_from_planes(row["hashes"], 8), dtype=np.uint64), np.frombuffer(row["checks"], np.uint16)
+    return np.cumsum(from_planes(row["hashes"], 8), dtype=np.uint64), np.frombuffer(row["checks"], np.uint16)
 
 
 def _in_run(run_h: np.ndarray, run_c: np.ndarray, h: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -181,7 +162,7 @@ def _candidates(n_buckets: int):
                 who, pos = ids[part.first : part.last][row], starts - part.row_start[row]
                 # groups of equal windows, in the order of the slice; the first is that of the smallest doc_id
                 order = _order(full, check)
-                at = _edges(full[order], check[order])
+                at = edges(full[order], check[order])
                 size = np.diff(np.r_[at, len(order)])
                 sent = np.ones(len(order), bool)
                 rows: list[tuple] = []
@@ -189,7 +170,7 @@ def _candidates(n_buckets: int):
                     several = order[np.repeat(size > 1, size)]
                     group = np.repeat(np.arange(int((size > 1).sum())), size[size > 1])
                     several = several[np.lexsort((pos[several], who[several, 1], who[several, 0], group))]
-                    first = several[_edges(group)][group]
+                    first = several[edges(group)][group]
                     later = who[several, 0] > who[first, 0]
                     same = (several != first) & (who[several] == who[first]).all(axis=1)
                     sent[several[later | same]] = False
@@ -219,7 +200,7 @@ def _merge_join(n_blocks: int):
         new.clear()
         order = _order(h, c)
         h, c, who, pos = h[order], c[order], who[order], pos[order]
-        at = _edges(h, c)
+        at = edges(h, c)
         size = np.diff(np.r_[at, len(h)])
         old = np.zeros(len(at), bool)
         while runs:
@@ -248,11 +229,11 @@ def _by_document(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch])
     follow = [r for r in rows if r["kind"] == FOLLOW]
     if follow and len(pos):
         f_who, f_pos = _windows(follow)
-        firsts = np.concatenate([_from_planes(r["firsts"]) for r in follow]).astype(np.int64)
+        firsts = np.concatenate([from_planes(r["firsts"]) for r in follow]).astype(np.int64)
         # what follows a repeated window is repeated: look (document, first) up among the repeated ones
         order = np.lexsort((np.r_[np.zeros(len(pos), np.int8), np.ones(len(firsts), np.int8)], np.r_[pos, firsts], np.r_[who[:, 1], f_who[:, 1]], np.r_[who[:, 0], f_who[:, 0]]))
         all_who, all_pos = np.concatenate([who, f_who])[order], np.r_[pos, firsts][order]
-        at = _edges(all_who[:, 0], all_who[:, 1], all_pos)
+        at = edges(all_who[:, 0], all_who[:, 1], all_pos)
         hit = np.repeat(order[at] < len(pos), np.diff(np.r_[at, len(order)]))
         also = order[hit & (order >= len(pos))] - len(pos)
         who, pos = np.concatenate([who, f_who[also]]), np.r_[pos, f_pos[also]]
@@ -260,10 +241,10 @@ def _by_document(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch])
         return
     packed = _by_block(who, pos, 1)[0]
     r = dict(zip(_ARROW.names, packed))
-    doc = np.frombuffer(r["ids"], np.int64, 1) + _from_planes(r["ids"][8:], 8).view(np.int64)
+    doc = unpack_ids(r["ids"])
     own = np.frombuffer(r["keys"], np.int64)
-    pairs = np.stack([_from_planes(r["starts"]), _from_planes(r["counts"])], 1)
-    at = _edges(doc, own)
+    pairs = np.stack([from_planes(r["starts"]), from_planes(r["counts"])], 1)
+    at = edges(doc, own)
     parts = [pairs[i:j].tobytes() for i, j in zip(at.tolist(), [*at[1:].tolist(), len(doc)])]
     yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(own[at]), pa.array(parts, pa.binary())], schema=_FOUND_ARROW)
 
