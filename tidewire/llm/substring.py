@@ -38,8 +38,8 @@ from tidewire.operators.lineage import ensure_checkpoint_dir, folders_in, remove
 
 WINDOW = 13
 SEED = 5  # words of a minimizer
-BUCKET_BYTES = 12 << 20  # text behind one bucket of the index: some two million windows
-SLICE_BYTES = 8 << 20
+BUCKET_BYTES = 6 << 20  # text behind one bucket of the index: some million windows
+SLICE_BYTES = 6 << 20
 
 #: Rows of windows: ``ids``/``keys``/``starts``/``counts`` tell of each stretch its document, first window and length.
 _SCHEMA = "bucket long, ids binary, keys binary, starts binary, counts binary, hashes binary, checks binary, firsts binary, kind int"
@@ -289,8 +289,11 @@ class FingerprintIndex:
             for s in spans:
                 remove_folder(self.spark, f"{self._folder(s)}/kind={RUN}")
 
-    def add(self, docs: DataFrame) -> DataFrame:
-        """Windows of ``docs(doc_id, text_key, text)`` seen in an earlier document, packed by blocks of documents."""
+    def add(self, docs: DataFrame, keep: bool = True) -> DataFrame:
+        """Windows of ``docs(doc_id, text_key, text)`` seen in an earlier document, packed by blocks of documents.
+
+        Without ``keep`` the batch is looked up but its run is not written (nothing will be added after it).
+        """
         if len(self.runs()) >= self.fanout:
             self.compact()
         spans = self.runs()
@@ -298,7 +301,8 @@ class FingerprintIndex:
         rows = docs.mapInArrow(_candidates(self.n_buckets), _SCHEMA)
         for s in spans:
             rows = rows.unionByName(self._read(s, RUN))
-        self._write(rows.groupBy("bucket").applyInArrow(_merge_join(self.n_buckets), _SCHEMA), (last, last))
+        joined = rows.groupBy("bucket").applyInArrow(_merge_join(self.n_buckets), _SCHEMA)
+        self._write(joined if keep else joined.where(F.col("kind") != RUN), (last, last))
         return self._read((last, last), KNOWN).unionByName(self._read((last, last), FOLLOW))
 
     def remove(self) -> None:
@@ -318,7 +322,7 @@ def repeated_windows(docs: DataFrame, n_batches: int = 4, fanout: int = 2) -> Da
     index = FingerprintIndex(spark, folder, max(32, -(-stat.bytes // BUCKET_BYTES)), fanout)
     bounds = [stat.low + (stat.high + 1 - stat.low) * i // n_batches for i in range(n_batches + 1)]
     ranges = [(a, b) for a, b in zip(bounds, bounds[1:]) if a < b]
-    parts = [index.add(known.where((F.col("doc_id") >= a) & (F.col("doc_id") < b))) for a, b in ranges]
+    parts = [index.add(known.where((F.col("doc_id") >= a) & (F.col("doc_id") < b)), keep=(a, b) != ranges[-1]) for a, b in ranges]
     found = cut(reduce(DataFrame.unionByName, parts).groupBy("bucket").applyInArrow(_by_document, _FOUND))
     index.remove()
     return found
