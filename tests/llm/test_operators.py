@@ -252,24 +252,41 @@ def test_topk(spark, size, scale):
     rng = np.random.default_rng(size)
     rows = [(i, [float(np.float32(x)) for x in rng.normal(size=size) * scale]) for i in range(300)]
     rows[40] = (40, rows[41][1])
-    rows += [(1000, None), (1020, [float("nan")] * size), (1040, [None] * size), (1060, [1.0]), (None, [1.0] * size), rows[7]]
+    rows += [(1000, None), (1020, [float("nan")] * size), (1040, [None] * size), (1060, [1.0]), (None, [1.0] * size), rows[7], (1080, []), (1081, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit("x"))
-    got = topk.top_k(df, F.col("vec_id") % 20 == 0, k=20, query_block=7, block=64)
-    assert {tuple(r) for r in got.collect()} == brute_topk(list(dict.fromkeys((i, tuple(v) if v else v) for i, v in rows)), 20)
+    got = topk.top_k(df, F.col("vec_id") % 20 == 0, k=20, query_block=7, block=64, group=2)
+    assert {tuple(r) for r in got.collect()} == brute_topk(list(dict.fromkeys((i, tuple(v) if v is not None else v) for i, v in rows)), 20)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
-@pytest.mark.parametrize("dim,high", [(40, 2**18), (40, 2**25)])
-def test_topk_block_prunes(dim, high):
-    """Two lists decide, so queries are pruned before all lists are read: sums below and above 2**53."""
+def best_of_block(q, ids, x, k):
+    return {(i, -s, j) for i in range(len(q)) for s, j in sorted((-sum(a * b for a, b in zip(q[i].tolist(), x[j].tolist())), j) for j in range(len(x)) if j != ids[i])[:k]}
+
+
+@pytest.mark.parametrize("dim,high", [(40, 2**18), (40, 2**25), (3, 2**40)])
+def test_topk_stops_on_skewed_vectors(dim, high):
+    """Few candidates have large components, at the head of two lists: a small part of the lists is read. Sums below and above 2**53, and beyond 64 bits."""
     rng = np.random.default_rng(dim)
-    x = rng.integers(-3, 4, (900, dim))
-    x[:, :2] = rng.integers(-high, high, (900, 2))
-    q, ids = x[:7].copy(), np.arange(900)
-    found = list(zip(*(v.tolist() for v in topk.search_block(q, ids[:7], x, ids, 5))))
-    for i in range(7):
-        brute = sorted((-sum(a * b for a, b in zip(q[i].tolist(), x[j].tolist())), j) for j in range(900) if j != i)[:5]
-        assert [(c, s) for a, c, s in found if a == i] == [(j, -s) for s, j in brute]
+    x = rng.integers(-1, 2, (4000, dim))
+    x[:60, :2] = rng.integers(high // 2, high, (60, 2))
+    x = x[rng.permutation(4000)]
+    q, ids = x[:5].copy(), np.arange(4000)
+    q[:, :2] = rng.integers(high // 2, high, (5, 2)) * np.array([[1], [1], [1], [-1], [1]])
+    q[3], q[4, 1] = -q[3], high // 3
+    search = topk.Search(q, ids[:5], 5)
+    for i in range(0, 4000, 1000):
+        search.add(x[i : i + 1000], ids[i : i + 1000])
+    assert set(zip(*(v.tolist() for v in (search.of, search.scores, search.ids)))) == best_of_block(q, ids, x, 5)
+    assert search.stopped >= 15 and search.entries < 0.35 * 5 * 4000 * dim
+
+
+def test_topk_reads_to_the_end_where_nothing_can_stop():
+    rng = np.random.default_rng(3)
+    x = rng.integers(-60, 60, (900, 24))
+    search = topk.Search(x[:7].copy(), np.arange(7), 5)
+    search.add(x, np.arange(900))
+    assert set(zip(*(v.tolist() for v in (search.of, search.scores, search.ids)))) == best_of_block(x[:7], np.arange(7), x, 5)
+    assert (search.stopped, search.entries) == (0, 7 * 900 * 24)
 
 
 # --- 5 encoding, 6 packing ---
