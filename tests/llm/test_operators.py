@@ -550,3 +550,59 @@ def test_pipeline_against_brute_force(spark):
             failed = {i for i, t in rows.items() if (n := brute_counts(t))[0] < 10 or 100 * n[4] > 20 * n[0]}
             assert set(plain) <= set(rows) - failed and all(rows[i] == t for i, t in plain.items())
     assert docs.count() > 0
+
+
+def test_pipeline_computes_every_stage_once(spark, monkeypatch):
+    import corpus_pipeline as p
+
+    made = {}
+
+    def counted(name, stage):
+        def run(spark, docs, sf_dir):
+            out = stage(spark, docs, sf_dir)
+            made[name] = spark.sparkContext.accumulator(0)
+
+            def count(batches, seen=made[name]):
+                for b in batches:
+                    seen.add(b.num_rows)
+                    yield b
+
+            return out.mapInArrow(count, out.schema)
+
+        return run
+
+    monkeypatch.setattr(p, "STAGES", [(name, counted(name, stage)) for name, stage in p.STAGES])
+    p.run(spark, DATA).write.format("noop").mode("overwrite").save()
+    n = spark.read.parquet(f"{DATA}/documents.parquet").count()
+    assert len(made) == 5 and all(0 < a.value <= n for a in list(made.values())[:-1])
+
+
+def test_pipeline_stages_on_odd_tables(spark):
+    """Nulls in every column, empty and long texts, repeated rows, an empty table, columns with clashing names."""
+    import corpus_pipeline as p
+
+    good = " ".join(f"word{i}" for i in range(60))
+    lines = "\n".join(f"line {i} of some text here" for i in range(6))
+    long_word = "z" * 120_000
+    rows = [(1, good), (2, good + " more"), (2, good + " more"), (3, None), (None, good), (None, None), (4, ""), (5, lines), (6, lines + "\nlast"), (7, f"{long_word} {good}"), (8, "a b c")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n_removed_lines string, component_id string, kept string, _x int"
+    table = spark.createDataFrame([(i, t, None, None, None, "own", "c", "k", None) for i, t in rows], schema)
+    want = {
+        "quality_rules": [(1, good), (2, good + " more"), (2, good + " more"), (None, good), (7, f"{long_word} {good}")],
+        "line_dedup": [(i, "last" if i == 6 else t) for i, t in rows],
+        "ngram_join": [(i, t) for i, t in rows if i not in (2, 6, 7)],
+        "substring_dedup": [(i, {2: "more", 6: "last", 7: long_word}.get(i, t)) for i, t in rows],
+    }
+    for name, stage in p.STAGES:
+        if name == "packing":
+            pieces = stage(spark, table, DATA).groupBy("doc_id").sum("length").collect()
+            assert {r.doc_id for r in pieces} == {i for i, _ in rows}
+            assert stage(spark, table.limit(0), DATA).count() == 0
+            continue
+        function = stage if name != "quality_rules" else (lambda spark, docs, sf_dir: p.quality.keep_good(docs, None))
+        out = function(spark, table, DATA)
+        assert out.columns == table.columns
+        got = out.collect()
+        assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(want[name], key=str), name
+        assert {(r.n_removed_lines, r.component_id, r.kept) for r in got} == {("own", "c", "k")}
+        assert function(spark, table.limit(0), DATA).count() == 0
