@@ -505,17 +505,72 @@ def test_html_on_held_out_layouts():
     assert good >= 138
 
 
-def test_html_edges(spark):
-    page = "<p>a &amp; b&nbsp;c<br>d<b>e</b>f<!-- x --><script>var a = '<p>no</p>';</script><p>g < h <i>i</p><li>j<li>k"
+S = "Heavy rain fell over the northern valleys on Tuesday, and the river rose by two metres before noon. Farmers moved their cattle to higher ground, while the town closed both bridges until further notice. "
+#: Pages in layouts that no training page has: (html, main text).
+BY_HAND = [
+    (f"<table width=100%><tr><td class=leftcol><a href=/>Home</a><br><a href=/n>News</a><br><a href=/s>Sport</a></td><td valign=top><h2>Flood in the valleys</h2><p>{S}<p>{S}</td></tr><tr><td colspan=2><font size=1>Copyright 1999 The Valley Post</font></td></tr></table>", f"Flood in the valleys {S}{S}"),
+    (f'<div id="wrapper"><div class="navbar-top"><a href="/">Start</a> <a href="/a">Archive</a></div><div class="hentry"><h1>Flood</h1><div class="body-copy"><p>{S}</p><p>See the <a href="/m">map</a> of the valley. {S}</p></div></div><div class="widget-area"><h3>Related</h3><ul><li><a href="/1">Drought</a></li><li><a href="/2">Storm</a></li></ul></div></div>', f"Flood {S}See the map of the valley. {S}"),
+    (f'<main><section><h1>Flood</h1><section><p>{S}</p></section><aside class="pullquote-box"><p>Advertisement</p></aside><section><h2>What now?</h2><p>{S}</p><blockquote>We have never seen this, said the mayor.</blockquote></section></section></main><footer><p>All rights reserved.</p></footer>', f"Flood {S}What now? {S}We have never seen this, said the mayor."),
+    (f'<div role="dialog" class="cookie-consent-wall"><p>We use cookies. Accept all?</p><button>OK</button></div><div role="main"><h1>Flood</h1><p>{S}</p><p>{S}</p></div><ol class="commentlist"><li><p>First!</p></li><li><p>Thanks for this, stay safe.</p></li></ol>', f"Flood {S}{S}"),
+    (f"<p>{S}</p><p>{S}</p><p>{S}</p>", f"{S}{S}{S}"),
+    (f'<header><a href="/"><img src=logo.png></a><form action=/q><input name=q><button>Search</button></form></header><div class="story"><h1>Flood</h1><p>{S}</p><ul><li>Both bridges are closed until Friday.</li><li>The school stays shut this week.</li></ul><p>{S}</p><div class="share-bar"><a href=#>Share</a> <a href=#>Print</a></div></div><div id="footer-links"><a href=/i>Imprint</a> <a href=/p>Privacy</a></div>', f"Flood {S}Both bridges are closed until Friday. The school stays shut this week. {S}"),
+    (f'<article><p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi></math> here.</p><p>{S}</p><p>&nbsp;</p><p>{S}</p></article><nav><a href=/>Home</a></nav>', f"Energy is E=m here. {S}{S}"),
+]
+
+
+@pytest.fixture(scope="module")
+def trees():
+    rng = random.Random(4)
+    return html_extract.fit([" ".join("".join(rng.choices("etaoinsrlm", k=rng.randint(2, 9))) for _ in range(200)) for _ in range(60)])
+
+
+def test_html_on_pages_written_by_hand(trees):
+    hit = found = wanted = 0
+    for (_, want), got in zip(BY_HAND, html_extract.extract_batch([h for h, _ in BY_HAND], trees)):
+        got, want = Counter(got.split()), Counter(want.split())
+        hit, found, wanted = hit + (got & want).total(), found + got.total(), wanted + want.total()
+    assert hit >= 0.85 * wanted and hit >= 0.95 * found, (hit / wanted, hit / found)
+
+
+def test_html_query_on_the_pages_table(spark):
+    """The table's pages keep their main text in one article without boilerplate: a plain cut gives the same."""
+    from html import unescape
+
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
+    rows = queries.QUERIES["op10_html_extraction"](spark, DATA).collect()
+    assert len(rows) == len(pages)
+    for r in rows:
+        inner = re.search(r"<article>(.*?)</article>", pages[r.page_id] or "", re.S)
+        blocks = re.sub(r"<(?!/?b>)[^>]*>", "\n\n", inner[1] if inner else "").replace("<b>", "").replace("</b>", "").split("\n\n")
+        assert r.text == " ".join(w for b in blocks for w in unescape(b).split()) and r.n_chars == len(r.text)
+
+
+def test_html_edges(spark, trees):
+    page = "<p>a &amp; b&nbsp;c<br>d<b>e</b>f<!-- x --><script>var a = '<p>no</p>';</script><p>g < h <i>i</p><p>&nbsp;</p><li>j<li>k<table><tr><td>l<tr><td>m</table>1 < 2"
     parsed = html_extract.parse(page)
-    assert html_extract.text_of(parsed, np.ones(len(parsed.tag), bool)) == "a & b c def g < h i j k"
+    assert html_extract.text_of(parsed, np.ones(len(parsed.tag), bool)) == "a & b c def g < h i j k l m 1 < 2"
     deep = "<div>" * 3000 + "<p>x" + "</div>" * 10
     parsed = html_extract.parse(deep)
     assert html_extract.text_of(parsed, np.ones(len(parsed.tag), bool)) == "x"
-    pages = spark.createDataFrame([(1, "u", None, 5), (2, None, "", 6), (3, "u", deep, 7), (3, "u", deep, 7)], "page_id long, url string, html string, n_chars int")
-    got = html_extract.extract(pages, html_extract.train(pages)).collect()
-    assert [(r.page_id, r.n_chars == len(r.text)) for r in sorted(got, key=lambda r: r.page_id)] == [(1, True), (2, True), (3, True), (3, True)]
-    assert {r.text for r in got if r.page_id < 3} == {""}
+    schema = "page_id long, url string, html string, n_chars int, text string"
+    pages = spark.createDataFrame([(1, "u", None, 5, "t"), (2, None, "", 6, "t"), (3, "u", deep, 7, None), (3, "u", deep, 7, None), (None, None, "<p>y", 1, "t")], schema)
+    got = html_extract.extract(pages, trees).collect()
+    assert [(r.page_id, r.n_chars == len(r.text)) for r in sorted(got, key=lambda r: r.page_id or 9)] == [(1, True), (2, True), (3, True), (3, True), (None, True)]
+    assert {r.text for r in got if r.page_id and r.page_id < 3} == {""}
+    assert html_extract.extract(pages.limit(0), html_extract.train(pages.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<a '>'", "<![CDATA[>", "<svg>", "<select>", "</b>", "<i>", "<i></b>", "<!x", "<div><p>", '<a href="x', "&amp;", "<tr><td>"])
+def test_html_time_grows_with_length(unit):
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        html_extract.node_features(html_extract.parse("<b><div>" + unit * n))
+        return time.process_time() - began
+
+    seconds(2000)
+    assert seconds(40_000) < 0.2 + 20 * max(seconds(4000), 0.01)
 
 
 # --- registered queries, pipeline ---

@@ -1,22 +1,25 @@
 """Main text of web pages: gradient-boosted trees over DOM nodes, decoded over the hierarchy.
 
-``parse`` turns a page into a tree of elements; ``node_features`` describes every element (tag, attribute tokens of its own
-and of its ancestors, text, link and tag density of its subtree, depth, place among its siblings). Boosted trees give
-each element a score for "main text". ``decode`` then decides top down, by the best total: an element's subtree is
+``parse`` turns a page into a tree of elements; ``node_features`` describes every element: tag, attribute tokens of its own
+and of its ancestors (any token, hashed, with the odds it showed in training), text, link and tag density of its subtree, depth, place among its siblings. Boosted
+trees give each element a score for "main text". ``decode`` then decides top down, by the best total: an element's subtree is
 kept whole, dropped whole, or left to its children, so no choice contradicts one above or below it.
 
 The trees are trained here, on pages composed from the texts of a bounded sample of the corpus (``sample_pages`` pages
 by hash of page_id) in many layouts whose main text is known; every page is then scored in Arrow batches.
 
 Defined cases: a null or empty page gives the empty text; unclosed, misnested and unknown tags, stray ``<`` and very deep
-or long pages are read as far as they go, nothing is cut off; repeated rows are extracted alike; an empty table gives
-no rows; other columns play no part.
+or long pages are read whole in time that grows with their length; where a quote stays open to the end of a page, quotes
+in tags are not heeded from there on; formulas and drawings give their text; repeated rows are extracted alike; equal
+scores keep an element; an empty table gives no rows; other columns play no part.
 """
 
 from __future__ import annotations
 
 import random
 import re
+import zlib
+from collections import defaultdict
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -25,25 +28,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>"
-    r"|<([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.S,
-)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+_PLAIN_TAG = re.compile(r"<([a-zA-Z][^\s/>]*)([^>]*)>")
+_CDATA = re.compile(r"<!\[CDATA\[.*?\]\]>", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|itemprop|aria-label|hidden|style|type)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 # Fixed values of HTML: elements without content, elements whose content is not text, elements that flow within a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-OPAQUE = frozenset("script style noscript template iframe object svg math canvas textarea title select option".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+OPAQUE = frozenset("script style noscript template iframe canvas textarea title select option".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var "
+    "math mfrac mi mn mo mover mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics svg g text tspan".split()
+)
 CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()
 )
-SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "p": ("p",)}
 HOLDS = frozenset("article aside body div footer form header html main nav section table td ul ol dl blockquote figure".split())
+# What a start tag ends, and the elements that it does not look beyond; all other blocks end a paragraph.
+ENDS = {
+    "li": (("li",), ("ul", "ol")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)),
+    "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "p": (("p",), tuple(HOLDS)),
+}
 
-# Attribute tokens by what they commonly name.
+# Names that training pages give to their parts; no feature knows them.
 WORDS = {
     "main": "article content main post entry story body text prose page",
     "menu": "nav navbar navigation menu menubar breadcrumb breadcrumbs tabs toc pagination pager links",
@@ -57,13 +65,9 @@ WORDS = {
     "share": "share sharing social tags meta author byline buttons tools print follow",
     "hidden": "hidden none invisible sr only skip",
 }
-_OF_WORD: dict[str, list[int]] = {}
-for _i, _names in enumerate(WORDS.values()):
-    for _w in _names.split():
-        _OF_WORD.setdefault(_w, []).append(_i)
 TAGS = {t: i for i, t in enumerate("html body main article section div p h1 h2 h3 h4 ul ol li a nav header footer aside form table td blockquote pre figure figcaption span b dl button label".split())}
 TAG_KINDS = [("article", "main"), ("nav", "menu"), ("header",), ("footer",), ("aside",), ("form", "button", "label", "fieldset"), ("p", "blockquote", "pre", "h1", "h2", "h3", "h4"), ("li", "ul", "ol")]
-N_FEATURES = 2 * len(WORDS) + 2 * len(TAG_KINDS) + 18
+HASHES = 1 << 13  # slots of attribute tokens
 
 
 @dataclass
@@ -80,6 +84,8 @@ class Page:
 def parse(html: str | None) -> Page:
     page = Page()
     tags, parent, depth, attributes, pieces = page.tag, page.parent, page.depth, page.attributes, page.pieces
+    open_: list[int] = []
+    where: dict[str, list[int]] = defaultdict(list)  # places in open_ by tag
 
     def enter(tag: str, attribute: str) -> None:
         up = open_[-1] if open_ else -1
@@ -87,30 +93,65 @@ def parse(html: str | None) -> Page:
         parent.append(up)
         depth.append(depth[up] + 1 if up >= 0 else 0)
         attributes.append(attribute)
+        where[tag].append(len(open_))
         open_.append(len(tags) - 1)
 
-    open_: list[int] = []
+    def leave(place: int) -> None:
+        while len(open_) > place:
+            where[tags[open_.pop()]].pop()
+
+    def top(names: tuple[str, ...] | frozenset[str]) -> int:
+        return max((where[n][-1] for n in names if where.get(n)), default=-1)
+
     enter("html", "")
     html = html or ""
-    at, lower = 0, None
-    in_head = False
+    last, last_cdata = html.rfind(">"), html.rfind("]]>")
+    never: set[str] = set()  # opaque elements that nothing ends from here on
+    at = start = 0
+    in_head, quotes = False, True
     while True:
-        m = _TOKEN.search(html, at)
-        text = html[at : m.start()] if m else html[at:]
-        if text and not in_head:
-            pieces.append((open_[-1], text))
-        if not m:
+        at = html.find("<", at)
+        if at < 0 or at > last:  # no tag ends from here on
+            at = len(html)
+        m = _CDATA.match(html, at) if at < last_cdata and html.startswith("<![CDATA[", at) else None
+        if not m and at < len(html):
+            if quotes or not html[at + 1].isalpha():
+                m = _TAG.match(html, at)
+            if not m and (m := _PLAIN_TAG.match(html, at)):
+                quotes = False
+                tag, rest, end = m.group(1).lower(), m.group(2), None
+            elif not m:
+                at += 1  # a stray sign
+                continue
+            else:
+                tag, rest, end = (m.group(2) or "").lower(), m.group(3) or "", m.group(1)
+        elif m:
+            tag, rest, end = "", "", None
+        if at > start and not in_head:
+            pieces.append((open_[-1], html[start:at]))
+        if at >= len(html):
             break
-        at = m.end()
-        end, tag = m.group(1), m.group(2) or m.group(4)
-        if tag:
-            tag = tag.lower()
-            rest = m.group(3) if m.group(2) else m.group(5)
+        at = start = m.end()
+        if end:
+            end = end.lower()
+            if end == "head":
+                in_head = False
+            elif end not in ("html", "body"):
+                place = where[end][-1] if where.get(end) else -1
+                if place > 0 and (end not in INLINE or place > top(HOLDS)):
+                    leave(place)
+                if end not in INLINE:
+                    pieces.append((-1, ""))
+        elif tag:
             if tag in OPAQUE:
-                if not (rest or "").rstrip().endswith("/"):
-                    lower = html.lower() if lower is None or len(lower) != len(html) else lower
+                if not rest.rstrip().endswith("/") and tag not in never:
                     stop = re.compile(f"</{re.escape(tag)}[^>]*>", re.I).search(html, at)
-                    at = stop.end() if stop else (len(html) if tag in ("script", "style", "textarea", "title") else at)
+                    if stop:
+                        at = start = stop.end()
+                    else:
+                        never.add(tag)
+                        if tag in ("script", "style", "textarea", "title"):
+                            at = start = len(html)
                 continue
             if tag == "head":
                 in_head = True
@@ -124,66 +165,49 @@ def parse(html: str | None) -> Page:
             in_head = in_head and tag not in CLOSES_P and tag != "body"
             if tag == "body":
                 if len(tags) == 1:
-                    enter("body", rest or "")
+                    enter("body", rest)
                 continue
-            if tag in CLOSES_P or tag in SIBLINGS:
-                shut = SIBLINGS.get(tag, ("p",))
-                for k in range(len(open_) - 1, 0, -1):
-                    name = tags[open_[k]]
-                    if name in shut:
-                        del open_[k:]
-                        break
-                    if name in HOLDS:
-                        break
+            if tag in CLOSES_P or tag in ENDS:
+                ended, beyond = ENDS.get(tag, ENDS["p"])
+                place = top(ended)
+                if place > max(0, top(beyond)):
+                    leave(place)
             if tag not in INLINE:
                 pieces.append((-1, ""))
-            if not (rest or "").endswith("/") or tag in HOLDS:
-                enter(tag, rest or "")
-        elif end:
-            end = end.lower()
-            if end == "head":
-                in_head = False
-                continue
-            if end in ("html", "body"):
-                continue
-            for k in range(len(open_) - 1, 0, -1):
-                if tags[open_[k]] == end:
-                    del open_[k:]
-                    break
-                if end in INLINE and tags[open_[k]] in HOLDS:
-                    break
-            if end not in INLINE:
-                pieces.append((-1, ""))
+            if not rest.endswith("/") or tag in HOLDS:
+                enter(tag, rest)
     return page
 
 
-def _token_groups(attribute: str) -> tuple[int, ...]:
+def _slot(token: str) -> int:
+    return zlib.crc32(token.encode()) % HASHES
+
+
+def _token_slots(attribute: str) -> tuple[int, ...]:
+    """The slots of all tokens in the attributes."""
     found: set[int] = set()
     for name, a, b, c in _ATTRIBUTE.findall(attribute):
         name, value = name.lower(), a or b or c
         if name == "hidden" or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            found.add(len(WORDS) - 1)
+            found.add(_slot("hidden"))
         if name not in ("style", "type"):
-            for w in _PART.findall(value):
-                found.update(_OF_WORD.get(w.lower(), ()))
+            found.update(_slot(w.lower()) for w in _PART.findall(value))
     return tuple(found)
 
 
-_groups: dict[str, tuple[int, ...]] = {"": ()}
+_slots_of: dict[str, tuple[int, ...]] = {"": ()}
+_KIND = {name: 1 << j for j, names in enumerate(TAG_KINDS) for name in names}
 
 
-def node_features(page: Page) -> np.ndarray:
-    """A row of N_FEATURES numbers for every element of a page."""
+def node_features(page: Page) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A row of numbers for every element of a page, and its attribute tokens as (elements, slots)."""
     n = len(page.tag)
-    parent = page.parent
-    own = np.zeros(n)
-    link = np.zeros(n)
-    stops = np.zeros(n)
-    first = np.full(n, -1.0)
+    parent, tag = page.parent, page.tag
+    own, link, stops, first = [0.0] * n, [0.0] * n, [0.0] * n, [-1.0] * n
     at = 0
     in_link = [False] * n
     for i in range(1, n):
-        in_link[i] = page.tag[i] == "a" or in_link[parent[i]]
+        in_link[i] = tag[i] == "a" or in_link[parent[i]]
     for node, text in page.pieces:
         if node >= 0:
             size = len(text.strip())
@@ -195,8 +219,8 @@ def node_features(page: Page) -> np.ndarray:
                 if first[node] < 0:
                     first[node] = at
                 at += size
-    below, links, marks = own.copy(), link.copy(), stops.copy()
-    count, paragraphs = np.ones(n), np.array([t == "p" for t in page.tag], float)
+    below, links, marks = own[:], link[:], stops[:]
+    count, paragraphs = [1.0] * n, [float(t == "p") for t in tag]
     for i in range(n - 1, 0, -1):
         p = parent[i]
         below[p] += below[i]
@@ -206,57 +230,63 @@ def node_features(page: Page) -> np.ndarray:
         paragraphs[p] += paragraphs[i]
         if first[i] >= 0 and (first[p] < 0 or first[i] < first[p]):
             first[p] = first[i]
-    k, t = len(WORDS), len(TAG_KINDS)
-    out = np.zeros((n, N_FEATURES))
-    children: dict[int, int] = {}
-    same: dict[tuple[int, str], int] = {}
-    nth = np.zeros(n)
-    alike = np.zeros(n)
-    for i in range(1, n):
-        nth[i] = children.get(parent[i], 0)
-        children[parent[i]] = int(nth[i]) + 1
-        key = (parent[i], page.tag[i])
-        same[key] = same.get(key, 0) + 1
-    kind = {name: j for j, names in enumerate(TAG_KINDS) for name in names}
+    children, nth = [0] * n, [0] * n
+    same: dict[tuple[int, str], int] = defaultdict(int)
+    mine, above = [_KIND.get(t, 0) for t in tag], [0] * n
+    token_row, token_slot = [], []
     for i in range(n):
-        a = page.attributes[i]
-        got = _groups.get(a)
+        a, p = page.attributes[i], parent[i]
+        got = _slots_of.get(a)
         if got is None:
-            if len(_groups) > 50_000:
-                _groups.clear()
-            got = _groups[a] = _token_groups(a)
-        p = parent[i]
+            if len(_slots_of) > 50_000:
+                _slots_of.clear()
+            got = _slots_of[a] = _token_slots(a)
+        token_row += [i] * len(got)
+        token_slot += got
         if p >= 0:
-            out[i, k : 2 * k] = np.maximum(out[p, k : 2 * k], out[p, :k])
-            out[i, 2 * k + t : 2 * k + 2 * t] = np.maximum(out[p, 2 * k + t : 2 * k + 2 * t], out[p, 2 * k : 2 * k + t])
-        for g in got:
-            out[i, g] = 1
-        j = kind.get(page.tag[i])
-        if j is not None:
-            out[i, 2 * k + j] = 1
-        alike[i] = same.get((p, page.tag[i]), 0)
+            above[i] = above[p] | mine[p]
+            nth[i] = children[p]
+            children[p] += 1
+            same[p, tag[i]] += 1
+    alike = [same.get((p, t), 0) for p, t in zip(parent, tag)]
+    own, below, links, marks, count, paragraphs, first = (np.array(x) for x in (own, below, links, marks, count, paragraphs, first))
     total = max(1.0, below[0])
-    up = np.array([max(0, p) for p in parent])
-    rest = [
-        np.array([TAGS.get(x, -1) for x in page.tag], float), np.minimum(page.depth, 30), np.log1p(own), np.log1p(below), below / total,
+    up = np.maximum(0, np.array(parent))
+    kind = np.array([TAGS.get(x, -1) for x in tag], float)
+    numbers = [
+        kind, np.minimum(page.depth, 30), np.log1p(own), np.log1p(below), below / total,
         links / np.maximum(1, below), marks / np.maximum(1, below), below / count, paragraphs, np.log1p(nth), np.log1p(alike), np.maximum(first, 0) / total,
         below / np.maximum(1, below[up]), np.log1p(below[up]), links[up] / np.maximum(1, below[up]), paragraphs[up],
-        np.array([TAGS.get(page.tag[x], -1) for x in up], float), own / np.maximum(1, below),
+        kind[up], own / np.maximum(1, below),
     ]
-    out[:, 2 * k + 2 * t :] = np.stack(rest, 1)
-    return out
+    kinds = np.unpackbits(np.array([mine, above], np.uint8).T, axis=1)
+    return np.hstack([np.stack(numbers, 1), kinds]), np.array(token_row, np.int64), np.array(token_slot, np.int64)
+
+
+def token_features(page: Page, row: np.ndarray, slot: np.ndarray, odds: np.ndarray) -> np.ndarray:
+    """The least and the largest odds of the tokens of every element, and of those above it."""
+    low, high = np.zeros(len(page.tag)), np.zeros(len(page.tag))
+    np.minimum.at(low, row, odds[slot])
+    np.maximum.at(high, row, odds[slot])
+    low_of, high_of = low.tolist(), high.tolist()
+    least, most = [0.0] * len(low_of), [0.0] * len(low_of)
+    for i, p in enumerate(page.parent):
+        if p >= 0:
+            least[i], most[i] = min(least[p], low_of[p]), max(most[p], high_of[p])
+    return np.stack([low, high, least, most], 1)
 
 
 # --- boosted trees -----------------------------------------------------------------------------------
 @dataclass
 class Trees:
-    """Complete trees of one depth: feature and threshold of each inner node, value of each leaf."""
+    """Complete trees of one depth: feature and threshold of each inner node, value of each leaf; odds of token slots."""
 
     depth: int
     feature: np.ndarray
     threshold: np.ndarray
     value: np.ndarray
     start: float
+    odds: np.ndarray
 
     def score(self, x: np.ndarray) -> np.ndarray:
         z = np.full(len(x), self.start)
@@ -268,12 +298,25 @@ class Trees:
             z += v[node - (len(v) - 1)]
         return z
 
+    def score_pages(self, pages: list[Page]) -> np.ndarray:
+        x = []
+        for p in pages:
+            numbers, row, slot = node_features(p)
+            x.append(np.hstack([numbers, token_features(p, row, slot, self.odds)]))
+        return self.score(np.concatenate(x))
+
 
-def boost(x: np.ndarray, y: np.ndarray, rounds: int = 50, depth: int = 4, rate: float = 0.2, bins: int = 32) -> Trees:
+def token_odds(slots: np.ndarray, y: np.ndarray, prior: float) -> np.ndarray:
+    """By slot, how the odds of "main text" change where a token stands (smoothed; 0 for tokens never seen)."""
+    yes, no = np.bincount(slots, y, HASHES), np.bincount(slots, 1 - y, HASHES)
+    return np.log((yes + 2 * prior) / (no + 2 * (1 - prior))) - np.log(prior / (1 - prior))
+
+
+def boost(x: np.ndarray, y: np.ndarray, odds: np.ndarray, rounds: int = 80, depth: int = 5, rate: float = 0.2, bins: int = 32) -> Trees:
     """Gradient boosting for the logistic loss, with histograms over quantile bins."""
     n, d = x.shape
-    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(d)]
-    code = np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(edges)], 1)
+    edge = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(d)]
+    code = np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(edge)], 1)
     start = float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
     z = np.full(n, start)
     features, thresholds, values = [], [], []
@@ -285,21 +328,20 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 50, depth: int = 4, rate:
         for level in range(depth):
             base, width = (1 << level) - 1, 1 << level
             best = np.full(width, 1e-3)
+            G, H = (np.bincount(node - base, w, width)[:, None] for w in (g, h))
             for j in range(d):
-                size = len(edges[j]) + 1
+                size = len(edge[j]) + 1
                 if size < 2:
                     continue
                 cell = (node - base) * size + code[:, j]
-                gs = np.cumsum(np.bincount(cell, g, width * size).reshape(width, size), 1)
-                hs = np.cumsum(np.bincount(cell, h, width * size).reshape(width, size), 1)
-                G, H = gs[:, -1:], hs[:, -1:]
+                gs, hs = (np.cumsum(np.bincount(cell, w, width * size).reshape(width, size), 1)[:, :-1] for w in (g, h))
                 gain = gs**2 / (hs + 1) + (G - gs) ** 2 / (H - hs + 1) - G**2 / (H + 1)
-                cut = gain[:, :-1].argmax(1)
+                cut = gain.argmax(1)
                 top = gain[np.arange(width), cut]
                 better = top > best
                 best[better] = top[better]
                 f[base : base + width][better] = j
-                th[base : base + width][better] = edges[j][cut[better]]
+                th[base : base + width][better] = edge[j][cut[better]]
             node = 2 * node + 1 + (x[np.arange(n), f[node]] > th[node])
         leaf = node - ((1 << depth) - 1)
         v = -rate * np.bincount(leaf, g, 1 << depth) / (np.bincount(leaf, h, 1 << depth) + 1)
@@ -307,7 +349,7 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 50, depth: int = 4, rate:
         features.append(f)
         thresholds.append(th)
         values.append(v)
-    return Trees(depth, np.array(features), np.array(thresholds), np.array(values), start)
+    return Trees(depth, np.array(features), np.array(thresholds), np.array(values), start, odds)
 
 
 # --- decoding ------------------------------------------------------------------------------------------
@@ -356,7 +398,8 @@ def text_of(page: Page, kept: np.ndarray) -> str:
             now.append(text)
     if now:
         blocks.append("".join(now))
-    return " ".join(" ".join(unescape(b).split()) for b in blocks if b and not b.isspace())
+    whole = (" ".join(unescape(b).split()) for b in blocks)  # a block may turn out blank once decoded
+    return " ".join(b for b in whole if b)
 
 
 # --- training pages --------------------------------------------------------------------------------------
@@ -404,10 +447,14 @@ def compose(rng: random.Random, texts: list[str]) -> str:
 
     kinds = ["menu", "advert", "head", "foot", "side", "note", "form", "comment", "share"]
 
+    def noise() -> str:
+        """A name that says nothing, on some elements."""
+        return f' class="{"".join(rng.choices("bcdfghklmnprstvwz", k=5))}"' if rng.random() < 0.25 else ""
+
     def main_block() -> str:
         r = rng.random()
         if r < 0.08:
-            return f"<h2 keep>{say(1, 8)}</h2>"
+            return f"<h2 keep{noise()}>{say(1, 8)}</h2>"
         if r < 0.14:
             return "<ul keep>" + "".join(f"<li keep>{say(2, 20)}</li>" for _ in range(rng.randint(2, 5))) + "</ul>"
         if r < 0.18:
@@ -417,12 +464,12 @@ def compose(rng: random.Random, texts: list[str]) -> str:
         if r < 0.30:
             return f'<p keep>{say(3, 30)} <a keep href="/x">{say(1, 4)}</a> {say(3, 30)}</p>'
         if r < 0.34:
-            return f"<{(t := rng.choice(['div', 'section']))} keep>{say(5, 60)}</{t}>"
+            return f"<{(t := rng.choice(['div', 'section']))} keep{noise()}>{say(5, 60)}</{t}>"
         if r < 0.37:
             return f"<pre keep>{say(3, 20)}</pre>"
         if r < 0.40:
             return f"<table keep><tr keep><td keep>{say(1, 6)}</td><td keep>{say(1, 6)}</td></tr></table>"
-        return f"<p keep>{say(1, 90)}</p>"
+        return f"<p keep{noise()}>{say(1, 90)}</p>"
 
     blocks = [f"<h1 keep>{say(2, 12)}</h1>"] if rng.random() < 0.85 else []
     blocks += [main_block() for _ in range(rng.choice([1, 2, 3, 5, 8, 14, 25]))]
@@ -442,21 +489,27 @@ def compose(rng: random.Random, texts: list[str]) -> str:
     return f"<html><head><title>{say(1, 5)}</title></head><body>{inner}</body></html>"
 
 
-def labelled_nodes(html: str) -> tuple[np.ndarray, np.ndarray]:
-    """(features, labels) of the elements of a composed page that hold text."""
-    page = parse(html)
-    y = np.array([bool(re.search(r"(^|\s)keep(\s|$)", a)) for a in page.attributes])
-    x = node_features(page)
-    k = 2 * len(WORDS) + 2 * len(TAG_KINDS)
-    use = (x[:, k + 3] > 0) & (np.array([t not in ("html", "body") for t in page.tag]))
-    return x[use], y[use]
-
-
 def fit(texts: list[str], n_pages: int = 700, seed: int = 11) -> Trees:
+    """Trees for the elements that hold text. Each half of the pages is described by the token odds of the other half, so
+    that no element tells of its own label; the odds of all pages go with the trees."""
     rng = random.Random(seed)
     texts = [t for t in texts if t.split()] or ["some words of a text that stands for all others"]
-    parts = [labelled_nodes(compose(rng, texts)) for _ in range(n_pages)]
-    return boost(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(float))
+    pages = [parse(compose(rng, texts)) for _ in range(n_pages)]
+    known = []
+    for page in pages:
+        numbers, row, slot = node_features(page)
+        y = np.array([bool(re.search(r"(^|\s)keep(\s|$)", a)) for a in page.attributes], float)
+        use = (numbers[:, 3] > 0) & np.array([t not in ("html", "body") for t in page.tag])
+        known.append((numbers, row, slot, y, use))
+    prior = float(np.concatenate([y[use] for *_, y, use in known]).mean())
+
+    def odds_of(part: list) -> np.ndarray:
+        slots = [slot[use[row]] for _, row, slot, _, use in part]
+        return token_odds(np.concatenate(slots), np.concatenate([y[row][use[row]] for _, row, _, y, use in part]), prior)
+
+    halves = odds_of(known[1::2]), odds_of(known[::2])
+    x = [np.hstack([numbers, token_features(pages[i], row, slot, halves[i % 2])])[use] for i, (numbers, row, slot, _, use) in enumerate(known)]
+    return boost(np.concatenate(x), np.concatenate([y[use] for *_, y, use in known]), odds_of(known))
 
 
 def plain_text(html: str | None) -> str:
@@ -487,8 +540,7 @@ def extract_batch(html: list[str | None], trees: Trees) -> list[str]:
             group.append(parse(html[i]))
             size += len(html[i] or "")
             i += 1
-        x = [node_features(p) for p in group]
-        score = trees.score(np.concatenate(x))
+        score = trees.score_pages(group)
         at = 0
         for p in group:
             out.append(text_of(p, decode(p, score[at : at + len(p.tag)])))
