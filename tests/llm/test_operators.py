@@ -310,6 +310,17 @@ def test_bpe_equals_library(library):
         assert tok.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_of_long_words(library):
+    rng = random.Random(7)
+    tok = bpe.Tokenizer(VOCABULARY)
+    cases = ["a" * 3001, "ab" * 2000 + "a", "".join(rng.choices("abcdefgh", k=5000)), "".join(rng.choices("etaoinsrhld", k=20_000)), "the" * 1500, "é" * 1300, "".join(rng.choices("aé日ß", k=2000)), "!" * 2500, "".join(rng.choices("#$%&*", k=3000))]
+    for text in cases:
+        assert tok.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    for k in range(300):  # the same words by the long way only
+        word = "".join(rng.choices(rng.choice(["ab", "etaoin", "lethos", "é日ab"]), k=rng.randrange(2, 60)))
+        assert tok._merge_long(word.encode()).tolist() == library.encode(word, add_special_tokens=False).ids
+
+
 def test_bpe_digest(docs, empty, library):
     text = dict(corpus())
     for r in bpe.encode_digest(docs, VOCABULARY).collect():

@@ -3,7 +3,9 @@
 Every distinct word of a batch is encoded once: its symbols are the leaves of a segment tree whose values are the ranks
 of the pairs that begin there; the root yields the lowest rank and, among equals, the leftmost pair. A merge changes
 three leaves, each a logarithmic update, until no pair has a rank. The trees of many words of one size class lie side by
-side in arrays, so a step is done for all of them at once. Results are kept by word in a bounded cache of the worker.
+side in arrays, so a step is done for all of them at once. A word of over LONG_WORD bytes has a tree of its own, whose root
+yields all pairs of the lowest rank together; they are merged in one step unless a pair that arises meanwhile would come
+before the rest. Results are kept by word in a bounded cache of the worker.
 
 The vocabulary file's path is a parameter. Words come from the file's own rules: NFC, lower case by single characters,
 white space dropped, then contractions, runs of letters, single digits and runs of other characters; special tokens in
@@ -29,6 +31,7 @@ from pyspark.sql import DataFrame
 NONE = np.int64(1) << 40  # a leaf without a mergeable pair
 #: Words kept in the cache of a worker; beyond that it is emptied.
 CACHE_WORDS = 400_000
+LONG_WORD = 1024
 
 
 def byte_symbols() -> list[str]:
@@ -221,6 +224,58 @@ class Tokenizer:
         kept = ids >= 0
         return ids[kept], kept.reshape(n, wide).sum(axis=1)
 
+    def _merge_long(self, word: bytes) -> np.ndarray:
+        """The ids of one long word."""
+        n = len(word)
+        leaves = 1 << (n - 1).bit_length()
+        ids = np.full(leaves + 1, -1, np.int32)  # the place past the end stays -1
+        data = np.frombuffer(word, np.uint8)
+        ids[:n] = self.inner[data]
+        ids[n - 1] = self.last[data[-1]]
+        before, after = np.arange(-1, leaves), np.arange(1, leaves + 2)
+        after[n - 1] = before[0] = leaves
+        tree = np.full(2 * leaves, NONE, np.int64)  # ranks; leaf k is that of the pair that begins at symbol k
+        tree[leaves : leaves + n - 1] = self._ranks(ids[: n - 1], ids[1:n])
+        level = leaves
+        while level > 1:
+            tree[level // 2 : level] = np.minimum(tree[level : 2 * level : 2], tree[level + 1 : 2 * level : 2])
+            level //= 2
+        while tree[1] < NONE:
+            rank = tree[1]
+            node = np.ones(1, np.int64)
+            while node[0] < leaves:  # down to all leaves of that rank, left to right
+                node = np.stack([2 * node, 2 * node + 1], 1).ravel()
+                node = node[tree[node] == rank]
+            here = node - leaves
+            if len(here) > 1:  # of pairs that overlap, every other one from the left
+                joined = np.r_[False, after[here[:-1]] == here[1:]]
+                first = np.maximum.accumulate(np.where(joined, 0, np.arange(len(here))))
+                here = here[(np.arange(len(here)) - first) % 2 == 0]
+            new = self.merged[rank]
+            left = ids[before[here]].copy()
+            if len(here) > 1:
+                left[1:][after[after[here[:-1]]] == here[1:]] = new  # the symbol to the left was merged just before
+            met = np.stack([self._ranks(left, np.full(len(here), new)), self._ranks(np.full(len(here), new), ids[after[after[here]]])])
+            if (met < rank).any():
+                here = here[:1]
+            gone = after[here]
+            nxt = after[gone]
+            ids[here], ids[gone] = new, -1
+            after[here] = nxt
+            inside = nxt < leaves
+            before[nxt[inside]] = here[inside]
+            prev = before[here]
+            prev = prev[prev < leaves]
+            tree[leaves + gone] = NONE
+            changed = np.unique(np.r_[here, prev])
+            tree[leaves + changed] = self._ranks(ids[changed], ids[after[changed]])
+            node = np.unique(np.r_[changed, gone]) + leaves
+            while node[0] > 1:
+                node = node >> 1
+                node = node[np.r_[True, node[1:] != node[:-1]]]
+                tree[node] = np.minimum(tree[2 * node], tree[2 * node + 1])
+        return ids[ids >= 0]
+
     def _learn(self, words: list[str]) -> None:
         """Put words into the cache."""
         tokens = self.tokens
@@ -237,7 +292,11 @@ class Tokenizer:
             step = max(1, (1 << 19) // leaves)
             for i in range(0, len(own), step):
                 part = own[i : i + step]
-                ids, n = self._merge_class([b for _, b in part], leaves)
+                if leaves > LONG_WORD:
+                    each = [self._merge_long(b) for _, b in part]
+                    ids, n = np.concatenate(each), np.array([len(e) for e in each])
+                else:
+                    ids, n = self._merge_class([b for _, b in part], leaves)
                 raw, names = ids.astype("<u4").tobytes(), [tokens[k] for k in ids.tolist()] if self.names is not None else None
                 start = 0
                 for (w, _), end in zip(part, np.cumsum(n).tolist()):
