@@ -5,15 +5,15 @@ from tidewire.operators.matchers import parse_pattern, posix
 from tidewire.plans.rules import Leaf, Node, RuleError, RuleSet, parse_expression, parse_source
 
 TEXT = """
-$He
-  www.hao123.com
-$Hw
-  *.jd.com
-@ host equals $He and host wumanber $Hw
+$exact
+  one.example.com
+$wild
+  *.shop.example
+@ host equals $exact and host wumanber $wild
 host equals
-  www.stest.com
+  a.example.net
 host equals
-  www.sabc.com
+  b.example.net
 """
 
 
@@ -30,7 +30,7 @@ def test_malformed_expressions(bad):
 
 def test_source_text():
     rules = parse_source(TEXT)
-    assert rules.groups["$__host_equals__"] == ["www.stest.com", "www.sabc.com"]
+    assert rules.groups["$__host_equals__"] == ["a.example.net", "b.example.net"]
     assert len(rules.expressions) == 2 and rules.n_values == 4
     for bad in ("  value", "$a\n$a", "@a equals $missing", "@a exists\n  value", "what is this"):
         with pytest.raises(RuleError):
@@ -47,12 +47,12 @@ def test_patterns():
 
 def test_records(spark):
     rows = spark.createDataFrame(
-        [(1, "www.sssss.com", "/index.html", "html"), (2, None, None, None), (3, "www.sabc.com", "/abXcd", None)], "id int, host string, uri string, extension string"
+        [(1, "c.example.net", "/index.html", "html"), (2, None, None, None), (3, "b.example.net", "/abXcd", None)], "id int, host string, uri string, extension string"
     )
     rules = RuleSet()
-    one = rules.add("string:host equals\n  www.stest.com\n  www.sabc.com", user="one")
+    one = rules.add("string:host equals\n  a.example.net\n  b.example.net", user="one")
     rules.add("string:extension exists", user="two")
-    rules.add("string:$h\n  www.sssss.com\n@not host equals $h", user="three")
+    rules.add("string:$h\n  c.example.net\n@not host equals $h", user="three")
     rules.add("string:uri wumanber\n  ^/ab*cd$\n@uri exists", "AND", user="four")
     assert rules.compile() == 1 and not rules.check()
     f = {c: F.col(c) for c in ("host", "uri", "extension")}

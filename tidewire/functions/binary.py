@@ -9,6 +9,8 @@ from urllib.parse import urljoin, urlsplit, urlunsplit
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
@@ -46,17 +48,29 @@ def murmur2_64(data: bytes, seed: int = 0) -> int:
     return h ^ (h >> 47)
 
 
-# Fixed values of the integer mix: constant, how it joins, shift (left > 0), how the shifted value joins.
-MIX = ((0x7ED55D16, "+", 12, "+"), (0xC761C23C, "^", -19, "^"), (0x165667B1, "+", 5, "+"), (0xD3A2646C, "+", 9, "^"), (0xFD7046C5, "+", 3, "+"), (0xB55A4F09, "^", -16, "^"))
-
-
 def crc_mix(data: bytes, seed: int = 0) -> int:
-    """CRC-32 without the initial and final inversion, then a mix of sums, exclusive ors and shifts."""
+    """CRC-32 from ``seed`` without the inversions, then a 32-bit mix by shifts."""
     x = zlib.crc32(data, seed ^ M32) ^ M32
-    for constant, join, shift, join_shifted in MIX:
-        moved = (x << shift if shift > 0 else x >> -shift) & M32
-        x = (x + constant) & M32 if join == "+" else x ^ constant
-        x = (x + moved) & M32 if join_shifted == "+" else x ^ moved
+    x = (x + (x << 12)) & M32
+    x ^= x >> 22
+    x = (x + (x << 4)) & M32
+    x ^= x >> 9
+    x = (x + (x << 10)) & M32
+    x ^= x >> 2
+    x = (x + (x << 7)) & M32
+    return x ^ (x >> 12)
+
+
+def crc_mix_col(text: Column) -> Column:
+    """``crc_mix`` of a string column from seed 0, in built-in functions.
+
+    A CRC is linear: without the inversions it is the plain one xor that of as many zero bytes.
+    """
+    zeros = F.encode(F.repeat(F.lit("\x00"), F.octet_length(text)), "UTF-8")
+    x = F.crc32(F.encode(text, "UTF-8")).bitwiseXOR(F.crc32(zeros))
+    for left, right in ((12, 22), (4, 9), (10, 2), (7, 12)):
+        x = (x + F.shiftleft(x, left)).bitwiseAND(M32)
+        x = x.bitwiseXOR(F.shiftright(x, right))
     return x
 
 
@@ -162,11 +176,6 @@ def murmur2_64_col(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else str(murmur2_64(x.encode())))
 
 
-@pandas_udf(T.LongType())
-def crc_mix_col(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else crc_mix(x.encode()))
-
-
 @pandas_udf(T.BinaryType())
 def xor_col(data: pd.Series, key: pd.Series) -> pd.Series:
     return pd.Series([None if d is None or k is None else xor_bytes(bytes(d), k.encode()) for d, k in zip(data, key)])
@@ -212,6 +221,14 @@ def inflate(data: bytes, encoding: str) -> bytes:
     return data
 
 
+def _inflated(data: bytes | None, encoding: str | None) -> bytes | None:
+    try:
+        return None if data is None else inflate(bytes(data), encoding or "")
+    except (ValueError, zlib.error):
+        return None
+
+
 @pandas_udf(T.BinaryType())
 def inflate_col(data: pd.Series, encoding: pd.Series) -> pd.Series:
-    return pd.Series([None if d is None else inflate(bytes(d), e or "") for d, e in zip(data, encoding)])
+    """``inflate`` by row; null where the encoding is unknown or the data are broken, so that one row fails no job."""
+    return pd.Series([_inflated(d, e) for d, e in zip(data, encoding)], dtype=object)

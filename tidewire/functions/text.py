@@ -22,6 +22,16 @@ def trim(s: Column) -> Column:
     return F.btrim(s, F.lit(WHITE))
 
 
+def lower_ascii(s: Column) -> Column:
+    """A-Z in lower case, all else as it is."""
+    return F.translate(s, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def hex_bytes(s: Column) -> Column:
+    """The bytes of hexadecimal text; null for an odd number of digits or another character."""
+    return F.when(s.rlike("^([0-9A-Fa-f]{2})*$"), F.unhex(s))
+
+
 def first_of_set(s: Column, chars: str) -> Column:
     """Position (from 0) of the first character of a set, or the length if there is none."""
     at = F.regexp_instr(s, F.lit("[" + _in_class(chars) + "]"))
@@ -68,6 +78,8 @@ def format_time(ms: Column, pattern: str) -> Column:
     out, i = "", 0
     while i < len(pattern):
         if pattern[i] == "%" and i + 1 < len(pattern):
+            if pattern[i + 1] not in java:
+                raise ValueError(f"time pattern %{pattern[i + 1]}")
             out += java[pattern[i + 1]]
             i += 2
         else:
@@ -112,8 +124,19 @@ def unsigned_le(data: Column, offset: int, n: int) -> Column:
     return total
 
 
+def _resolved(path: Column) -> Column:
+    """A path from the root without its dot segments; others as they are."""
+    parts = F.split(path, "/", -1)
+    kept = F.aggregate(
+        parts, F.array().cast("array<string>"),
+        lambda a, s: F.when(s == ".", a).when(s == "..", F.when(F.size(a) > 1, F.slice(a, 1, F.size(a) - 1)).otherwise(a)).otherwise(F.concat(a, F.array(s))),
+    )
+    folder = F.element_at(parts, -1).isin(".", "..")
+    return F.when(path.startswith("/"), F.array_join(F.when(folder, F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")).otherwise(path)
+
+
 def uri_struct(s: Column) -> Column:
-    """scheme, user_info, host, port, path, query, fragment of a URL (parts that are missing are null)."""
+    """scheme, user_info, host, port, path (dot segments resolved), query, fragment of a URL; missing parts are null."""
     whole = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://(?:([^/?#@]*)@)?([^/?#:]*)(?::([0-9]+))?)?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
     def part(i: int) -> Column:
@@ -122,5 +145,5 @@ def uri_struct(s: Column) -> Column:
 
     return F.struct(
         F.lower(part(1)).alias("scheme"), part(2).alias("user_info"), F.lower(part(3)).alias("host"), part(4).cast("int").alias("port"),
-        part(5).alias("path"), part(6).alias("query"), part(7).alias("fragment"),
+        _resolved(part(5)).alias("path"), part(6).alias("query"), part(7).alias("fragment"),
     )

@@ -26,26 +26,10 @@ def first_seen(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return low.select(key, "_first.*").select(*df.columns)
 
 
-def bloom_semi(df: DataFrame, key: str, members: DataFrame, member: str, expected: int, fpp: float = 0.01) -> DataFrame:
-    """Semi-join with a Bloom filter of the members in front: rows that cannot match are dropped before the shuffle.
-
-    The filter has a size fixed by ``expected`` and ``fpp`` and never drops a member, so the result is exact.
-    """
-    spark = df.sparkSession
-    sketch = members._jdf.stat().bloomFilter(member, expected, fpp)
-    stream = spark._jvm.java.io.ByteArrayOutputStream()
-    sketch.writeTo(stream)
-    raw = spark.sparkContext.broadcast(bytes(stream.toByteArray()))
-    from pyspark.sql.functions import pandas_udf
-    from pyspark.sql.types import BooleanType
-
-    from tidewire.functions.bloom import long_members
-
-    @pandas_udf(BooleanType())
-    def may_hold(values):
-        return long_members(raw.value, values)
-
-    return df.where(may_hold(F.col(key).cast("long"))).join(members.select(F.col(member).alias("_member")).distinct(), F.col(key) == F.col("_member"), "left_semi")
+def bloom_semi(df: DataFrame, key: str, members: DataFrame, member: str) -> DataFrame:
+    """Rows whose key is a member. The filter in front of the shuffle is Spark's own: it is built at run time where the
+    members' side is small and the other one large (spark.sql.optimizer.runtime.bloomFilter.*)."""
+    return df.join(members.select(F.col(member).alias("_member")), F.col(key) == F.col("_member"), "left_semi")
 
 
 def numbered(df: DataFrame, order: list[str], n: int, out: str) -> DataFrame:

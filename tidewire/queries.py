@@ -11,7 +11,7 @@ from tidewire.functions import binary, text, wire
 from tidewire.operators import counters, lookup, matchers, ordered
 from tidewire.plans.rules import RuleSet, parse_source, source_text_of_rows
 from tidewire.plans.template import FUNCTIONS, Template
-from tidewire.sources.files import captures, split_captures
+from tidewire.sources.files import capture_stats, captures, split_captures
 from tidewire.streaming import flows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -218,10 +218,14 @@ def contains_mobile(spark, sf):
     return yes.unionByName(no).withColumn("at", text.mobile_at(F.col("note")))
 
 
-@query("SELECT c_custkey, contains(lower('x' || md5('pre' || c_name || 'post') || ',' || md5('other')), md5('pre' || c_name || 'post')) AS bound FROM customer")
+@query("SELECT c_custkey, c_nationkey % 3 <> 0 AS bound FROM customer")
 def md5_bind(spark, sf):
-    digest = F.md5(F.concat(F.lit("pre"), F.col("c_name"), F.lit("post")))
-    return table(spark, sf, "customer").select("c_custkey", F.lower(F.concat(F.lit("x"), digest, F.lit(","), F.md5(F.lit("other")))).contains(digest).alias("bound"))
+    """A licence list of digests in either case; that of every third nation's customers is for another name."""
+    digest = lambda name: F.md5(F.concat(F.lit("pre"), name, F.lit("post")))
+    name = F.col("c_name")
+    listed = F.when(F.col("c_nationkey") % 3 == 0, digest(F.concat(name, F.lit("x")))).when(F.col("c_nationkey") % 3 == 1, F.upper(digest(name))).otherwise(digest(name))
+    licence = F.concat_ws(",", F.md5(F.lit("other")), listed)
+    return table(spark, sf, "customer").select("c_custkey", F.lower(licence).contains(digest(name)).alias("bound"))
 
 
 @query("""SELECT event_id, CASE event_type WHEN 'view' THEN 'http_request' WHEN 'click' THEN 'http_response' WHEN 'signup' THEN 'smtp_request' WHEN 'purchase' THEN 'smtp_response' ELSE 'unknown' END AS protocol FROM events""")
@@ -261,7 +265,7 @@ def rule_list_join(spark, sf):
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 2000)")
 def bloom_semi(spark, sf):
     poor = table(spark, sf, "supplier").where("s_acctbal < 2000")
-    return ordered.bloom_semi(table(spark, sf, "lineitem"), "l_suppkey", poor, "s_suppkey", 100_000).select("l_orderkey", "l_linenumber")
+    return ordered.bloom_semi(table(spark, sf, "lineitem"), "l_suppkey", poor, "s_suppkey").select("l_orderkey", "l_linenumber")
 
 
 _IPS = r"SELECT doc_id, regexp_extract(text, '([0-9]{1,3}(\.[0-9]{1,3}){3})', 1) AS ip FROM documents"
@@ -376,9 +380,11 @@ def distinct_exact(spark, sf):
     return table(spark, sf, "events").groupBy("event_type").agg(F.countDistinct("user_id").alias("users"))
 
 
-@query()
+@query("SELECT event_type, true AS near FROM events GROUP BY event_type")
 def distinct_users(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("users"))
+    """Estimated numbers of users, each within five standard errors (of 2 %) of the exact one."""
+    users = table(spark, sf, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("users"), F.countDistinct("user_id").alias("exact"))
+    return users.select("event_type", (F.abs(F.col("users") - F.col("exact")) <= 0.1 * F.col("exact")).alias("near"))
 
 
 @query("SELECT event_type AS output, CAST(count(*) FILTER (event_id % 9 <> 0) AS BIGINT) AS ok, CAST(count(*) FILTER (event_id % 9 = 0) AS BIGINT) AS error, CAST(sum(CASE WHEN event_id % 9 <> 0 THEN strlen(props) ELSE 0 END) AS BIGINT) AS bytes_ok, CAST(sum(CASE WHEN event_id % 9 = 0 THEN strlen(props) ELSE 0 END) AS BIGINT) AS bytes_error FROM events WHERE props <> '' GROUP BY event_type")
@@ -397,9 +403,9 @@ def heap_peek(spark, sf):
     return table(spark, sf, "orders").agg(F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("o_orderkey"))
 
 
-@query("SELECT o_orderkey, epoch_ms(o_orderdate) AS due_ms FROM orders WHERE o_orderdate <= TIMESTAMP '1993-01-31'")
+@query("SELECT o_orderkey, epoch_ms(o_orderdate) AS due_ms FROM orders WHERE o_orderdate <= TIMESTAMP '1997-06-30'")
 def heap_due(spark, sf):
-    return table(spark, sf, "orders").where("o_orderdate <= timestamp'1993-01-31'").orderBy("o_orderdate", "o_orderkey").select("o_orderkey", F.unix_millis("o_orderdate").alias("due_ms"))
+    return table(spark, sf, "orders").where("o_orderdate <= timestamp'1997-06-30'").orderBy("o_orderdate", "o_orderkey").select("o_orderkey", F.unix_millis("o_orderdate").alias("due_ms"))
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
@@ -452,23 +458,26 @@ def _scalar(name: str, source: str, key: str, column: Callable[[], Column], sql:
 
 _scalar("str_tok", "part", "p_partkey", lambda: F.array_join(text.tokens(F.col("p_type"), " -"), "|"), "array_to_string(list_filter(regexp_split_to_array(p_type, '[ -]'), lambda x: x <> ''), '|')")
 _scalar("str_trim", "customer", "c_custkey", lambda: text.trim(F.concat(F.lit(" \t"), F.col("c_name"), F.lit("\n "))), "c_name")
-_scalar("str_lower", "part", "p_partkey", lambda: F.lower("p_type"), "lower(p_type)")
+_scalar("str_lower", "part", "p_partkey", lambda: text.lower_ascii(F.concat(F.col("p_type"), F.lit("\u00c4"))), "lower(p_type) || chr(196)")
 _scalar("char_set_pos", "part", "p_partkey", lambda: text.first_of_set(F.col("p_type"), "AE ") * 1000 + text.last_of_set(F.col("p_type"), "AE "),
         "CAST((CASE WHEN regexp_matches(p_type, '[AE ]') THEN length(regexp_extract(p_type, '^[^AE ]*')) ELSE length(p_type) END) * 1000 + CASE WHEN regexp_matches(p_type, '[AE ]') THEN length(p_type) - length(regexp_extract(p_type, '[^AE ]*$')) - 1 ELSE -1 END AS INT)")
 _scalar("translate_chars", "part", "p_partkey", lambda: text.replace_set(F.col("p_type"), "AEIOU", "_"), "translate(p_type, 'AEIOU', '_____')")
 _scalar("cast_suffix", "part", "p_partkey", lambda: text.cast_suffix(F.concat(F.col("p_size").cast("string"), F.element_at(F.array(*map(F.lit, ("k", "K", "h", ""))), (F.col("p_partkey") % 4 + 1).cast("int")))),
         "p_size::BIGINT * CASE p_partkey % 4 WHEN 0 THEN 1000 WHEN 1 THEN 1024 WHEN 2 THEN 3600 ELSE 1 END")
 _scalar("hex_encode", "customer", "c_custkey", lambda: F.lower(F.hex(F.encode("c_name", "UTF-8"))), "lower(hex(c_name))")
-_scalar("hex_decode", "customer", "c_custkey", lambda: F.decode(F.unhex(F.hex(F.encode("c_name", "UTF-8"))), "UTF-8"), "c_name")
+# Decoders read texts that no encoder of ours wrote: digits as hexadecimal 30 to 39, digits three times as base64 groups.
+_DIGITS = tuple("MDAw MTEx MjIy MzMz NDQ0 NTU1 NjY2 Nzc3 ODg4 OTk5".split())
+_scalar("hex_decode", "customer", "c_custkey", lambda: F.decode(text.hex_bytes(F.regexp_replace(F.col("c_custkey").cast("string"), "(.)", "3$1")), "UTF-8"), "c_custkey::VARCHAR")
 _scalar("base64_encode", "customer", "c_custkey", lambda: F.base64(F.encode("c_name", "UTF-8")), "to_base64(encode(c_name))")
-_scalar("base64_decode", "customer", "c_custkey", lambda: F.decode(F.unbase64(F.base64(F.encode("c_name", "UTF-8"))), "UTF-8"), "c_name")
+_scalar("base64_decode", "customer", "c_custkey", lambda: F.decode(F.unbase64(F.concat(F.lit("UmVz"), F.element_at(F.array(*map(F.lit, _DIGITS)), (F.col("c_custkey") % 10 + 1).cast("int")))), "UTF-8"),
+        "'Res' || repeat((c_custkey % 10)::VARCHAR, 3)")
 _scalar("sha1_hex", "customer", "c_custkey", lambda: F.sha1("c_name"), "sha1(c_name)")
 _scalar("md5_hex", "customer", "c_custkey", lambda: F.md5("c_name"), "md5(c_name)")
 _scalar("format_time", "orders", "o_orderkey", lambda: text.format_time(F.unix_millis("o_orderdate"), "%Y/%m/%d %H:%M"), "strftime(o_orderdate, '%Y/%m/%d %H:%M')")
-ORACLES["buf_read_be"] = "SELECT o_orderkey, CAST(o_orderkey * 2 + (o_orderkey & 255) * 256 + ((o_orderkey >> 8) & 255) AS BIGINT) AS out FROM orders WHERE o_orderkey < 65536"
-QUERIES["buf_read_be"] = lambda spark, sf: table(spark, sf, "orders").where("o_orderkey < 65536").select(
+ORACLES["buf_read_be"] = "SELECT o_orderkey, CAST(o_orderkey * 2 + (o_orderkey & 255) * 256 + ((o_orderkey >> 8) & 255) AS BIGINT) AS out FROM orders"
+QUERIES["buf_read_be"] = lambda spark, sf: table(spark, sf, "orders").select(
     "o_orderkey",
-    (text.unsigned_be(F.unhex(F.lpad(F.hex("o_orderkey"), 16, "0")), 4, 4) * 2 + text.unsigned_le(F.unhex(F.lpad(F.hex("o_orderkey"), 4, "0")), 0, 2)).alias("out"),
+    (text.unsigned_be(F.unhex(F.lpad(F.hex("o_orderkey"), 16, "0")), 0, 8) * 2 + text.unsigned_le(F.unhex(F.lpad(F.hex(F.col("o_orderkey").bitwiseAND(65535)), 4, "0")), 0, 2)).alias("out"),
 )
 
 
@@ -509,15 +518,20 @@ def hash_murmur(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", binary.murmur3_32_col("c_name").alias("m3"), binary.murmur2_64_col("c_name").alias("m2"))
 
 
-@query()
+@query("""WITH b AS (SELECT c_custkey, list_prepend(0::BIGINT, flatten(list_transform(range(1, length(c_name) + 1), lambda i: [ascii(c_name[i])::BIGINT, 0, 0, 0, 0, 0, 0, 0]))) AS steps FROM customer),
+x0 AS (SELECT c_custkey, list_reduce(steps, lambda a, s: xor(xor(a, s) >> 1, 3988292384 * (xor(a, s) & 1))) AS x FROM b),
+x1 AS (SELECT c_custkey, (x + (x << 12)) & 4294967295 AS x FROM x0), x2 AS (SELECT c_custkey, xor(x, x >> 22) AS x FROM x1),
+x3 AS (SELECT c_custkey, (x + (x << 4)) & 4294967295 AS x FROM x2), x4 AS (SELECT c_custkey, xor(x, x >> 9) AS x FROM x3),
+x5 AS (SELECT c_custkey, (x + (x << 10)) & 4294967295 AS x FROM x4), x6 AS (SELECT c_custkey, xor(x, x >> 2) AS x FROM x5),
+x7 AS (SELECT c_custkey, (x + (x << 7)) & 4294967295 AS x FROM x6) SELECT c_custkey, xor(x, x >> 12) AS mixed FROM x7""")
 def hash_crc_mix(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", binary.crc_mix_col("c_name").alias("mixed"))
 
 
-@query("SELECT c_custkey, c_name AS plain FROM customer")
+@query("""SELECT c_custkey, array_to_string(list_transform(range(0, length(c_name)), lambda i: printf('%02X', xor(ascii(c_name[i + 1]), ascii('key'[i % 3 + 1])))), '') AS cipher, c_name AS plain FROM customer""")
 def xor_cipher(spark, sf):
     once = binary.xor_col(F.encode("c_name", "UTF-8"), F.lit("key"))
-    return table(spark, sf, "customer").select("c_custkey", F.decode(binary.xor_col(once, F.lit("key")), "UTF-8").alias("plain"))
+    return table(spark, sf, "customer").select("c_custkey", F.hex(once).alias("cipher"), F.decode(binary.xor_col(once, F.lit("key")), "UTF-8").alias("plain"))
 
 
 @query("SELECT l_orderkey, CAST(count(*) AS INT) AS n, coalesce(CAST(list_position(list(l_linenumber ORDER BY l_linenumber), 2) AS INT), 0) - 1 AS at, CAST(max(l_linenumber) AS INT) AS last FROM lineitem GROUP BY l_orderkey HAVING max(l_linenumber) > 1")
@@ -582,9 +596,9 @@ def tumbling_hour(spark, sf):
     return table(spark, sf, "events").groupBy(F.unix_millis(F.window("ts", "1 hour")["start"]).alias("start_ms")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT event_id, upper(event_type) AS event_type FROM events WHERE user_id % 2 = 0")
+@query("SELECT event_id, upper(event_type) AS event_type FROM events WHERE event_type <> 'error'")
 def pipeline_modules(spark, sf):
-    modules = [("even", lambda d: d.where("user_id % 2 = 0")), ("upper", lambda d: d.withColumn("event_type", F.upper("event_type"))), ("none", lambda d: d.where("false"))]
+    modules = [("sound", lambda d: d.where("event_type <> 'error'")), ("upper", lambda d: d.withColumn("event_type", F.upper("event_type"))), ("none", lambda d: d.where("false"))]
     return flows.apply_modules(table(spark, sf, "events"), modules, {"none": False}).select("event_id", "event_type")
 
 
@@ -729,9 +743,40 @@ def uncap_chain(spark, sf):
     return frames(spark, sf).select("o_orderkey", F.array_join(wire.chain_col(F.unhex(data)), "/").alias("layers"))
 
 
-@query("SELECT event_type AS device, count(*) AS received, CAST(sum(user_id) AS BIGINT) AS bytes FROM events GROUP BY event_type")
+@query("SELECT count(*) AS received, CAST(sum(CASE WHEN user_id % 2 = 0 THEN 8 ELSE 4 END) AS BIGINT) AS bytes FROM events")
 def pcap_stats(spark, sf):
-    return table(spark, sf, "events").groupBy(F.col("event_type").alias("device")).agg(F.count(F.lit(1)).alias("received"), F.sum("user_id").alias("bytes"))
+    """Captured bytes of packets written as capture files by user: of eight bytes each, odd users' cut to four."""
+    even = F.col("user_id") % 2 == 0
+    record = F.concat(F.lit("00" * 8), F.when(even, "08000000").otherwise("04000000"), F.lit("08000000"), _hex4(F.col("user_id")), F.when(even, _hex4(F.col("event_id"))).otherwise(""))
+    return capture_stats(split_captures(captures(table(spark, sf, "events").select("user_id", record.alias("record")), "user_id")))
+
+
+@query("SELECT o_orderkey, 6::BIGINT AS next_pt, o_orderkey % 65536 AS payload_len, 64::BIGINT AS hop_limit, '20010db8' || lpad('1', 24, '0') AS src, lpad(printf('%x', o_custkey), 32, '0') AS dst FROM orders")
+def uncap_ip6(spark, sf):
+    header = F.concat(F.lit("60000000"), F.lpad(F.hex(F.col("o_orderkey") % 65536), 4, "0"), F.lit("0640" + "20010DB8" + "0" * 23 + "1"), F.lpad(F.hex("o_custkey"), 32, "0"))
+    p = table(spark, sf, "orders").select("o_orderkey", wire.ipv6(F.unhex(header)).alias("p"))
+    return p.select("o_orderkey", "p.*")
+
+
+@query("SELECT o_orderkey, 0::BIGINT AS code, o_custkey % 65536 AS session_id, o_orderkey % 65536 AS payload_len, 33::BIGINT AS protocol, 'eth/pppoe/ipv4/tcp' AS layers FROM orders")
+def uncap_pppoe(spark, sf):
+    two = lambda c: F.lpad(F.hex(F.col(c) % 65536), 4, "0")
+    header = F.concat(F.lit("1100"), two("o_custkey"), two("o_orderkey"), F.lit("0021"))
+    rows = frames(spark, sf)
+    whole = F.unhex(F.concat(F.lit("00" * 12 + "8864"), header, F.col("ip"), F.col("tcp")))
+    p = rows.select("o_orderkey", wire.pppoe(F.unhex(header)).alias("p"), F.array_join(wire.chain_col(whole), "/").alias("layers"))
+    return p.select("o_orderkey", "p.*", "layers")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN 32::BIGINT END AS message_type, CASE o_orderkey % 3 WHEN 0 THEN 12 WHEN 1 THEN 8 END AS header_len, CASE WHEN o_orderkey % 3 < 2 THEN o_custkey % 65536 + 4 END AS total_len,
+CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END AS teid, CASE WHEN o_orderkey % 3 < 2 THEN o_custkey % 65536 END AS sequence FROM orders""")
+def uncap_gtpv2(spark, sf):
+    """Headers with and without a tunnel id; every third is of version 1 and gives nulls."""
+    kind = F.element_at(F.array(F.lit("48"), F.lit("40"), F.lit("30")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    length = F.lpad(F.hex(F.col("o_custkey") % 65536), 4, "0")
+    teid = F.when(F.col("o_orderkey") % 3 == 0, _hex4(F.col("o_orderkey"))).otherwise("")
+    header = F.concat(kind, F.lit("20"), length, teid, F.lit("00"), length, F.lit("00"))
+    return table(spark, sf, "orders").select("o_orderkey", wire.gtpv2(F.unhex(header)).alias("g")).select("o_orderkey", "g.*")
 
 
 @query(R + "SELECT page_id, 'parsed' AS state FROM r WHERE contains(uri, '/es/')")

@@ -19,35 +19,45 @@ def reassemble(chunks: DataFrame, keys: list[str], order: str, data: str) -> Dat
     )
 
 
-#: A message of more chunks than this is given up.
-MAX_CHUNKS = 1024
-
-
-def _extend(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Chunks in order of seq; a chunk marked last ends the message."""
-    held: dict[int, str] = dict(zip(*state.get)) if state.exists else {}
-    last = None
-    for f in frames:
-        for r in f.itertuples():
-            held[int(r.seq)] = r.chunk
-            if r.last:
-                last = int(r.seq)
-    last = last if last is not None else next((i for i, c in held.items() if c.endswith("\x00")), None)
-    if last is not None and all(i in held for i in range(last + 1)):
-        state.remove()
-        yield pd.DataFrame({"flow": [key[0]], "message": ["".join(held[i] for i in range(last + 1)).rstrip("\x00")], "chunks": [last + 1]})
-    elif len(held) > MAX_CHUNKS:
-        state.remove()
-    else:
-        if last is not None:
-            held[last] = held[last].rstrip("\x00") + "\x00"  # remembers which chunk is the last
-        state.update((list(held), list(held.values())))
-
-
-def reassemble_stream(chunks: DataFrame) -> DataFrame:
-    """Whole messages (flow, message, chunks) of a stream of (flow, seq, chunk, last)."""
+
+def _extend(max_chunks: int, timeout_ms: int | None):
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """Chunks in order of seq; a chunk marked last ends the message."""
+        seqs, texts, last = state.get if state.exists else ([], [], None)
+        held = dict(zip(seqs, texts))
+
+        def row(message: str | None, chunks: int) -> pd.DataFrame:
+            state.remove()
+            return pd.DataFrame({"flow": [key[0]], "message": pd.Series([message], dtype=object), "chunks": [chunks]})
+
+        if state.hasTimedOut:
+            yield row(None, len(held))
+            return
+        for f in frames:
+            held.update(zip(f["seq"].tolist(), f["chunk"].tolist()))
+            ends = f.loc[f["last"].astype(bool), "seq"]
+            last = int(ends.iloc[-1]) if len(ends) else last
+        if last is not None and all(i in held for i in range(last + 1)):
+            yield row("".join(held[i] for i in range(last + 1)), last + 1)
+        elif len(held) > max_chunks:
+            yield row(None, len(held))
+        else:
+            state.update((list(held), list(held.values()), last))
+            if timeout_ms:
+                state.setTimeoutDuration(timeout_ms)
+
+    return run
+
+
+def reassemble_stream(chunks: DataFrame, max_chunks: int = 1024, timeout_ms: int | None = None) -> DataFrame:
+    """Whole messages (flow, message, chunks) of a stream of (flow, seq, chunk, last).
+
+    A flow that holds more than ``max_chunks`` chunks without being whole, or none for ``timeout_ms``, is given up: its
+    row has a null message and the number of chunks held; what comes later begins a new message.
+    """
+    kind = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
     return chunks.groupBy("flow").applyInPandasWithState(
-        _extend, "flow string, message string, chunks int", "seqs array<int>, texts array<string>", "append", GroupStateTimeout.NoTimeout
+        _extend(max_chunks, timeout_ms), "flow string, message string, chunks int", "seqs array<int>, texts array<string>, last int", "append", kind
     )
 
 
@@ -88,11 +98,12 @@ def publish(df: DataFrame, sinks: dict[str, tuple[str, list[str], Callable[[Data
         write(encoded(df, codec, columns))
 
 
-def write_rolling(df: DataFrame, path: str, ts: str, pattern: str, codec: str = "gzip") -> None:
-    """Text files by period: a folder for each value of the time pattern."""
-    df.withColumn("period", F.date_format(ts, pattern)).select("period", F.col("payload").alias("value")).repartition("period").write.mode("append").partitionBy("period").option(
-        "compression", codec
-    ).text(path)
+def write_rolling(df: DataFrame, path: str, ts: str, pattern: str, codec: str = "gzip", files: int = 8, max_rows: int = 0) -> None:
+    """Text files by period: a folder for each value of the time pattern, of at most ``files`` files at a time (so that a
+    busy period is dealt to as many tasks), each rolled after ``max_rows`` rows (0: never)."""
+    rows = df.withColumn("period", F.date_format(ts, pattern)).select("period", F.col("payload").alias("value"))
+    rows = rows.repartition("period", F.pmod(F.xxhash64("value"), F.lit(files)))
+    rows.write.mode("append").partitionBy("period").option("compression", codec).option("maxRecordsPerFile", max_rows).text(path)
 
 
 def publish_counters(df: DataFrame, output: Column, payload: Column, failed: Column) -> DataFrame:
