@@ -419,6 +419,8 @@ def test_quality_model_on_held_out_rows(spark):
     assert sum(a == b for a, b in held) >= 0.97 * len(held)
     kept = quality.keep_good(docs, model)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, k in got.items() if k}
+    twice = quality.train(docs.unionByName(docs), known)  # repeated rows change nothing
+    assert (twice.weights == model.weights).all() and (twice.slope, twice.offset) == (model.slope, model.offset)
     assert quality.train(docs, known.where("quality = 1")) is None and quality.train(docs, known.limit(0)) is None
 
 

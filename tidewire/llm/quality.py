@@ -2,11 +2,12 @@
 
 ``train`` fits word 1- and 2-grams and character 3- and 4-grams, hashed into a fixed number of weights, on a bounded
 sample of labelled rows (``sample_per_class`` rows of each class, by hash of doc_id; the one bounded thing here), and
-calibrates the probability on a fifth of them that it did not see. ``score`` reads every whole text in Arrow batches
+calibrates the probability on a fifth of them that it did not see; what it returns is the same for the same rows. ``score`` reads every whole text in Arrow batches
 and holds it against fixed thresholds; nothing is shuffled.
 
 Defined cases: a null or blank text has zero counts and fails the base rule (under ten words); labels that are null
-are left out, and where a doc_id is labelled more than once the lowest label counts; without labels of both classes
+are left out, and where a doc_id is labelled more than once the lowest label counts, where it has several texts the smallest
+one is learnt from; texts and words of any length are read whole; a probability at the threshold is kept; without labels of both classes
 there is no classifier and the base rule decides alone; repeated rows are scored alike; an empty table gives no rows;
 other columns, whatever their names, play no part.
 """
@@ -232,8 +233,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_per_class: int = 1000) -> M
         return None
     chosen = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_per_class) for q in (0, 1)]
     few = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * sample_per_class rows
-    rows = docs.select("doc_id", "text").join(few, "doc_id").select("doc_id", "quality", "text")
-    rows = rows.mapInArrow(_sparse, "quality int, slots binary, values binary").limit(4 * sample_per_class).collect()
+    rows = docs.select("doc_id", "text").join(few, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = rows.mapInArrow(_sparse, "quality int, slots binary, values binary").collect()  # at most 2 * sample_per_class
     rows = sorted((r.quality, bytes(r.slots), bytes(r["values"])) for r in rows)
     got = {q: sum(r[0] == q for r in rows) for q in (0, 1)}
     if not all(got.values()):
