@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions import binary, text, wire
-from tidewire.operators import counters, lookup, matchers, ordered
+from tidewire.operators import counters, lookup, matchers, ordered, pattern_tables
 from tidewire.plans.rules import RuleSet, parse_source, source_text_of_rows
 from tidewire.plans.template import FUNCTIONS, Template
 from tidewire.sources.files import capture_stats, captures, split_captures
@@ -188,6 +188,38 @@ def urlmatch_first(spark, sf):
     return requests(spark, sf).select("page_id", matchers.MATCHERS["urlmatch"].item(F.col("location"), patterns).alias("pattern"))
 
 
+@query(R + r""", p AS (SELECT DISTINCT * FROM (SELECT 'contains' AS kind, 'en/' || o_orderkey AS a, '' AS b, 'en/' || o_orderkey AS pattern FROM orders
+UNION ALL SELECT 'suffix', '/' || o_orderkey, '', '/' || o_orderkey || '$' FROM orders UNION ALL SELECT 'prefix', substr(location, 1, 12), '', '^' || substr(location, 1, 12) || '*' FROM r
+UNION ALL SELECT 'full', location, '', '^' || location || '$' FROM r UNION ALL SELECT 'infix', substr(host, 1, 5), substr(location, -4), '^' || substr(host, 1, 5) || '*' || substr(location, -4) || '$' FROM r))
+SELECT page_id, pattern FROM r, p WHERE CASE kind WHEN 'contains' THEN contains(location, a) WHEN 'suffix' THEN ends_with(location, a) WHEN 'prefix' THEN starts_with(location, a) WHEN 'full' THEN location = a
+ELSE starts_with(location, a) AND ends_with(location, b) AND length(location) > length(a) + length(b) AND NOT contains(substr(location, length(a) + 1, length(location) - length(a) - length(b)), '/') END""")
+def pattern_table(spark, sf):
+    """Some patterns for every order and every page as a table, matched with the pages."""
+    r, number = requests(spark, sf), F.col("o_orderkey").cast("string")
+    location, start = F.col("location"), F.substring("host", 1, 5)
+    shapes = [F.concat(F.lit("^"), F.substring("location", 1, 12), F.lit("*")), F.concat(F.lit("^"), location, F.lit("$")), F.concat(F.lit("^"), start, F.lit("*"), F.right(location, F.lit(4)), F.lit("$"))]
+    numbered = table(spark, sf, "orders").select(F.explode(F.array(F.concat(F.lit("en/"), number), F.concat(F.lit("/"), number, F.lit("$")))).alias("pattern"))
+    return pattern_tables.match_table(r, "page_id", "location", numbered.unionByName(r.select(F.explode(F.array(*shapes)).alias("pattern"))), "pattern")
+
+
+_URL_PATTERNS = """p AS (SELECT DISTINCT unnest([host || '/*/*', host || uri, host || '/en/*' || right(uri, 1), host || '/' || substr(uri, 2, 1) || '*/' || regexp_extract(uri, '([^/]*)$', 1)]) AS pattern FROM r
+UNION SELECT 'www.example.org/' || o_orderkey || '/*' FROM orders) """
+
+
+@query(R + ", " + _URL_PATTERNS + r"""SELECT page_id, pattern FROM r, p
+WHERE regexp_matches(location, '^' || replace(replace(pattern, '.', '\.'), '*', '[^/?#]*') || '([?#].*)?$')""")
+def url_pattern_table(spark, sf):
+    """Some URL patterns for every page and one for every order as a table, matched with the pages."""
+    r = requests(spark, sf)
+    host, uri = F.col("host"), F.col("uri")
+    shapes = [
+        F.concat(host, F.lit("/*/*")), F.concat(host, uri), F.concat(host, F.lit("/en/*"), F.right(uri, F.lit(1))),
+        F.concat(host, F.lit("/"), F.substring("uri", 2, 1), F.lit("*/"), F.regexp_extract("uri", "([^/]*)$", 1)),
+    ]
+    others = table(spark, sf, "orders").select(F.concat(F.lit("www.example.org/"), F.col("o_orderkey").cast("string"), F.lit("/*")).alias("pattern"))
+    return pattern_tables.match_url_table(r, "page_id", "location", r.select(F.explode(F.array(*shapes)).alias("pattern")).unionByName(others), "pattern")
+
+
 @query(R + "SELECT page_id, '[' || array_to_string(string_split(regexp_replace(location, '[?#].*$', ''), '/'), ', ') || ']' AS segments FROM r")
 def url_segments(spark, sf):
     return requests(spark, sf).select("page_id", F.concat(F.lit("["), F.array_join(matchers.url_segments(F.col("location")), ", "), F.lit("]")).alias("segments"))
