@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.operators.lineage import cut
 from tidewire.operators.matchers import sure, url_segments
 
 #: Lengths of anchors in characters: a pattern takes the largest that it reaches.
@@ -69,16 +70,16 @@ def _rarest(pieces: DataFrame, by: str, anchor: list[str]) -> DataFrame:
 
 def match_table(df: DataFrame, key: str, field: str, patterns: DataFrame, pattern: str) -> DataFrame:
     """(key, pattern) for every value of ``field`` and every pattern that matches it; ``key`` is unique in ``df``."""
-    known = parsed_patterns(patterns, pattern).where("kind <> 'bad'")
+    known = cut(parsed_patterns(patterns, pattern).where("kind <> 'bad'"))  # read four times
     text, tail = F.col("text"), F.col("tail")
     inner = known.where("kind = 'contains'")
     windows = inner.select("pattern", F.explode(_pieces(text, _size(text), F.length(text) - _size(text) + 1)).alias("_anchor"))
     at_end = (F.col("kind") == "suffix") | (text == "")
     edge = F.when(at_end, F.when(text == "", tail).otherwise(text)).otherwise(text)
     how = F.when(F.col("kind") == "full", "full").when(at_end, "end").otherwise("start")
-    cut = F.when(F.col("kind") == "full", text).when(at_end, F.right(edge, _size(edge))).otherwise(F.left(edge, _size(edge)))
-    anchors = (
-        known.where("kind <> 'contains'").select("*", how.alias("_how"), cut.alias("_anchor"))
+    part = F.when(F.col("kind") == "full", text).when(at_end, F.right(edge, _size(edge))).otherwise(F.left(edge, _size(edge)))
+    anchors = cut(
+        known.where("kind <> 'contains'").select("*", how.alias("_how"), part.alias("_anchor"))
         .unionByName(inner.join(_rarest(windows, "pattern", ["_anchor"]), "pattern").withColumn("_how", F.lit("in")))
     )
     # the driver reads at most one row for each of SIZES
