@@ -698,6 +698,27 @@ def http_gunzip(spark, sf):
     return table(spark, sf, "events").select("event_id", F.decode(binary.inflate_col(packed, F.lit("gzip, identity")), "UTF-8").alias("body"))
 
 
+@query("""SELECT event_id, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'OK' END AS status, CASE WHEN event_type <> 'error' THEN 100 + 100 * (event_id % 5) END AS code,
+CASE WHEN event_type <> 'error' THEN 'Reason ' || user_id END AS reason, CASE WHEN event_type = 'error' THEN 'STATUS' END AS error,
+CASE WHEN event_type <> 'error' AND event_id % 5 > 0 AND event_id % 3 <> 1 AND (event_id % 3 <> 2 OR event_id % 5 <> 1) THEN props END AS body FROM events""")
+def http_answers(spark, sf):
+    """Responses to GET, HEAD and CONNECT whose body goes on to the end of the connection, where they have one."""
+    asked = F.get(F.array(*map(F.lit, ("GET", "HEAD", "CONNECT"))), (F.col("event_id") % 3).cast("int"))
+    code = F.when(F.col("event_type") == "error", F.lit("20x")).otherwise((100 + 100 * (F.col("event_id") % 5)).cast("string"))
+    e = table(spark, sf, "events").select("event_id", wire.http_answer_col(_bytes("HTTP/1.1 ", code, " Reason ", F.col("user_id"), "\r\nAccept: *\r\n\r\n", F.col("props")), asked).alias("h"))
+    return e.select("event_id", "h.status", "h.code", "h.reason", "h.error", F.decode("h.body", "UTF-8").alias("body"))
+
+
+@query("SELECT event_id, 'OK' AS status, CASE WHEN event_id % 4 <> 3 THEN props END AS content FROM events")
+def http_content(spark, sf):
+    """Bodies plain, gzip, gzip in an unknown encoding (null), decoded with the message."""
+    packed = F.when(F.col("event_id") % 4 == 0, F.encode("props", "UTF-8")).otherwise(binary.gzip_col(F.encode("props", "UTF-8")))
+    coding = F.get(F.array(*map(F.lit, ("Accept: *", "Content-Encoding: gzip", "Content-Encoding: identity, x-gzip", "Content-Encoding: br"))), (F.col("event_id") % 4).cast("int"))
+    whole = F.concat(_bytes("POST / HTTP/1.1\r\n", coding, "\r\nContent-Length: ", F.octet_length("packed"), "\r\n\r\n"), F.col("packed"))
+    h = table(spark, sf, "events").select("event_id", packed.alias("packed"), "event_type").select("event_id", wire.http_col(whole).alias("h"))
+    return h.select("event_id", "h.status", F.decode(wire.http_content(F.col("h")), "UTF-8").alias("content"))
+
+
 @query(R + "SELECT page_id, host, CASE WHEN uri = '' THEN '/' ELSE uri END AS uri FROM r")
 def http_absolute_uri(spark, sf):
     r = requests(spark, sf).select("page_id", wire.http_col(_bytes("GET http://", F.col("host"), F.col("uri"), " HTTP/1.0\r\n\r\n")).alias("h"))

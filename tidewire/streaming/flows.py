@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidewire.functions import wire
 from tidewire.plans.rules import RuleSet
 
 
@@ -61,6 +62,80 @@ def reassemble_stream(chunks: DataFrame, max_chunks: int = 1024, timeout_ms: int
     )
 
 
+#: A message in the middle of its decoding, with the chunks that came before their turn.
+_HTTP_STATE = (
+    "n int, next int, phase string, rest binary, left long, last string, request_method string, error string, method string, uri string, version string, "
+    "code int, reason string, names array<string>, values array<string>, body binary, seqs array<int>, chunks array<binary>"
+)
+
+
+def _decode_http(max_chunks: int, timeout_ms: int | None):
+    def load(state: GroupState) -> tuple[int, int, dict, dict]:
+        if not state.exists:
+            return 0, 0, wire.http_start(), {}
+        n, after, *plain, names, values, body, seqs, chunks = state.get
+        m = dict(zip(("phase", "rest", "left", "last", "request_method", "error", "method", "uri", "version", "code", "reason"), plain))
+        parts = None if body is None else [bytes(body)]
+        return n, after, m | {"rest": bytes(m["rest"]), "headers": dict(zip(names, values)), "parts": parts}, dict(zip(seqs, map(bytes, chunks)))
+
+    def save(state: GroupState, n: int, after: int, m: dict, held: dict) -> None:
+        plain = [m[k] for k in ("phase", "rest", "left", "last", "request_method", "error", "method", "uri", "version", "code", "reason")]
+        body = None if m["parts"] is None else b"".join(m["parts"])
+        state.update((n, after, *plain, list(m["headers"]), list(m["headers"].values()), body, list(held), list(held.values())))
+        if timeout_ms:
+            state.setTimeoutDuration(timeout_ms)
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, after, m, held = load(state)
+        out = []
+
+        def emit(closed: bool = False) -> None:
+            out.append({"flow": key[0], "n": n + len(out)} | wire.http_result(m, closed))
+
+        if state.hasTimedOut:
+            if not m["error"] and m["phase"] != "start":
+                emit(closed=True)
+            state.remove()
+        else:
+            for f in frames:
+                held.update((s, bytes(c)) for s, c in zip(f["seq"].tolist(), f["chunk"]) if s >= after and c is not None)
+            while after in held and not m["error"]:
+                wire.http_feed(m, held.pop(after))
+                after += 1
+                while m["phase"] == "done":
+                    emit()
+                    m = wire.http_feed(wire.http_start(), m["rest"])
+                if m["error"]:
+                    emit()
+            if len(held) > max_chunks and not m["error"]:
+                m["error"], m["phase"] = "OUT_OF_BUF", "error"
+                emit()
+            if m["error"]:  # what still comes of the connection is not read
+                m, held = wire.http_start() | {"phase": "error", "error": m["error"]}, {}
+            save(state, n + len(out), after, m, held)
+        if out:
+            frame = pd.DataFrame(out)
+            frame["code"] = frame["code"].astype("Int32")
+            yield frame[["flow", "n", *wire.HTTP_TYPE.names]]
+
+    return run
+
+
+def decode_http_stream(chunks: DataFrame, max_chunks: int = 1024, timeout_ms: int | None = None) -> DataFrame:
+    """The messages (flow, n from 0, fields of ``wire.HTTP_TYPE``) of connections that come as chunks (flow, seq from 0,
+    chunk binary), decoded as they come: the state holds the message under way, not the bytes that were read.
+
+    Chunks may come out of turn and repeatedly; a null chunk is none. After an error, or with more than ``max_chunks``
+    waiting for one that is missing (error OUT_OF_BUF), the rest of the connection is not read. A connection silent for
+    ``timeout_ms`` is closed: its unfinished message comes as MORE, or as OK if its body goes on to the end.
+    """
+    kind = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
+    names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wire.HTTP_TYPE)
+    return chunks.select("flow", "seq", "chunk").groupBy("flow").applyInPandasWithState(
+        _decode_http(max_chunks, timeout_ms), f"flow string, n int, {names}", _HTTP_STATE, "append", kind
+    )
+
+
 def first_seen_stream(events: DataFrame, key: str, ts: str, late: str) -> DataFrame:
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
