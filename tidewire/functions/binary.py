@@ -105,6 +105,43 @@ def murmur3_x64_128(data: bytes, seed: int = 0) -> tuple[int, int]:
     return h1, (h2 + h1) & M64
 
 
+#: Fixed values of MurmurHash3 x86_128: multipliers, rotations of a block's words, rotations and addends of the state.
+_M128_C = (0x239B961B, 0xAB0E9789, 0x38B34AE5, 0xA1E38B93)
+_M128_K = (15, 16, 17, 18)
+_M128_H = ((19, 0x561CCD1B), (17, 0x0BCAA747), (15, 0x96CD1C35), (13, 0x32AC3B17))
+
+
+def murmur3_x86_128(data: bytes, seed: int = 0) -> tuple[int, int, int, int]:
+    """MurmurHash3 x86_128 as four unsigned 32-bit words."""
+    h = [seed] * 4
+
+    def word(i: int, k: int) -> int:
+        return _rotl(k * _M128_C[i] & M32, _M128_K[i]) * _M128_C[(i + 1) % 4] & M32
+
+    n = len(data) & ~15
+    for j, k in enumerate(np.frombuffer(data[:n], "<u4").tolist()):
+        i = j % 4
+        turn, add = _M128_H[i]
+        h[i] = ((_rotl(h[i] ^ word(i, k), turn) + h[(i + 1) % 4]) * 5 + add) & M32
+    for i in range(4):
+        h[i] ^= word(i, int.from_bytes(data[n + 4 * i : n + 4 * i + 4], "little"))
+
+    def spread() -> None:
+        h[0] = sum(h) & M32
+        h[1:] = [(x + h[0]) & M32 for x in h[1:]]
+
+    def last(x: int) -> int:
+        x = (x ^ (x >> 16)) * 0x85EBCA6B & M32
+        x = (x ^ (x >> 13)) * 0xC2B2AE35 & M32
+        return x ^ (x >> 16)
+
+    h = [x ^ len(data) for x in h]
+    spread()
+    h = [last(x) for x in h]
+    spread()
+    return tuple(h)
+
+
 def random_sequence(seed: int, n: int) -> list[int]:
     """The minimal standard generator: x -> 16807 * x mod 2**31 - 1."""
     out, x = [], seed

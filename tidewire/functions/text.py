@@ -124,6 +124,47 @@ def unsigned_le(data: Column, offset: int, n: int) -> Column:
     return total
 
 
+def signed(data: Column, offset: int, n: int, big: bool = True) -> Column:
+    """n bytes (1, 2, 4 or 8) as a signed number; null where the data end before."""
+    read = unsigned_be if big else unsigned_le
+    if n == 8:
+        high, low = (0, 4) if big else (4, 0)
+        value = F.shiftleft(read(data, offset + high, 4), 32).bitwiseOR(read(data, offset + low, 4))
+    else:
+        value = read(data, offset, n)
+        value = value - F.when(value >= 1 << (8 * n - 1), F.lit(1 << (8 * n))).otherwise(F.lit(0))
+    return F.when(F.octet_length(data) >= offset + n, value)
+
+
+def floating(data: Column, offset: int, n: int, big: bool = True) -> Column:
+    """n bytes (4 or 8) as an IEEE 754 number, as a double; null where the data end before."""
+    digits, bits, top = (23, 127, 0xFF) if n == 4 else (52, 1023, 0x7FF)
+    raw = signed(data, offset, n, big)
+    mantissa = raw.bitwiseAND(F.lit((1 << digits) - 1)).cast("double")
+    exponent = F.shiftright(raw, digits).bitwiseAND(F.lit(top))
+    sign = F.when(raw < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
+    size = (
+        F.when(exponent == top, F.when(mantissa == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan"))))
+        .when(exponent == 0, mantissa * F.lit(2.0 ** (1 - bits - digits)))
+        .otherwise((mantissa / F.lit(2.0**digits) + 1.0) * F.pow(F.lit(2.0), exponent - bits))
+    )
+    return sign * size
+
+
+def sized_bytes(data: Column, offset: int, n: int, big: bool = True) -> Column:
+    """The bytes behind a length of n bytes; null where the data end before they do."""
+    size = (unsigned_be if big else unsigned_le)(data, offset, n)
+    return F.when((F.octet_length(data) >= offset + n) & (F.octet_length(data) >= offset + n + size), F.substr(data, F.lit(offset + n + 1), size.cast("int")))
+
+
+def number_bytes(value: Column, n: int, big: bool = True) -> Column:
+    """The low n bytes of a whole number, negative ones as two's complement."""
+    digits = F.right(F.lpad(F.hex(value.cast("long")), 16, "0"), F.lit(2 * n))
+    if not big:
+        digits = F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(n))])
+    return F.unhex(digits)
+
+
 def _resolved(path: Column) -> Column:
     """A path from the root without its dot segments; others as they are."""
     parts = F.split(path, "/", -1)

@@ -13,6 +13,12 @@ def smallest(df: DataFrame, keys: list[str], k: int) -> DataFrame:
     return df.orderBy(*keys).limit(k)
 
 
+def without_nth(df: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """All rows but the n-th smallest (from 0) by keys that are unique and not null; all rows if there are no more than n."""
+    one = df.select(*keys).orderBy(*keys).offset(n).limit(1)
+    return df.join(F.broadcast(one), keys, "left_anti")  # a single row
+
+
 def latest_by_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Upsert: of rows with one key the last stays."""
     w = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])

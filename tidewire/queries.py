@@ -545,6 +545,23 @@ def uri_resolve(spark, sf):
     return table(spark, sf, "pages").select("page_id", binary.uri_resolve_col(F.col("url"), F.lit("/a/../x/./y")).alias("resolved"))
 
 
+@query("""SELECT o_orderkey, lpad(hex((1000 - o_orderkey) & 4294967295), 8, '0') AS put4, CAST(1000 - o_orderkey AS BIGINT) AS back4, CAST(-o_orderkey * 4294967296 + 7 AS BIGINT) AS back8,
+o_orderpriority AS tail FROM orders""")
+def buf_signed(spark, sf):
+    """Negative numbers and a string with its length put to a buffer and read back."""
+    key, text_of = F.col("o_orderkey"), F.encode("o_orderpriority", "UTF-8")
+    four, eight = text.number_bytes(1000 - key, 4), text.number_bytes(F.lit(7) - key * 4294967296, 8, big=False)
+    buf = F.concat(four, eight, text.number_bytes(F.octet_length(text_of), 2), text_of, F.unhex(F.lit("FF")))
+    b = table(spark, sf, "orders").select("o_orderkey", buf.alias("b"))
+    read = [F.hex(F.substring("b", 1, 4)).alias("put4"), text.signed(F.col("b"), 0, 4).alias("back4"), text.signed(F.col("b"), 4, 8, big=False).alias("back8")]
+    return b.select("o_orderkey", *read, F.decode(text.sized_bytes(F.col("b"), 12, 2), "UTF-8").alias("tail"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey <> (SELECT o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 1 OFFSET 10)")
+def ordered_without_nth(spark, sf):
+    return ordered.without_nth(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"], 10)
+
+
 @query()
 def hash_murmur(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", binary.murmur3_32_col("c_name").alias("m3"), binary.murmur2_64_col("c_name").alias("m2"))

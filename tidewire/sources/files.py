@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewire.functions.binary import inflate_col
 from tidewire.functions.text import ip_number
 from tidewire.functions.wire import pcap_records
 
@@ -43,6 +44,15 @@ def read_pcap(spark: SparkSession, path: str) -> DataFrame:
     return split_captures(spark.read.format("binaryFile").load(path).select("content"))
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line) of text files that are gzip or plain by their first bytes, whatever their names. A file is one task's
+    work and under 2 GB unpacked; an empty file has no line, one that is broken gives one null line."""
+    files = spark.read.format("binaryFile").load(path).where("length > 0")
+    content = F.when(F.hex(F.substring("content", 1, 2)) == "1F8B", inflate_col("content", F.lit("gzip"))).otherwise(F.col("content"))
+    lines = F.split(F.regexp_replace(F.decode(content, "UTF-8"), r"\r?\n\z", ""), r"\r?\n", -1)
+    return files.select("path", F.explode_outer(lines).alias("line"))
+
+
 def captures(records: DataFrame, key: str, slice_bits: int = 16) -> DataFrame:
     """Capture files (key, content) of the hex column ``record``: several a key, each of at most 2**slice_bits records.
 
