@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import bpe, html_extract, line_dedup, ngram_join, packing, quality, sharding, substring, topk, url_filter
+from tidewire.llm import bpe, html_extract, line_dedup, ngram_join, packing, periodic, projections, quality, sharding, substring, topk, turns, url_filter
 from tidewire.llm.common import read_table
 
 
@@ -150,6 +150,71 @@ FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digest(periodic.repeat_tails(read_table(spark, sf_dir, "documents")))
+
+
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projections.neighbours(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair_digest(read_table(spark, sf_dir, "conversations"))
+
+
+def _repair_sql() -> str:
+    """The same programme as a recursion from the last row to the first, with (cost, audit, lines) of each state as structs."""
+
+    def least(*options: str) -> str:
+        return f"list_sort(list_filter([{', '.join(options)}], lambda x: x IS NOT NULL))[1]"
+
+    def edit(letter: str, cost: str, to: str, line: str | None = None, when: str | None = None) -> str:
+        lines = f"{to}.l" if line is None else f"[{line}] || {to}.l"
+        made = f"{{'c': {to}.c + {cost}, 'a': '{letter}' || {to}.a, 'l': {lines}}}"
+        return f"CASE WHEN {when} THEN {made} END" if when else made
+
+    own, rerole = "role || ':' || text", "(2 + broken)"
+    keep = {0: [("s", "v1"), ("u", "v2")], 1: [("u", "v2")], 2: [("a", "v3")], 3: [("u", "v2")]}
+    rows = ",\n       ".join(
+        least(
+            edit("D", "3", f"v{s}"),
+            *(edit("K", "broken", to, own, f"NOT gone AND initial = '{i}'") for i, to in keep[s]),
+            edit("R", rerole, "v3" if s == 2 else "v2", f"'{'assistant' if s == 2 else 'user'}:' || text", "NOT gone"),
+        ) + f" AS e{s}"
+        for s in range(4)
+    )
+    user, assistant = "'user:'", "'assistant:'"
+    return rf"""
+WITH RECURSIVE named AS (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+hashed AS (SELECT *, xor(4294967295, list_reduce([4294967295::BIGINT] || range(8 * length(name)), lambda c, i:
+  xor(CASE WHEN i % 8 = 0 THEN xor(c, ascii(name[i // 8 + 1])::BIGINT) ELSE c END >> 1,
+      3988292384 * (CASE WHEN i % 8 = 0 THEN xor(c, ascii(name[i // 8 + 1])::BIGINT) ELSE c END & 1)))) % 20 AS h FROM named),
+damaged AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS copy,
+                   CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM hashed WHERE h <> 0),
+placed AS (SELECT *, coalesce(left(role, 1), '') AS initial, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, sha256(text) NULLS FIRST) AS pos,
+                  right(rtrim(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last FROM damaged),
+judged AS (SELECT *, last = '' AS blank, last <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again,
+                  coalesce(lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) || initial NOT IN ('su', 'ua', 'au'), false) AS illegal FROM placed),
+faults AS (SELECT *, blank OR again AS gone, CAST(NOT blank AND NOT again AND last NOT IN ('.', '!', '?') AS BIGINT) AS broken FROM judged),
+figures AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again) AS duplicate,
+                   CAST(sum(broken) AS BIGINT) AS truncated, count(*) FILTER (illegal) AS illegal, max(pos) AS n FROM faults GROUP BY conv_id),
+v AS (SELECT conv_id, n + 1 AS pos, {{'c': 0::BIGINT, 'a': '', 'l': []::VARCHAR[]}} AS v0, {{'c': 4::BIGINT, 'a': 'II', 'l': ['user:', 'assistant:']}} AS v1,
+             {{'c': 2::BIGINT, 'a': 'I', 'l': ['assistant:']}} AS v2, {{'c': 0::BIGINT, 'a': '', 'l': []::VARCHAR[]}} AS v3 FROM figures
+      UNION ALL
+      SELECT conv_id, pos, {least("e0", edit("I", "2", "w2", user))} AS v0, {least("e1", edit("I", "2", "w2", user))} AS v1, w2 AS v2, w3 AS v3 FROM (
+      SELECT *, {least("e2", edit("I", "2", "e3", assistant))} AS w2, {least("e3", edit("I", "2", "e2", user))} AS w3 FROM (
+      SELECT v.conv_id, f.pos, {rows}
+      FROM v JOIN faults f ON f.conv_id IS NOT DISTINCT FROM v.conv_id AND f.pos = v.pos - 1)))
+SELECT i.conv_id, coalesce(f.gaps, 0) AS gaps, coalesce(f.blank, 0) AS blank, coalesce(f.duplicate, 0) AS duplicate, coalesce(f.truncated, 0) AS truncated,
+       coalesce(f.illegal, 0) AS illegal, coalesce(v0.c, 0) AS cost, coalesce(v0.a, '') AS audit, sha256(coalesce(array_to_string(v0.l, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN figures f ON f.conv_id IS NOT DISTINCT FROM i.conv_id
+LEFT JOIN v ON v.conv_id IS NOT DISTINCT FROM i.conv_id AND v.pos = 1
+"""
+
+
+REPAIR_SQL = _repair_sql()
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_ngram_join": op2_ngram_join,
@@ -161,5 +226,8 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_html_extraction": op10_html_extraction,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_neighbours": op12_neighbours,
+    "op13_turn_repair": op13_turn_repair,
 }
-ORACLES: dict[str, str] = {"op2_ngram_join": NGRAM_SQL, "op3_line_dedup": LINE_DEDUP_SQL, "op4_topk": TOPK_SQL, "op7_url_filter": URL_SQL, "op9_substring_dedup": SUBSTRING_SQL}
+ORACLES: dict[str, str] = {"op2_ngram_join": NGRAM_SQL, "op3_line_dedup": LINE_DEDUP_SQL, "op4_topk": TOPK_SQL, "op7_url_filter": URL_SQL, "op9_substring_dedup": SUBSTRING_SQL, "op13_turn_repair": REPAIR_SQL}
