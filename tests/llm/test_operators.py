@@ -497,6 +497,14 @@ def test_substring_index_stays_in_its_folder(spark, tmp_path):
         assert (n, gone, hashlib.sha256(kept).hexdigest()) == brute_substrings(rows)[i]
 
 
+def test_substring_index_goes_on_with_later_documents(spark, tmp_path):
+    rows = sorted({i: (i, t) for i, t in corpus()}.values())
+    folder, want = f"file://{tmp_path}/index", brute_substrings(rows)
+    for part in (rows[:60], rows[60:61], rows[61:]):  # a later part repeats windows of the last batch of an earlier one
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.removal_digest(docs_of(spark, part), 2, folder).collect()}
+        assert got == {i: want[i] for i, _ in part}
+
+
 def test_substrings_of_repetitive_and_long_texts(spark):
     rows = [(1, "x " * 500), (2, "y " * 40 + "x " * 30 + "y " * 40), (3, "y " * 300), (4, " ".join(f"q{i % 29}" for i in range(4000))), (5, " ".join(f"q{i % 29}" for i in range(7, 3000)) + " end")]
     rows += [(6, "z" * 300_000 + " " + " ".join(f"q{i}" for i in range(29)))]
@@ -573,7 +581,7 @@ def test_html_edges(spark, trees):
     assert html_extract.extract(pages.limit(0), html_extract.train(pages.limit(0))).count() == 0
 
 
-@pytest.mark.parametrize("unit", ["<a ", "<a '>'", "<![CDATA[>", "<svg>", "<select>", "</b>", "<i>", "<i></b>", "<!x", "<div><p>", '<a href="x', "&amp;", "<tr><td>"])
+@pytest.mark.parametrize("unit", ["<a ", "<a '>'", "<![CDATA[>", "<svg>", "<select>", "</b>", "<i>", "<i></b>", "<!x", "<div><p>", '<a href="x', "&amp;", "<tr><td>", "<script></script", "<title></title", "<select></select"])
 def test_html_time_grows_with_length(unit):
     import time
 
@@ -654,7 +662,9 @@ def test_pipeline_stages_on_odd_tables(spark):
     long_word = "z" * 120_000
     rows = [(1, good), (2, good + " more"), (2, good + " more"), (3, None), (None, good), (None, None), (4, ""), (5, lines), (6, lines + "\nlast"), (7, f"{long_word} {good}"), (8, "a b c")]
     schema = "doc_id long, text string, lang string, source string, n_chars long, n_removed_lines string, component_id string, kept string, _x int"
-    table = spark.createDataFrame([(i, t, None, None, None, "own", "c", "k", None) for i, t in rows], schema)
+    clashing = ["_gone", "_gone_id", "_gone_key", "_found", "_found_id", "_found_key", "_n_removed_lines", "_doc_id", "_text_key", "_removed", "_stretches", "_Stretches_", "removed", "stretches", "text_key", "bucket"]
+    schema += "".join(f", `{c}` int" for c in clashing)
+    table = spark.createDataFrame([(i, t, None, None, None, "own", "c", "k", None, *range(len(clashing))) for i, t in rows], schema)
     want = {
         "quality_rules": [(1, good), (2, good + " more"), (2, good + " more"), (None, good), (7, f"{long_word} {good}")],
         "line_dedup": [(i, "last" if i == 6 else t) for i, t in rows],
@@ -672,5 +682,5 @@ def test_pipeline_stages_on_odd_tables(spark):
         assert out.columns == table.columns
         got = out.collect()
         assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(want[name], key=str), name
-        assert {(r.n_removed_lines, r.component_id, r.kept) for r in got} == {("own", "c", "k")}
+        assert {(r.n_removed_lines, r.component_id, r.kept, *r[9:]) for r in got} == {("own", "c", "k", *range(len(clashing)))}
         assert function(spark, table.limit(0), DATA).count() == 0

@@ -15,6 +15,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, or the first longer one that is no column (Spark does not tell capitals from small letters)."""
+    known = {c.lower() for c in columns}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node in ``edges(a long, b long)``; component = smallest node reachable.
 

@@ -145,9 +145,10 @@ def parse(html: str | None) -> Page:
         elif tag:
             if tag in OPAQUE:
                 if not rest.rstrip().endswith("/") and tag not in never:
-                    stop = re.compile(f"</{re.escape(tag)}[^>]*>", re.I).search(html, at)
-                    if stop:
-                        at = start = stop.end()
+                    stop = re.compile(f"</{re.escape(tag)}", re.I).search(html, at)
+                    ended = html.find(">", stop.end()) if stop else -1
+                    if ended >= 0:
+                        at = start = ended + 1
                     else:
                         never.add(tag)
                         if tag in ("script", "style", "textarea", "title"):

@@ -7,7 +7,7 @@ occurrences cover are removed, overlapping occurrences being merged.
 Defined cases: a text of under three lines (null, empty) has no windows and is left as it is; a null text stays null;
 rows with a null doc_id take no part and are kept unchanged; rows that repeat doc_id and text are one document, of
 which every row is treated alike; rows that share a doc_id but not the text are told apart by a hash of the text; all
-other columns are passed on (one named n_removed_lines is replaced).
+other columns are passed on, whatever their names (one named n_removed_lines is replaced).
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.llm.common import unused
+
 WINDOW = 3
 
 
@@ -46,15 +48,15 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def drop_repeated_lines(docs: DataFrame) -> DataFrame:
-    """The rows and columns of ``docs`` with later repeated lines taken out of ``text``, and ``n_removed_lines``."""
-    gone = removed_lines(docs).withColumnsRenamed({"doc_id": "_gone_id", "text_key": "_gone_key", "removed": "_gone"})
-    joined = docs.join(gone, (F.col("doc_id") == F.col("_gone_id")) & (_key(F.col("text")) == F.col("_gone_key")), "left")
-    lines = F.split("text", "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(
-        F.array_join(F.transform(F.array_sort(left), lambda i: lines[i]), "\n")
-    )
-    return joined.withColumn("text", text).withColumn("n_removed_lines", F.coalesce(F.size("_gone"), F.lit(0)).cast("long")).select(
-        *[c for c in docs.columns if c != "n_removed_lines"], "n_removed_lines"
-    )
+def drop_repeated_lines(docs: DataFrame, count: str | None = "n_removed_lines") -> DataFrame:
+    """The rows and columns of ``docs`` with later repeated lines taken out of ``text``, and a column ``count`` (none if None)."""
+    own = {n: unused(docs.columns, f"_{n}") for n in ("doc_id", "text_key", "removed")}
+    gone = removed_lines(docs).withColumnsRenamed(own)
+    joined = docs.join(gone, (F.col("doc_id") == F.col(own["doc_id"])) & (_key(F.col("text")) == F.col(own["text_key"])), "left")
+    removed, lines = F.col(own["removed"]), F.split("text", "\n", -1)
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), removed)
+    text = F.when(removed.isNull(), F.col("text")).otherwise(F.array_join(F.transform(F.array_sort(left), lambda i: lines[i]), "\n"))
+    out = joined.withColumn("text", text)
+    if count:
+        return out.select(*[c for c in docs.columns if c != count], F.coalesce(F.size(removed), F.lit(0)).cast("long").alias(count))
+    return out.select(*docs.columns)

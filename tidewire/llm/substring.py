@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm import words as W
-from tidewire.llm.common import cut, edges, from_planes, pack_ids, planes, unpack_ids
+from tidewire.llm.common import cut, edges, from_planes, pack_ids, planes, unpack_ids, unused
 from tidewire.operators.lineage import ensure_checkpoint_dir, folders_in, remove_folder, shuffles_dropped
 
 WINDOW = 13
@@ -309,8 +309,13 @@ class FingerprintIndex:
         remove_folder(self.spark, self.folder)
 
 
-def repeated_windows(docs: DataFrame, n_batches: int = 4, fanout: int = 2) -> DataFrame:
-    """(doc_id, text_key, stretches) of the documents that repeat windows of smaller doc_ids: uint32 (start, count) pairs."""
+def repeated_windows(docs: DataFrame, n_batches: int = 4, fanout: int = 2, folder: str | None = None) -> DataFrame:
+    """(doc_id, text_key, stretches) of the documents that repeat windows of smaller doc_ids: uint32 (start, count) pairs.
+
+    With ``folder`` the index stays there, with the windows of every document: a later call with the same folder and documents
+    of larger doc_ids finds what they repeat of these. Without it the index goes when the call ends, and the windows of the
+    last batch, which nothing would look up, are not written.
+    """
     spark = docs.sparkSession
     known = docs.where("doc_id is not null and text is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text"
@@ -318,13 +323,14 @@ def repeated_windows(docs: DataFrame, n_batches: int = 4, fanout: int = 2) -> Da
     stat = known.agg(F.sum(F.octet_length("text")).alias("bytes"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
     if stat.low is None:
         return spark.createDataFrame([], _FOUND)
-    folder = f"{ensure_checkpoint_dir(spark)}/substring-index-{uuid.uuid4().hex}"
+    stays, folder = folder is not None, folder or f"{ensure_checkpoint_dir(spark)}/substring-index-{uuid.uuid4().hex}"
     index = FingerprintIndex(spark, folder, max(32, -(-stat.bytes // BUCKET_BYTES)), fanout)
     bounds = [stat.low + (stat.high + 1 - stat.low) * i // n_batches for i in range(n_batches + 1)]
     ranges = [(a, b) for a, b in zip(bounds, bounds[1:]) if a < b]
-    parts = [index.add(known.where((F.col("doc_id") >= a) & (F.col("doc_id") < b)), keep=(a, b) != ranges[-1]) for a, b in ranges]
+    parts = [index.add(known.where((F.col("doc_id") >= a) & (F.col("doc_id") < b)), keep=stays or (a, b) != ranges[-1]) for a, b in ranges]
     found = cut(reduce(DataFrame.unionByName, parts).groupBy("bucket").applyInArrow(_by_document, _FOUND))
-    index.remove()
+    if not stays:
+        index.remove()
     return found
 
 
@@ -341,26 +347,28 @@ def keep_words(text: bytes, stretches: bytes | None) -> tuple[int, int, bytes]:
     return len(words), len(words) - int(left.sum()), b" ".join(compress(words, left.tolist()))
 
 
-def _with_stretches(docs: DataFrame, n_batches: int) -> DataFrame:
-    found = repeated_windows(docs, n_batches).withColumnsRenamed({"doc_id": "_found_id", "text_key": "_found_key", "stretches": "_found"})
-    return docs.join(found, (F.col("doc_id") == F.col("_found_id")) & (F.xxhash64("text") == F.col("_found_key")), "left").drop("_found_id", "_found_key")
+def _with_stretches(docs: DataFrame, n_batches: int, folder: str | None = None) -> DataFrame:
+    """``docs`` and, as the last column, the stretches of repeated windows of each row."""
+    own = {n: unused(docs.columns, f"_{n}") for n in ("doc_id", "text_key", "stretches")}
+    found = repeated_windows(docs, n_batches, folder=folder).withColumnsRenamed(own)
+    return docs.join(found, (F.col("doc_id") == F.col(own["doc_id"])) & (F.xxhash64("text") == F.col(own["text_key"])), "left").drop(own["doc_id"], own["text_key"])
 
 
-def removal_digest(docs: DataFrame, n_batches: int = 4) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 for every row of ``docs(doc_id, text)``."""
+def removal_digest(docs: DataFrame, n_batches: int = 4, folder: str | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 for every row of ``docs(doc_id, text)`` (``folder`` as in ``repeated_windows``)."""
 
     def run(batches):
         for b in batches:
-            got = [keep_words((t or "").encode(), p) for t, p in zip(b.column("text").to_pylist(), b.column("_found").to_pylist())]
+            got = [keep_words((t or "").encode(), p) for t, p in zip(b.column("text").to_pylist(), b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id").cast(pa.int64()), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()),
                  pa.array([hashlib.sha256(g[2]).hexdigest() for g in got], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"]
             )
 
-    return _with_stretches(docs.select("doc_id", "text"), n_batches).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _with_stretches(docs.select("doc_id", "text"), n_batches, folder).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def drop_repeated(docs: DataFrame, n_batches: int = 4) -> DataFrame:
+def drop_repeated(docs: DataFrame, n_batches: int = 4, folder: str | None = None) -> DataFrame:
     """The rows and columns of ``docs``; a text that loses words becomes its kept words joined by one space."""
     names = docs.columns
     at = names.index("text")
@@ -372,4 +380,4 @@ def drop_repeated(docs: DataFrame, n_batches: int = 4) -> DataFrame:
             arrays = [pa.array(new, pa.string()) if i == at else b.column(i) for i in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return _with_stretches(docs, n_batches).mapInArrow(run, docs.schema)
+    return _with_stretches(docs, n_batches, folder).mapInArrow(run, docs.schema)

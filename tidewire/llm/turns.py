@@ -355,8 +355,9 @@ def repair(turns: DataFrame, block: int = 4096) -> tuple[DataFrame, DataFrame]:
     real = found.where("of = 1").unionByName(found.where("of > 1").join(entered, ["part", "block", "entry"], "left_semi").select(*found.columns))
     edits = real.mapInArrow(_spelled, "conv_id long, part int, block long, step long, edit string, times long, turn long, role string, text_key string")
     key = F.sha2(F.col("text").cast("binary"), 256)
-    texts = turns.where("text is not null").select(key.alias("text_key"), "text").groupBy("text_key").agg(F.first("text").alias("text"))
-    stays = edits.where("edit in ('K', 'R')").join(texts, "text_key", "left")
+    texts = turns.where("text is not null").select(F.col("conv_id").cast("long").alias("t_conv"), key.alias("t_key"), "text").groupBy("t_conv", "t_key").agg(F.first("text").alias("text"))
+    same = F.col("conv_id").eqNullSafe(F.col("t_conv")) & (F.col("text_key") == F.col("t_key"))  # a common text is not one key
+    stays = edits.where("edit in ('K', 'R')").join(texts, same, "left")
     plain = edits.where("edit in ('D', 'I')").withColumn("text", F.when(F.col("edit") == "I", ""))
     columns = ["conv_id", "part", "block", "step", "edit", "times", "turn", "role", "text"]
     return stays.select(*columns).unionByName(plain.select(*columns)), ends.where("number = 0").select("conv_id", *(f.split()[0] for f in _FIGURES.split(", ")))
