@@ -42,9 +42,7 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     alike; a tie between windows goes to the smaller doc_id, then to the earlier line; n_chars is counted again (null
     for a null text). A column named n_removed_lines keeps its values.
     """
-    own = "n_removed_lines" in docs.columns
-    found = line_dedup.drop_repeated_lines(docs.withColumnRenamed("n_removed_lines", "_n_removed_lines"))
-    return _recounted(found.drop("n_removed_lines").withColumnRenamed("_n_removed_lines", "n_removed_lines") if own else found, docs.columns)
+    return _recounted(line_dedup.drop_repeated_lines(docs, count=None), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
