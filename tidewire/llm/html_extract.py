@@ -313,7 +313,7 @@ def token_odds(slots: np.ndarray, y: np.ndarray, prior: float) -> np.ndarray:
     return np.log((yes + 2 * prior) / (no + 2 * (1 - prior))) - np.log(prior / (1 - prior))
 
 
-def boost(x: np.ndarray, y: np.ndarray, odds: np.ndarray, rounds: int = 80, depth: int = 5, rate: float = 0.2, bins: int = 32) -> Trees:
+def boost(x: np.ndarray, y: np.ndarray, odds: np.ndarray, rounds: int = 60, depth: int = 5, rate: float = 0.25, bins: int = 32) -> Trees:
     """Gradient boosting for the logistic loss, with histograms over quantile bins."""
     n, d = x.shape
     edge = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(d)]
@@ -452,8 +452,26 @@ def compose(rng: random.Random, texts: list[str]) -> str:
         """A name that says nothing, on some elements."""
         return f' class="{"".join(rng.choices("bcdfghklmnprstvwz", k=5))}"' if rng.random() < 0.25 else ""
 
+    def linked_list() -> str:
+        """A list that belongs to the text: links with words around them, or links alone under a sentence."""
+        tag, bare = rng.choice(["ul", "ol"]), rng.random() < 0.3
+        items = "".join(f'<li keep><a keep href="/{rng.randrange(999)}">{say(1, 6)}</a> {"" if bare else say(1, 14)}' + rng.choice(["</li>", "</li>", ""]) for _ in range(rng.randint(2, 14)))
+        return (f"<p keep>{say(4, 30)}</p>" if bare or rng.random() < 0.4 else "") + f"<{tag} keep>{items}</{tag}>"
+
+    def lines() -> str:
+        """Text without paragraphs: parts between line ends, some with a title in bold."""
+        title = f"<{(t := rng.choice(['b', 'strong', 'font']))} keep>{say(1, 8)}</{t}><br><br>" if rng.random() < 0.6 else ""
+        return title + "<br><br>".join(say(8, 70) for _ in range(rng.randint(1, 6)))
+
     def main_block() -> str:
         r = rng.random()
+        if rng.random() < 0.12:
+            return linked_list()
+        if rng.random() < 0.06:
+            return f"<div keep{noise()}>{lines()}</div>"
+        if rng.random() < 0.05:
+            rows = "".join("<tr keep>" + "".join(f"<td keep>{say(1, 12)}</td>" for _ in range(3)) + "</tr>" for _ in range(rng.randint(2, 6)))
+            return f"<table keep>{rows}</table>"
         if r < 0.08:
             return f"<h2 keep{noise()}>{say(1, 8)}</h2>"
         if r < 0.14:
@@ -478,6 +496,23 @@ def compose(rng: random.Random, texts: list[str]) -> str:
         blocks.insert(rng.randint(1, len(blocks)), boiler(rng.choice(["advert", "share", "side", "note", "form", "comment"])))
     frame = rng.choice(['<article keep>%s</article>'] * 4 + ['<main keep>%s</main>', '<main keep><article keep>%s</article></main>', '<div keep class="content">%s</div>', '<div keep id="main">%s</div>',
                         '<div keep class="post-body">%s</div>', '<div keep>%s</div>', '<div keep><div keep class="entry">%s</div></div>', '<section keep>%s</section>'])
+    shape = rng.random()
+    if shape < 0.06:  # little text and nothing else
+        few = "".join(rng.choice([f"<p keep>{say(1, 3)}</p>", f"<div keep>{say(1, 4)}</div>", f"<h1 keep>{say(1, 3)}</h1>", f"<p keep>{say(1, 20)}</p>"]) for _ in range(rng.randint(1, 2)))
+        return f"<html><body>{few}</body></html>"
+    if shape < 0.16:  # the text stands in the body itself
+        inner = lines() if rng.random() < 0.5 else "".join(blocks)
+        around = rng.choice([("", ""), (boiler("menu"), boiler("foot")), (boiler("head"), ""), ("", boiler("foot"))])
+        return f"<html><head><title>{say(1, 5)}</title></head><body keep>{around[0]}{inner}{around[1]}</body></html>"
+    if shape < 0.28:  # a table holds the layout
+        text = lines() if rng.random() < 0.4 else "".join(blocks)
+        menu = rng.choice(["<br>", "<p>", " | "]).join(link(2) for _ in range(rng.randint(3, 8)))
+        cells = [f"<td{rng.choice(['', ' class=left', ' width=120', ' valign=top'])}>{menu}</td>", f"<td keep{rng.choice(['', ' valign=top', ' width=600'])}>{text}</td>"]
+        if rng.random() < 0.3:
+            cells.append(f"<td>{list_of(4, 3)}</td>")
+        top = f"<tr><td colspan=2>{rng.choice([link(3), say(1, 5), '<img src=x>' + say(1, 4)])}</td></tr>" if rng.random() < 0.5 else ""
+        low = f"<tr><td colspan=2>{rng.choice(['<font size=1>%s</font>', '<small>%s</small>', '<center>%s</center>', '%s']) % rng.choice(['Copyright ', '&copy; ', ''])}{say(2, 8)}</td></tr>".replace("</font>", "").replace("</small>", "").replace("</center>", "") if rng.random() < 0.8 else ""
+        return f"<html><head><title>{say(1, 5)}</title></head><body><table>{top}<tr>{''.join(cells)}</tr>{low}</table></body></html>"
     before = [boiler(rng.choice(kinds)) for _ in range(rng.randint(0, 3))]
     after = [boiler(rng.choice(kinds)) for _ in range(rng.randint(0, 3))]
     if rng.random() < 0.7:
@@ -490,7 +525,7 @@ def compose(rng: random.Random, texts: list[str]) -> str:
     return f"<html><head><title>{say(1, 5)}</title></head><body>{inner}</body></html>"
 
 
-def fit(texts: list[str], n_pages: int = 700, seed: int = 11) -> Trees:
+def fit(texts: list[str], n_pages: int = 600, seed: int = 11) -> Trees:
     """Trees for the elements that hold text. Each half of the pages is described by the token odds of the other half, so
     that no element tells of its own label; the odds of all pages go with the trees."""
     rng = random.Random(seed)
@@ -500,7 +535,9 @@ def fit(texts: list[str], n_pages: int = 700, seed: int = 11) -> Trees:
     for page in pages:
         numbers, row, slot = node_features(page)
         y = np.array([bool(re.search(r"(^|\s)keep(\s|$)", a)) for a in page.attributes], float)
-        use = (numbers[:, 3] > 0) & np.array([t not in ("html", "body") for t in page.tag])
+        held = np.zeros(len(page.tag))
+        np.add.at(held, [i for i, t in page.pieces if i >= 0 and t.strip()], 1)
+        use = (numbers[:, 3] > 0) & np.array([t != "html" and (t != "body" or n > 0) for t, n in zip(page.tag, held)])
         known.append((numbers, row, slot, y, use))
     prior = float(np.concatenate([y[use] for *_, y, use in known]).mean())
 
