@@ -1,38 +1,27 @@
-"""Pattern tables: pattern sets too large for one expression are rows, joined with the values by anchors.
+"""Pattern tables: pattern sets too large for one expression are rows, made into machines that scan the values.
 
-Every pattern has one anchor, a piece that a value must hold where the pattern can match: of the possible ones the one
-that the fewest other patterns share, so that a piece common to many patterns ("www.", one host) does not gather them.
-Values give all their pieces; an equi-join finds the candidates, which are then tested in full. Neither side is hinted to
-be broadcast: a small pattern table is sent to every task by measured size, a large one is shuffled by anchor.
+String patterns become one automaton (a trie with failure links): every contained pattern, and every prefix, suffix and whole
+value with a mark for the value's ends, is found in one pass over the value, however many patterns share a prefix. Patterns
+that fix both ends are found by their head, then by a lookup of their tail. URL patterns become tries of segments, one for each
+host and number of segments, walked level by level over exact, ``*`` and part-wild edges. ``scan`` deals patterns and values.
 
 Null values match nothing; null and repeated patterns count as absent and once; empty tables give no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from tidewire.operators.lineage import cut
-from tidewire.operators.matchers import sure, url_segments
-
-#: Lengths of anchors in characters: a pattern takes the largest that it reaches.
-SIZES = (1, 2, 4, 8, 16, 32)
-#: Values are cut to slices of so many characters (plus what an anchor needs) before their pieces are listed.
-SLICE = 256
+from collections import defaultdict
 
+import ahocorasick
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-def _size(text: Column) -> Column:
-    out = F.lit(SIZES[0])
-    for n in SIZES[1:]:
-        out = F.when(F.length(text) >= n, F.lit(n)).otherwise(out)
-    return out
-
+from tidewire.operators.matchers import url_segments
+from tidewire.operators.scan import scan_table
 
-def _pieces(text: Column, size, last) -> Column:
-    """The distinct pieces of ``size`` characters that start at 1..last."""
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, size)))
+#: Marks that stand before and after a value; places are checked, so a value or pattern may hold them.
+BEGIN, END = "\x02", "\x03"
 
 
 def parsed_patterns(patterns: DataFrame, pattern: str) -> DataFrame:
@@ -61,74 +50,119 @@ def parsed_patterns(patterns: DataFrame, pattern: str) -> DataFrame:
     )
 
 
-def _rarest(pieces: DataFrame, by: str, anchor: list[str]) -> DataFrame:
-    """Of the rows (by, anchor) the one of each ``by`` whose anchor the fewest share."""
-    counts = pieces.groupBy(*anchor).agg(F.count(F.lit(1)).alias("_shared"))
-    best = pieces.join(counts, anchor).groupBy(by).agg(F.min(F.struct("_shared", *anchor)).alias("_best"))
-    return best.select(by, *[F.col("_best")[a].alias(a) for a in anchor])
-
-
-def match_table(df: DataFrame, key: str, field: str, patterns: DataFrame, pattern: str) -> DataFrame:
-    """(key, pattern) for every value of ``field`` and every pattern that matches it; ``key`` is unique in ``df``."""
-    known = cut(parsed_patterns(patterns, pattern).where("kind <> 'bad'"))  # read four times
-    text, tail = F.col("text"), F.col("tail")
-    inner = known.where("kind = 'contains'")
-    windows = inner.select("pattern", F.explode(_pieces(text, _size(text), F.length(text) - _size(text) + 1)).alias("_anchor"))
-    at_end = (F.col("kind") == "suffix") | (text == "")
-    edge = F.when(at_end, F.when(text == "", tail).otherwise(text)).otherwise(text)
-    how = F.when(F.col("kind") == "full", "full").when(at_end, "end").otherwise("start")
-    part = F.when(F.col("kind") == "full", text).when(at_end, F.right(edge, _size(edge))).otherwise(F.left(edge, _size(edge)))
-    anchors = cut(
-        known.where("kind <> 'contains'").select("*", how.alias("_how"), part.alias("_anchor"))
-        .unionByName(inner.join(_rarest(windows, "pattern", ["_anchor"]), "pattern").withColumn("_how", F.lit("in")))
-    )
-    # the driver reads at most one row for each of SIZES
-    used = sorted(r[0] for r in anchors.where("_how = 'in'").select(F.length("_anchor")).distinct().collect())
-
-    value = F.col("_value")
-    values = df.select(F.col(key).alias("_key"), F.col(field).alias("_value")).where(value.isNotNull())
-    cells = [F.struct(F.lit("full").alias("_how"), value.alias("_anchor"))]
-    for n in SIZES:
-        for name, side in (("start", F.left), ("end", F.right)):
-            cells.append(F.when(F.length(value) >= n, F.struct(F.lit(name).alias("_how"), side(value, F.lit(n)).alias("_anchor"))))
-    ends = values.select("_key", F.explode(F.filter(F.array(*cells), lambda c: c.isNotNull())).alias("_c")).select("_key", "_c.*")
-    slices = F.transform(F.sequence(F.lit(0), F.floor((F.length(value) - 1) / SLICE).cast("int")), lambda i: F.substr(value, i * SLICE + 1, F.lit(SLICE + SIZES[-1] - 1)))
-    part = F.col("_slice")
-    listed = [_pieces(part, F.lit(n), F.least(F.lit(SLICE), F.length(part) - n + 1)) for n in used]
-    pieces = ends
-    if listed:
-        inside = values.where(value != "").select("_key", F.explode(slices).alias("_slice")).select("_key", F.explode(F.concat(*listed)).alias("_anchor"))
-        pieces = ends.unionByName(inside.withColumn("_how", F.lit("in")))
-    found = pieces.join(anchors, ["_how", "_anchor"]).dropDuplicates(["_key", "pattern"])
-
-    rest = F.length(value) - F.length(text) - F.length(tail)
-    middle = F.substr(value, F.length(text) + 1, rest)
-    holds = (
-        F.when(F.col("kind") == "full", value == text).when(F.col("kind") == "prefix", value.startswith(text)).when(F.col("kind") == "suffix", value.endswith(text))
-        .when(F.col("kind") == "infix", value.startswith(text) & value.endswith(tail) & (rest >= 1) & ~middle.contains("/"))
-        .otherwise(value.contains(text))
-    )
-    return found.select("_key", "pattern", "kind", "text", "tail").join(values, "_key").where(holds).select(F.col("_key").alias(key), "pattern")
-
-
-def match_url_table(df: DataFrame, key: str, field: str, patterns: DataFrame, pattern: str) -> DataFrame:
-    """(key, pattern) for every URL and every URL pattern that matches it, by the rules of ``matchers.url_condition``.
-
-    The anchor is the rarest exact segment of a pattern, with its place and the number of segments.
+class Automaton:
+    """Finds all patterns (rows of kind, text, tail) in a value in one pass."""
+
+    def __init__(self, rows: pa.Table):
+        words: dict[str, tuple[bool, bool, list[int], dict]] = {}
+        for i, (kind, text, tail) in enumerate(zip(*(rows.column(n).to_pylist() for n in ("kind", "text", "tail")))):
+            starts, ends = kind in ("prefix", "full", "infix"), kind in ("suffix", "full")
+            word = BEGIN * starts + text + END * ends
+            entry = words.setdefault(word + "|" + str(starts) + str(ends), (starts, ends, [], {}))
+            if kind == "infix":
+                entry[3].setdefault(len(tail), {}).setdefault(tail, []).append(i)
+            else:
+                entry[2].append(i)
+        by_word = defaultdict(list)
+        for name, entry in words.items():
+            by_word[name.rpartition("|")[0]].append(entry)
+        self.automaton = ahocorasick.Automaton()
+        for word, entries in by_word.items():
+            self.automaton.add_word(word, (len(word), entries))
+        self.any = bool(by_word)
+        if self.any:
+            self.automaton.make_automaton()
+
+    def find(self, value: str) -> list[int]:
+        if not self.any:
+            return []
+        out: set[int] = set()
+        last = len(value) + 1
+        for end, (size, entries) in self.automaton.iter(BEGIN + value + END):
+            start = end - size + 1
+            for starts, ends, whole, tails in entries:
+                if starts != (start == 0) or ends != (end == last):
+                    continue
+                out.update(whole)
+                slash = value.find("/", end) if tails else -1
+                for n, known in tails.items():  # the head is value[:end]; the middle holds a character at least, and no slash
+                    if len(value) > end + n and not 0 <= slash < len(value) - n:
+                        out.update(known.get(value[len(value) - n :], ()))
+        return sorted(out)
+
+
+def match_table(df: DataFrame, key: str, field: str, patterns: DataFrame, pattern: str, most: int = 2 << 20) -> DataFrame:
+    """(key, pattern) for every value of ``field`` and every pattern that matches it; ``key`` is unique in ``df``.
+
+    An automaton holds patterns of up to ``most`` characters in all (some 70 bytes a character).
     """
-    raw = F.col(pattern)
-    known = patterns.where(raw.isNotNull()).select(raw.alias("pattern")).distinct().withColumn("_parts", url_segments(F.col("pattern")))
-    anchor = ["_n", "_at", "_cell"]
-    cells = known.select("pattern", F.size("_parts").alias("_n"), F.posexplode("_parts").alias("_at", "_cell"))
-    best = _rarest(cells.where("_at = 0 OR NOT contains(_cell, '*')"), "pattern", anchor)
-    urls = df.select(F.col(key).alias("_key"), F.col(field).alias("_url")).where("_url IS NOT NULL").withColumn("_segments", url_segments(F.col("_url")))
-    pieces = urls.select("_key", "_segments", F.size("_segments").alias("_n"), F.posexplode("_segments").alias("_at", "_cell"))
-
-    def fits(i: Column) -> Column:
-        part, cell = F.get("_parts", i), F.get("_segments", i)
-        head, tail = F.substring_index(part, "*", 1), F.regexp_extract(part, r"(?s)\A[^*]*\*(.*)\z", 1)
-        both = cell.startswith(head) & cell.endswith(tail) & (F.octet_length(cell) >= F.greatest(F.octet_length(head), F.octet_length(tail)))
-        return F.when((i == 0) | ~part.contains("*"), part == cell).otherwise((part == "*") | both)
-
-    found = pieces.join(best.join(known, "pattern"), anchor)
-    return found.where(sure(F.forall(F.sequence(F.lit(0), F.size("_parts") - 1), fits))).select(F.col("_key").alias(key), "pattern")
+    known = parsed_patterns(patterns, pattern).where("kind <> 'bad'")
+    values = df.select(F.col(key).alias("_key"), F.col(field).alias("_value"))
+    return scan_table(values, known, F.length("text") + F.length("tail") + 2, Automaton, ["pattern"], most=most).withColumnRenamed("_key", key)
+
+
+class Node:
+    __slots__ = ("exact", "star", "parts", "rows")
+
+    def __init__(self) -> None:
+        self.exact: dict[str, Node] = {}
+        self.star: Node | None = None
+        self.parts: dict[tuple[int, int], dict[tuple[str, str], Node]] = {}  # by the lengths of what stands before and after *
+        self.rows: list[int] = []
+
+
+class SegmentTries:
+    """Finds all URL patterns (rows of segments ``_parts``) that fit the segments of a URL."""
+
+    def __init__(self, rows: pa.Table):
+        self.roots: dict[tuple[str, int], Node] = defaultdict(Node)
+        for i, parts in enumerate(rows.column("_parts").to_pylist()):
+            node = self.roots[parts[0], len(parts)]
+            for part in parts[1:]:
+                if part == "*":
+                    node.star = node.star or Node()
+                    node = node.star
+                elif "*" in part:
+                    head, _, tail = part.partition("*")
+                    node = node.parts.setdefault((len(head), len(tail)), {}).setdefault((head, tail), Node())
+                else:
+                    node = node.exact.setdefault(part, Node())
+            node.rows.append(i)
+
+    def find(self, segments: list[str]) -> list[int]:
+        level = [self.roots[segments[0], len(segments)]] if (segments[0], len(segments)) in self.roots else []
+        for cell in segments[1:]:
+            after = []
+            for node in level:
+                if cell in node.exact:
+                    after.append(node.exact[cell])
+                if node.star:
+                    after.append(node.star)
+                for (a, b), known in node.parts.items():
+                    if len(cell) >= max(a, b) and (child := known.get((cell[:a], cell[len(cell) - b :]))):
+                        after.append(child)
+            level = after
+        return [i for node in level for i in node.rows]
+
+
+def _url_hits(df: DataFrame, key: str, field: str, patterns: DataFrame, keep: list[str], most: int) -> DataFrame:
+    values = df.select(F.col(key).alias("_key"), url_segments(F.col(field)).alias("_value")).where("_value IS NOT NULL")
+    known = patterns.withColumn("_parts", url_segments(F.col("pattern")))
+    hosts = F.get("_value", F.lit(0)), F.get("_parts", F.lit(0))
+    size = F.aggregate("_value", F.lit(0).cast("long"), lambda n, s: n + F.octet_length(s) + 8)
+    found = scan_table(values, known, F.length("pattern") + 8, SegmentTries, keep, buckets=hosts, size=size, most=most)
+    return found.withColumnRenamed("_key", key)
+
+
+def match_url_table(df: DataFrame, key: str, field: str, patterns: DataFrame, pattern: str, most: int = 2 << 20) -> DataFrame:
+    """(key, pattern) for every URL and every URL pattern that matches it, by the rules of ``matchers.url_condition``."""
+    known = patterns.where(F.col(pattern).isNotNull()).select(F.col(pattern).alias("pattern")).distinct()
+    return _url_hits(df, key, field, known, ["pattern"], most)
+
+
+def first_url_match(df: DataFrame, key: str, field: str, patterns: DataFrame, pattern: str, order: str, most: int = 2 << 20) -> DataFrame:
+    """(key, pattern): of the URL patterns that match a URL the one that comes first by ``order`` (ties: the smaller pattern)."""
+    place = F.col(order).cast("long")
+    known = patterns.where(F.col(pattern).isNotNull()).groupBy(F.col(pattern).alias("pattern")).agg(F.min(place).alias("_place"))
+    hits = _url_hits(df, key, field, known, ["pattern", "_place"], most)
+    return hits.groupBy(key).agg(F.min(F.struct(F.col("_place").isNull(), "_place", "pattern")).alias("_best")).select(key, F.col("_best.pattern").alias("pattern"))

@@ -220,6 +220,24 @@ def url_pattern_table(spark, sf):
     return pattern_tables.match_url_table(r, "page_id", "location", r.select(F.explode(F.array(*shapes)).alias("pattern")).unionByName(others), "pattern")
 
 
+@query(R + """, p AS (SELECT pattern, min(place) AS place FROM (SELECT host || '/*/*' AS pattern, 1000000000 + page_id AS place FROM r UNION ALL SELECT host || '/' || substr(uri, 2, 1) || '*/*', page_id FROM r
+UNION ALL SELECT host || uri, 500000000 - page_id FROM r UNION ALL SELECT 'www.example.org/' || o_orderkey || '/*', o_orderkey FROM orders) GROUP BY pattern)
+SELECT page_id, first(pattern ORDER BY place, pattern) AS pattern FROM r, p
+WHERE regexp_matches(location, '^' || replace(replace(pattern, '.', '\\.'), '*', '[^/?#]*') || '([?#].*)?$') GROUP BY page_id""".replace("\\\\", "\\"))
+def url_pattern_first(spark, sf):
+    """Of some URL patterns for every page and one for every order the first that matches each page."""
+    r = requests(spark, sf)
+    host, number = F.col("host"), F.col("page_id")
+    shapes = [
+        F.struct(F.concat(host, F.lit("/*/*")).alias("pattern"), (number + 1_000_000_000).alias("place")),
+        F.struct(F.concat(host, F.lit("/"), F.substring("uri", 2, 1), F.lit("*/*")).alias("pattern"), number.alias("place")),
+        F.struct(F.concat(host, F.col("uri")).alias("pattern"), (500_000_000 - number).alias("place")),
+    ]
+    others = table(spark, sf, "orders").select(F.concat(F.lit("www.example.org/"), F.col("o_orderkey").cast("string"), F.lit("/*")).alias("pattern"), F.col("o_orderkey").alias("place"))
+    patterns = r.select(F.explode(F.array(*shapes)).alias("p")).select("p.*").unionByName(others)
+    return pattern_tables.first_url_match(r, "page_id", "location", patterns, "pattern", "place")
+
+
 @query(R + "SELECT page_id, '[' || array_to_string(string_split(regexp_replace(location, '[?#].*$', ''), '/'), ', ') || ']' AS segments FROM r")
 def url_segments(spark, sf):
     return requests(spark, sf).select("page_id", F.concat(F.lit("["), F.array_join(matchers.url_segments(F.col("location")), ", "), F.lit("]")).alias("segments"))
