@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import binary, text, wire
 from tidewire.operators import counters, lookup, matchers, ordered, pattern_tables
+from tidewire.plans import rule_tables
 from tidewire.plans.rules import RuleSet, parse_source, source_text_of_rows
 from tidewire.plans.template import FUNCTIONS, Template
 from tidewire.sources.files import capture_stats, captures, split_captures
@@ -160,6 +161,58 @@ def rule_theta_join(spark, sf):
     return requests(spark, sf).select("page_id", F.explode(rules.matched_ids(fields())).alias("source_id"))
 
 
+_TABLE_RULES = r""", n AS (SELECT page_id, o_orderkey AS rule_id, ends_with(uri, '/' || (o_orderkey % 97)) AS tail, contains(host, chr(CAST(97 + o_custkey % 26 AS INT)) || 'h') AS part,
+query IS NOT NULL AS asked, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS kind FROM r, orders),
+m AS (SELECT page_id, rule_id, coalesce(CASE kind WHEN 0 THEN tail AND part WHEN 1 THEN NOT (part OR asked) ELSE tail AND NOT asked END, false) AS matched FROM n) """
+
+
+def order_rules(spark, sf):
+    """A rule for every order (their form by status) and the values of its groups; groups are shared by rules."""
+    o = table(spark, sf, "orders")
+    tail, part = F.concat(F.lit("$t"), F.col("o_orderkey") % 97), F.concat(F.lit("$c"), F.col("o_custkey") % 26)
+    tail, part = F.concat(F.lit("uri wumanber "), tail), F.concat(F.lit("host wumanber "), part)
+    asked = F.lit("query exists")
+    text = (
+        F.when(F.col("o_orderstatus") == "F", F.concat_ws(" ", tail, F.lit("and"), part))
+        .when(F.col("o_orderstatus") == "O", F.concat_ws(" ", F.lit("not ("), part, F.lit("or"), asked, F.lit(")")))
+        .otherwise(F.concat_ws(" ", tail, F.lit("and not"), asked))
+    )
+    letters = F.concat(F.expr("chr(97 + o_custkey % 26)"), F.lit("h"))
+    values = F.array(F.struct(F.concat(F.lit("$t"), F.col("o_orderkey") % 97).alias("group"), F.concat(F.lit("*/"), F.col("o_orderkey") % 97, F.lit("$")).alias("value")), F.struct(F.concat(F.lit("$c"), F.col("o_custkey") % 26).alias("group"), letters.alias("value")))
+    return o.select(F.col("o_orderkey").alias("rule_id"), text.alias("expression")), o.select(F.explode(values).alias("v")).select("v.*").distinct()
+
+
+@query(R + _TABLE_RULES + "SELECT rule_id, CAST(count(*) FILTER (matched) AS BIGINT) AS n_records FROM m GROUP BY rule_id")
+def rule_table_counts(spark, sf):
+    """On how many pages each of the orders' rules is true."""
+    return rule_tables.RuleTables(*order_rules(spark, sf)).rule_counts(requests(spark, sf), "page_id")
+
+
+@query(R + _TABLE_RULES + "SELECT page_id, CAST(count(*) FILTER (matched) AS BIGINT) AS n_rules FROM m GROUP BY page_id")
+def rule_table_records(spark, sf):
+    """How many of the orders' rules are true on each page."""
+    return rule_tables.RuleTables(*order_rules(spark, sf)).record_counts(requests(spark, sf), "page_id")
+
+
+@query(R + """, m AS (SELECT page_id, n_nationkey AS rule_id, contains(host, lower(left(n_name, 2))) AS a, coalesce(query = 'page=2', false) AS b, n_regionkey AS g FROM r, nation)
+SELECT rule_id, count(*) FILTER (CASE WHEN g < 2 THEN a AND NOT b WHEN g = 2 THEN NOT a ELSE a OR b END) AS n_records, NULL AS unknown FROM m WHERE g < 4 GROUP BY rule_id
+UNION ALL SELECT n_nationkey, NULL, 'gone' FROM nation WHERE n_regionkey = 4""")
+def rules_four_tables(spark, sf):
+    """A rule for every nation from four tables, and those that name a logic that is not there."""
+    n = table(spark, sf, "nation")
+    name, key = F.concat(F.lit("l"), F.col("n_nationkey")), F.col("n_regionkey")
+    text = (
+        F.when(key < 2, F.concat(name, F.lit(" and not page"))).when(key == 2, F.concat(F.lit("! "), name)).when(key == 3, F.concat(F.lit("( "), name, F.lit(" || page )")))
+        .otherwise(F.concat(name, F.lit(" and gone")))
+    )
+    hm = n.select(F.col("n_nationkey").alias("id"), text.alias("expression"))
+    logic = n.select(name.alias("id"), F.lit("f1").alias("field_id"), F.lit("wumanber").alias("match_type")).unionByName(spark.createDataFrame([("page", "f2", "equals")], "id string, field_id string, match_type string"))
+    item = n.select(name.alias("logic_id"), F.lower(F.left("n_name", F.lit(2))).alias("item")).unionByName(spark.createDataFrame([("page", "page=2")], "logic_id string, item string"))
+    rules, values, problems = rule_tables.four_tables(hm, logic, item, spark.createDataFrame([("f1", "host"), ("f2", "query")], "id string, name string"))
+    counts = rule_tables.RuleTables(rules, values).rule_counts(requests(spark, sf), "page_id").select("rule_id", "n_records", F.lit(None).cast("string").alias("unknown"))
+    return counts.unionByName(problems.select("rule_id", F.lit(None).cast("long").alias("n_records"), "unknown"))
+
+
 def _one(matcher: str, field: str, values: list[str]):
     return lambda spark, sf: requests(spark, sf).where(matchers.MATCHERS[matcher].predicate(F.col(field), values)).select("page_id", field)
 
