@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewire.functions import binary, text, wire
+from tidewire.functions import binary, smtp, text, wire
 from tidewire.operators import counters, lookup, matchers, ordered, pattern_tables
 from tidewire.plans import rule_tables
 from tidewire.plans.rules import RuleSet, parse_source, source_text_of_rows
@@ -816,10 +816,27 @@ def http_absolute_uri(spark, sf):
 @query("SELECT c_custkey, 'OK' AS status, c_name || '@x.org' AS sender, 'a@y.org,' || c_custkey || '@y.org' AS recipients, c_mktsegment AS subject FROM customer")
 def smtp_fields(spark, sf):
     message = _bytes("EHLO me\r\nMAIL FROM:<", F.col("c_name"), "@x.org>\r\nRCPT TO:<a@y.org>\r\nRCPT TO:<", F.col("c_custkey"), "@y.org>\r\nDATA\r\nSubject: ", F.col("c_mktsegment"), "\r\n\r\nbody\r\n.\r\nQUIT\r\n")
-    m = table(spark, sf, "customer").select("c_custkey", wire.smtp_col(message).alias("m"))
+    m = table(spark, sf, "customer").select("c_custkey", smtp.smtp_col(message).alias("m"))
     return m.select("c_custkey", "m.status", "m.sender", F.array_join("m.recipients", ",").alias("recipients"), "m.subject")
 
 
+@query("""SELECT c_custkey, CASE WHEN c_nationkey % 5 = 4 THEN 'ERROR' WHEN c_nationkey % 5 = 3 THEN 'MORE' ELSE 'OK' END AS status, CASE WHEN c_nationkey % 5 = 4 THEN 'RCPT' END AS error,
+c_mktsegment AS user, md5(c_name) AS password, CASE WHEN c_nationkey % 5 < 4 THEN 'b' || c_custkey || '@y.org' ELSE 'a@y.org' END AS recipient,
+CASE WHEN c_nationkey % 5 < 4 THEN 'text/plain;' || chr(13) || chr(10) || 'charset=' || c_nationkey END AS content_type,
+CASE WHEN c_nationkey % 5 = 3 THEN c_name WHEN c_nationkey % 5 < 3 THEN c_name || chr(13) || chr(10) || '..' || c_acctbal END AS body FROM customer""")
+def smtp_sessions(spark, sf):
+    """Sessions with a login, two recipients, a field on two lines and a dotted body; some end early, some are wrong."""
+    kind = F.col("c_nationkey") % 5
+    second = F.when(kind < 4, F.concat(F.lit("RCPT TO:<b"), F.col("c_custkey"), F.lit("@y.org>\r\n"))).otherwise("RCPT\r\n")
+    tail = F.when(kind < 3, F.concat(F.lit("\r\n.."), F.col("c_acctbal"), F.lit("\r\n.\r\nQUIT\r\n"))).otherwise("\r\n.\r")
+    session = _bytes(
+        "EHLO me\r\nAUTH LOGIN\r\n", F.col("c_mktsegment"), "\r\n", F.md5("c_name"), "\r\nMAIL FROM:<x@x.org>\r\nRCPT TO:<a@y.org>\r\n", second,
+        "DATA\r\nContent-Type: text/plain;\r\n charset=", F.col("c_nationkey"), "\r\nX-Other: 1;\r\n 2\r\n\r\n", F.col("c_name"), tail,
+    )
+    m = table(spark, sf, "customer").select("c_custkey", smtp.smtp_col(session).alias("m"))
+    return m.select("c_custkey", "m.status", "m.error", "m.user", "m.password", "m.recipient", F.col("m.headers")["content-type"].alias("content_type"), F.decode("m.body", "UTF-8").alias("body"))
+
+
 @query("SELECT o_orderkey, 1 AS type, lower(hex(o_orderstatus)) AS value FROM orders UNION ALL SELECT o_orderkey, 2, lower(hex(o_orderpriority)) FROM orders")
 def tlv_decode(spark, sf):
     def entry(kind: int, c: str) -> Column:

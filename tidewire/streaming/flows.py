@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidewire.functions import wire
+from tidewire.functions import smtp, wire
 from tidewire.plans.rules import RuleSet
 
 
@@ -20,7 +22,6 @@ def reassemble(chunks: DataFrame, keys: list[str], order: str, data: str) -> Dat
     )
 
 
-
 def _extend(max_chunks: int, timeout_ms: int | None):
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         """Chunks in order of seq; a chunk marked last ends the message."""
@@ -35,8 +36,9 @@ def _extend(max_chunks: int, timeout_ms: int | None):
             yield row(None, len(held))
             return
         for f in frames:
-            held.update(zip(f["seq"].tolist(), f["chunk"].tolist()))
-            ends = f.loc[f["last"].astype(bool), "seq"]
+            known = f[f["seq"].notna()]
+            held.update((int(s), c) for s, c in zip(known["seq"], known["chunk"]) if c is not None)
+            ends = known.loc[known["last"].fillna(False).astype(bool), "seq"]
             last = int(ends.iloc[-1]) if len(ends) else last
         if last is not None and all(i in held for i in range(last + 1)):
             yield row("".join(held[i] for i in range(last + 1)), last + 1)
@@ -53,7 +55,7 @@ def _extend(max_chunks: int, timeout_ms: int | None):
 def reassemble_stream(chunks: DataFrame, max_chunks: int = 1024, timeout_ms: int | None = None) -> DataFrame:
     """Whole messages (flow, message, chunks) of a stream of (flow, seq, chunk, last).
 
-    A flow that holds more than ``max_chunks`` chunks without being whole, or none for ``timeout_ms``, is given up: its
+    A chunk that is null, or has no seq, is none: a message waits until its place is filled. A flow that holds more than ``max_chunks`` chunks without being whole, or none for ``timeout_ms``, is given up: its
     row has a null message and the number of chunks held; what comes later begins a new message.
     """
     kind = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
@@ -62,26 +64,51 @@ def reassemble_stream(chunks: DataFrame, max_chunks: int = 1024, timeout_ms: int
     )
 
 
-#: A message in the middle of its decoding, with the chunks that came before their turn.
-_HTTP_STATE = (
-    "n int, next int, phase string, rest binary, left long, last string, request_method string, error string, method string, uri string, version string, "
-    "code int, reason string, names array<string>, values array<string>, body binary, seqs array<int>, chunks array<binary>"
-)
+@dataclass(frozen=True)
+class Protocol:
+    """A decoder's functions and the values of an unfinished message, as columns of state."""
+
+    start: Callable[[], dict]
+    feed: Callable[[dict, bytes], dict]
+    next: Callable[[dict], dict]
+    result: Callable[[dict, bool], dict]
+    idle: str  # the phase in which no message has begun
+    plain: dict[str, str]
+    lists: tuple[str, ...]
+    type: T.StructType
+
+    @property
+    def state(self) -> str:
+        """A message in the middle of its decoding, with the chunks that came before their turn."""
+        own = [f"{n} {kind}" for n, kind in self.plain.items()] + [f"{n} array<string>" for n in self.lists]
+        return ", ".join(["n int, next int", *own, "names array<string>, values array<string>, body binary, seqs array<int>, chunks array<binary>"])
+
 
+HTTP = Protocol(
+    wire.http_start, wire.http_feed, lambda m: wire.http_start() | {"rest": m["rest"]}, wire.http_result, "start",
+    {"phase": "string", "rest": "binary", "left": "long"} | {n: "string" for n in ("last", "request_method", "error", "method", "uri", "version")} | {"code": "int", "reason": "string"}, (), wire.HTTP_TYPE,
+)
+SMTP = Protocol(
+    smtp.smtp_start, smtp.smtp_feed, smtp.smtp_next, lambda m, closed: smtp.smtp_result(m), "command",
+    {"phase": "string", "rest": "binary"} | {n: "string" for n in ("last", "error", "hello", "user", "password", "sender")}, ("recipients",), smtp.SMTP_TYPE,
+)
+
+
+def _decode(protocol: Protocol, max_chunks: int, timeout_ms: int | None):
+    plain, lists = list(protocol.plain), protocol.lists
 
-def _decode_http(max_chunks: int, timeout_ms: int | None):
     def load(state: GroupState) -> tuple[int, int, dict, dict]:
         if not state.exists:
-            return 0, 0, wire.http_start(), {}
-        n, after, *plain, names, values, body, seqs, chunks = state.get
-        m = dict(zip(("phase", "rest", "left", "last", "request_method", "error", "method", "uri", "version", "code", "reason"), plain))
-        parts = None if body is None else [bytes(body)]
-        return n, after, m | {"rest": bytes(m["rest"]), "headers": dict(zip(names, values)), "parts": parts}, dict(zip(seqs, map(bytes, chunks)))
+            return 0, 0, protocol.start(), {}
+        n, after, *rest = state.get
+        names, values, body, seqs, chunks = rest[len(plain) + len(lists) :]
+        m = dict(zip(plain, rest)) | {k: list(v) for k, v in zip(lists, rest[len(plain) :])}
+        m |= {"rest": bytes(m["rest"]), "headers": dict(zip(names, values)), "parts": None if body is None else [bytes(body)]}
+        return n, after, m, dict(zip(seqs, map(bytes, chunks)))
 
     def save(state: GroupState, n: int, after: int, m: dict, held: dict) -> None:
-        plain = [m[k] for k in ("phase", "rest", "left", "last", "request_method", "error", "method", "uri", "version", "code", "reason")]
         body = None if m["parts"] is None else b"".join(m["parts"])
-        state.update((n, after, *plain, list(m["headers"]), list(m["headers"].values()), body, list(held), list(held.values())))
+        state.update((n, after, *(m[k] for k in (*plain, *lists)), list(m["headers"]), list(m["headers"].values()), body, list(held), list(held.values())))
         if timeout_ms:
             state.setTimeoutDuration(timeout_ms)
 
@@ -90,37 +117,44 @@ def _decode_http(max_chunks: int, timeout_ms: int | None):
         out = []
 
         def emit(closed: bool = False) -> None:
-            out.append({"flow": key[0], "n": n + len(out)} | wire.http_result(m, closed))
+            out.append({"flow": key[0], "n": n + len(out)} | protocol.result(m, closed))
 
         if state.hasTimedOut:
-            if not m["error"] and m["phase"] != "start":
+            if not m["error"] and m["phase"] != protocol.idle:
                 emit(closed=True)
             state.remove()
         else:
             for f in frames:
-                held.update((s, bytes(c)) for s, c in zip(f["seq"].tolist(), f["chunk"]) if s >= after and c is not None)
+                held.update((int(s), bytes(c)) for s, c in zip(f["seq"], f["chunk"]) if not pd.isna(s) and s >= after and c is not None)
             while after in held and not m["error"]:
-                wire.http_feed(m, held.pop(after))
+                protocol.feed(m, held.pop(after))
                 after += 1
                 while m["phase"] == "done":
                     emit()
-                    m = wire.http_feed(wire.http_start(), m["rest"])
+                    m = protocol.feed(protocol.next(m), b"")
                 if m["error"]:
                     emit()
             if len(held) > max_chunks and not m["error"]:
                 m["error"], m["phase"] = "OUT_OF_BUF", "error"
                 emit()
             if m["error"]:  # what still comes of the connection is not read
-                m, held = wire.http_start() | {"phase": "error", "error": m["error"]}, {}
+                m, held = protocol.start() | {"phase": "error", "error": m["error"]}, {}
             save(state, n + len(out), after, m, held)
         if out:
-            frame = pd.DataFrame(out)
-            frame["code"] = frame["code"].astype("Int32")
-            yield frame[["flow", "n", *wire.HTTP_TYPE.names]]
+            columns = {k: pd.Series([r[k] for r in out], dtype="Int32" if k == "code" else object) for k in protocol.type.names}
+            yield pd.DataFrame({"flow": [r["flow"] for r in out], "n": [r["n"] for r in out]} | columns)
 
     return run
 
 
+def _decode_stream(protocol: Protocol, chunks: DataFrame, max_chunks: int, timeout_ms: int | None) -> DataFrame:
+    kind = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
+    names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in protocol.type)
+    return chunks.select("flow", "seq", "chunk").groupBy("flow").applyInPandasWithState(
+        _decode(protocol, max_chunks, timeout_ms), f"flow string, n int, {names}", protocol.state, "append", kind
+    )
+
+
 def decode_http_stream(chunks: DataFrame, max_chunks: int = 1024, timeout_ms: int | None = None) -> DataFrame:
     """The messages (flow, n from 0, fields of ``wire.HTTP_TYPE``) of connections that come as chunks (flow, seq from 0,
     chunk binary), decoded as they come: the state holds the message under way, not the bytes that were read.
@@ -129,11 +163,12 @@ def decode_http_stream(chunks: DataFrame, max_chunks: int = 1024, timeout_ms: in
     waiting for one that is missing (error OUT_OF_BUF), the rest of the connection is not read. A connection silent for
     ``timeout_ms`` is closed: its unfinished message comes as MORE, or as OK if its body goes on to the end.
     """
-    kind = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
-    names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wire.HTTP_TYPE)
-    return chunks.select("flow", "seq", "chunk").groupBy("flow").applyInPandasWithState(
-        _decode_http(max_chunks, timeout_ms), f"flow string, n int, {names}", _HTTP_STATE, "append", kind
-    )
+    return _decode_stream(HTTP, chunks, max_chunks, timeout_ms)
+
+
+def decode_smtp_stream(chunks: DataFrame, max_chunks: int = 1024, timeout_ms: int | None = None) -> DataFrame:
+    """The mails (flow, n from 0, fields of ``smtp.SMTP_TYPE``) of clients' sides of SMTP sessions, as ``decode_http_stream``."""
+    return _decode_stream(SMTP, chunks, max_chunks, timeout_ms)
 
 
 def first_seen_stream(events: DataFrame, key: str, ts: str, late: str) -> DataFrame:
