@@ -14,6 +14,27 @@ def tokens(s: Column, delimiters: str) -> Column:
     return F.filter(F.split(F.translate(s, delimiters, mark * len(delimiters)), "[" + _in_class(mark) + "]"), lambda x: x != "")
 
 
+def arguments(s: Column) -> Column:
+    """The arguments of a command line, apart by blanks and tabs; null if there are none."""
+    found = tokens(s, " \t")
+    return F.when(F.size(found) > 0, found)
+
+
+def packed_arguments(data: Column) -> Column:
+    """The arguments of a command in binary form: their number (four bytes, little-endian), then texts that end at a NUL; null
+    if there are fewer than the number says."""
+    octet = lambda i: F.conv(F.hex(F.substring(data, i + 1, 1)), 16, 10).cast("long")
+    count = (octet(0) + octet(1) * 256 + octet(2) * 65536 + octet(3) * 16777216).try_cast("int")
+    parts = F.split(F.decode(F.substring(data, 5, 2**31 - 1), "UTF-8"), "\x00", -1)
+    whole = (F.size(parts) > count) | ((F.size(parts) == count) & (F.element_at(parts, -1) != ""))
+    return F.when((F.octet_length(data) > 4) & (count > 0) & whole, F.slice(parts, 1, count))
+
+
+def type_name(column: Column) -> Column:
+    """The name of a column's type, on every row."""
+    return F.typeof(column)
+
+
 def _in_class(chars: str) -> str:
     return "".join("\\" + c if c in "\\]^-[&" else c for c in chars)
 

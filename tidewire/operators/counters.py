@@ -63,6 +63,22 @@ def client_deltas(polls: DataFrame) -> DataFrame:
     return polls.withColumn("delta", F.col("total") - F.coalesce(F.lag("total").over(w), F.lit(0)))
 
 
+def day_sketches(rows: DataFrame, keys: list[str], ts: str, item: str, size: int = 14) -> DataFrame:
+    """(keys, day, sketch): a sketch of the different items of each day, of 2**size registers, that later days can be united with."""
+    return rows.groupBy(*keys, F.to_date(ts).alias("day")).agg(F.hll_sketch_agg(item, size).alias("sketch"))
+
+
+def rolling_distinct(sketches: DataFrame, keys: list[str], days: int) -> DataFrame:
+    """(keys, day, estimate): different items of each day with a sketch and the days before it, ``days`` in all.
+
+    The standard error is 1.04 / sqrt(registers). Every sketch is sent to the windows it belongs to, and united before it is.
+    """
+    ends = F.explode(F.sequence("day", F.date_add("day", days - 1))).alias("day")
+    united = sketches.select(*keys, ends, "sketch").groupBy(*keys, "day").agg(F.hll_union_agg("sketch").alias("sketch"))
+    known = sketches.select(*keys, "day").distinct()
+    return united.join(known, [*keys, "day"], "left_semi").select(*keys, "day", F.hll_sketch_estimate("sketch").alias("estimate"))
+
+
 def streaming_totals(increments: DataFrame, width: str, late: str) -> DataFrame:
     """The same totals by event-time interval, for a streaming table of increments."""
     return increments.withWatermark("ts", late).groupBy(F.window("ts", width).alias("interval"), "grp", "name").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))

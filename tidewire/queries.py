@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewire.functions import binary, smtp, text, wire
+from tidewire.functions import binary, layers, smtp, text, wire
 from tidewire.operators import counters, lookup, matchers, ordered, pattern_tables
 from tidewire.plans import rule_tables
 from tidewire.plans.rules import RuleSet, parse_source, source_text_of_rows
 from tidewire.plans.template import FUNCTIONS, Template
 from tidewire.sources.files import capture_stats, captures, split_captures
-from tidewire.streaming import flows
+from tidewire.streaming import flows, outputs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -490,6 +490,32 @@ def distinct_users(spark, sf):
     return users.select("event_type", (F.abs(F.col("users") - F.col("exact")) <= 0.1 * F.col("exact")).alias("near"))
 
 
+@query("""WITH d AS (SELECT DISTINCT event_type, CAST(ts AS DATE) AS day FROM events)
+SELECT d.event_type, CAST(d.day AS VARCHAR) AS day, count(DISTINCT user_id) AS exact, true AS near FROM d JOIN events e ON e.event_type = d.event_type AND CAST(e.ts AS DATE) BETWEEN d.day - 6 AND d.day GROUP BY ALL""")
+def rolling_users(spark, sf):
+    """Users of each day and the six before: united sketches of days, each within five standard errors of the exact number."""
+    e = table(spark, sf, "events")
+    got = counters.rolling_distinct(counters.day_sketches(e, ["event_type"], "ts", "user_id"), ["event_type"], 7)
+    days = e.select("event_type", "user_id", F.explode(F.sequence(F.to_date("ts"), F.date_add(F.to_date("ts"), 6))).alias("day")).groupBy("event_type", "day").agg(F.countDistinct("user_id").alias("exact"))
+    near = F.abs(F.col("estimate") - F.col("exact")) <= 5 * 1.04 / 128 * F.col("exact")
+    return got.join(days, ["event_type", "day"]).select("event_type", F.col("day").cast("string").alias("day"), "exact", near.alias("near"))
+
+
+@query("""WITH p AS (SELECT 'ids' AS output, 'ids-' || strftime(ts, '%Y%m%d_%H') AS file, epoch_ms(ts) // 900000 AS calendar, event_id || ',' || event_type AS payload FROM events
+UNION ALL SELECT 'users', 'users-' || strftime(ts, '%Y-%j'), 0, user_id || ' ' || event_type FROM events WHERE event_type <> 'error' UNION ALL SELECT 'seen', NULL, epoch_ms(ts) // 60000, '-' FROM events),
+f AS (SELECT *, CASE WHEN file IS NULL THEN NULL ELSE dense_rank() OVER (PARTITION BY output, file ORDER BY calendar) - 1 END AS roll FROM p)
+SELECT output, file, roll, count(*) AS n, CAST(sum(strlen(payload)) AS BIGINT) AS bytes FROM f GROUP BY ALL""")
+def output_files(spark, sf):
+    """The files that three outputs of the events make: by hour and quarter, by day, and one that only counts."""
+    rows = table(spark, sf, "events").withColumn("who", F.when(F.col("event_type") != "error", F.concat("user_id", F.lit(" "), "event_type")))
+    props = {"ids.file_format": "csv:event_id,event_type", "ids.file_name": "ids-%Y%m%d_%H|ctime=15", "users.file_format": "csv:who", "users.file_name": "users-%Y-%j|rsize=1000000000000"}
+    outs = [o for i in ("ids", "users", "seen") for o in outputs.outputs_of(props, i)]
+    made = outputs.formatted(rows, outs, "ts")
+    counted = made.where("file is null").select("output", "file", F.lit(None).cast("long").alias("roll"), "payload")
+    files = outputs.rolled(made, outs).select("output", "file", "roll", "payload").unionByName(counted)
+    return files.groupBy("output", "file", "roll").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("payload")).alias("bytes"))
+
+
 @query("SELECT event_type AS output, CAST(count(*) FILTER (event_id % 9 <> 0) AS BIGINT) AS ok, CAST(count(*) FILTER (event_id % 9 = 0) AS BIGINT) AS error, CAST(sum(CASE WHEN event_id % 9 <> 0 THEN strlen(props) ELSE 0 END) AS BIGINT) AS bytes_ok, CAST(sum(CASE WHEN event_id % 9 = 0 THEN strlen(props) ELSE 0 END) AS BIGINT) AS bytes_error FROM events WHERE props <> '' GROUP BY event_type")
 def pub_counters(spark, sf):
     return flows.publish_counters(table(spark, sf, "events"), F.col("event_type"), F.col("props"), F.col("event_id") % 9 == 0)
@@ -901,6 +927,47 @@ def uncap_chain(spark, sf):
     return frames(spark, sf).select("o_orderkey", F.array_join(wire.chain_col(F.unhex(data)), "/").alias("layers"))
 
 
+def stacked_frames(spark, sf):
+    """Frames of four stacks of layers, by order."""
+    mac, inner = F.lit("AABBCCDDEEFF" + "00" * 5 + "01"), F.concat(F.col("ip"), F.col("tcp"))
+    outer = lambda protocol, size: F.lit(f"4500{size}0000000020{protocol}0000" + "0A000001C0A80102")
+    kind = F.col("o_custkey") % 4
+    teid = F.lpad(F.hex(F.col("o_custkey") % 65536), 8, "0")
+    data = (
+        F.when(kind == 0, F.concat(mac, F.lit("81000007" + "8864" + "11000005002A0021"), inner))
+        .when(kind == 1, F.concat(mac, F.lit("0800"), outer("2F", "0044"), F.lit("20000800"), teid, inner))
+        .when(kind == 2, F.concat(mac, F.lit("0800"), outer("11", "0054"), F.lit("0868086800400000" + "32FF0028"), teid, F.lit("00010000"), inner))
+        .otherwise(F.concat(mac, F.lit("0800"), outer("11", "0028"), F.lit("084B084B00140000" + "48200008"), teid, F.lit("00000900")))
+    )
+    return frames(spark, sf).select("o_orderkey", F.unhex(data).alias("data"))
+
+
+_INNER = "('ipv4', {0}, 20, 40, 6), ('tcp', {1}, 20, 20, 0)"
+
+
+@query("WITH l(stack, kind, \"offset\", header_len, total_len, next_pt) AS (SELECT 0, * FROM (VALUES ('eth', 0, 14, NULL, 33024), ('vlan', 14, 4, NULL, 34916), ('pppoe', 18, 8, 48, 33), " + _INNER.format(26, 46) + """) a UNION ALL
+SELECT 1, * FROM (VALUES ('eth', 0, 14, NULL, 2048), ('ipv4', 14, 20, 68, 47), ('gre', 34, 8, 8, 2048), """ + _INNER.format(42, 62) + """) b UNION ALL
+SELECT 2, * FROM (VALUES ('eth', 0, 14, NULL, 2048), ('ipv4', 14, 20, 84, 17), ('udp', 34, 8, 64, 0), ('gtp', 42, 12, 48, 0), """ + _INNER.format(54, 74) + """) c UNION ALL
+SELECT 3, * FROM (VALUES ('eth', 0, 14, NULL, 2048), ('ipv4', 14, 20, 40, 17), ('udp', 34, 8, 20, 0), ('gtpv2', 42, 12, 12, 0)) d)
+SELECT o_orderkey, kind, "offset", header_len, total_len, next_pt, CASE kind WHEN 'vlan' THEN '7' WHEN 'gre' THEN '' || (o_custkey % 65536) WHEN 'gtp' THEN '' || (o_custkey % 65536) WHEN 'gtpv2' THEN '' || (o_custkey % 65536)
+WHEN 'tcp' THEN '' || (o_orderkey % 65536) WHEN 'pppoe' THEN '5' WHEN 'ipv4' THEN CASE WHEN next_pt = 6 THEN '64' ELSE '32' END WHEN 'eth' THEN '00:00:00:00:00:01' WHEN 'udp' THEN CASE WHEN stack = 2 THEN '2152' ELSE '2123' END END AS field
+FROM orders JOIN l ON o_custkey % 4 = stack""")
+def uncap_layers(spark, sf):
+    """Every layer of frames with VLAN tags and PPPoE, GRE keys, GTP 1 with options, and GTP 2."""
+    rows = layers.layer_rows(stacked_frames(spark, sf), "o_orderkey", "data")
+    name = F.create_map(*[F.lit(x) for pair in {"vlan": "vlan_id", "gre": "key", "gtp": "teid", "gtpv2": "teid", "tcp": "src_port", "pppoe": "session_id", "ipv4": "ttl", "eth": "src", "udp": "dst_port"}.items() for x in pair])
+    return rows.select("o_orderkey", "kind", "offset", "header_len", "total_len", "next_pt", F.col("fields")[name[F.col("kind")]].alias("field"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_nationkey % 3 = 2 THEN NULL ELSE 'set|' || c_mktsegment || '|' || c_custkey END AS packed, 'set|' || c_mktsegment || '|' || c_custkey AS line FROM customer")
+def command_arguments(spark, sf):
+    """Arguments of command lines, and of commands in binary form, of which every third promises more than it holds."""
+    number = F.when(F.col("c_nationkey") % 3 == 2, "04000000").otherwise("03000000")
+    parts = F.concat(number, F.hex(F.encode(F.lit("set"), "UTF-8")), F.lit("00"), F.hex(F.encode("c_mktsegment", "UTF-8")), F.lit("00"), F.hex(F.encode(F.col("c_custkey").cast("string"), "UTF-8")), F.when(F.col("c_nationkey") % 3 == 1, "00").otherwise(""))
+    line = F.concat(F.lit("  set \t"), F.col("c_mktsegment"), F.lit(" "), F.col("c_custkey"), F.lit(" "))
+    return table(spark, sf, "customer").select("c_custkey", F.array_join(text.packed_arguments(F.unhex(parts)), "|").alias("packed"), F.array_join(text.arguments(line), "|").alias("line"))
+
+
 @query("SELECT count(*) AS received, CAST(sum(CASE WHEN user_id % 2 = 0 THEN 8 ELSE 4 END) AS BIGINT) AS bytes FROM events")
 def pcap_stats(spark, sf):
     """Captured bytes of packets written as capture files by user: of eight bytes each, odd users' cut to four."""
