@@ -25,7 +25,7 @@ def packed_arguments(data: Column) -> Column:
     if there are fewer than the number says."""
     octet = lambda i: F.conv(F.hex(F.substring(data, i + 1, 1)), 16, 10).cast("long")
     count = (octet(0) + octet(1) * 256 + octet(2) * 65536 + octet(3) * 16777216).try_cast("int")
-    parts = F.split(F.decode(F.substring(data, 5, 2**31 - 1), "UTF-8"), "\x00", -1)
+    parts = F.split(F.substring(data, 5, 2**31 - 1).cast("string"), "\x00", -1)
     whole = (F.size(parts) > count) | ((F.size(parts) == count) & (F.element_at(parts, -1) != ""))
     return F.when((F.octet_length(data) > 4) & (count > 0) & whole, F.slice(parts, 1, count))
 
