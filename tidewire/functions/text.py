@@ -88,6 +88,16 @@ def cast_suffix(s: Column) -> Column:
     return F.when(digits != "", number * factor * F.when(sign == "-", F.lit(-1)).otherwise(F.lit(1)))
 
 
+def cast_suffix_float(s: Column) -> Column:
+    """A decimal number, with or without exponent, and an optional factor suffix, as a double; null where it is malformed."""
+    shape = r"^([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)([kKmMgGsStThHdw]?)$"
+    number, suffix = F.regexp_extract(s, shape, 1), F.regexp_extract(s, shape, 2)
+    factor = F.lit(1.0)
+    for k, v in SUFFIXES.items():
+        factor = F.when(suffix == k, F.lit(float(v))).otherwise(factor)
+    return F.when(number != "", number.try_cast("double") * factor)
+
+
 def mobile_at(s: Column) -> Column:
     """Position (from 0) of the first mobile number of eleven digits, or -1."""
     return F.regexp_instr(s, F.lit(r"(?:(?<![0-9])|(?<=(?<![0-9])86))1[345789][0-9]{9}(?![0-9])")) - 1

@@ -57,6 +57,26 @@ def with_resets(increments: DataFrame, reset: str, tie: str, bucket: Column) ->
     return joined.withColumn("since_reset", within + F.when(F.col("_seg") == 0, F.col("_before")).otherwise(0)).drop("_b", "_seg", "_before")
 
 
+TOTAL_ONLY, NO_PRINT, NO_RESET = 1, 2, 4
+
+
+def with_options(rows: DataFrame, options: DataFrame) -> DataFrame:
+    """The rows with ``opt``, the options of their counter in ``options(grp, name, opt)`` (0 without any)."""
+    known = options.groupBy("grp", "name").agg(F.max("opt").alias("opt"))
+    return rows.join(known, ["grp", "name"], "left").withColumn("opt", F.coalesce("opt", F.lit(0)))
+
+
+def heeded_resets(rows: DataFrame, reset: str) -> DataFrame:
+    """``reset`` without effect on counters that are not reset (rows as of ``with_options``)."""
+    return rows.withColumn(reset, F.col(reset) & (F.col("opt").bitwiseAND(F.lit(NO_RESET)) == 0))
+
+
+def report(rated: DataFrame) -> DataFrame:
+    """A line for each rate row (``rates`` with ``opt``): total, average and last rate; the total alone; or none."""
+    numbers = F.concat_ws("\t", "snapshot", F.when(F.col("opt").bitwiseAND(F.lit(TOTAL_ONLY)) == 0, F.concat_ws("\t", "avg_rate", "rate")))
+    return rated.where(F.col("opt").bitwiseAND(F.lit(NO_PRINT)) == 0).select("grp", "name", "at", F.concat(F.col("name"), F.lit(":\t"), numbers).alias("line"))
+
+
 def client_deltas(polls: DataFrame) -> DataFrame:
     """(client, name, at, total): what each counter gained since the same client's poll before."""
     w = Window.partitionBy("client", "name").orderBy("at")

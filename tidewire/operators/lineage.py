@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Spark's switch that drops a query's shuffle files when the query ends.
 _DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Spark's switch that deletes the files of a checkpoint that nothing refers to.
+_CLEAN = "spark.cleaner.referenceTracking.cleanCheckpoints"
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster. Where none is set, a local one on a single machine; elsewhere an error."""
@@ -41,8 +44,10 @@ class shuffles_dropped:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from there (survives lost executors)."""
+    """Write ``df`` to the shared folder and go on from there (survives lost executors). The files go when nothing refers to
+    the rows any more (the driver's garbage collection tells), unless the session says that checkpoints are to be kept."""
     ensure_checkpoint_dir(df.sparkSession)
+    df.sparkSession.sparkContext._jsc.sc().conf().setIfMissing(_CLEAN, "true")
     with shuffles_dropped(df.sparkSession):
         return df.checkpoint(eager=True)
 

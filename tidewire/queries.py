@@ -465,6 +465,29 @@ def counter_reset(spark, sf):
     return counters.with_resets(rows, "reset", "event_id", F.date_trunc("day", "ts")).select("event_id", "since_reset")
 
 
+@query(_I + """p AS (SELECT grp, name, date_trunc('day', ts) AS day, CAST(sum(value) AS BIGINT) AS delta FROM i GROUP BY ALL),
+s AS (SELECT grp, name, day + INTERVAL 1 day AS snap, min(day + INTERVAL 1 day) OVER (PARTITION BY grp, name) AS first_at, lag(day + INTERVAL 1 day) OVER w AS last_at,
+CAST(sum(delta) OVER w AS BIGINT) AS snapshot, delta FROM p WINDOW w AS (PARTITION BY grp, name ORDER BY day))
+SELECT grp, epoch_ms(snap) AS at_ms, name || ':' || chr(9) || snapshot || CASE WHEN name = 'view' THEN '' ELSE chr(9) || CAST(floor(snapshot / greatest(1, epoch(snap) - epoch(first_at))) AS BIGINT)
+|| chr(9) || CAST(floor(delta / greatest(1, epoch(snap) - epoch(coalesce(last_at, first_at)))) AS BIGINT) END AS line FROM s WHERE snapshot <> 0 AND name <> 'error'""")
+def counter_report(spark, sf):
+    """Lines of the counters at each day's end: views by their total alone, errors not at all."""
+    rows = increments(spark, sf)
+    opt = F.when(F.col("name") == "view", counters.TOTAL_ONLY).when(F.col("name") == "error", counters.NO_PRINT)
+    rated = counters.rates(counters.snapshots(rows, "1 day"))
+    lines = counters.report(counters.with_options(rated, rows.select("grp", "name", opt.alias("opt")).where("opt is not null")))
+    return lines.select("grp", F.unix_millis("at").alias("at_ms"), "line")
+
+
+@query(_I + "r AS (SELECT *, CASE WHEN event_id % 100 = 0 AND name <> 'view' THEN 1 ELSE 0 END AS reset FROM i), s AS (SELECT *, sum(reset) OVER (PARTITION BY grp, name ORDER BY ts, event_id) AS seg FROM r) SELECT event_id, CAST(sum(value) OVER (PARTITION BY grp, name, seg ORDER BY ts, event_id) AS BIGINT) AS since_reset FROM s")
+def counter_no_reset(spark, sf):
+    """Running totals since the last reset; counters of views are not reset."""
+    rows = increments(spark, sf).withColumn("reset", F.col("event_id") % 100 == 0)
+    options = rows.where("name = 'view'").select("grp", "name", F.lit(counters.NO_RESET).alias("opt"))
+    heeded = counters.heeded_resets(counters.with_options(rows, options), "reset")
+    return counters.with_resets(heeded, "reset", "event_id", F.date_trunc("day", "ts")).select("event_id", "since_reset")
+
+
 @query(_I + "c AS (SELECT grp, name, CAST(sum(value) AS BIGINT) AS total FROM i GROUP BY grp, name) SELECT grp, string_agg(name || '=' || total, ',' ORDER BY name) AS counters FROM c GROUP BY grp")
 def counter_map(spark, sf):
     m = counters.totals(increments(spark, sf)).groupBy("grp").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "total")))).alias("m"))
@@ -593,6 +616,10 @@ _scalar("char_set_pos", "part", "p_partkey", lambda: text.first_of_set(F.col("p_
 _scalar("translate_chars", "part", "p_partkey", lambda: text.replace_set(F.col("p_type"), "AEIOU", "_"), "translate(p_type, 'AEIOU', '_____')")
 _scalar("cast_suffix", "part", "p_partkey", lambda: text.cast_suffix(F.concat(F.col("p_size").cast("string"), F.element_at(F.array(*map(F.lit, ("k", "K", "h", ""))), (F.col("p_partkey") % 4 + 1).cast("int")))),
         "p_size::BIGINT * CASE p_partkey % 4 WHEN 0 THEN 1000 WHEN 1 THEN 1024 WHEN 2 THEN 3600 ELSE 1 END")
+_scalar("cast_suffix_float", "part", "p_partkey", lambda: text.cast_suffix_float(F.concat(F.col("p_size").cast("string"), F.lit(".5e1"), F.element_at(F.array(*map(F.lit, ("k", "K", "h", "", "x"))), (F.col("p_partkey") % 5 + 1).cast("int")))),
+        "CASE p_partkey % 5 WHEN 0 THEN 1000 WHEN 1 THEN 1024 WHEN 2 THEN 3600 WHEN 3 THEN 1 END * (p_size * 10 + 5)::DOUBLE")
+_scalar("ip6_ntoa", "customer", "c_custkey", lambda: binary.ip6_text_col(F.unhex(F.concat(F.lit("20010db8" + "0" * 16), F.lpad(F.hex(F.col("c_custkey") * 40503 + 1), 8, "0")))),
+        "'2001:db8::' || CASE WHEN c_custkey * 40503 + 1 >= 65536 THEN printf('%x:', (c_custkey * 40503 + 1) // 65536) ELSE '' END || printf('%x', (c_custkey * 40503 + 1) % 65536)")
 _scalar("hex_encode", "customer", "c_custkey", lambda: F.lower(F.hex(F.encode("c_name", "UTF-8"))), "lower(hex(c_name))")
 # Decoders read texts that no encoder of ours wrote: digits as hexadecimal 30 to 39, digits three times as base64 groups.
 _DIGITS = tuple("MDAw MTEx MjIy MzMz NDQ0 NTU1 NjY2 Nzc3 ODg4 OTk5".split())
@@ -705,6 +732,14 @@ def map_ops(spark, sf):
     return table(spark, sf, "events").select("event_id", m["k"].alias("k"), F.size(m).alias("n"))
 
 
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS old, 1 AS n, event_id AS left_value FROM events")
+def map_edit(spark, sf):
+    """Put that returns the old value, and remove."""
+    m = F.map_concat(F.from_json("props", "map<string,long>"), F.create_map(F.lit("extra"), F.col("event_id")))
+    after = F.map_filter(F.col("m"), lambda k, v: k != "k")
+    return table(spark, sf, "events").select("event_id", m.alias("m")).select("event_id", F.col("m")["k"].alias("old"), F.size(after).alias("n"), after["extra"].alias("left_value"))
+
+
 @query("SELECT o_orderkey, 'order ' || o_orderkey || ' by ' || o_custkey || ': ' || md5('k' || o_orderstatus) || to_base64(encode(o_orderpriority)) AS line FROM orders")
 def template_render(spark, sf):
     t = Template({"Order": F.col("o_orderkey"), "Cust": F.col("o_custkey"), "Status": F.col("o_orderstatus"), "Prio": F.col("o_orderpriority")}, FUNCTIONS)
