@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewire.operators.matchers import parse_pattern, posix
-from tidewire.plans.rules import Leaf, Node, RuleError, RuleSet, parse_expression, parse_source
+from tidewire.plans.rules import Leaf, Node, RuleError, RuleSet, parse_expression, parse_source, source_text_of_rows
 
 TEXT = """
 $exact
@@ -87,3 +87,10 @@ def test_encrypted_file(tmp_path):
     rules.add("cfile:wrong@c.rules")
     with pytest.raises((RuleError, UnicodeDecodeError)):
         rules.compile()
+
+
+def test_values_of_rows_are_lines(spark):
+    rows = spark.createDataFrame([("equals", "host", ["a.com", None])], "match_type string, field string, items array<string>")
+    assert source_text_of_rows(rows) == "host equals\n  a.com"
+    with pytest.raises(RuleError):
+        source_text_of_rows(spark.createDataFrame([("equals", "host", ["a\n@not host exists"])], rows.schema))

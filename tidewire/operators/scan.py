@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 
 class Machine(Protocol):
-    def find(self, value) -> list[int]:
+    def find(self, value) -> list[int] | np.ndarray:
         """The numbers of the table's rows that belong to a value."""
 
 
@@ -36,14 +36,22 @@ def _machine(token: str, rows: pa.Table, build: Callable[[pa.Table], Machine]) -
     return _machines[token]
 
 
-def _found(machine: Machine, keys: pa.Array, values: list, rows: pa.Table) -> pa.RecordBatch:
-    at, of = [], []
+def _found(machine: Machine, keys: pa.Array, values: list, rows: pa.Table, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The keys and rows found, in batches of little more than ``most``."""
+    columns = [rows.column(n).combine_chunks() for n in rows.column_names]
+    at: list[int] = []
+    hits: list[np.ndarray] = []
+    held = 0
     for i, value in enumerate(values):
-        if value is not None:
-            hits = machine.find(value)
-            at += [i] * len(hits)
-            of += hits
-    return pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int64())), *(c.take(pa.array(of, pa.int64())) for c in (rows.column(n).combine_chunks() for n in rows.column_names))], names=["_key", *rows.column_names])
+        found = machine.find(value) if value is not None else ()
+        if len(found):
+            at.append(i)
+            hits.append(np.asarray(found, np.int64))
+            held += len(found)
+        if held and (held >= most or i + 1 == len(values)):
+            of, key = pa.array(np.concatenate(hits)), pa.array(np.repeat(at, [len(h) for h in hits]))
+            yield pa.RecordBatch.from_arrays([keys.take(key), *(c.take(of) for c in columns)], names=["_key", *rows.column_names])
+            at, hits, held = [], [], 0
 
 
 def scan_table(
@@ -67,7 +75,7 @@ def scan_table(
             for b in batches:
                 for i in range(0, len(b), 2000):
                     part = b.slice(i, 2000)
-                    yield _found(machine, part.column(0), part.column(1).to_pylist(), kept)
+                    yield from _found(machine, part.column(0), part.column(1).to_pylist(), kept)
 
         return values.select("_key", "_value").mapInArrow(run, ", ".join(out))
 
@@ -90,9 +98,11 @@ def scan_table(
     right = table.withColumn("_bucket", of_row).withColumn("_shard", F.pmod(F.xxhash64(*table.columns), F.greatest(of(shards), F.lit(1))).cast("int")).select("*", copies(of(slices), "_slice"))
 
     def join(a: pa.Table, b: pa.Table) -> pa.Table:
+        nothing = pa.table({"_key": a.column("_key").slice(0, 0), **{n: b.column(n).slice(0, 0) for n in keep}})
         if not len(a) or not len(b):
-            return pa.table({"_key": a.column("_key").slice(0, 0), **{n: b.column(n).slice(0, 0) for n in keep}})
-        return pa.Table.from_batches([_found(build(b), a.column("_key").combine_chunks(), a.column("_value").to_pylist(), b.select(keep))])
+            return nothing
+        found = list(_found(build(b), a.column("_key").combine_chunks(), a.column("_value").to_pylist(), b.select(keep)))
+        return pa.Table.from_batches(found) if found else nothing
 
     by = ["_bucket", "_shard", "_slice"]
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(join, ", ".join(out))

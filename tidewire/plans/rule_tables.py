@@ -25,6 +25,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -106,19 +107,32 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class RuleMachine:
-    """Finds the rules (rows of tokens, leaves, costs, default) that differ from their default on a set of hits."""
+    """Finds the rules (rows of tokens, leaves, costs, default) that differ from their default on a set of hits.
+
+    Rules with the same expression are evaluated once."""
 
     def __init__(self, rows: pa.Table):
-        self.tokens, self.default = rows.column("tokens").to_pylist(), rows.column("default").to_pylist()
+        number: dict[tuple[int, ...], int] = {}
+        same: list[list[int]] = []
+        self.tokens: list[tuple[int, ...]] = []
+        self.default: list[bool] = []
         self.watched: dict[int, list[int]] = defaultdict(list)
-        for i, (tokens, costs) in enumerate(zip(self.tokens, rows.column("costs").to_pylist())):
-            for leaf in witnesses(tokens, {c["leaf"]: c["hits"] for c in costs}):
-                self.watched[leaf].append(i)
-
-    def find(self, leaves: list[int]) -> list[int]:
+        for i, (tokens, default, costs) in enumerate(zip(*(rows.column(n).to_pylist() for n in ("tokens", "default", "costs")))):
+            at = number.setdefault(tuple(tokens), len(same))
+            if at == len(same):
+                same.append([])
+                self.tokens.append(tuple(tokens))
+                self.default.append(default)
+                for leaf in witnesses(tokens, {c["leaf"]: c["hits"] for c in costs}):
+                    self.watched[leaf].append(at)
+            same[at].append(i)
+        self.rows = [np.array(x, np.int64) for x in same]
+
+    def find(self, leaves: list[int]) -> np.ndarray | list[int]:
         hits = set(leaves)
         near = {i for n in leaves for i in self.watched.get(n, ())}
-        return [i for i in sorted(near) if evaluate(self.tokens[i], hits) != self.default[i]]
+        odd = [self.rows[i] for i in sorted(near) if evaluate(self.tokens[i], hits) != self.default[i]]
+        return np.concatenate(odd) if odd else []
 
 
 class Expressions:
@@ -179,7 +193,8 @@ class RuleTables:
         cost = hits.groupBy("leaf").agg(F.count(F.lit(1)).alias("hits"))
         used = self.rules.select("rule_id", F.explode("leaves.leaf").alias("leaf")).join(cost, "leaf").groupBy("rule_id").agg(F.collect_list(F.struct("leaf", "hits")).alias("costs"))
         machine = self.rules.select("rule_id", "tokens", "default").join(used, "rule_id").withColumn("matched", ~F.col("default"))  # a rule without hits has no exceptions
-        sets = hits.groupBy("_key").agg(F.collect_set("leaf").alias("_value"))
+        parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, so that small sets with much work are not put together
+        sets = hits.repartition(parts, "_key").groupBy("_key").agg(F.collect_set("leaf").alias("_value"))
         weight = 8 * F.size("tokens") + 16
         found = scan_table(sets, machine, weight, RuleMachine, ["rule_id", "matched"], size=8 * F.size("_value"), most=16 * self.most)
         return found.withColumnRenamed("_key", key)

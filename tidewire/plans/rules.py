@@ -202,8 +202,11 @@ def source_text_of_rows(rows: DataFrame) -> str:
     metadata (a few rows a rule); long value lists belong in a joined table (``tidewire.operators.lookup.list_match``)."""
     lines = []
     for r in rows.select("match_type", "field", "items").orderBy("field", "match_type").toLocalIterator():
+        own = [v for v in r["items"] or [] if v is not None]
+        if any(len(v.splitlines()) > 1 for v in own):
+            raise RuleError(f"a value of {r.field} {r.match_type} has a line break; rule tables take it")
         lines.append(f"{r.field} {r.match_type}")
-        lines += [f"  {v}" for v in r["items"] or []]
+        lines += [f"  {v}" for v in own]
     return "\n".join(lines)
 
 
