@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions import binary, layers, smtp, text, wire
-from tidewire.operators import counters, lookup, matchers, ordered, pattern_tables
+from tidewire.operators import counters, lineage, lookup, matchers, ordered, pattern_tables
 from tidewire.plans import rule_tables
 from tidewire.plans.rules import RuleSet, parse_source, source_text_of_rows
 from tidewire.plans.template import FUNCTIONS, Template
+from tidewire.sources.captures import read_captures, write_captures
 from tidewire.sources.files import capture_stats, captures, split_captures
 from tidewire.streaming import flows, outputs
 
@@ -1011,6 +1012,21 @@ def pcap_stats(spark, sf):
     return capture_stats(split_captures(captures(table(spark, sf, "events").select("user_id", record.alias("record")), "user_id")))
 
 
+@query("""SELECT epoch_us(o_orderdate) AS us, 54::BIGINT AS caplen, '' || (o_orderkey >> 24) || '.' || ((o_orderkey >> 16) & 255) || '.' || ((o_orderkey >> 8) & 255) || '.' || (o_orderkey & 255) AS src,
+'0.' || ((o_custkey >> 16) & 255) || '.' || ((o_custkey >> 8) & 255) || '.' || (o_custkey & 255) AS dst, CAST(o_orderkey % 65536 AS INT) AS src_port FROM orders WHERE o_orderkey % 65536 >= 1000""")
+def capture_ranges(spark, sf):
+    """Frames written as capture files to the shared folder and read by byte ranges, with conditions that the reader tests."""
+    import uuid
+
+    folder = f"{lineage.ensure_checkpoint_dir(spark)}/captures-{uuid.uuid4().hex}"
+    write_captures(frames(spark, sf).join(table(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("ts")), "o_orderkey").select("ts", "data"), folder)
+    wanted = [("protocol", "=", 6), ("dst_port", "=", 80), ("src_port", ">=", 1000)]
+    packets = read_captures(spark, folder, ("ts", "caplen", "src", "dst", "src_port"), 1 << 20, wanted)
+    found = lineage.cut(packets.select(F.unix_micros("ts").alias("us"), "caplen", "src", "dst", "src_port"))
+    lineage.remove_folder(spark, folder)
+    return found
+
+
 @query("SELECT o_orderkey, 6::BIGINT AS next_pt, o_orderkey % 65536 AS payload_len, 64::BIGINT AS hop_limit, '20010db8' || lpad('1', 24, '0') AS src, lpad(printf('%x', o_custkey), 32, '0') AS dst FROM orders")
 def uncap_ip6(spark, sf):
     header = F.concat(F.lit("60000000"), F.lpad(F.hex(F.col("o_orderkey") % 65536), 4, "0"), F.lit("0640" + "20010DB8" + "0" * 23 + "1"), F.lpad(F.hex("o_custkey"), 32, "0"))
