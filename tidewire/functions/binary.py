@@ -202,15 +202,117 @@ def xor_bytes(data: bytes, key: bytes, start: int = 0) -> bytes:
     return (np.frombuffer(data, np.uint8) ^ k[(np.arange(len(data)) + start) % len(key)]).tobytes()
 
 
+def _by_length(values: list[bytes | None]):
+    """(places, bytes as a matrix) of the values of each length: a hash of all of them takes one step a word."""
+    places: dict[int, list[int]] = {}
+    for i, v in enumerate(values):
+        if v is not None:
+            places.setdefault(len(v), []).append(i)
+    for n, at in places.items():
+        yield at, np.frombuffer(b"".join(values[i] for i in at), np.uint8).reshape(len(at), n)
+
+
+def _words(cells: np.ndarray, size: int) -> np.ndarray:
+    """Little-endian words of ``size`` bytes, the last one filled with zeros."""
+    short = -cells.shape[1] % size
+    return np.ascontiguousarray(np.pad(cells, ((0, 0), (0, short)))).view(f"<u{size}")
+
+
+def murmur3_32_many(values: list[bytes | None], seed: int = 0) -> list[int | None]:
+    """``murmur3_32`` of many values at once."""
+    out: list[int | None] = [None] * len(values)
+    u = np.uint32
+    for at, cells in _by_length(values):
+        n, words = cells.shape[1], _words(cells, 4)
+        h = np.full(len(at), seed, u)
+        for j in range(words.shape[1]):
+            k = words[:, j] * u(0xCC9E2D51)
+            h ^= (k << u(15) | k >> u(17)) * u(0x1B873593)
+            if 4 * j + 4 <= n:
+                h = (h << u(13) | h >> u(19)) * u(5) + u(0xE6546B64)
+        h ^= u(n & M32)
+        h = (h ^ h >> u(16)) * u(0x85EBCA6B)
+        h = (h ^ h >> u(13)) * u(0xC2B2AE35)
+        for i, x in zip(at, (h ^ h >> u(16)).tolist()):
+            out[i] = x
+    return out
+
+
+def murmur2_64_many(values: list[bytes | None], seed: int = 0) -> list[int | None]:
+    """``murmur2_64`` of many values at once."""
+    out: list[int | None] = [None] * len(values)
+    u, m = np.uint64, np.uint64(0xC6A4A7935BD1E995)
+    for at, cells in _by_length(values):
+        n, words = cells.shape[1], _words(cells, 8)
+        h = np.full(len(at), (seed ^ n * int(m)) & M64, u)
+        for j in range(words.shape[1]):
+            k = words[:, j]
+            if 8 * j + 8 <= n:
+                k = k * m
+                k = (k ^ k >> u(47)) * m
+            h = (h ^ k) * m
+        h = (h ^ h >> u(47)) * m
+        for i, x in zip(at, (h ^ h >> u(47)).tolist()):
+            out[i] = x
+    return out
+
+
 @pandas_udf(T.LongType())
 def murmur3_32_col(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else murmur3_32(x.encode()))
+    return pd.Series(murmur3_32_many([None if x is None else x.encode() for x in s]), dtype=object)
 
 
 @pandas_udf(T.StringType())
 def murmur2_64_col(s: pd.Series) -> pd.Series:
     """As a decimal string: unsigned 64 bits do not fit a long."""
-    return s.map(lambda x: None if x is None else str(murmur2_64(x.encode())))
+    return pd.Series([None if h is None else str(h) for h in murmur2_64_many([None if x is None else x.encode() for x in s])], dtype=object)
+
+
+def zip_cipher_many(values: list[bytes | None], passwords: list[str | None], decrypt: bool) -> list[bytes | None]:
+    """Each value under the ``ZipCipher`` of its password, all values of a length a byte at a time."""
+    out: list[bytes | None] = [None] * len(values)
+    table = np.array([_crc_step(0, b) for b in range(256)], np.uint32)
+    u = np.uint32
+    start = {p: ZipCipher(p.encode()).keys for p in set(passwords) if p is not None}
+    for at, cells in _by_length([v if p is not None else None for v, p in zip(values, passwords)]):
+        k0, k1, k2 = (np.array([start[passwords[i]][j] for i in at], u) for j in range(3))
+        done = np.empty_like(cells)
+        for j in range(cells.shape[1]):
+            t = (k2 | u(2)) & u(0xFFFF)
+            done[:, j] = cells[:, j] ^ (t * (t ^ u(1)) >> u(8)).astype(np.uint8)
+            plain = (done if decrypt else cells)[:, j]
+            k0 = table[(k0 ^ plain) & u(255)] ^ k0 >> u(8)
+            k1 = (k1 + (k0 & u(255))) * u(134775813) + u(1)
+            k2 = table[(k2 ^ k1 >> u(24)) & u(255)] ^ k2 >> u(8)
+        for i, row in zip(at, done):
+            out[i] = row.tobytes()
+    return out
+
+
+@pandas_udf(T.BinaryType())
+def encrypt_col(data: pd.Series, password: pd.Series) -> pd.Series:
+    """Values as the traditional zip cipher encrypts them; null data or a null password gives null."""
+    return pd.Series(zip_cipher_many([None if d is None else bytes(d) for d in data], list(password), False), dtype=object)
+
+
+@pandas_udf(T.BinaryType())
+def decrypt_col(data: pd.Series, password: pd.Series) -> pd.Series:
+    return pd.Series(zip_cipher_many([None if d is None else bytes(d) for d in data], list(password), True), dtype=object)
+
+
+def floating_bytes(value: Column, n: int, big: bool = True) -> Column:
+    """A number as 4 or 8 bytes of IEEE 754 (rounded to the nearest; beyond its range infinite)."""
+    if n not in (4, 8):
+        raise ValueError("a floating-point number has 4 or 8 bytes")
+    kind = f"{'>' if big else '<'}f{n}"
+
+    @pandas_udf(T.BinaryType())
+    def put(column: pd.Series, known: pd.Series) -> pd.Series:
+        with np.errstate(over="ignore"):
+            raw = column.to_numpy(np.float64, na_value=np.nan).astype(kind).tobytes()
+        return pd.Series([raw[i * n : i * n + n] if k else None for i, k in enumerate(known)], dtype=object)
+
+    return put(value.cast("double"), value.isNotNull())
 
 
 @pandas_udf(T.BinaryType())

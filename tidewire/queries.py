@@ -682,12 +682,64 @@ def buf_signed(spark, sf):
     return b.select("o_orderkey", *read, F.decode(text.sized_bytes(F.col("b"), 12, 2), "UTF-8").alias("tail"))
 
 
+@query("SELECT o_orderkey, CAST(CAST(o_totalprice AS FLOAT) AS DOUBLE) AS four, o_totalprice / -3 AS eight, CASE o_orderkey % 3 WHEN 0 THEN 'C020000000000000' WHEN 1 THEN '0000000000000000' ELSE '3FF0000000000000' END AS shown FROM orders")
+def buf_floating(spark, sf):
+    """Floating-point numbers put to a buffer in both byte orders and read back; the bytes of -8, 0 and 1."""
+    key, price = F.col("o_orderkey"), F.col("o_totalprice").cast("double")
+    fixed = F.when(key % 3 == 0, -8.0).when(key % 3 == 1, 0.0).otherwise(1.0)
+    buf = F.concat(binary.floating_bytes(price, 4), binary.floating_bytes(price / -3, 8, big=False), binary.floating_bytes(fixed, 8))
+    b = table(spark, sf, "orders").select("o_orderkey", buf.alias("b"))
+    return b.select("o_orderkey", text.floating(F.col("b"), 0, 4).alias("four"), text.floating(F.col("b"), 4, 8, big=False).alias("eight"), F.hex(F.substring("b", 13, 8)).alias("shown"))
+
+
+def _cipher_sql() -> str:
+    """The cipher byte by byte; a CRC step is eight conditional shifts; a state is [k0, k1, k2, last byte out]."""
+    half = lambda x: f"xor({x} >> 1, 3988292384 * ({x} & 1))"
+    bits = "list_reduce([{0}, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: " + half("x") + ")"
+    crc = lambda k, byte: bits.format(f"xor({k} & 255, {byte})")
+    step = lambda crc_of, key: f"xor({crc_of}, {key} >> 8)"
+    advance = lambda s, byte: (
+        f"list_transform(list_transform([{step(crc(f'{s}[1]', byte), f'{s}[1]')}], lambda a: [a, CAST((({s}[2] + (a & 255))::HUGEINT * 134775813 + 1) & 4294967295 AS BIGINT)]), "
+        f"lambda p: [p[1], p[2], {step(crc(f'{s}[3]', '(p[2] >> 24)'), f'{s}[3]')}])[1]"
+    )
+    return f"""WITH RECURSIVE start AS (SELECT list_reduce([[305419896, 591751049, 878082192], [107], [101], [121]]::BIGINT[][], lambda s, c: {advance('s', 'c[1]')}) AS k),
+walk AS (SELECT c_custkey, c_name, 0 AS i, k, '' AS cipher FROM customer, start UNION ALL
+SELECT c_custkey, c_name, i + 1, {advance('k', 'ascii(c_name[i + 1])::BIGINT')}, cipher || printf('%02X', xor(ascii(c_name[i + 1])::BIGINT, ((((k[3] | 2) & 65535) * xor((k[3] | 2) & 65535, 1)) >> 8) & 255)) FROM walk WHERE i < length(c_name))
+SELECT c_custkey, cipher, c_name AS plain FROM walk WHERE i = length(c_name)"""
+
+
+@query(_cipher_sql())
+def stream_cipher(spark, sf):
+    """Names under the zip cipher, and back."""
+    once = binary.encrypt_col(F.encode("c_name", "UTF-8"), F.lit("key"))
+    return table(spark, sf, "customer").select("c_custkey", F.hex(once).alias("cipher"), F.decode(binary.decrypt_col(once, F.lit("key")), "UTF-8").alias("plain"))
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey <> (SELECT o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 1 OFFSET 10)")
 def ordered_without_nth(spark, sf):
     return ordered.without_nth(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"], 10)
 
 
-@query()
+def _murmur_sql() -> str:
+    """The two hashes of an ASCII column step by step: whole words, the tail's word, the last mix; numbers of 128 bits."""
+    m4, m8 = "4294967295::UHUGEINT", "18446744073709551615::UHUGEINT"
+    word = lambda size: "(" + " | ".join(f"(coalesce(b[{size} * j + {i + 1}], 0)::UHUGEINT << {8 * i})" for i in range(size)) + ")"
+    turn = lambda x, r: f"((({x} << {r}) | ({x} >> {32 - r})) & {m4})"
+    k3 = lambda k: f"(({turn(f'({k} * {0xCC9E2D51}::UHUGEINT & {m4})', 15)} * {0x1B873593}::UHUGEINT) & {m4})"
+    times = lambda x: f"(({x} * {0xC6A4A7935BD1E995}::UHUGEINT) & {m8})"
+    k2 = lambda k: times(f"xor({times(k)}, {times(k)} >> 47)")
+    last3 = "WITH_ AS (SELECT c_custkey, m2, ((xor(m3, m3 >> {0}) * {1}::UHUGEINT) & " + m4 + ") AS m3 FROM {2})"
+    return f"""WITH b AS (SELECT c_custkey, length(c_name) AS n, list_transform(range(1, length(c_name) + 1), lambda i: ascii(c_name[i])) AS b FROM customer),
+w AS (SELECT c_custkey, n, list_transform(range(0, n // 4), lambda j: {word(4)}) AS w4, list_transform(range(n // 4, (n + 3) // 4), lambda j: {word(4)}) AS t4,
+list_transform(range(0, n // 8), lambda j: {word(8)}) AS w8, list_transform(range(n // 8, (n + 7) // 8), lambda j: {word(8)}) AS t8 FROM b),
+s AS (SELECT c_custkey, n, t4, t8, list_reduce(list_prepend(0::UHUGEINT, w4), lambda h, k: ({turn(f'xor(h, {k3("k")})', 13)} * 5::UHUGEINT + {0xE6546B64}::UHUGEINT) & {m4}) AS m3,
+list_reduce(list_prepend({times('n::UHUGEINT')}, w8), lambda h, k: {times(f'xor(h, {k2("k")})')}) AS m2 FROM w),
+t AS (SELECT c_custkey, xor(CASE WHEN len(t4) > 0 THEN xor(m3, {k3('t4[1]')}) ELSE m3 END, n::UHUGEINT) AS m3, CASE WHEN len(t8) > 0 THEN {times('xor(m2, t8[1])')} ELSE m2 END AS m2 FROM s),
+{last3.format(16, 0x85EBCA6B, 't').replace('WITH_', 'x')}, {last3.format(13, 0xC2B2AE35, 'x').replace('WITH_', 'y')}, z AS (SELECT c_custkey, xor(m3, m3 >> 16) AS m3, {times('xor(m2, m2 >> 47)')} AS m2 FROM y)
+SELECT c_custkey, CAST(m3 AS BIGINT) AS m3, CAST(xor(m2, m2 >> 47) AS VARCHAR) AS m2 FROM z"""
+
+
+@query(_murmur_sql())
 def hash_murmur(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", binary.murmur3_32_col("c_name").alias("m3"), binary.murmur2_64_col("c_name").alias("m2"))
 
