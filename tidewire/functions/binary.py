@@ -151,6 +151,23 @@ def random_sequence(seed: int, n: int) -> list[int]:
     return out
 
 
+def random_step(x: Column) -> Column:
+    """The next number of the minimal standard generator."""
+    return x * 16807 % (2**31 - 1)
+
+
+def crc_step(crc: Column, byte: Column) -> Column:
+    """One byte into the register of CRC-32 (a long, without the inversions)."""
+    x = crc.bitwiseXOR(byte)
+    for _ in range(8):
+        x = F.shiftright(x, 1).bitwiseXOR(x.bitwiseAND(1) * 0xEDB88320)
+    return x
+
+
+#: Fixed value: the first bytes of an encrypted file.
+ENCRYPTED = b"VimCrypt~01!"
+
+
 class ZipCipher:
     """The traditional stream cipher of zip archives; it keeps its state from call to call."""
 
@@ -300,6 +317,20 @@ def decrypt_col(data: pd.Series, password: pd.Series) -> pd.Series:
     return pd.Series(zip_cipher_many([None if d is None else bytes(d) for d in data], list(password), True), dtype=object)
 
 
+@pandas_udf(T.BinaryType())
+def encrypted_file_col(content: pd.Series, password: pd.Series) -> pd.Series:
+    """The bytes of an encrypted file with the content: the magic and the content under the cipher."""
+    hidden = zip_cipher_many([None if d is None else bytes(d) for d in content], list(password), False)
+    return pd.Series([None if h is None else ENCRYPTED + h for h in hidden], dtype=object)
+
+
+@pandas_udf(T.BinaryType())
+def decrypted_file_col(content: pd.Series, password: pd.Series) -> pd.Series:
+    """The content of an encrypted file; null where the magic is missing."""
+    own = [bytes(d)[len(ENCRYPTED) :] if d is not None and bytes(d).startswith(ENCRYPTED) else None for d in content]
+    return pd.Series(zip_cipher_many(own, list(password), True), dtype=object)
+
+
 def floating_bytes(value: Column, n: int, big: bool = True) -> Column:
     """A number as 4 or 8 bytes of IEEE 754 (rounded to the nearest; beyond its range infinite)."""
     if n not in (4, 8):

@@ -13,16 +13,52 @@ def smallest(df: DataFrame, keys: list[str], k: int) -> DataFrame:
     return df.orderBy(*keys).limit(k)
 
 
+def _ranged(df: DataFrame, order: list[str]) -> DataFrame:
+    """Rows in range partitions (column ``_p``), written, as they are read twice and the parts must stay."""
+    return cut(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+
+
+def _offsets(ranged: DataFrame) -> DataFrame:
+    """(_p, _n, _off): rows in a partition and before it; a row a partition."""
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    return ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).select("_p", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+
+
 def without_nth(df: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """All rows but the n-th smallest (from 0) by keys that are unique and not null; all rows if there are no more than n."""
-    one = df.select(*keys).orderBy(*keys).offset(n).limit(1)
-    return df.join(F.broadcast(one), keys, "left_anti")  # a single row
+    """All rows but the n-th smallest (from 0) by keys that are unique and not null; all rows if there are no more than n.
+
+    Rows are ranked only in the range partition that holds the n-th."""
+    ranged = _ranged(df.select(*keys), keys)
+    place = _offsets(ranged).where((F.col("_off") <= n) & (F.col("_off") + F.col("_n") > n))
+    w = Window.partitionBy("_p").orderBy(*keys)
+    one = ranged.join(F.broadcast(place), "_p").withColumn("_at", F.col("_off") + F.row_number().over(w) - 1).where(F.col("_at") == n)
+    return df.join(F.broadcast(one.select(*keys)), keys, "left_anti")  # a single row
+
+
+def within_keys(df: DataFrame, key: str, order: list[str], value: str, rank: str = "rank", previous: str = "previous") -> DataFrame:
+    """Each row with its rank in its key (from 0) and the ``value`` of the row before it (null for the first).
+
+    No key's rows meet in one task: they lie in range partitions by key and order, and what a partition must know of those
+    before it is at most two rows a partition (its first and last key's counts and last values). ``order`` tells a key's rows
+    apart; a null key is a key. An empty table gives no rows.
+    """
+    packed = df.select(F.struct(key).alias("_key"), F.struct(*order).alias("_order"), F.struct(value).alias("_value"), F.struct(*df.columns).alias("_row"))
+    ranged = _ranged(packed, ["_key", "_order"])  # a struct is never null
+    own = Window.partitionBy("_p", "_key").orderBy("_order")
+    edges = ranged.groupBy("_p").agg(F.array_distinct(F.array(F.min("_key"), F.max("_key"))).alias("_keys")).select("_p", F.explode("_keys").alias("_key"))
+    sums = ranged.join(F.broadcast(edges), ["_p", "_key"], "left_semi").groupBy("_p", "_key").agg(F.count(F.lit(1)).alias("_n"), F.max_by("_value", "_order").alias("_last"))
+    over = Window.partitionBy("_key").orderBy("_p")
+    carried = sums.select("_p", "_key", F.sum("_n").over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_off"), F.lag("_last").over(over).alias("_last"))
+    rows = ranged.withColumn("_i", F.row_number().over(own) - 1).withColumn("_before", F.lag("_value").over(own))
+    rows = rows.join(F.broadcast(carried), ["_p", "_key"], "left")
+    found = F.when(F.col("_i") > 0, F.col("_before")).otherwise(F.col("_last"))
+    return rows.select("_row.*", (F.coalesce("_off", F.lit(0)) + F.col("_i")).alias(rank), found[value].alias(previous))
 
 
 def latest_by_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Upsert: of rows with one key the last stays."""
-    w = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
-    return df.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
+    """Upsert: of rows with one key the last stays (a maximum, aggregated before the shuffle)."""
+    last = df.groupBy(F.col(key).alias("_k")).agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias("_last"))
+    return last.select("_last.*")
 
 
 def first_seen(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -40,9 +76,6 @@ def bloom_semi(df: DataFrame, key: str, members: DataFrame, member: str) -> Data
 
 def numbered(df: DataFrame, order: list[str], n: int, out: str) -> DataFrame:
     """Round-robin split 0..n-1 in an order, without one task for all rows: ranks within range partitions plus offsets."""
-    ranged = cut(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))  # read twice: the parts must stay
-    counts = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
-    offsets = counts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    ranged = _ranged(df, order)
     w = Window.partitionBy("_p").orderBy(*order)
-    return ranged.join(F.broadcast(offsets), "_p").withColumn(out, (F.col("_off") + F.row_number().over(w) - 1) % n).drop("_p", "_off")
+    return ranged.join(F.broadcast(_offsets(ranged).drop("_n")), "_p").withColumn(out, (F.col("_off") + F.row_number().over(w) - 1) % n).drop("_p", "_off")

@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.functions.binary import ZipCipher
+from tidewire.functions.binary import ENCRYPTED, ZipCipher
 from tidewire.operators.matchers import MATCHERS
 
 
@@ -187,9 +187,9 @@ def _load_encrypted(rest: str, base: str) -> str:
     password, _, path = rest.partition("@")
     with open(os.path.join(base, path), "rb") as f:
         data = f.read()
-    if not data.startswith(b"VimCrypt~01!"):
+    if not data.startswith(ENCRYPTED):
         raise RuleError(f"{path} is not an encrypted source")
-    return ZipCipher(password.encode()).decrypt(data[12:]).decode("utf-8")
+    return ZipCipher(password.encode()).decrypt(data[len(ENCRYPTED) :]).decode("utf-8")
 
 
 register_loader("cfile", _load_encrypted)

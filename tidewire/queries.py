@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from tidewire.functions import binary, layers, smtp, text, wire
 from tidewire.operators import counters, lineage, lookup, matchers, ordered, pattern_tables
 from tidewire.plans import rule_tables
-from tidewire.plans.rules import RuleSet, parse_source, source_text_of_rows
+from tidewire.plans.rules import RuleSet, parse_source, register_loader, source_text_of_rows
 from tidewire.plans.template import FUNCTIONS, Template
 from tidewire.sources.captures import read_captures, write_captures
-from tidewire.sources.files import capture_stats, captures, split_captures
+from tidewire.sources.files import capture_stats, captures, read_ip_ranges, read_lines, read_properties, split_captures
 from tidewire.streaming import flows, outputs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -649,8 +649,9 @@ def buf_read_all(spark, sf):
 
 @query("SELECT event_id, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS diff_us FROM events")
 def time_diff(spark, sf):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf, "events").select("event_id", (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w))).alias("diff_us"))
+    """Microseconds since a user's event before; no user's events meet in one task."""
+    e = ordered.within_keys(table(spark, sf, "events").select("event_id", "user_id", "ts"), "user_id", ["ts", "event_id"], "ts")
+    return e.select("event_id", (F.unix_micros("ts") - F.unix_micros("previous")).alias("diff_us"))
 
 
 @query("SELECT event_id, 'v' || event_id AS a, '1' AS b, event_type AS c FROM events")
@@ -806,8 +807,8 @@ def codec_format(spark, sf):
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%d_%H') AS period, CAST(floor((row_number() OVER (PARTITION BY date_trunc('hour', ts) ORDER BY ts, event_id) - 1) / 10) AS BIGINT) AS batch FROM events")
 def rolling_partition(spark, sf):
-    w = Window.partitionBy(F.date_trunc("hour", "ts")).orderBy("ts", "event_id")
-    return table(spark, sf, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd_HH").alias("period"), F.floor((F.row_number().over(w) - 1) / 10).alias("batch"))
+    e = ordered.within_keys(table(spark, sf, "events").select("event_id", "ts", F.date_trunc("hour", "ts").alias("hour")), "hour", ["ts", "event_id"], "event_id")
+    return e.select("event_id", F.date_format("ts", "yyyy-MM-dd_HH").alias("period"), F.floor(F.col("rank") / 10).alias("batch"))
 
 
 @query("SELECT event_id, (row_number() OVER (ORDER BY ts, event_id) - 1) % 4 AS split FROM events")
@@ -1120,3 +1121,78 @@ def rules_file(spark, sf):
         rules.add("file:a.rules")
         rules.compile()
     return requests(spark, sf).where(rules.matches(fields())).select("page_id", F.lit("parsed").alias("state"))
+
+
+@query("SELECT c_custkey, c_custkey * 16807 % 2147483647 AS one, (c_custkey * 16807 % 2147483647) * 16807 % 2147483647 AS two, list_reduce([xor(4294967295, c_custkey & 255), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))) AS crc FROM customer")
+def number_steps(spark, sf):
+    """Two steps of the random numbers from a seed, one byte into a CRC."""
+    key = F.col("c_custkey")
+    one = binary.random_step(key)
+    return table(spark, sf, "customer").select("c_custkey", one.alias("one"), binary.random_step(one).alias("two"), binary.crc_step(F.lit(0xFFFFFFFF), key.bitwiseAND(255)).alias("crc"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS content, 12 + length(o_orderpriority) AS size FROM orders")
+def encrypted_files(spark, sf):
+    """Encrypted files of one text each, and back; every third has lost its magic."""
+    made = binary.encrypted_file_col(F.encode("o_orderpriority", "UTF-8"), F.lit("word"))
+    o = table(spark, sf, "orders").select("o_orderkey", made.alias("file"))
+    file = F.when(F.col("o_orderkey") % 3 > 0, F.col("file")).otherwise(F.concat(F.lit(b"x"), F.col("file")))
+    return o.select("o_orderkey", F.decode(binary.decrypted_file_col(file, F.lit("word")), "UTF-8").alias("content"), F.octet_length("file").alias("size"))
+
+
+def through_folder(spark, write, read) -> DataFrame:
+    """Rows read from a new folder of the shared store that ``write`` fills; the folder goes once they are read."""
+    import uuid
+
+    folder = f"{lineage.ensure_checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
+    write(folder)
+    found = lineage.cut(read(folder))
+    lineage.remove_folder(spark, folder)
+    return found
+
+
+@query("SELECT c_custkey * 256 AS start_ip, c_custkey * 256 + 255 AS end_ip, c_nationkey AS province, c_custkey AS city, c_custkey % 7 AS county FROM customer WHERE c_custkey % 5 > 0")
+def ip_range_file(spark, sf):
+    """Ranges of the customers written as tab-separated files and read; every fifth line lacks its columns."""
+    first = F.col("c_custkey") * 256
+    short = F.when(F.col("c_custkey") % 5 > 0, F.col("c_custkey"))
+    lines = [text.ip_text(first), text.ip_text(first + 255), F.lit("1"), F.lit("2"), F.col("c_nationkey"), short, F.col("c_custkey") % 7]
+    line = F.concat_ws("\t", *[F.coalesce(c.cast("string"), F.lit("")) for c in lines])
+    rows = table(spark, sf, "customer").select(F.explode(F.array(F.concat(F.lit("# "), "c_name"), line)).alias("value"))
+    return through_folder(spark, rows.write.text, lambda folder: read_ip_ranges(spark, folder))
+
+
+@query("SELECT event_id || ' ' || event_type AS line, event_id % 2 = 0 AS packed FROM events")
+def lines_by_magic(spark, sf):
+    """Lines of text files of which some are gzip, told by their first bytes."""
+    rows = table(spark, sf, "events").select(F.concat("event_id", F.lit(" "), "event_type").alias("value"), "event_id")
+
+    def write(folder: str) -> None:
+        rows.where("event_id % 2 = 0").select("value").write.mode("append").option("compression", "gzip").text(folder)
+        rows.where("event_id % 2 <> 0").select("value").write.mode("append").text(folder)
+
+    return through_folder(spark, write, lambda folder: read_lines(spark, f"{folder}/part-*").select("line", F.col("path").endswith(".gz").alias("packed")))
+
+
+@query(R + "SELECT page_id, contains(uri, '/es/') AS encrypted, coalesce(extension IN ('html', 'php'), false) AS listed, host LIKE 'www.%' AS reversed FROM r")
+def rules_loaded(spark, sf):
+    """Rule sources of an encrypted file, a list file named by a source and by a properties file, and a loader of one's own."""
+    import os
+    import tempfile
+
+    register_loader("reversed", lambda rest, base: rest[::-1])
+    with tempfile.TemporaryDirectory() as folder:
+        with open(os.path.join(folder, "a.rules"), "wb") as f:
+            f.write(binary.ENCRYPTED + binary.ZipCipher(b"pw").encrypt(b"uri wumanber\n  /es/\n"))
+        with open(os.path.join(folder, "a.list"), "w", encoding="utf-8") as f:
+            f.write("# extensions\nhtml\n\nphp\n")
+        with open(os.path.join(folder, "a.conf"), "w", encoding="utf-8") as f:
+            f.write("first = cfile:pw@a.rules\nthird reversed:" + "host wumanber\n  ^www.\n"[::-1].replace("\n", "|") + "\n")
+        sources = read_properties(os.path.join(folder, "a.conf"))
+        own = []
+        for uri in (sources["first"], "string:extension equals a.list", sources["third"].replace("|", "\n")):
+            rules = RuleSet(folder)
+            rules.add(uri)
+            rules.compile()
+            own.append(rules.matches(fields()))
+    return requests(spark, sf).select("page_id", *[F.coalesce(m, F.lit(False)).alias(n) for m, n in zip(own, ("encrypted", "listed", "reversed"))])
