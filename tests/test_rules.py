@@ -94,3 +94,34 @@ def test_values_of_rows_are_lines(spark):
     assert source_text_of_rows(rows) == "host equals\n  a.com"
     with pytest.raises(RuleError):
         source_text_of_rows(spark.createDataFrame([("equals", "host", ["a\n@not host exists"])], rows.schema))
+
+
+def test_rules_change_between_batches_of_a_stream(spark, tmp_path):
+    """A rule file that changes is compiled anew before the next batch; one that breaks leaves the rules as they were."""
+    import os
+
+    from tidewire.operators.matchers import MATCHERS, register_matcher, sure
+    from tidewire.streaming.flows import match_batches
+
+    register_matcher("longer", lambda field, values: sure(F.length(field) > int(values[0])))
+    texts = ["host equals\n  a\n", "host equals\n  b\nhost longer\n  3\n", "host nonsense\n  a\n"]
+    path, source = tmp_path / "live.rules", str(tmp_path / "in")
+    path.write_text(texts[0])
+    rules = RuleSet(str(tmp_path))
+    one = rules.add("file:live.rules")
+    rules.compile()
+    seen = []
+
+    def write(batch, batch_id):
+        seen.append([(r.host, list(r.sources)) for r in batch.collect()])
+
+    step = match_batches(rules, lambda df: {"host": F.col("host")}, write)
+    for n, text in enumerate(texts):
+        path.write_text(text)
+        os.utime(path, (n + 1, n + 1))
+        spark.createDataFrame([("a",), ("b",), ("long",), (None,)], "host string").coalesce(1).write.mode("append").json(source)
+        q = spark.readStream.schema("host string").json(source).writeStream.foreachBatch(step).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+    del MATCHERS["longer"]
+    hits = [{h for h, s in batch if one in s} for batch in seen]
+    assert hits == [{"a"}, {"b", "long"}, {"b", "long"}]

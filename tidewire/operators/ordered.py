@@ -35,24 +35,30 @@ def without_nth(df: DataFrame, keys: list[str], n: int) -> DataFrame:
     return df.join(F.broadcast(one.select(*keys)), keys, "left_anti")  # a single row
 
 
-def within_keys(df: DataFrame, key: str, order: list[str], value: str, rank: str = "rank", previous: str = "previous") -> DataFrame:
-    """Each row with its rank in its key (from 0) and the ``value`` of the row before it (null for the first).
+def within_keys(df: DataFrame, key: str, order: list[str], value: str, rank: str = "rank", previous: str = "previous", amount: str | None = None, before: str = "before") -> DataFrame:
+    """Each row with its rank in its key (from 0) and the ``value`` of the row before it (null for the first); with an
+    ``amount``, a column of whole numbers, also with its sum over the rows before (null amounts are 0).
 
     No key's rows meet in one task: they lie in range partitions by key and order, and what a partition must know of those
     before it is at most two rows a partition (its first and last key's counts and last values). ``order`` tells a key's rows
     apart; a null key is a key. An empty table gives no rows.
     """
-    packed = df.select(F.struct(key).alias("_key"), F.struct(*order).alias("_order"), F.struct(value).alias("_value"), F.struct(*df.columns).alias("_row"))
+    size = F.coalesce(F.col(amount).cast("long"), F.lit(0)) if amount else F.lit(0).cast("long")
+    packed = df.select(F.struct(key).alias("_key"), F.struct(*order).alias("_order"), F.struct(value).alias("_value"), F.struct(*df.columns).alias("_row"), size.alias("_size"))
     ranged = _ranged(packed, ["_key", "_order"])  # a struct is never null
     own = Window.partitionBy("_p", "_key").orderBy("_order")
     edges = ranged.groupBy("_p").agg(F.array_distinct(F.array(F.min("_key"), F.max("_key"))).alias("_keys")).select("_p", F.explode("_keys").alias("_key"))
-    sums = ranged.join(F.broadcast(edges), ["_p", "_key"], "left_semi").groupBy("_p", "_key").agg(F.count(F.lit(1)).alias("_n"), F.max_by("_value", "_order").alias("_last"))
+    sums = ranged.join(F.broadcast(edges), ["_p", "_key"], "left_semi").groupBy("_p", "_key").agg(F.count(F.lit(1)).alias("_n"), F.max_by("_value", "_order").alias("_last"), F.sum("_size").alias("_sum"))
     over = Window.partitionBy("_key").orderBy("_p")
-    carried = sums.select("_p", "_key", F.sum("_n").over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_off"), F.lag("_last").over(over).alias("_last"))
+    earlier = over.rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select("_p", "_key", F.sum("_n").over(earlier).alias("_off"), F.lag("_last").over(over).alias("_last"), F.sum("_sum").over(earlier).alias("_carry"))
     rows = ranged.withColumn("_i", F.row_number().over(own) - 1).withColumn("_before", F.lag("_value").over(own))
+    if amount:
+        rows = rows.withColumn("_sum", F.sum("_size").over(own.rowsBetween(Window.unboundedPreceding, -1)))
     rows = rows.join(F.broadcast(carried), ["_p", "_key"], "left")
     found = F.when(F.col("_i") > 0, F.col("_before")).otherwise(F.col("_last"))
-    return rows.select("_row.*", (F.coalesce("_off", F.lit(0)) + F.col("_i")).alias(rank), found[value].alias(previous))
+    total = [(F.coalesce("_carry", F.lit(0)) + F.coalesce("_sum", F.lit(0))).alias(before)] if amount else []
+    return rows.select("_row.*", (F.coalesce("_off", F.lit(0)) + F.col("_i")).alias(rank), found[value].alias(previous), *total)
 
 
 def latest_by_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -126,6 +126,17 @@ def rule_expr_ids(spark, sf):
     return spark.createDataFrame([(n, i, x.field, x.matcher) for n, i, x in rule_set().leaves()], "expr_id int, source_id int, field string, matcher string")
 
 
+@query(R + """SELECT expr_id, source_id, field, matcher, count(*) AS hits FROM (SELECT unnest(list_concat(CASE WHEN starts_with(host, 'www.') OR ends_with(host, '.org') THEN [0] ELSE [] END, CASE WHEN starts_with(uri, '/en/') OR starts_with(uri, '/de/') THEN [1] ELSE [] END,
+CASE WHEN extension IS NOT NULL THEN [2, 4] ELSE [] END, CASE WHEN query IN ('utm_source=feed', 'page=2&ref=x') THEN [3] ELSE [] END, CASE WHEN contains(uri, '/fr/') THEN [5] ELSE [] END, CASE WHEN host = 'm.ththth.example.net' THEN [6] ELSE [] END,
+CASE WHEN regexp_matches(uri, '^/[a-z]{2}/[0-9]*5$') THEN [7] ELSE [] END)) AS expr_id FROM r)
+JOIN (VALUES (0, 1, 'host', 'wumanber'), (1, 1, 'uri', 'wumanber'), (2, 1, 'extension', 'exists'), (3, 2, 'query', 'equals'), (4, 2, 'extension', 'exists'), (5, 2, 'uri', 'wumanber'), (6, 3, 'host', 'equals'), (7, 3, 'uri', 'regex')) v(expr_id, source_id, field, matcher) USING (expr_id) GROUP BY ALL""")
+def rule_leaf_hits(spark, sf):
+    """Each leaf of the rule set by its id, with the pages that it hits."""
+    rules = rule_set()
+    leaves = spark.createDataFrame([(n, i, x.field, x.matcher) for n, i, x in rules.leaves()], "expr_id int, source_id int, field string, matcher string")
+    return requests(spark, sf).select(F.explode(F.map_keys(rules.matched_items(fields()))).alias("expr_id")).groupBy("expr_id").agg(F.count(F.lit(1)).alias("hits")).join(leaves, "expr_id")
+
+
 @query(R + """SELECT page_id, CASE WHEN starts_with(host, 'www.') THEN '^www.' WHEN ends_with(host, '.org') THEN '.org$' END AS host_item,
 CASE WHEN starts_with(uri, '/en/') THEN '^/en/*' WHEN starts_with(uri, '/de/') THEN '^/de/*' END AS uri_item FROM r""")
 def rule_items(spark, sf):
@@ -1123,6 +1134,17 @@ def rules_file(spark, sf):
     return requests(spark, sf).where(rules.matches(fields())).select("page_id", F.lit("parsed").alias("state"))
 
 
+@query("""WITH p AS (SELECT doc_id, unnest(range(0, CAST(ceil(length(text) / 1000) AS BIGINT))) AS seq, text FROM documents), c AS (SELECT doc_id, seq, substr(text, seq * 1000 + 1, 1000) AS chunk FROM p WHERE doc_id % 5 > 0 OR seq <> 1)
+SELECT doc_id, seq, CAST(coalesce(sum(strlen(chunk)) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset", md5(chunk) AS digest, doc_id % 5 > 0 OR seq = 0 AS in_order FROM c""")
+def chunk_offsets(spark, sf):
+    """Texts in pieces of 1,000 characters, each twice, placed by their bytes; every fifth text lacks its second piece."""
+    n = F.ceil(F.length("text") / 1000)
+    d = table(spark, sf, "documents").where("text is not null and text <> ''")
+    pieces = d.select("doc_id", "text", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("seq")).where("doc_id % 5 > 0 or seq <> 1")
+    chunks = pieces.select("doc_id", "seq", F.substr("text", (F.col("seq") * 1000 + 1).cast("int"), F.lit(1000)).alias("chunk"))
+    return flows.placed(chunks.unionByName(chunks), ["doc_id"], "seq", "chunk").select("doc_id", "seq", "offset", F.md5("chunk").alias("digest"), "in_order")
+
+
 @query("SELECT c_custkey, c_custkey * 16807 % 2147483647 AS one, (c_custkey * 16807 % 2147483647) * 16807 % 2147483647 AS two, list_reduce([xor(4294967295, c_custkey & 255), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))) AS crc FROM customer")
 def number_steps(spark, sf):
     """Two steps of the random numbers from a seed, one byte into a CRC."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -12,7 +13,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewire.functions import smtp, wire
-from tidewire.plans.rules import RuleSet
+from tidewire.operators.ordered import within_keys
+from tidewire.plans.rules import RuleError, RuleSet
 
 
 def reassemble(chunks: DataFrame, keys: list[str], order: str, data: str) -> DataFrame:
@@ -22,6 +24,20 @@ def reassemble(chunks: DataFrame, keys: list[str], order: str, data: str) -> Dat
     )
 
 
+def placed(chunks: DataFrame, keys: list[str], order: str, data: str) -> DataFrame:
+    """(keys, order, data, offset, in_order): each chunk of a batch table with its place in its message, in bytes.
+
+    For messages of any length: their chunks never meet in one task, so they can be written or searched in place.
+    ``order`` counts from 0; of repeated chunks the smallest stays, a chunk without an order or data is none, and behind
+    a gap ``in_order`` is false (and the offset counts the bytes that are there).
+    """
+    rows = chunks.where(F.col(order).isNotNull() & F.col(data).isNotNull())
+    own = rows.groupBy(F.struct(*keys).alias("_flow"), F.col(order).alias("_seq")).agg(F.min(data).alias("_data"))
+    sized = own.withColumn("_bytes", F.octet_length("_data"))
+    found = within_keys(sized, "_flow", ["_seq"], "_bytes", "_rank", "_previous", "_bytes", "_offset")
+    return found.select("_flow.*", F.col("_seq").alias(order), F.col("_data").alias(data), F.col("_offset").alias("offset"), (F.col("_rank") == F.col("_seq")).alias("in_order"))
+
+
 def _extend(max_chunks: int, timeout_ms: int | None):
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         """Chunks in order of seq; a chunk marked last ends the message."""
@@ -176,10 +192,14 @@ def first_seen_stream(events: DataFrame, key: str, ts: str, late: str) -> DataFr
 
 
 def match_batches(rules: RuleSet, fields: Callable[[DataFrame], dict[str, Column]], write: Callable[[DataFrame, int], None]):
-    """A foreachBatch function: rules that changed are compiled anew between batches, never within one."""
+    """A foreachBatch function: rules that changed are compiled anew between batches, never within one. Where a changed
+    source is missing or wrong, a warning says so at every batch and the rules of before go on."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        rules.check()
+        try:
+            rules.check()
+        except (RuleError, OSError) as e:
+            logging.getLogger(__name__).warning("rules not renewed: %s", e)
         write(batch.withColumn("sources", rules.matched_ids(fields(batch))), batch_id)
 
     return run
