@@ -133,3 +133,18 @@ def test_unknown_matcher(spark):
             made.hits(records, "k")
     finally:
         MATCHERS.pop("longer")
+
+
+def test_rules_of_one_expression_are_tested_once(spark):
+    """200,000 rules of three expressions make one row a record and expression, and every rule gets its count."""
+    n = 200_000
+    text = F.element_at(F.array(*map(F.lit, ("host equals $a", "not host equals $a", "uri exists and host equals $a"))), (F.col("id") % 3 + 1).cast("int"))
+    rules = spark.range(n).select(F.col("id").alias("rule_id"), text.alias("expression"))
+    records = spark.createDataFrame([(1, "a.com", "/x"), (2, "a.com", None), (3, None, "/y"), (4, "b.com", None)], "k int, host string, uri string")
+    made = rule_tables.RuleTables(rules, spark.createDataFrame([("$a", "a.com")], "group string, value string"))
+    assert made.odd(records, "k").count() == 5
+    counts = made.rule_counts(records, "k").groupBy((F.col("rule_id") % 3).alias("r"), "n_records").count().collect()
+    of = [len(range(i, n, 3)) for i in range(3)]
+    assert sorted(map(tuple, counts)) == [(0, 2, of[0]), (1, 2, of[1]), (2, 1, of[2])]
+    assert {r.k: r.n_rules for r in made.record_counts(records, "k").collect()} == {1: of[0] + of[2], 2: of[0], 3: of[1], 4: of[1]}
+    assert made.exceptions(records, "k").count() == 2 * of[0] + 2 * of[1] + of[2]

@@ -11,6 +11,9 @@ one: of an ``and`` it is enough to watch the part that is hit least, of an ``or`
 that its rarest leaves lead to (all rules that watch a leaf, where no rarer part of them could tell), and what is returned are the exceptions, rules that do not have their default on a record;
 a rule with a true default is answered from their complement (``rule_counts``, ``record_counts``).
 
+Rules with the same expression are one rule with a number: expressions are parsed, tested and counted once, and their results
+are joined to their rules at the end, so the work grows with the different expressions and the rules are only read.
+
 Defined cases: a null field is absent, so its leaves are false and their negations true; null and repeated values count as
 absent and once; a group without values is never hit; a rule that cannot be parsed, or names a matcher that has no table
 (``regex`` and ``wildcard`` are tested one by one against the different values of their field), is an error; records need a unique
@@ -38,7 +41,7 @@ from tidewire.plans.rules import Leaf, Node, RuleError, RuleSet, parse_expressio
 
 AND, OR, NOT = -1, -2, -3
 _LEAF = pa.struct([("leaf", pa.int64()), ("field", pa.string()), ("matcher", pa.string()), ("group", pa.string())])
-_PARSED = "rule_id long, tokens array<long>, default boolean, leaves array<struct<leaf:long,field:string,matcher:string,group:string>>"
+_PARSED = "expression_id long, expression string, n long, tokens array<long>, default boolean, leaves array<struct<leaf:long,field:string,matcher:string,group:string>>"
 
 
 def leaf_id(leaf: Leaf) -> int:
@@ -101,8 +104,8 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             defaults.append(evaluate(own, set()))
             leaves.append([{"leaf": n, "field": x.field, "matcher": x.matcher, "group": x.group} for n, x in known.items()])
         yield pa.RecordBatch.from_arrays(
-            [b.column("rule_id").cast(pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(defaults, pa.bool_()), pa.array(leaves, pa.list_(_LEAF))],
-            names=["rule_id", "tokens", "default", "leaves"],
+            [b.column("expression_id"), b.column("expression"), b.column("n"), pa.array(tokens, pa.list_(pa.int64())), pa.array(defaults, pa.bool_()), pa.array(leaves, pa.list_(_LEAF))],
+            names=["expression_id", "expression", "n", "tokens", "default", "leaves"],
         )
 
 
@@ -152,11 +155,19 @@ class RuleTables:
 
     def __init__(self, rules: DataFrame, values: DataFrame, most: int = 2 << 20):
         self.most = most
-        self.rules = cut(rules.select(F.col("rule_id").cast("long").alias("rule_id"), "expression").mapInArrow(_parse, _PARSED))
-        self.leaves = self.rules.select(F.explode("leaves").alias("x")).select("x.*").distinct()
+        given = rules.select(F.col("rule_id").cast("long").alias("rule_id"), "expression")
+        different = given.groupBy("expression").agg(F.count(F.lit(1)).alias("n")).select(F.monotonically_increasing_id().alias("expression_id"), "expression", "n")
+        self.expressions = cut(different.mapInArrow(_parse, _PARSED))
+        weight = self.expressions.agg(F.sum(F.octet_length("expression") + 16)).first()[0] or 0
+        self.few = weight <= most  # then what is known of each expression is sent to the rules, else both are dealt
+        self.rules = cut(given.join(self._sent(self.expressions.select("expression", "expression_id", "default")), "expression").select("rule_id", "expression_id", "default"))
+        self.leaves = self.expressions.select(F.explode("leaves").alias("x")).select("x.*").distinct()
         known = values.where("value is not null").select(F.col("group").alias("g"), "value").distinct()
         self.values = cut(self.leaves.join(known, F.col("group") == F.col("g")).select("leaf", "field", "matcher", "value"))
 
+    def _sent(self, by_expression: DataFrame) -> DataFrame:
+        return F.broadcast(by_expression) if self.few else by_expression
+
     def hits(self, records: DataFrame, key: str) -> DataFrame:
         """(key, leaf) for every leaf that is true on a record."""
         known = {c.lower(): c for c in records.columns}
@@ -187,29 +198,33 @@ class RuleTables:
             return records.select(F.col(key).alias("_key"), F.lit(0).cast("long").alias("leaf")).where("false")
         return reduce(DataFrame.unionByName, parts).distinct()
 
-    def exceptions(self, records: DataFrame, key: str) -> DataFrame:
-        """(key, rule_id, matched) where a rule does not have its default on a record."""
+    def odd(self, records: DataFrame, key: str) -> DataFrame:
+        """(_key, expression_id, n, matched) where an expression, that of n rules, does not have its default on a record."""
         hits = cut(self.hits(records, key))
         cost = hits.groupBy("leaf").agg(F.count(F.lit(1)).alias("hits"))
-        used = self.rules.select("rule_id", F.explode("leaves.leaf").alias("leaf")).join(cost, "leaf").groupBy("rule_id").agg(F.collect_list(F.struct("leaf", "hits")).alias("costs"))
-        machine = self.rules.select("rule_id", "tokens", "default").join(used, "rule_id").withColumn("matched", ~F.col("default"))  # a rule without hits has no exceptions
+        used = self.expressions.select("expression_id", F.explode("leaves.leaf").alias("leaf")).join(cost, "leaf").groupBy("expression_id").agg(F.collect_list(F.struct("leaf", "hits")).alias("costs"))
+        machine = self.expressions.select("expression_id", "n", "tokens", "default").join(used, "expression_id").withColumn("matched", ~F.col("default"))  # one without hits has no exceptions
         parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, so that small sets with much work are not put together
         sets = hits.repartition(parts, "_key").groupBy("_key").agg(F.collect_set("leaf").alias("_value"))
         weight = 8 * F.size("tokens") + 16
-        found = scan_table(sets, machine, weight, RuleMachine, ["rule_id", "matched"], size=8 * F.size("_value"), most=16 * self.most)
-        return found.withColumnRenamed("_key", key)
+        return scan_table(sets, machine, weight, RuleMachine, ["expression_id", "n", "matched"], size=8 * F.size("_value"), most=16 * self.most)
+
+    def exceptions(self, records: DataFrame, key: str) -> DataFrame:
+        """(key, rule_id, matched) where a rule does not have its default on a record."""
+        found = self.odd(records, key).join(self.rules.select("rule_id", "expression_id"), "expression_id")
+        return found.select(F.col("_key").alias(key), "rule_id", "matched")
 
     def rule_counts(self, records: DataFrame, key: str) -> DataFrame:
         """(rule_id, n_records): on how many records each rule is true."""
         total = records.count()
-        odd = self.exceptions(records, key).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
+        odd = self.odd(records, key).groupBy("expression_id").agg(F.count(F.lit(1)).alias("n"))
         n = F.coalesce("n", F.lit(0))
-        return self.rules.join(odd, "rule_id", "left").select("rule_id", F.when(F.col("default"), F.lit(total) - n).otherwise(n).alias("n_records"))
+        return self.rules.join(self._sent(odd), "expression_id", "left").select("rule_id", F.when(F.col("default"), F.lit(total) - n).otherwise(n).alias("n_records"))
 
     def record_counts(self, records: DataFrame, key: str) -> DataFrame:
         """(key, n_rules): how many rules are true on each record."""
-        always = self.rules.where("default").count()
-        odd = self.exceptions(records, key).groupBy(F.col(key).alias("_key")).agg(F.sum(F.when(F.col("matched"), 1).otherwise(-1)).alias("n"))
+        always = self.expressions.where("default").agg(F.sum("n")).first()[0] or 0
+        odd = self.odd(records, key).groupBy("_key").agg(F.sum(F.when(F.col("matched"), F.col("n")).otherwise(-F.col("n"))).alias("n"))
         return records.select(key).join(odd, F.col(key) == F.col("_key"), "left").select(key, (F.lit(always) + F.coalesce("n", F.lit(0))).cast("long").alias("n_rules"))
 
 
