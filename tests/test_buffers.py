@@ -48,3 +48,11 @@ def test_lines_and_nth(spark, tmp_path):
     df = spark.createDataFrame([(3,), (1,), (2,)], "k int")
     assert sorted(r.k for r in ordered.without_nth(df, ["k"], 1).collect()) == [1, 3]
     assert ordered.without_nth(df, ["k"], 3).count() == 3
+
+
+def test_gzip_of_nothing_has_no_line(spark, tmp_path):
+    for name, data in {"nothing.gz": b"", "newline.gz": b"\n", "one.gz": b"a\n"}.items():
+        (tmp_path / name).write_bytes(gzip.compress(data))
+    (tmp_path / "broken.gz").write_bytes(gzip.compress(b"abc" * 99)[:20])
+    got = sorted((r.path.rsplit("/", 1)[1], "-" if r.line is None else r.line) for r in files.read_lines(spark, str(tmp_path)).collect())
+    assert got == [("broken.gz", "-"), ("newline.gz", ""), ("one.gz", "a")]

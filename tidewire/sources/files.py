@@ -46,11 +46,12 @@ def read_pcap(spark: SparkSession, path: str) -> DataFrame:
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, line) of text files that are gzip or plain by their first bytes, whatever their names. A file is one task's
-    work and under 2 GB unpacked; an empty file has no line, one that is broken gives one null line."""
+    work and under 2 GB unpacked; a file that is empty, or unpacks to nothing, has no line, one that is broken gives one null line."""
     files = spark.read.format("binaryFile").load(path).where("length > 0")
     content = F.when(F.hex(F.substring("content", 1, 2)) == "1F8B", inflate_col("content", F.lit("gzip"))).otherwise(F.col("content"))
-    lines = F.split(F.regexp_replace(F.decode(content, "UTF-8"), r"\r?\n\z", ""), r"\r?\n", -1)
-    return files.select("path", F.explode_outer(lines).alias("line"))
+    unpacked = files.select("path", content.alias("content")).where("content is null or length(content) > 0")
+    lines = F.split(F.regexp_replace(F.decode("content", "UTF-8"), r"\r?\n\z", ""), r"\r?\n", -1)
+    return unpacked.select("path", F.explode_outer(lines).alias("line"))
 
 
 def captures(records: DataFrame, key: str, slice_bits: int = 16) -> DataFrame:
