@@ -102,3 +102,20 @@ def test_written_files_come_back(spark, tmp_path):
     assert captures.read_captures(spark, folder).count() == 7
     with pytest.raises(Exception, match="needs the columns"):
         captures.write_captures(df.drop("data"), folder)
+
+
+def test_small_files_share_batches():
+    import pyarrow as pa
+
+    from tidewire.sources.files import packet_batches
+
+    head = struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1)
+    made = [head + struct.pack("<IIII", i, 7, 4, 9) + struct.pack("<I", i) for i in range(10_000)]
+    made[5000:5000] = [head, b"", made[0] + made[1][24:-1]]  # no record, no header, a record that is cut off
+    large = head + 3 * (struct.pack("<IIII", 1, 0, 5 << 20, 5 << 20) + bytes(5 << 20))
+    files = [pa.RecordBatch.from_pydict({"content": made[i : i + 3000]}) for i in range(0, len(made), 3000)]
+    got = list(packet_batches(iter([*files, pa.RecordBatch.from_pydict({"content": [large]})])))
+    assert [len(b) for b in got] == [4096, 4096, 10_001 - 2 * 4096 + 2, 1]
+    want = [*range(5000), 0, *range(5000, 10_000)]
+    us, data = ([v for b in got for v in b.column(c).to_pylist()] for c in ("us", "data"))
+    assert us[:10_001] == [i * 1_000_000 + 7 for i in want] and data[:10_001] == [struct.pack("<I", i) for i in want]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -65,21 +66,31 @@ def captures(records: DataFrame, key: str, slice_bits: int = 16) -> DataFrame:
     return sliced.groupBy(key, "_slice").agg(content.alias("content")).drop("_slice")
 
 
+def _packets(rows: list[tuple]) -> pa.RecordBatch:
+    sec, part, caplen, length, data = zip(*rows)
+    us = [s * 1_000_000 + p for s, p in zip(sec, part)]
+    return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(caplen, pa.int64()), pa.array(length, pa.int64()), pa.array(data, pa.binary())], names=["us", "caplen", "len", "data"])
+
+
+def packet_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records of the files in ``content``, in batches that go on from file to file: a small file costs no batch of its own."""
+    rows, held = [], 0
+    for b in batches:
+        for content in b.column("content"):
+            for r in pcap_records(content.as_py()):
+                rows.append(r)
+                held += r[2]
+                if len(rows) == 4096 or held > 1 << 23:
+                    yield _packets(rows)
+                    rows, held = [], 0
+    if rows:
+        yield _packets(rows)
+
+
 def split_captures(files: DataFrame) -> DataFrame:
     """The records of whole capture files in a column ``content``."""
-
-    def run(batches):
-        for b in batches:
-            for content in b.column("content"):
-                rows = list(pcap_records(content.as_py()))
-                for i in range(0, len(rows), 4096):
-                    part = rows[i : i + 4096]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([r[0] * 1_000_000 + r[1] for r in part], pa.int64()), pa.array([r[2] for r in part], pa.int64()),
-                         pa.array([r[3] for r in part], pa.int64()), pa.array([r[4] for r in part], pa.binary())], names=["us", "caplen", "len", "data"]
-                    )
-
-    return files.select("content").mapInArrow(run, "us long, caplen long, len long, data binary").select(F.timestamp_micros("us").alias("ts"), "caplen", "len", "data")
+    found = files.select("content").mapInArrow(packet_batches, "us long, caplen long, len long, data binary")
+    return found.select(F.timestamp_micros("us").alias("ts"), "caplen", "len", "data")
 
 
 def capture_stats(packets: DataFrame) -> DataFrame:
