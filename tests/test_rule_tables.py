@@ -148,3 +148,20 @@ def test_rules_of_one_expression_are_tested_once(spark):
     assert sorted(map(tuple, counts)) == [(0, 2, of[0]), (1, 2, of[1]), (2, 1, of[2])]
     assert {r.k: r.n_rules for r in made.record_counts(records, "k").collect()} == {1: of[0] + of[2], 2: of[0], 3: of[1], 4: of[1]}
     assert made.exceptions(records, "k").count() == 2 * of[0] + 2 * of[1] + of[2]
+
+
+def test_counts_by_record_write_no_row_a_rule(spark, monkeypatch):
+    """What is written on the way to counts by record is by expression, leaf or record: 5,000 rules of one expression write no 5,000 rows."""
+    written = []
+
+    def cut(df):
+        written.append(df.count())
+        return df
+
+    monkeypatch.setattr(rule_tables, "cut", cut)
+    rules = spark.range(5000).select(F.col("id").alias("rule_id"), F.lit("not host equals $a").alias("expression"))
+    records = spark.createDataFrame([(1, "a.com"), (2, None)], "k int, host string")
+    made = rule_tables.RuleTables(rules, spark.createDataFrame([("$a", "a.com")], "group string, value string"))
+    assert {r.k: r.n_rules for r in made.record_counts(records, "k").collect()} == {1: 0, 2: 5000}
+    assert max(written) == 1
+    assert {r.n_records for r in made.rule_counts(records, "k").collect()} == {1} and max(written) == 5000

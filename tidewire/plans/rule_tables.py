@@ -26,7 +26,7 @@ import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -155,16 +155,21 @@ class RuleTables:
 
     def __init__(self, rules: DataFrame, values: DataFrame, most: int = 2 << 20):
         self.most = most
-        given = rules.select(F.col("rule_id").cast("long").alias("rule_id"), "expression")
+        given = self.given = rules.select(F.col("rule_id").cast("long").alias("rule_id"), "expression")
         different = given.groupBy("expression").agg(F.count(F.lit(1)).alias("n")).select(F.monotonically_increasing_id().alias("expression_id"), "expression", "n")
         self.expressions = cut(different.mapInArrow(_parse, _PARSED))
         weight = self.expressions.agg(F.sum(F.octet_length("expression") + 16)).first()[0] or 0
         self.few = weight <= most  # then what is known of each expression is sent to the rules, else both are dealt
-        self.rules = cut(given.join(self._sent(self.expressions.select("expression", "expression_id", "default")), "expression").select("rule_id", "expression_id", "default"))
         self.leaves = self.expressions.select(F.explode("leaves").alias("x")).select("x.*").distinct()
         known = values.where("value is not null").select(F.col("group").alias("g"), "value").distinct()
         self.values = cut(self.leaves.join(known, F.col("group") == F.col("g")).select("leaf", "field", "matcher", "value"))
 
+    @cached_property
+    def rules(self) -> DataFrame:
+        """(rule_id, expression_id, default) of every rule; made where results by rule are asked for, as counts by record need none of it."""
+        known = self._sent(self.expressions.select("expression", "expression_id", "default"))
+        return cut(self.given.join(known, "expression").select("rule_id", "expression_id", "default"))
+
     def _sent(self, by_expression: DataFrame) -> DataFrame:
         return F.broadcast(by_expression) if self.few else by_expression
 
