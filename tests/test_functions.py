@@ -119,6 +119,21 @@ def test_captures_of_a_hot_key_are_cut(spark):
     assert sorted(int.from_bytes(r.data, "big") for r in files.split_captures(made).collect()) == list(range(1000))
 
 
+def test_captures_are_one_file_a_key(spark):
+    """Keys of few records have one file each wherever their rows stand; hot keys among them are cut, null is a key."""
+    record = F.concat(F.lit("00" * 8 + "0400000004000000"), F.lpad(F.hex("id"), 8, "0"))
+    rows = spark.range(0, 1000, 1, 3).select(F.when(F.col("id") % 50 > 0, F.col("id") % 50).alias("user"), record.alias("record"))
+    made = files.captures(rows, "user", 5).collect()
+    assert len(made) == 50 and {len(r.content) for r in made} == {24 + 20 * 20}
+    hot = files.captures(rows.unionAll(rows.withColumn("user", F.when(F.col("user") > 25, 7))), "user", 5)
+    sizes = {}
+    for r in hot.collect():
+        sizes.setdefault(r.user, []).append((len(r.content) - 24) // 20)
+    assert {k: sum(v) for k, v in sizes.items()} == {None: 540, 7: 500} | {k: 20 for k in range(1, 50) if k != 7}
+    assert max(map(max, sizes.values())) <= 32 and all(len(v) == 1 for k, v in sizes.items() if k not in (None, 7))
+    assert sorted(int.from_bytes(r.data, "big") for r in files.split_captures(hot).collect()) == sorted([*range(1000)] * 2)
+
+
 def test_crc_mix(spark):
     # "abc" and "a" by hand: the table-driven CRC from 0 without inversions, then the shifts one after the other
     assert binary.crc_mix(b"") == 0 and binary.crc_mix(b"abc") == 3116679333

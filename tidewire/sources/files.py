@@ -56,12 +56,19 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def captures(records: DataFrame, key: str, slice_bits: int = 16) -> DataFrame:
-    """Capture files (key, content) of the hex column ``record``: several a key, each of at most 2**slice_bits records.
+    """Capture files (key, content) of the hex column ``record``: one a key, or several where a key has more than 2**slice_bits records.
 
-    A file takes its records from one run of 2**slice_bits rows of a partition, so a hot key is dealt to many tasks.
+    A file of such a hot key takes its records from one run of 2**slice_bits rows of a partition, so the key is dealt to many tasks.
     """
     head = "D4C3B2A1020004000000000000000000FFFF000001000000"
-    sliced = records.withColumn("_slice", F.shiftright(F.monotonically_increasing_id(), slice_bits))
+    most = 1 << slice_bits
+    sizes = records.groupBy(F.col(key).alias("_hot")).agg(F.count(F.lit(1)).alias("_n"))
+    if (sizes.agg(F.max("_n")).first()[0] or 0) > most:
+        cut = records.withColumn("_run", F.shiftright(F.monotonically_increasing_id(), slice_bits))
+        hot = sizes.where(F.col("_n") > most)
+        sliced = cut.join(hot, F.col(key).eqNullSafe(F.col("_hot")), "left").select(key, "record", F.when(F.col("_n").isNotNull(), F.col("_run")).alias("_slice"))
+    else:
+        sliced = records.select(key, "record", F.lit(None).cast("long").alias("_slice"))
     content = F.unhex(F.concat(F.lit(head), F.array_join(F.collect_list("record"), "")))
     return sliced.groupBy(key, "_slice").agg(content.alias("content")).drop("_slice")
 
